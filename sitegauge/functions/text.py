@@ -80,11 +80,14 @@ def tokens(text: Column) -> Column:
 
 def shingles(words: Column, size: int) -> Column:
     """All runs of ``size`` consecutive words of the whole text, as one string each."""
-    last = F.size(words) - size
-    return F.when(
-        last >= 0,
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-            lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(size)]),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    def build(w: Column) -> Column:
+        last = F.size(w) - size
+        return F.when(
+            last >= 0,
+            F.transform(
+                F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+                lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(size)]),
+            ),
+        ).otherwise(F.array().cast("array<string>"))
+
+    return let(words, build)

@@ -25,15 +25,17 @@ def copy_checked(pages: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 def query_phrases(text: Column, p: Params = DEFAULT) -> Column:
     """Distinct 14-token phrases at 20, 50 and 80 percent of the text, long enough to search for."""
-    words = tx.tokens(text)
-    n = F.size(words)
-    phrases = F.transform(
-        F.array(F.lit(0.2), F.lit(0.5), F.lit(0.8)),
-        lambda at: F.array_join(
-            F.slice(words, F.least(F.greatest(n - 14, F.lit(0)), F.floor(n * at).cast("int")) + 1, 14), " "
-        ),
-    )
-    return F.slice(F.array_distinct(F.filter(phrases, lambda x: F.length(x) >= 50)), 1, max(1, min(3, p.copy_queries)))
+    def pick(words: Column) -> Column:
+        n = F.size(words)
+        phrases = F.transform(
+            F.array(F.lit(0.2), F.lit(0.5), F.lit(0.8)),
+            lambda at: F.array_join(
+                F.slice(words, F.least(F.greatest(n - 14, F.lit(0)), F.floor(n * at).cast("int")) + 1, 14), " "
+            ),
+        )
+        return F.slice(F.array_distinct(F.filter(phrases, lambda x: F.length(x) >= 50)), 1, max(1, min(3, p.copy_queries)))
+
+    return tx.let(tx.tokens(text), pick)
 
 
 def shingle_set(words: Column) -> Column:

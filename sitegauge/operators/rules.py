@@ -265,10 +265,12 @@ def apply_arrow_rules(pages: DataFrame, columns: list[str], detect) -> DataFrame
     """Escape hatch: ``detect(frame) -> list of finding lists`` runs on Arrow batches of the named columns only."""
     import pandas as pd
 
-    @F.pandas_udf(FINDING_TYPE)
     def run(batch: pd.DataFrame) -> pd.Series:
         return pd.Series(detect(batch))
 
+    run.__annotations__ = {"batch": pd.DataFrame, "return": pd.Series}
+    run = F.pandas_udf(run, FINDING_TYPE)
+
     rows = pages.withColumn("f", F.explode(run(F.struct(*columns)))).select(
         *[c for c in ("website_id", "page_id") if c in pages.columns], "url", "f.*"
     )

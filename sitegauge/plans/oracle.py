@@ -257,8 +257,9 @@ PREVIOUS = """pv as (select page_id, sha256(url) as url_hash, case when page_id
 
 def _sketch_sql(source: str) -> str:
     """Sketch rows (grp, id, position, h, sh, n) of eligible rows (grp, id, position, norm)."""
-    return f"""w as (select grp, id, position, string_split(norm, ' ') as ws from {source}),
-shg as (select grp, id, position, unnest(list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')))) as sh from w where len(ws) >= 4),
+    return f"""w as (select grp, id, position, unnest(string_split(norm, ' ')) as w, unnest(range(1, len(string_split(norm, ' ')) + 1)) as i from {source}),
+s4 as (select grp, id, position, w || ' ' || lead(w, 1) over o || ' ' || lead(w, 2) over o || ' ' || lead(w, 3) over o as sh from w window o as (partition by grp, id order by i)),
+shg as (select distinct grp, id, position, sh from s4 where sh is not null),
 hs as (select *, left(sha1(sh), 16) as h from shg),
 rk as (select *, row_number() over (partition by grp, id order by h) as r from hs),
 sk as (select grp, id, position, h, sh, count(*) over (partition by grp, id) as n from rk where r <= 128)"""
@@ -327,3 +328,73 @@ adt0 as (select 'https://' || grp as origin, case when n % 5 = 0 then 404 else 2
  when 0 then ['# only a comment', '', '  '] when 1 then ['Google.com, pub-1, DIRECT', ' # c', 'other.com, ' || n] when 2 then ['a.com, 1, RESELLER', '', 'b.com, ' || n]
  else ['google.com, pub-2'] end as raw from ag),
 adt as (select origin, status, list_filter(list_transform(raw, lambda x: trim(x)), lambda x: x <> '' and x[1] <> '#') as l from adt0)"""
+
+SIGNAL_ROWS = f"""sr0 as (select doc_id as page_id, doc_id as k, text, {words('text')} as word_count, {slug('text')} as body from documents),
+sr as (select *, case when k % 7 = 0 then 'http' else 'https' end || '://site' || (k % 50) || '.example' || case when k % 9 = 1 then '/' else '/p/' || k end as url,
+ k % 9 = 1 as home, case when k % 10 = 0 then '' else 'title' end as title, k % 3 as h1_count, k % 5 as paragraph_count, k % 12 as ad_count,
+ word_count // greatest(k % 12, 1) as ratio, k % 4 as external_images,
+ ([null, 'home', {', '.join(q(t) for t in vocab.LINKED_TYPES)}])[k % 9 + 1] as kind,
+ {', '.join(f"k % {i + 2} <> 0 as l_{t}" for i, t in enumerate(vocab.LINKED_TYPES))},
+ k % 2 = 0 as consent, k % 5 <> 0 as ads_present, k % 4 = 0 as ads_google, k % 8 = 5 as contact_markup from sr0)"""
+
+
+def _terms(kind: str) -> list[str]:
+    checks = [hit("body", "|".join(t.replace(" ", "-") for t in terms)) for terms in vocab.PAGE_TERMS.get(kind, {}).values()]
+    if kind == "contact":
+        checks.append(f"(contact_markup or {hit('text', r'(?i)[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[a-z]{2,}')})")
+    return checks + [f"word_count >= {vocab.PAGE_MIN_WORDS[kind]}"]
+
+
+_ATTR = r"(?:^|[^\p{L}\p{N}_])(?:source|credit|courtesy|licensed?|photo by)(?:[^\p{L}\p{N}_]|$)|[\p{L}\p{N}_]©[\p{L}\p{N}_]"
+_MISSING = " and ".join(f"l_{t}" for t in vocab.LINKED_TYPES)
+RULES = {
+    "rule_content_thin": ("content.thin-page", "word_count < 300", "Content quality", "case when word_count < 150 then 'high' else 'review' end", "92"),
+    "rule_content_structure": ("content.low-editorial-structure", "word_count >= 300 and word_count < 600 and paragraph_count < 3", "Content quality", "'review'", "76"),
+    "rule_document_structure": ("content.document-structure", "title = '' or h1_count <> 1", "Content quality", "'info'", "98"),
+    "rule_copyright_media": ("copyright.media-provenance-unverified", f"external_images > 0 and not {hit('lower(text)', _ATTR)}", "Copyright",
+                             "case when external_images >= 3 then 'high' else 'review' end", "case when external_images >= 3 then 82 else 68 end"),
+    "rule_ads_no_content": ("ads.on-page-without-content", "ad_count > 0 and word_count < 80", "Ad experience", "'high'", "96"),
+    "rule_ads_thin": ("ads.on-thin-content-page", "ad_count > 0 and word_count between 80 and 299", "Ad experience", "case when word_count < 150 or ratio < 100 then 'high' else 'review' end", "93"),
+    "rule_ads_density": ("ads.density-review", "ad_count > 0 and word_count >= 300 and (ad_count > 6 or ratio < 220)", "Ad experience", "case when ad_count >= 9 or ratio < 100 then 'high' else 'review' end", "88"),
+    "rule_ads_txt_missing": ("ads-txt.missing-or-empty", "home and not ads_present", "Ad experience", "'high'", "98"),
+    "rule_ads_txt_google": ("ads-txt.google-entry-review", "home and ads_present and not ads_google", "Ad experience", "'review'", "86"),
+    "rule_privacy_link": ("privacy.missing-disclosure-link", "home and not l_privacy", "Privacy & consent", "'high'", "94"),
+    "rule_privacy_consent": ("privacy.consent-signal-missing", "home and ad_count > 0 and not consent", "Privacy & consent", "'review'", "72"),
+    "rule_publisher_missing": ("publisher.required-pages-missing", f"kind = 'home' and not ({_MISSING})", "Publisher requirements", "'high'", "96"),
+    "rule_no_https": ("technical.no-https", "not prefix(url, 'https:')", "Technical trust", "'high'", "100"),
+    "rule_identity_links": ("trust.publisher-identity-links", "home and not (l_about and l_contact)", "Content quality", "'review'", "84"),
+}
+INCOMPLETE = {
+    kind: (f"publisher.required-page-incomplete.{kind}", f"kind = '{kind}' and not ({' and '.join(_terms(kind))})",
+           "Privacy & consent" if kind == "privacy" else "Publisher requirements", "'high'" if kind == "privacy" else "'review'", "90")
+    for kind in vocab.LINKED_TYPES
+}
+
+
+def rule_select(rule: tuple) -> str:
+    key, pred, cat, sev, conf = rule
+    return (f"select page_id, k, {q(key)} as rule_key, {q(cat)} as category, {sev} as severity, ({conf})::int as confidence, "
+            f"sha256({q(key + '|')} || lower(url) || '|') as fingerprint from sr where {pred}")
+
+
+ALL_RULES = SIGNAL_ROWS + ", ar as (" + " union all ".join(rule_select(r) for r in [*RULES.values(), *INCOMPLETE.values()]) + ")"
+SCOPE = ("prefix(rule_key, 'publisher.') or case %s when 'copyright' then category in ('Copyright', 'Duplicate content') when 'ads' then category = 'Ad experience' "
+         "when 'privacy' then category = 'Privacy & consent' when 'priority' then severity in ('critical', 'high') else true end")
+
+_CODES = [*vocab.MODEL_CODES, "unknown_code"]
+MODEL_ITEMS = f"""mi as (select doc_id as page_id, 'https://docs.example/' || doc_id as url, {pick(_CODES, '(doc_id + s) % 11')} as code,
+ {pick(['high', 'review', 'info', 'review'], '(doc_id + s) % 4')} as severity, greatest(0, least(100, (doc_id * 7 + s) % 120 - 5))::int as confidence,
+ case when (doc_id + s) % 3 <> 0 then 'Title ' || doc_id end as title, (doc_id + s) % 2 = 0 as advised from labels, (values (0), (3)) v(s))"""
+
+VIEWPORTS = """vp as (select l_partkey as k, count(*) filter (where l_partkey % 6 = 0 and l_linenumber = 1) as near, count(*) filter (where l_partkey % 7 = 0 and l_linenumber = 2) as misleading,
+ count(*) filter (where l_partkey % 5 = 0 and l_linenumber = 3) as overlay, max((l_partkey % 10) * 0.06::double + l_linenumber * 0.01::double) as coverage,
+ count(*) filter (where l_partkey % 11 = 0 and l_linenumber = 4) as popups, count(*) filter (where l_partkey % 3 = 0 and l_linenumber = 5) as refreshes from lineitem group by 1)"""
+
+_URLS = [*vocab.POLICY_URLS.values(), "https://elsewhere.example/"]
+ASSESSMENTS = SCANS + f""", rf as (select scan_id, website_id, i, {pick(_URLS, '(scan_id + i * 2) % 9')} as policy_url, (scan_id + i) % 3 = 0 as fixed, (scan_id + i) % 5 <> 0 as ok
+ from sc, (select unnest(range(10)) as i) where ai_assessed and scan_id % 4 <> 0),
+rf1 as (select *, case when fixed then 'policy_overview' when contains(policy_url, '/11190248') or contains(policy_url, '/81904') then 'content_overview'
+ when contains(policy_url, '/11185755') then 'transparency_overview' when contains(policy_url, '/1348695') then 'adsense_requirements_overview' else 'policy_overview' end as section
+ from rf where ok and policy_url <> 'https://elsewhere.example/'),
+rf2 as (select scan_id, website_id, section, policy_url, min(i) as i from rf1 group by all),
+rfs as (select * from (select *, row_number() over (partition by scan_id order by i) as r from rf2) where r <= 8)"""

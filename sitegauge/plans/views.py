@@ -370,3 +370,116 @@ def ads_txt(spark, sf) -> DataFrame:
         .when(k == 2, F.concat(F.lit("a.com, 1, RESELLER\n\nb.com, "), C("n").cast("string"))).otherwise("google.com, pub-2")
     )
     return g.select(F.concat(F.lit("https://"), "grp").alias("origin"), F.when(C("n") % 5 == 0, 404).otherwise(200).alias("status"), text.alias("text"))
+
+
+def signal_rows(spark, sf) -> DataFrame:
+    """Page-signal rows for rule checks: texts are the documents, the other signals follow from the id."""
+    d = table(spark, sf, "documents")
+    k = C("doc_id")
+    kinds = [None, "home", *vocab.LINKED_TYPES]
+    kind = F.element_at(F.array(*[F.lit(x) for x in kinds]), (k % 9 + 1).cast("int"))
+    scheme = F.when(k % 7 == 0, "http").otherwise("https")
+    url = F.concat(scheme, F.lit("://site"), (k % 50).cast("string"), F.lit(".example"), F.when(k % 9 == 1, "/").otherwise(
+        F.concat(F.lit("/p/"), k.cast("string"))))
+    types = F.filter(F.array(*[F.when(k % (i + 2) != 0, F.lit(t)) for i, t in enumerate(vocab.LINKED_TYPES)]), lambda t: t.isNotNull())
+    imgs = F.transform(F.sequence(F.lit(1), (k % 5).cast("int") + 1), lambda i: F.concat(F.lit("https://cdn.example/"), i.cast("string")))
+    return d.select(
+        k.alias("page_id"), k.alias("position"), F.concat(F.lit("site"), (k % 50).cast("string")).alias("grp"), url.alias("url"), "text",
+        F.when(k % 10 == 0, "").otherwise("title").alias("title"), (k % 3).cast("int").alias("h1_count"),
+        tx.word_count(C("text")).alias("word_count"), (k % 5).cast("int").alias("paragraph_count"), (k % 12).cast("int").alias("ad_count"),
+        (k % 4).cast("int").alias("external_images"), imgs.alias("external_image_urls"), kind.alias("essential_page_type"),
+        types.alias("linked_types"), F.array_contains(types, "privacy").alias("has_privacy_link"),
+        F.array_contains(types, "about").alias("has_about_link"), F.array_contains(types, "contact").alias("has_contact_link"),
+        (k % 2 == 0).alias("has_consent_signal"), (k % 8 == 5).alias("has_contact_markup"),
+        F.lit(200).alias("ads_txt_status"), (k % 5 != 0).alias("ads_txt_present"), (k % 6).cast("int").alias("ads_txt_lines"),
+        (k % 4 == 0).alias("ads_txt_has_google"), F.lit("content").alias("page_type"),
+    )
+
+
+MODEL_CODE_LIST = [*vocab.MODEL_CODES, "unknown_code"]
+
+
+def model_replies(spark, sf) -> DataFrame:
+    """Stored model replies in the four envelope shapes, derived from labels."""
+    k = C("doc_id")
+    pick = lambda vals, key: F.element_at(F.array(*[F.lit(x) for x in vals]), (key + 1).cast("int"))
+    item = lambda shift: F.struct(
+        pick(MODEL_CODE_LIST, (k + shift) % 11).alias("policy_code"), pick(["high", "review", "info", "odd"], (k + shift) % 4).alias("severity"),
+        ((k * 7 + shift) % 120 - 5).alias("confidence"), F.when((k + shift) % 3 != 0, F.concat(F.lit(" Title "), k.cast("string"))).alias("title"),
+        F.array(F.concat(F.lit("quote "), k.cast("string")), F.lit(" "), F.lit("0")).alias("evidence"),
+        F.when((k + shift) % 2 == 0, F.array(F.lit("do it"))).alias("remediation"),
+    )
+    reply = F.to_json(F.struct(F.array(item(0), item(3)).alias("findings")))
+    n = k.cast("string")
+    shapes = [
+        F.to_json(F.struct(n.alias("id"), F.array(F.struct(F.lit("reasoning").alias("type"), F.array(F.struct(F.lit("x").alias("type"), F.lit("y").alias("text"))).alias("content")),
+            F.struct(F.lit("message").alias("type"), F.array(F.struct(F.lit("output_text").alias("type"), reply.alias("text"))).alias("content"))).alias("output"),
+            F.struct(k.alias("input_tokens"), (k * 2).alias("output_tokens")).alias("usage"))),
+        F.to_json(F.struct(n.alias("responseId"), F.array(F.struct(F.struct(F.array(F.struct(reply.alias("text"))).alias("parts")).alias("content"))).alias("candidates"),
+            F.struct(k.alias("promptTokenCount"), (k * 2).alias("candidatesTokenCount")).alias("usageMetadata"))),
+        F.to_json(F.struct(F.struct(reply.alias("content")).alias("message"), k.alias("prompt_eval_count"), (k * 2).alias("eval_count"))),
+        F.to_json(F.struct(n.alias("id"), F.array(F.struct(F.struct(reply.alias("content")).alias("message"))).alias("choices"),
+            F.struct(k.alias("prompt_tokens"), (k * 2).alias("completion_tokens")).alias("usage"))),
+    ]
+    payload = F.when(k % 4 == 0, shapes[0]).when(k % 4 == 1, shapes[1]).when(k % 4 == 2, shapes[2]).otherwise(shapes[3])
+    return table(spark, sf, "labels").select(
+        k.alias("page_id"), F.concat(F.lit("https://docs.example/"), n).alias("url"), payload.alias("payload")
+    )
+
+
+def moderation_raw(spark, sf) -> DataFrame:
+    """Moderation replies as stored JSON."""
+    m = moderation(spark, sf)
+    classes = F.map_concat(F.transform_values("classes", lambda k, x: x.cast("string")), F.create_map(F.lit("note"), F.lit("text")))
+    return m.select("doc_id", "url", F.to_json(F.struct(
+        "status", F.struct(C("request_id").alias("id")).alias("request"), classes.alias("moderation_classes"))).alias("payload"))
+
+
+def viewports(spark, sf) -> DataFrame:
+    """Layout metrics from order lines: page = part, viewport = line number."""
+    L = table(spark, sf, "lineitem")
+    k = C("l_partkey")
+    payload = F.to_json(F.struct(
+        F.concat(F.lit("https://v.example/"), k.cast("string")).alias("url"), C("l_linenumber").cast("string").alias("name"),
+        F.lit(1280).alias("width"), F.lit(800).alias("height"), F.lit(1).alias("adCount"),
+        F.when((k % 6 == 0) & (C("l_linenumber") == 1), 1).when(k % 6 == 0, 0).alias("nearInteractiveCount"),
+        F.when((k % 7 == 0) & (C("l_linenumber") == 2), 1).otherwise(0).alias("misleadingLabelCount"),
+        F.when((k % 5 == 0) & (C("l_linenumber") == 3), 1).otherwise(0).alias("intrusiveOverlayCount"),
+        ((k % 10) * 0.06 + C("l_linenumber") * 0.01).alias("viewportCoverage"),
+        F.when((k % 11 == 0) & (C("l_linenumber") == 4), 1).otherwise(0).alias("popupAttempts"),
+        F.when((k % 3 == 0) & (C("l_linenumber") == 5), 1).otherwise(0).alias("adRefreshCount"),
+    ))
+    return L.select(payload.alias("payload"))
+
+
+def assessments(spark, sf) -> DataFrame:
+    """Stored site assessments from assessed scans."""
+    k = C("scan_id")
+    urls = [*vocab.POLICY_URLS.values(), "https://elsewhere.example/"]
+    pick = lambda vals, key: F.element_at(F.array(*[F.lit(x) for x in vals]), (key + 1).cast("int"))
+    ref = lambda i: F.struct(
+        F.when((k + i) % 3 == 0, F.lit("policy_overview")).alias("section"),
+        F.when((k + i) % 5 != 0, F.lit(" issue ")).otherwise(" ").alias("issue"), F.lit("relevance").alias("relevance"),
+        pick(urls, (k + i * 2) % 9).alias("policy_url"))
+    payload = F.to_json(F.struct(
+        pick(["critical", "high", "unknown"], k % 3).alias("risk_level"), F.concat(F.lit(" headline "), k.cast("string")).alias("headline"),
+        F.when(k % 2 == 0, F.lit("overview")).alias("policy_overview"),
+        F.array(F.struct(F.lit("A").alias("title"), F.lit("b").alias("why_it_matters"))).alias("key_issues"),
+        F.transform(F.sequence(F.lit(0), (k % 12).cast("int")), lambda i: F.concat(F.lit(" do "), i.cast("string"))).alias("priorities"),
+        F.array(*[F.lit(x) for x in "abcdefg"]).alias("limitations"), F.when(k % 4 != 0, F.array(*[ref(i) for i in range(10)])).alias("policy_references"),
+    ))
+    return scans(spark, sf).filter("ai_assessed").select("scan_id", "website_id", payload.alias("payload"))
+
+
+def quoted_findings(spark, sf) -> DataFrame:
+    """Findings with evidence in their signals."""
+    k = C("l_partkey")
+    s = F.to_json(F.struct(
+        F.transform(F.sequence(F.lit(0), (k % 9).cast("int")), lambda i: F.concat(F.lit(" quote "), (i % 4).cast("string"))).alias("evidence"),
+        F.transform(F.sequence(F.lit(0), (k % 14).cast("int")), lambda i: F.concat(F.lit("phrase "), i.cast("string"))).alias("matching_phrases"),
+        F.when(k % 3 == 0, F.concat(F.lit("https://m.example/"), k.cast("string"))).alias("matched_url"),
+        F.when(k % 4 == 0, F.lit("not a url")).alias("source_url"),
+        F.array(F.lit("https://i.example/a"), F.lit("https://i.example/a"), F.lit("https://i.example/b")).alias("external_image_urls"),
+        (k % 101).alias("similarity"), F.lit("sketch").alias("method"),
+    ))
+    return findings(spark, sf).withColumn("signals", s)
