@@ -88,15 +88,16 @@ def _distinct_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.select("id", "set_key"), cut(classes)
 
 
-def copy_corpus_pairs(sources: DataFrame, candidates: DataFrame, threshold: float, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
+def copy_corpus_pairs(sources: DataFrame, candidates: DataFrame, threshold: float, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All (source set, candidate set) pairs with containment at or above the threshold, exactly.
 
     Equal texts are compared once. A source is dropped when the shingles it shares with *any* candidate cannot reach
     the threshold; the rest look up candidates on their rarest shingles only, and a shingle held by many candidates
-    is cut into blocks. Returns the source members and the scored pairs.
+    is cut into blocks. Returns the source members, the candidate members and the
+    scored pairs of set keys (with the first candidate id of the set).
     """
     members, src = _distinct_sets(sources)
-    _, cand = _distinct_sets(candidates)
+    cand_members, cand = _distinct_sets(candidates)
     postings = cand.select(F.col("set_key").alias("c_key"), F.explode("hs").alias("h"))
     counts = postings.groupBy("h").agg(F.count("*").alias("df"))
     hits = spread_join(src.select("set_key", F.size("hs").alias("n"), F.explode("hs").alias("h")), counts, ["h"], "set_key", salts=p.salts)
@@ -119,15 +120,24 @@ def copy_corpus_pairs(sources: DataFrame, candidates: DataFrame, threshold: floa
     )
     shared = F.size(F.array_intersect("hs", "c_hs"))
     scored = rows.select(
-        "set_key", "candidate_id", shared.alias("shared"), F.size("hs").alias("source_shingles"),
+        "set_key", "c_key", "candidate_id", shared.alias("shared"), F.size("hs").alias("source_shingles"),
         similarity(shared, F.size("hs")).alias("similarity"),
     )
-    return members, scored.filter(F.col("similarity") >= threshold)
+    return members, cand_members, scored.filter(F.col("similarity") >= threshold)
+
+
+def copy_pairs(sources: DataFrame, candidates: DataFrame, threshold: float, p: Params = DEFAULT) -> DataFrame:
+    """Every (source_id, candidate_id) at or above the threshold; equal texts are expanded again at the end."""
+    members, cand_members, pairs = copy_corpus_pairs(sources, candidates, threshold, p)
+    rows = members.select(F.col("id").alias("source_id"), "set_key").join(pairs.select("set_key", "c_key"), "set_key")
+    return rows.join(cand_members.select(F.col("id").alias("candidate_id"), F.col("set_key").alias("c_key")), "c_key").select(
+        "source_id", "candidate_id"
+    )
 
 
 def copy_corpus_scan(sources: DataFrame, candidates: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Best candidate of every source text over the whole candidate corpus (first id of equals)."""
-    members, pairs = copy_corpus_pairs(sources, candidates, p.copy_threshold, p)
+    members, _, pairs = copy_corpus_pairs(sources, candidates, p.copy_threshold, p)
     best = pairs.withColumn("order", F.struct((-F.col("similarity")).alias("n"), "candidate_id")).groupBy("set_key").agg(
         F.min_by(F.struct("candidate_id", "shared", "source_shingles", "similarity"), "order").alias("b")
     )

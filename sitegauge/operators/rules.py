@@ -278,17 +278,17 @@ def apply_arrow_rules(pages: DataFrame, columns: list[str], detect) -> DataFrame
     return fd.validate(rows).filter(C("reject_reason").isNull()).drop("reject_reason")
 
 
-class ExplodeFindings:
+def register_udtf(spark) -> None:
     """SQL table function ``explode_findings(json)``: rows of a JSON array of findings."""
+    allowed = tuple(vocab.SEVERITIES)
 
-    def eval(self, payload: str):
-        import json
-
-        for f in json.loads(payload or "[]"):
-            if f.get("severity") in vocab.SEVERITIES:
-                yield f.get("rule_key"), f.get("category"), f["severity"], max(0, min(100, int(f.get("confidence", 0))))
+    class ExplodeFindings:
+        def eval(self, payload: str):
+            import json
 
+            for f in json.loads(payload or "[]"):
+                if f.get("severity") in allowed:
+                    yield f.get("rule_key"), f.get("category"), f["severity"], max(0, min(100, int(f.get("confidence", 0))))
 
-def register_udtf(spark) -> None:
     handler = F.udtf(ExplodeFindings, returnType="rule_key string, category string, severity string, confidence int")
     spark.udtf.register("explode_findings", handler)

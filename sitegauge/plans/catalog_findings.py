@@ -18,12 +18,12 @@ def add(name, fn, sql=None):
 
 
 # ---------------------------------------------------------------- flagship: site score, status, open findings
-MINIMUM = [ru.rule_content_thin(), ru.rule_content_structure(), ru.rule_document_structure(), ru.rule_no_https()]
+MINIMUM = [ru.rule_content_thin, ru.rule_content_structure, ru.rule_document_structure, ru.rule_no_https]
 
 
 def site_overview(s, d):
     pages = v.signals(s, d)
-    found = ru.apply_rules(pages, MINIMUM).withColumn("website_id", C("grp"))
+    found = ru.apply_rules(pages, [make(DEFAULT) for make in MINIMUM]).withColumn("website_id", C("grp"))
     hosts = v.pages(s, d).select(C("grp").alias("website_id")).distinct()
     return sc.site_score(found.withColumn("order_key", F.concat_ws("|", F.lpad(C("page_id").cast("string"), 12, "0"), C("rule_position").cast("string"))), hosts).withColumn(
         "status", sc.status_from_score(C("score"))).withColumnRenamed("website_id", "site")
@@ -56,9 +56,10 @@ add("finding_public_id", lambda s, d: v.findings(s, d).select("fingerprint", fd.
 _LABEL = "MAP {" + ", ".join(f"{o.q(k)}: {o.q(x)}" for k, x in vocab.LABELS.items()) + "}"
 add("finding_labels", lambda s, d: v.findings(s, d).groupBy(fd.label(C("category")).alias("category_label"), fd.label(C("status")).alias("status_label"), fd.label(C("rule_key")).alias("rule_label")).agg(F.count("*").alias("n")),
     f"with {o.FINDINGS} select coalesce({_LABEL}[category], category) as category_label, coalesce({_LABEL}[status], status) as status_label, coalesce({_LABEL}[rule_key], rule_key) as rule_label, count(*) as n from fb group by all")
-_REF = F.element_at(F.array(F.lit("x"), F.lit("REPLICATED content"), F.lit("about Privacy"), F.lit("ad placement"), F.lit("deceptive")), (C("l_suppkey") % 5 + 1).cast("int"))
+def _ref():
+    return F.element_at(F.array(F.lit("x"), F.lit("REPLICATED content"), F.lit("about Privacy"), F.lit("ad placement"), F.lit("deceptive")), (C("l_suppkey") % 5 + 1).cast("int"))
 _PU = vocab.POLICY_URLS
-add("finding_policy_url", lambda s, d: v.findings(s, d).withColumn("ref", _REF).groupBy("category", "ref", fd.policy_url(C("category"), C("ref")).alias("policy_url"), fd.policy_title(C("category")).alias("policy_title")).agg(F.count("*").alias("n")),
+add("finding_policy_url", lambda s, d: v.findings(s, d).withColumn("ref", _ref()).groupBy("category", "ref", fd.policy_url(C("category"), C("ref")).alias("policy_url"), fd.policy_title(C("category")).alias("policy_title")).agg(F.count("*").alias("n")),
     f"with {o.FINDINGS}, x as (select category, {o.pick(['x', 'REPLICATED content', 'about Privacy', 'ad placement', 'deceptive'], 'l_suppkey % 5')} as ref from fb) select category, ref, "
     f"case when category = 'Duplicate content' or ref = 'REPLICATED content' then {o.q(_PU['duplicate'])} when category = 'Ad experience' or ref = 'ad placement' then {o.q(_PU['ads'])} "
     f"when category = 'Privacy & consent' or ref = 'about Privacy' then {o.q(_PU['privacy'])} when category = 'Deceptive practices' or ref = 'deceptive' then {o.q(_PU['deceptive'])} "
@@ -81,22 +82,26 @@ for _name, _rule in o.RULES.items():
     add(_name, one_rule(getattr(ru, _name)), f"with {o.SIGNAL_ROWS} select {', '.join(_COLS)} from ({o.rule_select(_rule)})")
 add("rule_publisher_incomplete", one_rule([lambda p, k=k: ru.rule_publisher_incomplete(k, p) for k in vocab.LINKED_TYPES]),
     f"with {o.SIGNAL_ROWS} select {', '.join(_COLS)} from ({' union all '.join(o.rule_select(r) for r in o.INCOMPLETE.values())})")
-_TYPE = F.element_at(F.array(*[F.lit(x) for x in vocab.SCAN_TYPES]), (C("page_id") % 5 + 1).cast("int"))
-add("rules_local", lambda s, d: ru.rules_local(v.signal_rows(s, d), _TYPE).select(*_COLS),
+def _type():
+    return F.element_at(F.array(*[F.lit(x) for x in vocab.SCAN_TYPES]), (C("page_id") % 5 + 1).cast("int"))
+add("rules_local", lambda s, d: ru.rules_local(v.signal_rows(s, d), _type()).select(*_COLS),
     f"with {o.ALL_RULES}, y as (select *, {o.pick(vocab.SCAN_TYPES, 'k % 5')} as scan_type from ar) select {', '.join(_COLS)} from y where {o.SCOPE % 'scan_type'}")
-_OWN = ru.Rule("custom.shouting", tx.word_count(F.upper("title")) == 0, "Content quality", "info", 50, F.struct(F.lit(1).alias("x")), "No words in title")
-add("rule_registry", lambda s, d: ru.rules_local(v.signal_rows(s, d), "full", DEFAULT, [_OWN]).groupBy("rule_key", "severity").agg(F.count("*").alias("n")),
+def _own():
+    return ru.Rule("custom.shouting", tx.word_count(F.upper("title")) == 0, "Content quality", "info", 50, F.struct(F.lit(1).alias("x")), "No words in title")
+add("rule_registry", lambda s, d: ru.rules_local(v.signal_rows(s, d), "full", DEFAULT, [_own()]).groupBy("rule_key", "severity").agg(F.count("*").alias("n")),
     f"with {o.ALL_RULES} select rule_key, severity, count(*) as n from (select rule_key, severity from ar union all select 'custom.shouting', 'info' from sr where title = '') group by all")
 
 
-def _arrow_detect(batch):
-    return [
-        [{"rule_key": "custom.long", "category": "Content quality", "severity": "info", "confidence": 150, "title": "long", "policy_reference": "", "signals": "{}", "remediation": []}]
-        if w > 500 else [] for w in batch["word_count"]
-    ]
+def _arrow(s, d):
+    def detect(batch):
+        found = {"rule_key": "custom.long", "category": "Content quality", "severity": "info", "confidence": 150,
+                 "title": "long", "policy_reference": "", "signals": "{}", "remediation": []}
+        return [[found] if w > 500 else [] for w in batch["word_count"]]
 
+    return ru.apply_arrow_rules(v.signal_rows(s, d), ["word_count"], detect).select("page_id", "rule_key", "confidence")
 
-add("rule_arrow_udf", lambda s, d: ru.apply_arrow_rules(v.signal_rows(s, d), ["word_count"], _arrow_detect).select("page_id", "rule_key", "confidence"),
+
+add("rule_arrow_udf", _arrow,
     f"with {o.SIGNAL_ROWS} select page_id, 'custom.long' as rule_key, 100 as confidence from sr where word_count > 500")
 
 
@@ -190,17 +195,14 @@ add("copy_query_phrases", lambda s, d: texts(s, d).select(C("id").alias("doc_id"
 
 
 def benchmark_pairs(s, d):
-    members, pairs = cp.copy_corpus_pairs(items(s, d), texts(s, d), DEFAULT.copy_threshold)
-    return members.join(pairs, "set_key").select(C("id").alias("source_id"), "candidate_id")
+    return cp.copy_pairs(items(s, d), texts(s, d), DEFAULT.copy_threshold)
 
 
+_PAIRS = "pr as (select b, d, shared, n from px join bn on bn.id = b where round(shared / n, 4) >= 0.35)"
 add("copy_containment", lambda s, d: cp.copy_containment(benchmark_pairs(s, d), items(s, d), texts(s, d)).select("source_id", "candidate_id", "shared", "source_shingles", "similarity"),
-    f"with {_SETS}, cls as (select b as source_id, d as candidate_id, shared::int as shared, n::int as source_shingles, round(shared / n, 4) as similarity from px join bn on bn.id = b), "
-    "sig as (select id, md5(string_agg(sh, '|' order by sh)) as g from ds group by id), rep as (select min(id) as id from sig group by g) "
-    "select * from cls where similarity >= 0.35 and candidate_id in (select id from rep)")
+    f"with {_SETS}, {_PAIRS} select b as source_id, d as candidate_id, shared::int as shared, n::int as source_shingles, round(shared / n, 4) as similarity from pr")
 add("copy_phrases", lambda s, d: cp.copy_containment(benchmark_pairs(s, d), items(s, d), texts(s, d)).select("source_id", "candidate_id", F.array_join("phrases", "|").alias("phrases")),
-    f"with {_SETS}, sig as (select id, md5(string_agg(sh, '|' order by sh)) as g from ds group by id), rep as (select min(id) as id from sig group by g), "
-    "pr as (select b, d from px join bn on bn.id = b where round(shared / n, 4) >= 0.35 and d in (select id from rep)), "
+    f"with {_SETS}, {_PAIRS}, "
     "wi as (select b, d, unnest(range(0, len(ws) - 11, 6)) as i, ws from pr join bt on bt.id = b), "
     "ck as (select b, d, i, array_to_string(ws[i+1:i+12], ' ') as ph, unnest(list_transform(range(1, 9), lambda k: array_to_string(ws[i+k:i+k+4], ' '))) as sh from wi), "
     "ok as (select b, d, i, ph from ck left join ds on ds.id = d and ds.sh = ck.sh group by all having count(*) = count(ds.sh)), "

@@ -1 +1,222 @@
+"""Registered queries: sinks, incremental scans, finding lifecycle."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sitegauge.functions import url as ux, vocab
+from sitegauge.operators import lifecycle as lc, merge as mg, reports as rp, retention as rt, scoring as sc
+from sitegauge.params import DEFAULT
+from sitegauge.plans import oracle as o, views as v
+
+C = F.col
 ENTRIES: dict = {}
+NOW = "timestamp '2001-06-15 00:00:00'"
+START = "timestamp '1999-01-01 00:00:00'"
+
+
+def add(name, fn, sql=None):
+    ENTRIES[name] = (fn, sql)
+
+
+def now():
+    return F.expr(NOW)
+
+
+def current_documents(s, d):
+    return v.signals(s, d).select("page_id", C("grp").alias("website_id"), "url", ux.url_hash(C("url")).alias("url_hash"), "content_hash", "title", "word_count")
+
+
+add("reuse_decision", lambda s, d: lc.reuse_decision(current_documents(s, d), v.previous_pages(s, d).drop("page_id"), DEFAULT.with_(use_browser=True, use_copy=True)).select("page_id", "reused", F.coalesce("reason", F.lit("")).alias("reason")),
+    f"with {o.SIGNALS}, {o.PREVIOUS}, x as (select sg.page_id, case when pv.page_id is null then 'new_page' when pv.content_hash <> sg.content_hash then 'changed' when ruleset_version <> '1.4.0' then 'ruleset' "
+    "when scan_type <> 'full' then 'scope' when not browser_audited then 'browser' when not external_copy_checked then 'copy' else '' end as reason from sg left join pv on pv.page_id = sg.page_id) select page_id, reason = '' as reused, reason from x")
+add("analysis_marker", lambda s, d: v.targets(s, d).withColumn("m", lc.analysis_marker(DEFAULT, C("status") == "completed", C("page_id") % 2 == 0, F.lit(False))).select(
+        "page_id", "m.ruleset_version", "m.scan_type", "m.ai_analyzed", F.coalesce("m.ai_model", F.lit("")).alias("ai_model"), F.coalesce("m.browser_audit_version", F.lit(0)).alias("browser_version"), F.coalesce("m.external_copy_version", F.lit(0)).alias("copy_version")),
+    f"with {o.TARGETS} select page_id, '1.4.0' as ruleset_version, 'full' as scan_type, status = 'completed' as ai_analyzed, case when status = 'completed' then 'policy-model' else '' end as ai_model, (page_id % 2 = 0)::int as browser_version, 0 as copy_version from tg")
+
+
+def page_merge(s, d):
+    old = v.previous_pages(s, d).select("website_id", "url_hash", C("page_id").alias("stored_id"), "content_hash", F.lit("old title").alias("title"), F.lit(1).alias("word_count"), "analysis")
+    cur = current_documents(s, d).filter("page_id % 4 <> 0")
+    marker = F.when(C("page_id") % 2 == 1, lc.analysis_marker(DEFAULT, F.lit(True), F.lit(False), F.lit(False)))
+    new = cur.select("website_id", "url_hash", C("page_id").alias("stored_id"), "content_hash", F.repeat("title", 20).alias("title"), "word_count", marker.alias("analysis"))
+    return lc.sink_pages(old, new).select("stored_id", "content_hash", F.length("title").alias("title_length"), "word_count", F.coalesce("analysis.ai_model", F.lit("")).alias("ai_model"))
+
+
+add("sink_pages", page_merge,
+    f"with {o.SIGNALS}, {o.PREVIOUS} select sg.page_id as stored_id, case when sg.page_id % 4 <> 0 then sg.content_hash else pv.content_hash end as content_hash, "
+    "case when sg.page_id % 4 <> 0 then least(255, length(repeat(sg.title, 20))) else 9 end::int as title_length, case when sg.page_id % 4 <> 0 then word_count else 1 end::int as word_count, "
+    "case when sg.page_id % 4 <> 0 and sg.page_id % 2 = 1 then 'policy-model' else '' end as ai_model from sg left join pv on pv.page_id = sg.page_id where sg.page_id % 4 <> 0 or pv.page_id is not null")
+
+
+def new_findings(s, d):
+    """A later scan: a third of the findings again (twice for some), a third as new fingerprints."""
+    f = v.findings(s, d)
+    again = f.filter("l_partkey % 3 = 0").withColumn("seen_order", C("l_suppkey"))
+    twice = again.filter("l_suppkey % 2 = 0").withColumns({"seen_order": C("seen_order") + 1000, "severity": F.lit("info")})
+    fresh = f.filter("l_partkey % 3 = 1").withColumns({"fingerprint": F.sha2(F.concat("fingerprint", F.lit("n")), 256), "seen_order": C("l_suppkey")})
+    rows = again.unionByName(twice).unionByName(fresh).withColumn("scan_id", C("scan_id") + 1_000_000)
+    return rows.drop("status", "first_seen_at", "last_seen_at", "resolved_at")
+
+
+def merged(s, d):
+    return lc.lifecycle_upsert(v.findings(s, d), new_findings(s, d), now())
+
+
+_MERGED = (f"mg as (select fingerprint, website_id, rule_key, category, page_id, case when l_partkey % 3 = 0 then scan_id + 1000000 else scan_id end as scan_id, "
+           "case when l_partkey % 3 = 0 and l_suppkey % 2 = 0 then 'info' else severity end as severity, case when l_partkey % 3 = 0 and status not in ('investigating', 'remediating') then 'open' else status end as status, "
+           f"first_seen_at, case when l_partkey % 3 = 0 then {NOW} else last_seen_at end as last_seen_at, case when l_partkey % 3 = 0 then null else resolved_at end as resolved_at from fb union all "
+           f"select sha256(fingerprint || 'n'), website_id, rule_key, category, page_id, scan_id + 1000000, severity, 'open', {NOW}, {NOW}, null from fb where l_partkey % 3 = 1)")
+_FCOLS = "fingerprint, scan_id, severity, status, epoch(first_seen_at)::bigint as first_seen, epoch(last_seen_at)::bigint as last_seen, resolved_at is not null as resolved"
+
+
+def fcols(df):
+    return df.select("fingerprint", "scan_id", "severity", "status", F.unix_timestamp("first_seen_at").alias("first_seen"), F.unix_timestamp("last_seen_at").alias("last_seen"), C("resolved_at").isNotNull().alias("resolved"))
+
+
+add("lifecycle_upsert", lambda s, d: fcols(merged(s, d)), f"with {o.FINDINGS}, {_MERGED} select {_FCOLS} from mg")
+add("sink_findings", lambda s, d: fcols(mg.upsert(v.findings(s, d), mg.latest_per_key(new_findings(s, d), ["website_id", "fingerprint"], "seen_order"), ["website_id", "fingerprint"])).groupBy("severity", "status").agg(F.count("*").alias("n")),
+    f"with {o.FINDINGS}, u as (select case when l_partkey % 3 = 0 and l_suppkey % 2 = 0 then 'info' else severity end as severity, status from fb union all select severity, '' from fb where l_partkey % 3 = 1) select severity, nullif(status, '') as status, count(*) as n from u group by all")
+
+
+def resolved(scope, scan_type="full", keep="l_linenumber % 2 = 0"):
+    def run(s, d):
+        f = v.findings(s, d)
+        pages = f.filter("l_partkey % 4 <> 0").select("website_id", "page_id")
+        seen = f.filter(keep).select("website_id", "fingerprint")
+        out = lc.resolve_missing(f, pages, seen, F.expr(START), now(), scope, DEFAULT.with_(scan_type=scan_type))
+        return out.select("fingerprint", "status", F.unix_timestamp(F.coalesce("resolved_at", F.expr("timestamp'1970-01-01'"))).alias("resolved"))
+
+    rule = {"local": "rule_key[1:3] <> 'ai.' and not prefix(rule_key, 'ads.browser-') and rule_key <> 'copyright.external-content-match'", "ai": "prefix(rule_key, 'ai.')",
+            "browser": "prefix(rule_key, 'ads.browser-')", "copy": "rule_key = 'copyright.external-content-match'", "duplicates": "prefix(rule_key, 'duplicate.')"}[scope]
+    cats = {"ads": " and category = 'Ad experience'", "privacy": " and category = 'Privacy & consent'"}.get(scan_type, "")
+    gone = f"status <> 'resolved' and last_seen_at < {START} and {rule} and l_linenumber % 2 <> 0 and (website_id, page_id) in (select website_id, page_id from fb where l_partkey % 4 <> 0){cats}"
+    sql = (f"with {o.FINDINGS}, x as (select *, {gone} as gone from fb) select fingerprint, case when gone then 'resolved' else status end as status, "
+           f"epoch(case when gone then {NOW} else coalesce(resolved_at, timestamp '1970-01-01') end)::bigint as resolved from x")
+    return run, sql
+
+
+for _scope, _name in (("local", "lifecycle_resolve_local"), ("ai", "lifecycle_resolve_ai"), ("browser", "lifecycle_resolve_browser"), ("copy", "lifecycle_resolve_copy"), ("duplicates", "lifecycle_resolve_duplicates")):
+    add(_name, *resolved(_scope))
+add("lifecycle_resolve_local_ads", *resolved("local", "ads"))
+add("finding_transition",
+    lambda s, d: lc.finding_transition(v.findings(s, d).withColumn("assigned_to", F.lit(1).cast("long")), v.findings(s, d).filter("l_suppkey % 3 = 0").select("fingerprint",
+        F.when(C("l_suppkey") % 2 == 0, "resolved").otherwise("investigating").alias("new_status"), F.when(C("l_suppkey") % 4 == 0, C("l_suppkey")).alias("new_assignee")), now()).select(
+        "fingerprint", "status", "assigned_to", C("resolved_at").isNotNull().alias("resolved")),
+    f"with {o.FINDINGS} select fingerprint, case when l_suppkey % 3 = 0 then (case when l_suppkey % 2 = 0 then 'resolved' else 'investigating' end) else status end as status, case when l_suppkey % 12 = 0 then l_suppkey else 1 end as assigned_to, "
+    "case when l_suppkey % 3 = 0 then l_suppkey % 2 = 0 else resolved_at is not null end as resolved from fb")
+
+
+# ---------------------------------------------------------------- scans and targets
+def requests(s, d):
+    t = v.table(s, d, "orders")
+    k = C("o_orderkey")
+    site = F.when(k == 7, "all-sites").when(k % 3 == 0, F.concat(F.lit("customer-"), F.lpad(C("o_custkey").cast("string"), 9, "0"), F.lit(".example"))).when(
+        k % 3 == 1, F.concat(F.lit("customer-"), F.lpad(C("o_custkey").cast("string"), 9, "0"), F.lit("-example"))).otherwise("nowhere")
+    kind = F.element_at(F.array(*[F.lit(x) for x in [*vocab.SCAN_TYPES, "odd"]]), (k % 6 + 1).cast("int"))
+    return t.select(k.alias("request_id"), C("o_custkey").alias("wanted"), site.alias("site"), kind.alias("type"), F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, 0).otherwise(k).cast("int").alias("max_urls"))
+
+
+def slugged(s, d):
+    return v.sites(s, d).withColumn("slug", F.replace("domain", F.lit("."), F.lit("-")))
+
+
+add("scan_request_validate", lambda s, d: lc.scan_request_validate(requests(s, d), slugged(s, d)).groupBy("request_id", F.coalesce("reject_reason", F.lit("")).alias("reject_reason")).agg(F.count("website_id").alias("sites")),
+    f"with {o.SITES}, rq as (select *, {o.pick([*vocab.SCAN_TYPES, 'odd'], 'o_orderkey % 6')} as type, case o_orderkey % 5 when 0 then null when 1 then 0 else o_orderkey end as m from orders), "
+    "x as (select o_orderkey as request_id, case when type = 'odd' then 'type' when m is not null and m not between 1 and 100000 then 'max_urls' when o_orderkey % 3 = 2 then 'site' else '' end as reject_reason, "
+    "case when o_orderkey = 7 then (select count(*) from ws) when o_orderkey % 3 < 2 then 1 else 0 end as sites from rq) select request_id, reject_reason, sites from x")
+add("scan_supersede", lambda s, d: lc.scan_supersede(requests(s, d).select("request_id", C("wanted").alias("website_id")), v.scans(s, d).filter("scan_id % 50 = 0"), v.sites(s, d)),
+    f"with {o.SITES}, {o.SCANS} select o_custkey as website_id, min(o_orderkey) as request_id from orders where o_custkey not in (select website_id from sc where scan_id % 50 = 0 and status in ('queued', 'running')) "
+    "and o_custkey in (select website_id from ws where status <> 'disabled') group by 1")
+add("scan_due_sites", lambda s, d: lc.scan_due_sites(v.sites(s, d), now()).select("website_id"),
+    f"with {o.SITES} select website_id from ws where status not in ('disabled', 'scanning') and (next_scan_at is null or next_scan_at <= {NOW})")
+add("sink_targets", lambda s, d: lc.sink_targets(v.targets(s, d).filter("page_id % 3 = 0").select("scan_id", "url_hash"), v.targets(s, d).select("scan_id", "url_hash")).select("scan_id", "url_hash"),
+    f"with {o.TARGETS} select distinct scan_id, url_hash from tg where (scan_id, url_hash) not in (select scan_id, url_hash from tg where page_id % 3 = 0)")
+
+
+def crawl_documents(s, d):
+    t = v.targets(s, d).filter("page_id % 5 <> 0")
+    twin = t.withColumn("page_id", C("page_id") + 100000)
+    return t.unionByName(twin).select(C("page_id").alias("document_id"), "scan_id", F.when(C("page_id") % 2 == 0, C("url")).alias("source_url"), F.when(C("page_id") % 2 == 0, F.lit("https://final.example/")).otherwise(C("url")).alias("url"))
+
+
+def matched(s, d):
+    return lc.target_document_match(v.targets(s, d), crawl_documents(s, d))
+
+
+add("target_document_match", lambda s, d: matched(s, d).select("page_id", "document_id"), f"with {o.TARGETS} select a.page_id, min(b.page_id) as document_id from tg a join tg b on a.scan_id = b.scan_id and a.url_hash = b.url_hash where b.page_id % 5 <> 0 group by 1")
+add("target_missing_failed",
+    lambda s, d: lc.target_missing_failed(v.targets(s, d), matched(s, d), v.targets(s, d).filter("page_id % 10 = 0").select("scan_id", "url_hash", F.concat(F.lit("error "), C("page_id").cast("string")).alias("error"))).select("page_id", "status", "error_message"),
+    f"with {o.TARGETS} select page_id, 'failed' as status, case when page_id % 10 = 0 then 'error ' || page_id else '{lc.MISSING_DOCUMENT}' end as error_message from tg where page_id % 5 = 0")
+
+
+def failed_sites(s, d):
+    _, back = lc.scan_empty_failed(v.scans(s, d), v.scan_targets(s, d), v.sites(s, d))
+    return back
+
+
+_RELEASED = "case when last_scanned_at is null then 'pending' when overall_score < 70 then 'critical' when overall_score < 80 then 'high' when overall_score < 90 then 'review' else 'healthy' end as status"
+add("scan_empty_failed", failed_sites, f"with {o.SCANS}, {o.SCAN_TARGETS}, {o.SITES} select website_id, {_RELEASED} from ws where website_id in (select website_id from sc where scan_id not in (select scan_id from st where status in ('completed', 'reused')))")
+_STALE_NOW = "timestamp '1998-06-01 00:20:00'"
+
+
+def stale_sites(s, d):
+    scans = v.scans(s, d).filter("created_at < timestamp'1998-06-30'").withColumn("updated_at", C("created_at"))
+    cancelled, back = lc.scan_stale(scans, v.sites(s, d), F.expr(_STALE_NOW))
+    return back.join(cancelled.groupBy("website_id").agg(F.count("*").alias("cancelled")), "website_id")
+
+
+add("scan_stale", stale_sites, f"with {o.SCANS}, {o.SITES}, a as (select * from sc where status in ('queued', 'running') and created_at < timestamp '1998-06-30'), l as (select website_id, count(*) as cancelled from a where created_at <= {_STALE_NOW} - interval 30 minute group by 1) "
+    f"select website_id, {_RELEASED}, cancelled from ws join l using (website_id) where website_id not in (select website_id from a where created_at > {_STALE_NOW} - interval 30 minute)")
+
+
+def discovery(s, d):
+    k = C("scan_id")
+    return v.scans(s, d).select("scan_id", "website_id", "pages_discovered", (k % 9 == 0).alias("discovery_truncated"), (k % 8 == 0).cast("int").alias("sitemap_errors"), F.when(k % 7 == 0, "low").otherwise("high").alias("discovery_confidence"))
+
+
+_PART = "(scan_id % 9 = 0 or scan_id % 8 = 0 or scan_id % 7 = 0 or failed > 0 or scanned < discovered)"
+add("scan_partial", lambda s, d: discovery(s, d).select("scan_id", lc.scan_partial(C("discovery_truncated"), C("sitemap_errors"), C("discovery_confidence"), F.lit(0), C("scan_id") % 50, C("pages_discovered")).alias("partial")),
+    f"with {o.SCANS} select scan_id, scan_id % 9 = 0 or scan_id % 8 = 0 or scan_id % 7 = 0 or scan_id % 50 < pages_discovered as partial from sc")
+add("scan_progress", lambda s, d: lc.scan_progress(v.scan_targets(s, d), v.scans(s, d)).select("scan_id", "completed", "failed", "findings_count", "input_tokens", "ai_errors", "batches_total", "batches_completed", "pages_scanned", "progress", "coverage_percent"),
+    f"with {o.SCAN_TARGETS}, {o.SCANS}, b as (select scan_id, batch_number, bool_or(status in ('queued', 'running')) as op from st group by all), bb as (select scan_id, count(*) as batches_total, count(*) filter (where not op) as batches_completed from b group by 1), "
+    "t as (select scan_id, count(*) filter (where status = 'completed') as completed, count(*) filter (where status = 'reused') as reused, count(*) filter (where status = 'failed') as failed, sum(findings_count)::bigint as findings_count, sum(input_tokens)::bigint as input_tokens, count(*) filter (where ai_attempted and not ai_analyzed) as ai_errors from st group by 1) "
+    "select scan_id, completed, failed, findings_count, input_tokens, t.ai_errors, batches_total, batches_completed, completed + reused as pages_scanned, greatest(progress, least(94, 5 + floor((completed + reused + failed) * 89 / greatest(1, pages_discovered))))::int as progress, "
+    "round((completed + reused) / greatest(1, pages_discovered) * 100, 2) as coverage_percent from t join bb using (scan_id) join sc using (scan_id)")
+
+
+def completed(s, d):
+    f = v.site_findings(s, d)
+    scores = sc.site_score(sc.open_findings(f).withColumn("order_key", C("fingerprint")), v.sites(s, d))
+    progress = lc.scan_progress(v.scan_targets(s, d), v.scans(s, d)).select("scan_id", "completed", "reused", "failed")
+    pages = v.site_pages(s, d).groupBy("website_id").agg(F.count("*").alias("pages"))
+    return lc.scan_complete(discovery(s, d), progress, scores, f, pages, now())
+
+
+_SCORE = ("s1 as (select website_id, greatest(0, least(100, floor(100 - least(950000, sum(w * greatest(35, confidence) * case r when 1 then 100 when 2 then 21 else 15 end)) / 10000.0 + 0.5)))::int as score, count(*) as open_findings from "
+          "(select *, row_number() over (partition by website_id, category order by w desc, fingerprint) as r from (select *, case severity when 'critical' then 32 when 'high' then 18 when 'review' then 8 else 2 end as w from sf where status <> 'resolved')) group by website_id)")
+_DONE = (f"with {o.SITE_FINDINGS}, {o.SCANS}, {o.SCAN_TARGETS}, {o.SITE_PAGES}, {_SCORE}, t as (select scan_id, count(*) filter (where status in ('completed', 'reused')) as scanned, count(*) filter (where status = 'failed') as failed from st group by 1), "
+         "fc as (select scan_id, count(*) as findings_count from sf group by 1), pc as (select website_id, count(*) as pages from sp group by 1), "
+         "x as (select sc.scan_id, sc.website_id, coalesce(scanned, 0) as scanned, coalesce(failed, 0) as failed, greatest(coalesce(scanned, 0) + coalesce(failed, 0), pages_discovered) as discovered, coalesce(findings_count, 0) as findings_count, "
+         "coalesce(s1.score, 100) as score1, coalesce(open_findings, 0) as open_findings, coalesce(pages, 0) as pages from sc left join t using (scan_id) left join fc using (scan_id) left join s1 using (website_id) left join pc using (website_id))")
+add("scan_complete", lambda s, d: completed(s, d)[0].select("scan_id", "status", "pages_discovered", "pages_scanned", "findings_count", "score", "coverage_percent"),
+    f"{_DONE} select scan_id, case when {_PART} then 'partial' else 'completed' end as status, discovered::int as pages_discovered, scanned::int as pages_scanned, findings_count, score1 as score, round(scanned / discovered * 100, 2) as coverage_percent from x")
+add("scan_complete_sites", lambda s, d: completed(s, d)[1].select("website_id", "status", "overall_score", "pages_count", "last_discovered_pages", "last_scan_partial", "open_findings_count"),
+    f"{_DONE} select website_id, case when score1 < 70 then 'critical' when score1 < 80 then 'high' when score1 < 90 then 'review' else 'healthy' end as status, score1 as overall_score, pages as pages_count, discovered::int as last_discovered_pages, {_PART} as last_scan_partial, open_findings as open_findings_count from x")
+add("crawl_counters", lambda s, d: rp.crawl_counters(v.responses(s, d)),
+    f"with {o.RESPONSES} select grp as scan_id, count(*) filter (where page_id % 23 = 0) as blocked_by_robots, count(*) filter (where status >= 400) as failed_requests, count(*) filter (where status < 400 and ctype <> '' and not contains(ctype, 'html')) as non_html_responses from rs group by 1")
+
+# ---------------------------------------------------------------- retention
+def evidence(s, d):
+    f = v.findings(s, d)
+    k = C("l_suppkey")
+    return f.select(
+        "fingerprint", F.when(k % 4 == 0, "screenshot").otherwise("detector_signal").alias("type"), F.when(k % 2 == 0, "local").otherwise("s3").alias("disk"),
+        F.concat(F.when(k % 3 == 0, "/").otherwise(""), F.when(k % 5 == 0, "other/").otherwise("evidence/"), (C("page_id") % 500).cast("string"), F.lit(".json")).alias("path"))
+
+
+add("retention_signal_evidence", lambda s, d: rt.signal_evidence_counts(evidence(s, d), v.findings(s, d).withColumn("signals", F.when(C("l_partkey") % 7 != 0, "{\"a\":1}"))),
+    f"with {o.FINDINGS} select count(*) filter (where page_id % 7 <> 0) as removable, count(*) filter (where page_id % 7 = 0) as skipped from fb where l_suppkey % 4 <> 0")
+add("retention_stored_evidence", lambda s, d: rt.stored_evidence_counts(evidence(s, d), "evidence/"),
+    f"with {o.FINDINGS}, e as (select case when l_suppkey % 2 = 0 then 'local' else 's3' end as disk, case when l_suppkey % 3 = 0 then '/' else '' end || case when l_suppkey % 5 = 0 then 'other/' else 'evidence/' end || (page_id % 500) || '.json' as path from fb) "
+    "select count(*) as records, count(distinct (disk, path)) as files from e where prefix(ltrim(path, '/'), 'evidence/')")
