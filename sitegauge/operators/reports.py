@@ -157,9 +157,11 @@ def site_policy_groups(sites: DataFrame, findings: DataFrame, scans: DataFrame)
     total = sites.join(last, "website_id", "left").select(
         "website_id", names, F.coalesce(F.nullif("pages_scanned", F.lit(0)), F.nullif("last_scanned_pages", F.lit(0)), "pages_count", F.lit(0)).alias("total_urls")
     )
-    worst = F.element_at(F.array(*[F.lit(s) for s in vocab.SEVERITIES]), C("rank"))
+    worst = F.lit("healthy")
+    for name, rank in vocab.SEVERITY_RANK.items():
+        worst = F.when(C("rank") == rank, name).otherwise(worst)
     return total.join(counted, ["website_id", "policy"], "left").select(
-        "website_id", "policy", F.coalesce("violating_urls", F.lit(0)).alias("violating_urls"), "total_urls", F.coalesce(worst, F.lit("healthy")).alias("status")
+        "website_id", "policy", F.coalesce("violating_urls", F.lit(0)).alias("violating_urls"), "total_urls", worst.alias("status")
     )
 
 

@@ -25,14 +25,7 @@ def pages(spark, sf) -> DataFrame:
 
 def responses(spark, sf) -> DataFrame:
     """Fetched responses: some statuses and content types are not usable."""
-    kind = F.when(C("page_id") % 13 == 0, "application/pdf").otherwise("text/html; charset=utf-8")
-    headers = F.when(C("page_id") % 11 == 0, F.create_map().cast("map<string,array<string>>")).otherwise(
-        F.create_map(F.lit("Content-Type"), F.array(kind))
-    )
-    return pages(spark, sf).select(
-        C("page_id").alias("position"), "page_id", "grp", "url", "html",
-        F.when(C("page_id") % 17 == 0, 404).otherwise(200).alias("status"), headers.alias("headers"),
-    )
+    return as_responses(table(spark, sf, "pages"))
 
 
 def signals(spark, sf) -> DataFrame:
@@ -483,3 +476,15 @@ def quoted_findings(spark, sf) -> DataFrame:
         (k % 101).alias("similarity"), F.lit("sketch").alias("method"),
     ))
     return findings(spark, sf).withColumn("signals", s)
+
+
+def as_responses(raw: DataFrame) -> DataFrame:
+    """Rows of the pages table (batch or stream) as fetched responses."""
+    kind = F.when(C("page_id") % 13 == 0, "application/pdf").otherwise("text/html; charset=utf-8")
+    headers = F.when(C("page_id") % 11 == 0, F.create_map().cast("map<string,array<string>>")).otherwise(
+        F.create_map(F.lit("Content-Type"), F.array(kind))
+    )
+    return raw.select(
+        C("page_id").alias("position"), "page_id", F.lower(ux.host(C("url"))).alias("grp"), "url", "html",
+        F.when(C("page_id") % 17 == 0, 404).otherwise(200).alias("status"), headers.alias("headers"),
+    )

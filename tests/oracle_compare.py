@@ -12,6 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ROOT = "/root/testdata"
+TIMES: list[float] = []
 
 
 def oracle_connection(sf_dir: str):
@@ -42,8 +43,11 @@ def rows_of(frame):
 
 
 def compare(spark, con, sf_dir, fn, sql):
+    start = time.time()
     actual = fn(spark, sf_dir).toPandas()
+    middle = time.time()
     expected = con.execute(sql).df()
+    TIMES[:] = [round(middle - start, 1), round(time.time() - middle, 1)]
     if sorted(actual.columns) != sorted(expected.columns):
         return f"columns {sorted(actual.columns)} != {sorted(expected.columns)}", len(actual)
     a, e = rows_of(actual), rows_of(expected)
@@ -78,5 +82,5 @@ if __name__ == "__main__":
         except Exception as error:  # noqa: BLE001
             n, result = -1, f"ERROR {type(error).__name__} {str(error)[:600]}"
         failed += not result.startswith("ok")
-        print(f"{'PASS' if result.startswith('ok') else 'FAIL'} {name} rows={n} {time.time() - start:.1f}s {'' if result == 'ok' else result}", flush=True)
+        print(f"{'PASS' if result.startswith('ok') else 'FAIL'} {name} rows={n} {time.time() - start:.1f}s {TIMES} {'' if result == 'ok' else result}", flush=True)
     print(f"{failed} failed")
