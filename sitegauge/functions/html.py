@@ -16,6 +16,8 @@ RAW = "(?is)" + "|".join(
 )
 HEAD = r"(?is)<head\b[^>]*>.*?</head\s*>"
 BODY = r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)"
+BODY_START = r"(?is)\A.*?<body\b[^>]*+>"
+BODY_END = r"(?is)</body\s*>.*+"
 TAG = r"(?s)</?[A-Za-z!?][^>]*(?:>|\z)"
 OPEN_TAG = r"(?s)<[A-Za-z][^>]*>"
 ANCHOR = r"(?is)<a(\s[^>]*)>(.*?)(?:</a\s*>|\z)"
@@ -103,9 +105,10 @@ def with_page_text(df: DataFrame, body: str = "html") -> DataFrame:
         "elements": F.regexp_replace(F.regexp_replace("clean", SCRIPT_BODY, "$1"), STYLE_BODY, "$1"),
         "kept": F.regexp_replace("clean", RAW, ""),
     })
-    inner = F.when(F.col("kept").rlike(r"(?i)<body\b"), F.regexp_extract("kept", BODY, 1)).otherwise(
-        F.regexp_replace("kept", HEAD, "")
-    )
+    after = F.regexp_replace("kept", BODY_START, "")
+    inner = tx.let(after, lambda x: F.when(
+        F.length(x) < F.length("kept"), F.regexp_replace(x, BODY_END, "")
+    ).otherwise(F.regexp_replace(x, HEAD, "")))
     return df.withColumn("text", tx.collapse(tx.unescape(F.regexp_replace(inner, TAG, ""))))
 
 

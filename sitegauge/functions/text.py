@@ -8,6 +8,8 @@ from sitegauge.functions import vocab
 
 SPACE = r"[\s\p{Z}\x{85}]+"
 WORD = r"[\p{L}\p{N}]+(?:['’_-][\p{L}\p{N}]+)*"
+# runs without letters and digits other than one plain space
+OTHER_RUN = r"[^\p{L}\p{N} ][^\p{L}\p{N}]*+| [^\p{L}\p{N}]++"
 
 
 def let(value: Column, body) -> Column:
@@ -64,7 +66,8 @@ def word_count(value: Column) -> Column:
 
 
 def normalized(value: Column) -> Column:
-    return collapse(F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}\s\p{Z}]+", " "))
+    """Lower-case words separated by single spaces: every run without letters and digits becomes one space."""
+    return F.trim(F.regexp_replace(F.lower(value), OTHER_RUN, " "))
 
 
 def content_hash(text: Column) -> Column:

@@ -42,15 +42,18 @@ def path_or_root(url: Column) -> Column:
 
 def split(url: Column, body) -> Column:
     """Binds the parts of a URL once: ``body`` receives a struct with s, a, h, port, p, q and the URL as u."""
-    outer = F.struct(
-        url.alias("u"), scheme(url).alias("s"), authority(url).alias("a"), path(url).alias("p"), query(url).alias("q")
-    )
-    return tx.let(outer, lambda o: tx.let(
-        F.struct(
+    def first(u: Column) -> Column:
+        return F.struct(
+            u.alias("u"), scheme(u).alias("s"), authority(u).alias("a"), path(u).alias("p"), query(u).alias("q")
+        )
+
+    def second(o: Column) -> Column:
+        return F.struct(
             o["u"].alias("u"), o["s"].alias("s"), o["a"].alias("a"), o["p"].alias("p"), o["q"].alias("q"),
             F.regexp_extract(o["a"], HOST_PORT, 1).alias("h"), F.regexp_extract(o["a"], HOST_PORT, 2).alias("port"),
-        ), body,
-    ))
+        )
+
+    return tx.let(tx.let(tx.let(url, first), second), body)
 
 
 def _port_suffix(u: Column) -> Column:

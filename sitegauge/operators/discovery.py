@@ -105,7 +105,7 @@ def sitemap_expand(seeds: DataFrame, sitemaps: DataFrame, p: Params = DEFAULT, d
         wave = cut(wave.join(known, "url", "left"))
         if wave.isEmpty():
             break
-        seen = wave if seen is None else cut(seen.unionByName(wave))
+        seen = wave if seen is None else seen.unionByName(wave)  # a union of finished tables, at most ``depth`` of them
         children = wave.filter("kind = 'index'").select(
             "site", "start_url", "order", "url",
             F.posexplode(F.array_sort(F.transform("entries", lambda e, i: F.struct((-lastmod_epoch(e["lastmod"])).alias("n"), i.alias("i"), e["loc"].alias("loc"))))).alias("k", "e"),
@@ -130,9 +130,10 @@ def sitemap_candidates(files: DataFrame) -> DataFrame:
     """
     rows = files.filter("kind = 'urlset'").select("site", "start_url", "url", "file_order", F.posexplode("entries").alias("i", "e"))
     rows = rows.select(
-        "site", "start_url", ux.resolve(C("url"), C("e.loc")).alias("candidate"), lastmod_epoch(C("e.lastmod")).alias("lastmod"),
-        ux.post_sitemap(C("url")).alias("post"), (C("file_order").cast("long") * 1_000_000 + C("i")).alias("sequence"),
-    ).filter(C("candidate").isNotNull() & ux.crawlable(C("start_url"), C("candidate")))
+        "site", lastmod_epoch(C("e.lastmod")).alias("lastmod"), ux.post_sitemap(C("url")).alias("post"),
+        (C("file_order").cast("long") * 1_000_000 + C("i")).alias("sequence"),
+        F.explode(internal(C("start_url"), C("url"), C("e.loc"))).alias("candidate"),
+    )
     return first_per_group(rows.withColumnRenamed("candidate", "url"), ["site", "url"], ["sequence"])
 
 
@@ -143,8 +144,7 @@ def required_pages(home_links: DataFrame, candidates: DataFrame | None = None) -
 
     Returns site, url, kind, sequence; the home page's links come first.
     """
-    rows = home_links.select("site", C("url").alias("start_url"), C("i").cast("long").alias("sequence"), ux.resolve(C("url"), C("href")).alias("url"), "label")
-    rows = rows.filter(C("url").isNotNull() & ux.crawlable(C("start_url"), C("url")))
+    rows = home_links.select("site", C("i").cast("long").alias("sequence"), F.explode(internal(C("url"), C("url"), C("href"))).alias("url"), "label")
     rows = rows.select("site", "url", ux.essential_type(C("url"), C("label")).alias("kind"), "sequence").filter("kind <> 'home'")
     if candidates is not None:
         more = candidates.select("site", "url", ux.essential_type(C("url")).alias("kind"), (C("sequence") + (1 << 40)).alias("sequence"))
@@ -245,10 +245,14 @@ def plan_fetch_schedule(targets: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 # ---------------------------------------------------------------- links
 
+def internal(start: Column, page: Column, href: Column) -> Column:
+    """The link's address as a list of one, empty unless it is a crawlable page of the site; resolved once per link."""
+    return F.filter(F.array(ux.resolve(page, href)), lambda u: F.coalesce(ux.crawlable(start, u), F.lit(False)))
+
+
 def link_edges(links: DataFrame) -> DataFrame:
     """Resolved crawlable internal links (site, from_url, to_url, i) of pages (site, url, i, href)."""
-    rows = links.select("site", C("url").alias("from_url"), "i", ux.resolve(C("url"), C("href")).alias("to_url"))
-    return rows.filter(C("to_url").isNotNull() & ux.crawlable(C("from_url"), C("to_url")))
+    return links.select("site", C("url").alias("from_url"), "i", F.explode(internal(C("url"), C("url"), C("href"))).alias("to_url"))
 
 
 def link_frontier(edges: DataFrame, known: DataFrame) -> DataFrame:
@@ -261,7 +265,7 @@ def link_reachable(starts: DataFrame, edges: DataFrame, allowed: DataFrame | Non
     """Pages reachable from each site's start URL with their depth, breadth first.
 
     ``starts``: site, url; ``edges``: site, from_url, to_url; ``allowed``: site, url of pages robots permit. Each round
-    joins only the last frontier, and the visited set is cut from its lineage every round.
+    joins only the last frontier; frontiers are finished tables, and the visited set is merged into one every few rounds.
     """
     if allowed is not None:
         edges = edges.join(allowed.select("site", C("url").alias("to_url")), ["site", "to_url"], "left_semi")
@@ -273,5 +277,7 @@ def link_reachable(starts: DataFrame, edges: DataFrame, allowed: DataFrame | Non
         frontier = cut(step.join(visited.select("site", "url"), ["site", "url"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        visited = cut(visited.unionByName(frontier))
+        visited = visited.unionByName(frontier)  # a union of finished tables
+        if depth % 8 == 0:
+            visited = cut(visited)
     return visited

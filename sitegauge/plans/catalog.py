@@ -6,6 +6,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sitegauge.session import tune
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -15,8 +17,12 @@ def _modules():
     return [catalog_pages, catalog_findings, catalog_discovery, catalog_lifecycle, catalog_reports, catalog_streams]
 
 
+def _tuned(fn: Query) -> Query:
+    return lambda spark, sf_dir: fn(tune(spark), sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {name: fn for m in _modules() for name, (fn, _) in m.ENTRIES.items()}
+    return {name: _tuned(fn) for m in _modules() for name, (fn, _) in m.ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,7 +19,8 @@ def add(name, fn, sql=None):
 def stream(s, d, name):
     """A table as a file stream."""
     schema = v.table(s, d, name).schema
-    return s.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    rows = s.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return rows.withColumn("ts", C("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
 def stages(e):
@@ -39,7 +40,7 @@ _STAGE = ("ev as (select event_id, user_id as target_id, event_type as stage, ts
           "least(0, coalesce(min(s) over (partition by target_id, stage order by event_id rows between unbounded preceding and 1 preceding), 0)) as pm from cs), "
           "dp as (select *, s - m as depth, d = -1 and s < pm as lost from cm), lg as (select *, case when d = 1 then depth else depth + 1 end as level from dp where not lost), "
           "pr as (select *, lag(event_id) over l as start_id, lag(ts) over l as start_ts from lg window l as (partition by target_id, stage, level order by event_id))")
-_STAGE_SQL = f"with {_STAGE} select target_id, stage, start_id, event_id as finish_id, status, epoch_ms(ts) - epoch_ms(start_ts) as duration_ms from pr where d = -1"
+_STAGE_SQL = f"with {_STAGE} select target_id, stage, start_id, event_id as finish_id, status, epoch_us(ts) // 1000 - epoch_us(start_ts) // 1000 as duration_ms from pr where d = -1"
 add("stream_stage_durations", lambda s, d: lv.stage_durations(v.stage_events(s, d)), _STAGE_SQL)
 add("stream_stage_durations_live", lambda s, d: finished(s, lv.stream_stage_durations(stages(stream(s, d, "events"))), "stages"), _STAGE_SQL)
 
@@ -52,7 +53,7 @@ def contexts(s, d):
 
 
 add("stream_context_sanitize", lambda s, d: contexts(s, d).withColumn("clean", lv.sanitize_context(C("context"))).select("doc_id", F.length("clean").alias("chars"), F.coalesce(F.get_json_object("clean", "$.id"), F.lit("-")).alias("kept_id"), F.get_json_object("clean", "$.api_key").isNull().alias("no_secret")),
-    "select doc_id, case when doc_id % 7 = 0 then 19000 + 30 + 2 * 6 else length('{\"id\":\"\",\"note\":\"xxxxx\"}' || doc_id) end::int as chars, case when doc_id % 7 = 0 then '-' else doc_id::varchar end as kept_id, true as no_secret from documents")
+    "select doc_id, case when doc_id % 7 = 0 then length('{\"truncated\":true,\"summary\":\"' || replace(left('{\"id\":\"' || doc_id || '\",\"note\":\"' || repeat('x', 25000) || '\"}', 19000), '\"', '##') || '\"}') else length('{\"id\":\"\",\"note\":\"xxxxx\"}' || doc_id) end::int as chars, case when doc_id % 7 = 0 then '-' else doc_id::varchar end as kept_id, true as no_secret from documents")
 
 
 def updates(e):

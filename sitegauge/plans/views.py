@@ -174,7 +174,7 @@ def scan_targets(spark, sf) -> DataFrame:
 
 
 def events(spark, sf) -> DataFrame:
-    return table(spark, sf, "events")
+    return table(spark, sf, "events").withColumn("ts", C("ts").cast("timestamp"))
 
 
 def stage_events(spark, sf) -> DataFrame:
