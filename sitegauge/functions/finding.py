@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitegauge.functions import vocab
+from sitegauge.functions import text as tx, vocab
 
 FIELDS = [
     "rule_key", "category", "severity", "confidence", "title", "policy_reference", "signals", "remediation", "fingerprint",
@@ -71,8 +71,7 @@ def public_id(created: Column, print_: Column) -> Column:
 
 def label(value: Column) -> Column:
     """Display label from the fixed dictionary; an unknown value is its own label."""
-    table = F.create_map(*[F.lit(x) for pair in vocab.LABELS.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, value), value)
+    return F.coalesce(F.try_element_at(tx.lookup(vocab.LABELS), value), value)
 
 
 def source(rule_key: Column) -> Column:

@@ -94,22 +94,30 @@ def images(elements: Column) -> Column:
     )
 
 
-def _null_if_empty(c: Column) -> Column:
-    return F.when(c != "", c)
-
-
 def with_page_text(df: DataFrame, body: str = "html") -> DataFrame:
     """Adds ``clean`` (no comments), ``elements`` (no script/style bodies), ``kept`` and ``text``."""
-    df = df.withColumn("clean", F.regexp_replace(F.col(body), COMMENT, ""))
-    df = df.withColumns({
-        "elements": F.regexp_replace(F.regexp_replace("clean", SCRIPT_BODY, "$1"), STYLE_BODY, "$1"),
-        "kept": F.regexp_replace("clean", RAW, ""),
-    })
-    after = F.regexp_replace("kept", BODY_START, "")
+    clean = F.regexp_replace(F.col(body), COMMENT, "")
+
+    def views(c: Column) -> Column:
+        return tx.let(F.regexp_replace(c, RAW, ""), lambda kept: F.struct(
+            c.alias("clean"), F.regexp_replace(F.regexp_replace(c, SCRIPT_BODY, "$1"), STYLE_BODY, "$1").alias("elements"),
+            kept.alias("kept"), visible_text(kept).alias("text"),
+        ))
+
+    return df.select(*df.columns, F.inline(F.array(tx.let(clean, views))))
+
+
+def visible_text(kept: Column) -> Column:
+    """Text of the body element with all tags removed and white space collapsed."""
+    after = F.regexp_replace(kept, BODY_START, "")
     inner = tx.let(after, lambda x: F.when(
-        F.length(x) < F.length("kept"), F.regexp_replace(x, BODY_END, "")
+        F.length(x) < F.length(kept), F.regexp_replace(x, BODY_END, "")
     ).otherwise(F.regexp_replace(x, HEAD, "")))
-    return df.withColumn("text", tx.collapse(tx.unescape(F.regexp_replace(inner, TAG, ""))))
+    return tx.collapse(tx.unescape(F.regexp_replace(inner, TAG, "")))
+
+
+def _null_if_empty(c: Column) -> Column:
+    return F.when(c != "", c)
 
 
 def title(clean: Column) -> Column:
@@ -200,7 +208,7 @@ def page_signals(
         images(F.col("elements")).alias("images"),
         F.col("html").rlike(r"(?i)mailto:|tel:|<form\b").alias("has_contact_markup"),
     )
-    df = df.withColumns({
+    df = tx.computed(df, {
         "word_count": tx.word_count(F.col("text")),
         "content_hash": tx.content_hash(F.col("text")),
         "links": F.array_distinct(F.transform("links_with_text", lambda l: l["href"])),

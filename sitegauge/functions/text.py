@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import json
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sitegauge.functions import vocab
 
@@ -17,6 +19,21 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def lookup(values: dict[str, str]) -> Column:
+    """A constant map as one folded literal (a map of single literals would burden every planning step)."""
+    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
+
+
+def computed(df: DataFrame, columns: dict[str, Column], keep: list[str] | None = None) -> DataFrame:
+    """Adds expensive columns that must be evaluated once per row.
+
+    A filter on a plain projected column is pushed below the projection together with a second copy of its
+    expression. Columns that come out of a generator stay where they are, so a one-element ``inline`` pins them.
+    """
+    packed = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*(keep if keep is not None else df.columns), packed)
+
+
 def trim(value: Column) -> Column:
     return F.regexp_replace(value, r"^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+$", "")
 
@@ -35,7 +52,7 @@ def _codepoint(digits: Column) -> Column:
 
 def unescape(value: Column) -> Column:
     """Named and numeric entities with a closing semicolon; the ampersand itself comes last."""
-    names = F.create_map(*[F.lit(x) for pair in vocab.ENTITIES.items() for x in pair])
+    names = lookup(vocab.ENTITIES)
 
     def decode(v: Column) -> Column:
         named = F.aggregate(

@@ -43,23 +43,23 @@ def shingle_set(words: Column) -> Column:
     return F.array_distinct(F.transform(tx.shingles(words, 5), lambda s: F.xxhash64(s)))
 
 
-def matching_phrases(words: Column, candidate_set: Column) -> Column:
-    """First three 12-token windows, every six tokens, whose shingles all occur in the candidate."""
+def matching_phrases(words: Column, common: Column) -> Column:
+    """First three 12-token windows, every six tokens, whose shingles are all shared."""
     last = F.size(words) - 12
     starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(6))).otherwise(F.array().cast("array<int>"))
     found = F.filter(
         starts,
         lambda i: F.forall(
             F.sequence(F.lit(0), F.lit(7)),
-            lambda k: F.array_contains(candidate_set, F.xxhash64(F.concat_ws(" ", *[F.get(words, i + k + j) for j in range(5)]))),
+            lambda k: F.array_contains(common, F.xxhash64(F.concat_ws(" ", *[F.get(words, i + k + j) for j in range(5)]))),
         ),
     )
     return F.transform(F.slice(found, 1, 3), lambda i: F.array_join(F.slice(words, i + 1, 12), " "))
 
 
 def _sets(texts: DataFrame, prefix: str) -> DataFrame:
-    words = texts.select(F.col("id").alias(f"{prefix}_id"), tx.tokens(F.col("text")).alias(f"{prefix}_words"))
-    return words.withColumn(f"{prefix}_set", shingle_set(F.col(f"{prefix}_words")))
+    words = tx.computed(texts, {f"{prefix}_words": tx.tokens(F.col("text"))}, ["id"]).withColumnRenamed("id", f"{prefix}_id")
+    return tx.computed(words, {f"{prefix}_set": shingle_set(F.col(f"{prefix}_words"))})
 
 
 def similarity(shared: Column, size: Column) -> Column:
@@ -71,17 +71,18 @@ def copy_containment(pairs: DataFrame, sources: DataFrame, candidates: DataFrame
     s, c = _sets(sources, "source"), _sets(candidates, "candidate")
     rows = spread_join(pairs, s, ["source_id"], "candidate_id", salts=p.salts)
     rows = spread_join(rows, c, ["candidate_id"], "source_id", salts=p.salts)
-    shared = F.size(F.array_intersect("source_set", "candidate_set"))
+    rows = tx.computed(rows, {"common": F.array_intersect("source_set", "candidate_set")})
+    shared = F.size("common")
     return rows.select(
         "source_id", "candidate_id", shared.alias("shared"), F.size("source_set").alias("source_shingles"),
         similarity(shared, F.size("source_set")).alias("similarity"),
-        matching_phrases(F.col("source_words"), F.col("candidate_set")).alias("phrases"),
+        matching_phrases(F.col("source_words"), F.col("common")).alias("phrases"),
     )
 
 
 def _distinct_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Texts with equal shingle sets share one key: (id, set_key) members and one row per key with its first id."""
-    keyed = texts.select("id", F.sort_array(shingle_set(tx.tokens(F.col("text")))).alias("hs")).filter(F.size("hs") > 0)
+    keyed = tx.computed(texts, {"hs": F.sort_array(shingle_set(tx.tokens(F.col("text"))))}, ["id"]).filter(F.size("hs") > 0)
     keyed = keyed.withColumn("set_key", F.sha2(F.array_join(F.transform("hs", lambda h: h.cast("string")), ","), 256))
     keyed = cut(keyed)
     classes = keyed.groupBy("set_key").agg(F.min("id").alias("id"), F.first("hs").alias("hs"))

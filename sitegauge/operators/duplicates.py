@@ -52,7 +52,7 @@ def hashes_of(sketch: Column) -> Column:
 
 
 def dup_sketch(df: DataFrame, text: str = "text", p: Params = DEFAULT) -> DataFrame:
-    return df.withColumn("sketch", sketch_column(F.col(text), p))
+    return tx.computed(df, {"sketch": sketch_column(F.col(text), p)})
 
 
 def jaccard(shared: Column, a: Column, b: Column) -> Column:
@@ -137,6 +137,7 @@ def _rank(j: Column, shared: Column, min_hash: Column, rep: Column) -> Column:
 def best_matches(pages: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Exact best earlier match per page from (grp, id, position, sketch).
 
+    Sketches are read several times; store them (as a scan does) or hand over a table that is cheap to read again.
     Returns grp, id, position, matched_id, matched_position, shared, similarity.
     """
     core = cut(_core_pages(pages, p))
@@ -250,6 +251,7 @@ def dup_findings(pages: DataFrame, p: Params = DEFAULT, exact: bool = True) -> D
     """Finding rows from (grp, id, position, url, sketch)."""
     from sitegauge.functions.finding import finding
 
+    pages = cut(pages)
     matches = best_matches(pages, p) if exact else bounded_matches(pages, p)
     rows = with_phrases(matches, pages, p)
     percent = F.round(F.col("similarity") * 100).cast("int")

@@ -53,7 +53,7 @@ def _cut_list(values: Column, size: int) -> Column:
 def llm_findings(replies: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Findings of structured model replies (url, reply, response_id): known policy codes with enough confidence."""
     floor = max(0, min(100, p.model_min_confidence))
-    codes = F.create_map(*[F.lit(x) for pair in vocab.MODEL_CODES.items() for x in pair])
+    codes = tx.lookup(vocab.MODEL_CODES)
     rows = replies.select(
         *_keys(replies), "url", "response_id", F.explode(F.from_json("reply", REPLY_SCHEMA)["findings"]).alias("r")
     )

@@ -78,7 +78,7 @@ def rule_document_structure(p: Params = DEFAULT) -> Rule:
 
 def attribution(text: Column) -> Column:
     """Visible credit words as whole words; the boundary is spelled out so every engine agrees on it."""
-    return F.lower(text).rlike(
+    return F.lower(text).rlike("source|credit|courtesy|licens|photo by|©") & F.lower(text).rlike(
         r"(?:^|[^\p{L}\p{N}_])(?:source|credit|courtesy|licensed?|photo by)(?:[^\p{L}\p{N}_]|$)"
         r"|[\p{L}\p{N}_]©[\p{L}\p{N}_]"
     )
@@ -181,9 +181,8 @@ def rule_publisher_missing(p: Params = DEFAULT) -> Rule:
 
 def required_page_checks(kind: str) -> dict[str, Column]:
     """Named checks a required page of this kind must pass; terms are matched in the hyphen-normalised text."""
-    body = tx.slug(C("text"))
     checks = {
-        name: body.rlike("|".join(t.replace(" ", "-") for t in terms))
+        name: C("body_slug").rlike("|".join(t.replace(" ", "-") for t in terms))
         for name, terms in vocab.PAGE_TERMS.get(kind, {}).items()
     }
     if kind == "contact":
@@ -248,6 +247,9 @@ def apply_rules(pages: DataFrame, rules: list[Rule], scan_type: Column | str = "
     hits = F.array_compact(F.array(*[r.column(C("url")) for r in rules]))
     kept = F.filter(hits, lambda f: fd.in_scope(kind, f["rule_key"], f["category"], f["severity"]))
     keys = [c for c in ("website_id", "scan_id", "grp", "page_id", "position") if c in pages.columns]
+    if "text" in pages.columns and "body_slug" not in pages.columns:
+        # only required pages need the hyphen-normalised text, and all their checks share it
+        pages = tx.computed(pages, {"body_slug": F.when(C("essential_page_type").isin(*vocab.LINKED_TYPES), tx.slug(C("text")))})
     return pages.select(*keys, "url", F.posexplode(kept).alias("rule_position", "f")).select(*keys, "url", "rule_position", "f.*")
 
 

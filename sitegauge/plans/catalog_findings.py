@@ -8,6 +8,7 @@ from sitegauge.functions import finding as fd, html as hx, text as tx, url as ux
 from sitegauge.operators import copies as cp, duplicates as dp, normalize as nz, rules as ru, scoring as sc, sources as so
 from sitegauge.params import DEFAULT
 from sitegauge.plans import oracle as o, views as v
+from sitegauge.session import cut
 
 C = F.col
 ENTRIES: dict = {}
@@ -119,12 +120,12 @@ add("udtf_explode_findings", _udtf, f"with {o.FINDINGS} select severity, categor
 def dup_pages(s, d, group="grp"):
     rows = v.signals(s, d).select("page_id", "url", "grp", "text", "word_count", "page_type")
     rows = dp.eligible(rows).select(C(group).alias("grp") if group else F.lit("all").alias("grp"), C("page_id").alias("id"), C("page_id").alias("position"), "url", "text")
-    return dp.dup_sketch(rows).drop("text")
+    return cut(dp.dup_sketch(rows).drop("text"))
 
 
 def dup_docs(s, d, group="grp"):
     rows = dp.eligible(v.documents(s, d))
-    return dp.dup_sketch(rows.withColumn("grp", C(group) if group else F.lit("all"))).select("grp", "id", "position", "url", "sketch")
+    return cut(dp.dup_sketch(rows.withColumn("grp", C(group) if group else F.lit("all"))).select("grp", "id", "position", "url", "sketch"))
 
 
 _MCOLS = ["grp", "id", "matched_id", "shared", "similarity"]
@@ -166,7 +167,7 @@ add("dup_documents_global", lambda s, d: shown(dp.best_matches(dup_docs(s, d, No
 
 # ---------------------------------------------------------------- external copies
 def texts(s, d):
-    return v.table(s, d, "documents").select(C("doc_id").alias("id"), "text")
+    return v.balanced(v.table(s, d, "documents"), "doc_id").select(C("doc_id").alias("id"), "text")
 
 
 def items(s, d):

@@ -18,14 +18,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def balanced(df: DataFrame, key: str) -> DataFrame:
+    """Spreads a table stored in fewer splits than there are cores before per-row CPU work; a no-op on many splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def pages(spark, sf) -> DataFrame:
     """Raw pages with the lower-case host as site."""
-    return table(spark, sf, "pages").withColumn("grp", F.lower(ux.host(C("url"))))
+    return balanced(table(spark, sf, "pages"), "page_id").withColumn("grp", F.lower(ux.host(C("url"))))
 
 
 def responses(spark, sf) -> DataFrame:
     """Fetched responses: some statuses and content types are not usable."""
-    return as_responses(table(spark, sf, "pages"))
+    return as_responses(balanced(table(spark, sf, "pages"), "page_id"))
 
 
 def signals(spark, sf) -> DataFrame:
@@ -205,11 +211,11 @@ def moderation(spark, sf) -> DataFrame:
 
 def documents(spark, sf) -> DataFrame:
     """Documents as pages: id, group, word count; every document counts as content."""
-    d = table(spark, sf, "documents")
+    d = tx.computed(balanced(table(spark, sf, "documents"), "doc_id"), {"word_count": tx.word_count(C("text"))})
     return d.select(
         C("doc_id").alias("id"), C("source").alias("grp"), C("doc_id").alias("position"), "text",
         F.concat(F.lit("https://docs.example/"), C("doc_id").cast("string")).alias("url"),
-        tx.word_count(C("text")).alias("word_count"), F.lit("content").alias("page_type"),
+        "word_count", F.lit("content").alias("page_type"),
     )
 
 
@@ -367,7 +373,7 @@ def ads_txt(spark, sf) -> DataFrame:
 
 def signal_rows(spark, sf) -> DataFrame:
     """Page-signal rows for rule checks: texts are the documents, the other signals follow from the id."""
-    d = table(spark, sf, "documents")
+    d = tx.computed(balanced(table(spark, sf, "documents"), "doc_id"), {"word_count": tx.word_count(C("text"))})
     k = C("doc_id")
     kinds = [None, "home", *vocab.LINKED_TYPES]
     kind = F.element_at(F.array(*[F.lit(x) for x in kinds]), (k % 9 + 1).cast("int"))
@@ -379,7 +385,7 @@ def signal_rows(spark, sf) -> DataFrame:
     return d.select(
         k.alias("page_id"), k.alias("position"), F.concat(F.lit("site"), (k % 50).cast("string")).alias("grp"), url.alias("url"), "text",
         F.when(k % 10 == 0, "").otherwise("title").alias("title"), (k % 3).cast("int").alias("h1_count"),
-        tx.word_count(C("text")).alias("word_count"), (k % 5).cast("int").alias("paragraph_count"), (k % 12).cast("int").alias("ad_count"),
+        "word_count", (k % 5).cast("int").alias("paragraph_count"), (k % 12).cast("int").alias("ad_count"),
         (k % 4).cast("int").alias("external_images"), imgs.alias("external_image_urls"), kind.alias("essential_page_type"),
         types.alias("linked_types"), F.array_contains(types, "privacy").alias("has_privacy_link"),
         F.array_contains(types, "about").alias("has_about_link"), F.array_contains(types, "contact").alias("has_contact_link"),

@@ -66,7 +66,7 @@ if __name__ == "__main__":
     sf = f"{ROOT}/{sys.argv[1] if len(sys.argv) > 1 else 'sf0.01'}"
     names = sys.argv[2:]
     spark = build("check", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g",
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g",
     })
     spark.sparkContext.setLogLevel("ERROR")
     con = oracle_connection(sf)
