@@ -1,5 +1,6 @@
 """Snapshots, replay, and stream = batch."""
 
+import time
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -74,8 +75,9 @@ def test_scan_pages_stream_equals_batch_and_replay(spark, tmp_path):
 def test_streams_over_file_chunks_equal_batch(spark, tmp_path):
     src = str(tmp_path / "in")
     events = v.events(spark, SF)
-    # chunks in event order, as they would arrive
-    events.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.parquet(src)
+    for low, high in ((0, 300), (300, 500), (500, 900), (900, 1 << 40)):  # chunks arrive in event order
+        events.filter(F.col("event_id").between(low, high - 1)).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
     read = lambda: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
     from sitegauge.plans import catalog_streams as cs
 
@@ -83,6 +85,7 @@ def test_streams_over_file_chunks_equal_batch(spark, tmp_path):
     lv.start_files(stages, str(tmp_path / "stages")).awaitTermination()
     key = lambda df: sorted(tuple(r) for r in df.select("start_id", "finish_id", "duration_ms").collect())
     assert key(spark.read.parquet(str(tmp_path / "stages" / "data"))) == key(lv.stage_durations(cs.stages(events), DEFAULT.with_(chunk=64)))
+    assert key(lv.stage_durations(cs.stages(events), DEFAULT.with_(chunk=64))) == key(lv.stage_durations(cs.stages(events)))
     lv.stream_progress(cs.updates(read()), str(tmp_path / "progress")).awaitTermination()
     rows = lambda df: sorted(tuple(r) for r in df.select("scan_id", *lv.STATUSES).collect())
     assert rows(mg.read_snapshot(spark, str(tmp_path / "progress" / "data"))) == rows(lv.progress_counts(cs.updates(events)))
