@@ -11,10 +11,9 @@ from sitegauge.plans import catalog
 from sitegauge.session import build
 
 HEADLINE = [
-    "site_overview", "page_signals", "rules_local", "dup_documents", "dup_documents_global", "dup_best_match", "copy_corpus_scan",
-    "copy_containment", "site_score", "lifecycle_upsert", "lifecycle_resolve_local", "reuse_decision", "finding_groups", "policy_matrix",
-    "site_row", "scan_progress", "scan_complete", "sitemap_candidates", "link_edges", "plan_batches", "stream_stage_durations",
-    "q_search_findings", "export_findings_wide",
+    "site_overview", "page_signals", "rules_local", "dup_documents", "copy_corpus_scan", "site_score", "lifecycle_upsert",
+    "lifecycle_resolve_local", "reuse_decision", "finding_groups", "policy_matrix", "site_row", "scan_progress", "scan_complete",
+    "link_edges", "plan_batches", "stream_stage_durations", "q_search_findings", "export_findings_wide",
 ]
 
 

@@ -24,7 +24,8 @@ MINIMUM = [ru.rule_content_thin, ru.rule_content_structure, ru.rule_document_str
 
 def site_overview(s, d):
     pages = v.signals(s, d)
-    found = ru.apply_rules(pages, [make(DEFAULT) for make in MINIMUM]).withColumn("website_id", C("grp"))
+    # findings are stored before they are scored, as in a scan; the score reads them twice
+    found = cut(ru.apply_rules(pages, [make(DEFAULT) for make in MINIMUM]).withColumn("website_id", C("grp")))
     hosts = v.pages(s, d).select(C("grp").alias("website_id")).distinct()
     return sc.site_score(found.withColumn("order_key", F.concat_ws("|", F.lpad(C("page_id").cast("string"), 12, "0"), C("rule_position").cast("string"))), hosts).withColumn(
         "status", sc.status_from_score(C("score"))).withColumnRenamed("website_id", "site")
