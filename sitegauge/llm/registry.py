@@ -5,10 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm import packing, rans
+from sitegauge.llm import licenses, packing, quality_rules, rans
 from sitegauge.llm.common import table
 
 
+def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, base verdict and verdict of the newest policy for all documents."""
+    judged = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), max(quality_rules.POLICIES))
+    base = judged["failed_bits"].bitwiseAND(quality_rules.mask(1)) != 0
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed_bits")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence occurrence in all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_rans_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the token ids of all documents as shards and reports each document as decoded from them."""
     folder = rans.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -21,8 +33,8 @@ def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_rans_shards, op10_cost_packing)}
+    return {f.__name__: f for f in (op6_rule_ledger, op7_license_scan, op9_rans_shards, op10_cost_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_rule_ledger": quality_rules.ORACLE_SQL}
