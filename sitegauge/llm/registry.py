@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm import licenses, packing, quality_rules, rans
+from sitegauge.llm import licenses, ngram_join, packing, quality_rules, rans
 from sitegauge.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a similarity of 0.9 or more."""
+    return ngram_join.link(table(spark, sf_dir, "documents"))
+
+
 def op9_rans_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the token ids of all documents as shards and reports each document as decoded from them."""
     folder = rans.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -33,7 +38,7 @@ def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_rule_ledger, op7_license_scan, op9_rans_shards, op10_cost_packing)}
+    return {f.__name__: f for f in (op6_rule_ledger, op7_license_scan, op8_ngram_components, op9_rans_shards, op10_cost_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
