@@ -5,10 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm import licenses, ngram_join, packing, quality_rules, rans
+from sitegauge.llm import contamination, licenses, mil, ngram_join, packing, quality_rules, rans
 from sitegauge.llm.common import table
 
 
+def op3_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of all documents, learned outside the held-out third."""
+    docs = table(spark, sf_dir, "documents")
+    return mil.judge(docs, mil.fit(docs, table(spark, sf_dir, "labels"), "quality"), 0.5)
+
+
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item of which a document holds 80 % or more of the 5-word shingles."""
+    return contamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures, base verdict and verdict of the newest policy for all documents."""
     judged = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), max(quality_rules.POLICIES))
@@ -38,8 +49,8 @@ def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_rule_ledger, op7_license_scan, op8_ngram_components, op9_rans_shards, op10_cost_packing)}
+    return {f.__name__: f for f in (op3_attention_quality, op4_benchmark_leaks, op6_rule_ledger, op7_license_scan, op8_ngram_components, op9_rans_shards, op10_cost_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_rule_ledger": quality_rules.ORACLE_SQL}
+    return {"op4_benchmark_leaks": contamination.ORACLE_SQL, "op6_rule_ledger": quality_rules.ORACLE_SQL}
