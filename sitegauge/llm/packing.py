@@ -31,6 +31,8 @@ from sitegauge.llm.common import texts
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 #: Tokens of one batch of documents that are held at a time before they are packed.
 SHARD_TOKENS = 4_000_000
+#: Characters that are encoded together.
+SLICE_CHARS = 6_000_000
 
 
 @dataclass(frozen=True)
@@ -91,7 +93,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, length: int, s
 
     for batch in batches:
         keys, strings = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-        for a, b in tokens.slices(strings):
+        for a, b in tokens.slices(strings, SLICE_CHARS):
             coded = enc.encode(strings[a:b])
             ids += [np.append(x, np.uint16(end)) for x in coded]
             names += keys[a:b]

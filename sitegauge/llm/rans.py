@@ -35,10 +35,12 @@ from sitegauge.llm.common import shared_folder, stored, texts
 MAGIC = b"RANS0001"
 BITS = 20
 LOW = 1 << 31
-LANES = 256
-BLOCK_TOKENS = 1 << 17
+LANES = 512
+BLOCK_TOKENS = 1 << 18
 #: Packed token bytes of one range partition when the number of shards is chosen.
 SHARD_BYTES = 32 << 20
+#: Characters that are encoded together.
+SLICE_CHARS = 6_000_000
 
 
 def quantise(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -156,7 +158,7 @@ def _tokenise(batches: Iterator[pa.RecordBatch], path: str, end: int):
     enc = tokens.encoder(path)
     for batch in batches:
         keys, strings = batch.column("doc_id"), batch.column("text").to_pylist()
-        for a, b in tokens.slices(strings):
+        for a, b in tokens.slices(strings, SLICE_CHARS):
             ids = [np.append(x, np.uint16(end)) for x in enc.encode(strings[a:b])]
             yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "ids"])
 
@@ -205,7 +207,7 @@ def write(docs: DataFrame, vocabulary: str, end: int = tokens.END, folder: str |
     packed = zlib.compress(freq.astype("<u4").tobytes())
     spark.createDataFrame([(int(s), int(freq[s])) for s in np.flatnonzero(freq)], "symbol int, freq int").coalesce(1).write.parquet(f"{folder}/table")
     size = coded.agg(F.sum(F.length("ids"))).first()[0] or 0
-    ordered = coded.repartitionByRange(max(1, -(-size // SHARD_BYTES)), "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    ordered = coded.repartitionByRange(max(1, -(-size // SHARD_BYTES)), "doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(lambda it: _write(it, f"{folder}/shards", packed), "file string, bytes long, n_tokens long").write.parquet(f"{folder}/files")
     return folder
 

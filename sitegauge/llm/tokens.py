@@ -13,6 +13,8 @@ import functools
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
 END = 2
@@ -47,8 +49,8 @@ class ChunkEncoder:
         self.spaces = self.library.normalizer is None
         self.model = Tokenizer(self.library.model)
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
-        self.young: dict[bytes, bytes | None] = {}
-        self.old: dict[bytes, bytes | None] = {}
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _ids(self, strings: list[str]) -> list[list[int]]:
@@ -64,19 +66,19 @@ class ChunkEncoder:
             for p, b, e in zip(part, ends[:-1].tolist(), ends[1:].tolist()):
                 self.pieces[p] = ids[b:e].tobytes()
 
-    def _learn(self, chunks: list[bytes]) -> None:
+    def _learn(self, chunks: list[str]) -> None:
         old, young, plain, other = self.old, self.young, [], []
         find = (_BYTE_PIECES if self.spaces else _WORD_PIECES).findall
         for c in chunks:
             if c in old:
                 young[c] = old[c]
                 continue
-            s = c.decode()
+            s = c
             if self.spaces:
                 s = s[1:] if s[:1] == " " else " " + s  # the key of a text's first chunk has a space, the others have none
             if _PLAIN.fullmatch(s) and "<|" not in s:
                 plain.append((c, find(s if self.spaces else s.lower())))
-            elif self.spaces and c != b" " and (_WIDE_SPACE.search(s) or s.lstrip(" ") != s.strip() or not s.strip()):
+            elif self.spaces and c != " " and (_WIDE_SPACE.search(s) or s.lstrip(" ") != s.strip() or not s.strip()):
                 young[c] = None  # its white space may belong to a run that goes on in the next chunk
             else:
                 other.append((c, s))
@@ -89,27 +91,30 @@ class ChunkEncoder:
         for c, ps in plain:
             young[c] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
 
-    def _chunks(self, text: str) -> list[bytes]:
-        if not self.spaces:
-            return text.encode().split()
-        chunks = text.encode().split(b" ")
-        chunks[0] = b" " + chunks[0]
-        return chunks
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 16-bit integers."""
-        split = [self._chunks(t) for t in texts]
-        wanted = set().union(*split)
-        if len(self.young) + len(wanted) > MEMO:
+        if not texts:
+            return []
+        column = pa.array(texts, pa.string())
+        lists = pc.split_pattern(column, " ") if self.spaces else pc.ascii_split_whitespace(column)
+        coded = lists.flatten().dictionary_encode()
+        chunks, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype("i8")
+        bounds = np.asarray(lists.offsets, "i8")
+        if self.spaces:
+            codes[bounds[:-1]] = np.arange(len(texts)) + len(chunks)
+            chunks += [" " + t.partition(" ")[0] for t in texts]
+        if len(self.young) + len(chunks) > MEMO:
             self.old, self.young = self.young, {}
-        self._learn(list(wanted.difference(self.young)))
-        out, get = [], self.young.__getitem__
-        for text, chunks in zip(texts, split):
-            try:
-                out.append(np.frombuffer(b"".join(map(get, chunks)), "<u2"))
-            except TypeError:  # a chunk without ids of its own
-                out.append(np.array(self._ids([text])[0], "<u2"))
-        return out
+        self._learn([c for c in chunks if c not in self.young])
+        packed = list(map(self.young.__getitem__, chunks))
+        unknown = np.array([p is None for p in packed])
+        size = np.array([0 if p is None else len(p) // 2 for p in packed])
+        pool, first = np.frombuffer(b"".join(filter(None, packed)), "<u2"), np.cumsum(size) - size
+        each = size[codes]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = pool[np.arange(ends[-1]) + np.repeat(first[codes] - ends[:-1], each)]
+        whole = np.concatenate([[0], np.cumsum(unknown[codes])])
+        return [ids[ends[a]:ends[b]] if whole[a] == whole[b] else np.array(self._ids([t])[0], "<u2") for t, a, b in zip(texts, bounds[:-1], bounds[1:])]
 
 
 @functools.lru_cache(maxsize=4)
