@@ -5,10 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm import contamination, licenses, mil, ngram_join, packing, quality_rules, rans
+from sitegauge.llm import contamination, licenses, mil, ngram_join, packing, quality_rules, rans, toxicity
 from sitegauge.llm.common import table
 
 
+def op1_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of all documents, with a lexicon learned outside the held-out third."""
+    docs = table(spark, sf_dir, "documents")
+    return mil.judge(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic"), 0.7)
+
+
 def op3_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of all documents, learned outside the held-out third."""
     docs = table(spark, sf_dir, "documents")
@@ -49,7 +55,7 @@ def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_attention_quality, op4_benchmark_leaks, op6_rule_ledger, op7_license_scan, op8_ngram_components, op9_rans_shards, op10_cost_packing)}
+    return {f.__name__: f for f in (op1_lexicon_toxicity, op3_attention_quality, op4_benchmark_leaks, op6_rule_ledger, op7_license_scan, op8_ngram_components, op9_rans_shards, op10_cost_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
