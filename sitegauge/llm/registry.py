@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitegauge.llm import contamination, licenses, mil, ngram_join, packing, quality_rules, rans, toxicity
+from sitegauge.llm import contamination, licenses, line_dedup, mil, ngram_join, packing, quality_rules, rans, toxicity
 from sitegauge.llm.common import table
 
 
@@ -26,6 +26,12 @@ def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_line_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that stay after equal and neighbouring earlier lines are taken out."""
+    done = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures, base verdict and verdict of the newest policy for all documents."""
     judged = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), max(quality_rules.POLICIES))
@@ -55,8 +61,8 @@ def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lexicon_toxicity, op3_attention_quality, op4_benchmark_leaks, op6_rule_ledger, op7_license_scan, op8_ngram_components, op9_rans_shards, op10_cost_packing)}
+    return {f.__name__: f for f in (op1_lexicon_toxicity, op3_attention_quality, op4_benchmark_leaks, op5_line_neighbours, op6_rule_ledger, op7_license_scan, op8_ngram_components, op9_rans_shards, op10_cost_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_leaks": contamination.ORACLE_SQL, "op6_rule_ledger": quality_rules.ORACLE_SQL}
+    return {"op4_benchmark_leaks": contamination.ORACLE_SQL, "op5_line_neighbours": line_dedup.ORACLE_SQL, "op6_rule_ledger": quality_rules.ORACLE_SQL}
