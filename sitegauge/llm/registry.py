@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitegauge.llm import contamination, licenses, line_dedup, mil, ngram_join, packing, quality_rules, rans, toxicity
+from sitegauge.llm import contamination, licenses, line_dedup, mil, ngram_join, packing, quality_rules, rans, suffix_dedup, toxicity
 from sitegauge.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil.judge(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic"), 0.7)
 
 
+def op2_parsed_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes covered by 400-byte strings that occur more than once."""
+    return suffix_dedup.digest(suffix_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
 def op3_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of all documents, learned outside the held-out third."""
     docs = table(spark, sf_dir, "documents")
@@ -61,7 +66,7 @@ def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lexicon_toxicity, op3_attention_quality, op4_benchmark_leaks, op5_line_neighbours, op6_rule_ledger, op7_license_scan, op8_ngram_components, op9_rans_shards, op10_cost_packing)}
+    return {f.__name__: f for f in (op1_lexicon_toxicity, op2_parsed_repeats, op3_attention_quality, op4_benchmark_leaks, op5_line_neighbours, op6_rule_ledger, op7_license_scan, op8_ngram_components, op9_rans_shards, op10_cost_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
