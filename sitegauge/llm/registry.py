@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -65,9 +66,16 @@ def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+OPERATORS = (
+    op1_lexicon_toxicity, op2_parsed_repeats, op3_attention_quality, op4_benchmark_leaks, op5_line_neighbours, op6_rule_ledger,
+    op7_license_scan, op8_ngram_components, op9_rans_shards, op10_cost_packing,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lexicon_toxicity, op2_parsed_repeats, op3_attention_quality, op4_benchmark_leaks, op5_line_neighbours, op6_rule_ledger, op7_license_scan, op8_ngram_components, op9_rans_shards, op10_cost_packing)}
+    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_leaks": contamination.ORACLE_SQL, "op5_line_neighbours": line_dedup.ORACLE_SQL, "op6_rule_ledger": quality_rules.ORACLE_SQL}
+    found = {"op4_benchmark_leaks": contamination.ORACLE_SQL, "op5_line_neighbours": line_dedup.ORACLE_SQL, "op6_rule_ledger": quality_rules.ORACLE_SQL}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
