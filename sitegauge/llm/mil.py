@@ -34,6 +34,8 @@ BUCKETS = 32
 MAX_BAGS = 4096
 MAX_PASSAGES = 60_000
 HIDDEN = 24
+#: Tasks over which the sampled texts are spread.
+SAMPLE_PARTS = 24
 _KINDS = np.zeros((6, 256), "f4")  # capitals, digits, marks of markup, other punctuation, exclamation, beyond ASCII
 _KINDS[0, 65:91] = _KINDS[1, 48:58] = _KINDS[5, 128:] = 1
 _KINDS[2, list(b"#*$%&|<>")] = 1
@@ -151,24 +153,29 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``text, y`` of at most ``limit`` labelled documents outside the held-out third, picked by a hash of the id."""
+    """``doc_id, text, y`` of at most ``limit`` labelled ids outside the held-out third, picked by a hash of the id.
+
+    Only ids and labels pass the driver; texts are dealt out by id. Of rows with one id the smallest text counts.
+    """
     known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label].cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~held_out())
     picked = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return texts(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(limit).select("text", "y")
+    found = texts(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").repartition(SAMPLE_PARTS, "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def _features(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        strings, y = batch.column("text").to_pylist(), batch.column("y")
+        strings = batch.column("text").to_pylist()
         for a, b in slices(strings):
             x, begin = encode(strings[a:b])
-            yield pa.RecordBatch.from_arrays([pa.array([x[i:j].tobytes() for i, j in zip(begin[:-1], begin[1:])], pa.binary()), y.slice(a, b - a)], ["x", "y"])
+            bags = pa.array([x[i:j].tobytes() for i, j in zip(begin[:-1], begin[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), bags, batch.column("y").slice(a, b - a)], ["doc_id", "x", "y"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_BAGS) -> Model:
-    rows = sample(docs, labels, label, limit).mapInArrow(_features, "x binary, y int").toLocalIterator()
+    rows = sample(docs, labels, label, limit).mapInArrow(_features, "doc_id long, x binary, y int").collect()
     bags, y, held = [], [], 0
-    for r in rows:
+    for r in sorted(rows, key=lambda r: r.doc_id):
         bag = np.frombuffer(r.x, "f4").reshape(-1, N_FEATURES)
         if bags and held + len(bag) > MAX_PASSAGES:
             continue

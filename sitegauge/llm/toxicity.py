@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from sitegauge.llm import grams
 from sitegauge.llm.mil import sample
 
-MAX_DOCS = 12_000
+MAX_DOCS = 8_000
 MIN_STEM = 3
 #: Mentions of a term counted in one document, and the least share of toxic documents' among them.
 MENTIONS, PURITY = 3, 0.35
@@ -269,7 +269,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
     seen = sample(docs, labels, label, limit).persist()
     try:
         words = seen.mapInArrow(_words, "y int, key long, words string")
-        toxic = {r.key: r.words for r in words.filter("y = 1").toLocalIterator()}
+        toxic: dict[int, str] = {}
+        for r in words.filter("y = 1").collect():
+            toxic[r.key] = min(r.words, toxic.get(r.key, r.words))
         n_clean = seen.filter("y = 0").count()
         if not toxic or not n_clean:
             return Model()
@@ -305,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
                     sizes.append(size)
                 yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(sizes, pa.int64()), pa.array(lines, pa.list_(pa.string()))], ["y", "size", "marks"])
 
-        rows = seen.mapInArrow(mark, "y int, size long, marks array<string>").toLocalIterator()
+        rows = seen.mapInArrow(mark, "y int, size long, marks array<string>").collect()
         return weigh(terms, [(r.y, r.size, [(t, near == "1", q == "1") for t, near, q in (m.split("\t") for m in r.marks)]) for r in rows])
     finally:
         seen.unpersist()
