@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -42,3 +45,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Size of a membership filter in bits, whatever the number of members, and of its rows on the way.
+MEMBER_BITS, MEMBER_ROW = 1 << 23, 1 << 12
+
+
+def member_bits(wanted: DataFrame, places: Callable[[pa.RecordBatch], list[int] | np.ndarray]) -> np.ndarray:
+    """The rows of ``wanted`` as MEMBER_BITS flags; ``places`` gives a batch's places. It may hold too much but misses none.
+
+    Used to keep rows without a partner out of a shuffle; an exact join follows. Each task folds its rows into flags of
+    this fixed size, which are combined on the executors, so that one set of flags reaches the driver.
+    """
+    def fold(batches: Iterator[pa.RecordBatch]):
+        bits = np.zeros(MEMBER_BITS, bool)
+        for batch in batches:
+            bits[places(batch)] = True
+        used = np.flatnonzero(bits.reshape(-1, MEMBER_ROW).any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([np.packbits(bits[r * MEMBER_ROW:(r + 1) * MEMBER_ROW]).tobytes() for r in used], pa.binary())], ["row", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for r, b in zip(batch.column("row").to_pylist(), batch.column("bits").to_pylist()):
+                total[r] = total.get(r, np.zeros(MEMBER_ROW // 8, "u1")) | np.frombuffer(b, "u1")
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["row", "bits"])
+
+    out = np.zeros(MEMBER_BITS, bool)
+    for r in wanted.mapInArrow(fold, "row long, bits binary").repartition(16, "row").mapInArrow(merge, "row long, bits binary").collect():
+        out[r.row * MEMBER_ROW:(r.row + 1) * MEMBER_ROW] = np.unpackbits(np.frombuffer(r.bits, "u1"))
+    return out

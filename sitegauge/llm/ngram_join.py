@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from sitegauge.llm import grams
-from sitegauge.llm.common import stored, texts
+from sitegauge.llm.common import MEMBER_BITS, member_bits, stored, texts
 from sitegauge.llm.components import components
 from sitegauge.llm.tokens import slices
 
@@ -38,8 +38,6 @@ from sitegauge.llm.tokens import slices
 SLICE_CHARS = 3_000_000
 #: Documents a pivot or row is multiplied with in one block.
 BLOCK_ROWS = 512
-#: Size of the filter that keeps texts without possible partners from being shuffled, and of its rows on the way.
-FILTER_BITS, FILTER_ROW = 1 << 23, 1 << 12
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -139,32 +137,7 @@ def _rows(batches: Iterator[pa.RecordBatch], n: int, bits: np.ndarray):
 
 
 def _bit(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little") % FILTER_BITS
-
-
-def _filter(wanted: DataFrame) -> np.ndarray:
-    """A set of the digests as FILTER_BITS bits, whatever their number: it may hold too much but misses none.
-
-    Each task folds its digests into one array; the arrays, of fixed size, are combined by bucket on the executors.
-    """
-    def fold(batches: Iterator[pa.RecordBatch]):
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            bits[[_bit(d) for d in batch.column("digest").to_pylist()]] = True
-        used = np.flatnonzero(bits.reshape(-1, FILTER_ROW).any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([np.packbits(bits[r * FILTER_ROW:(r + 1) * FILTER_ROW]).tobytes() for r in used], pa.binary())], ["row", "bits"])
-
-    def merge(batches: Iterator[pa.RecordBatch]):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for r, b in zip(batch.column("row").to_pylist(), batch.column("bits").to_pylist()):
-                total[r] = total.get(r, np.zeros(FILTER_ROW // 8, "u1")) | np.frombuffer(b, "u1")
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["row", "bits"])
-
-    out = np.zeros(FILTER_BITS, bool)
-    for r in wanted.select("digest").mapInArrow(fold, "row long, bits binary").repartition(16, "row").mapInArrow(merge, "row long, bits binary").collect():
-        out[r.row * FILTER_ROW:(r.row + 1) * FILTER_ROW] = np.unpackbits(np.frombuffer(r.bits, "u1"))
-    return out
+    return int.from_bytes(digest[:8], "little") % MEMBER_BITS
 
 
 def _products(batches: Iterator[pa.RecordBatch], percent: int):
@@ -217,7 +190,7 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90, **columns: str) -> Data
     own = answers.repartition(buckets, "slice").mapInArrow(_gather, "digest binary, own long").groupBy("digest").agg(F.min("own").alias("own"))
     classes = sets.filter("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("node"))
     some = stored(classes.join(own, "digest").filter(100 * F.col("own") <= (100 - percent) * F.col("n")).select("node", "digest"), "nodes")
-    bits = spark.sparkContext.broadcast(_filter(some))
+    bits = spark.sparkContext.broadcast(member_bits(some.select("digest"), lambda batch: [_bit(d) for d in batch.column("digest").to_pylist()]))
     possible = docs.filter("doc_id is not null").mapInArrow(lambda it: _rows(it, n, bits.value), "node long, digest binary, n long, grams array<long>")
     rows = stored(possible.join(some, ["node", "digest"]).select("node", "n", "grams").dropDuplicates(["node"]), "rows")
 

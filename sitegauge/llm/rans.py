@@ -38,9 +38,9 @@ LOW = 1 << 31
 LANES = 512
 BLOCK_TOKENS = 1 << 18
 #: Packed token bytes of one range partition when the number of shards is chosen.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 #: Characters that are encoded together.
-SLICE_CHARS = 6_000_000
+SLICE_CHARS = 4_000_000
 
 
 def quantise(counts: np.ndarray, bits: int = BITS) -> np.ndarray:

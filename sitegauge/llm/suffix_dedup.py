@@ -3,7 +3,8 @@
 Parsing: a rolling hash of ``ROLL`` bytes marks triggers, which depend on nothing but those bytes. Triggers cut a text
 into phrases, and name anchors: the ``ANCHOR`` bytes from a trigger on. A window (a string of LENGTH bytes) is filed under
 the smallest anchor inside it, so equal windows share their anchor, and neighbouring windows with one anchor are one
-row: the anchor and the hash of the stretch of text they span. Windows without an anchor are rows of their own.
+row: the anchor and the hash of the stretch of text they span. Windows without a trigger, as in text that repeats a
+word, take their smallest place as anchor.
 
 Deciding: rows with an equal stretch are repeats as a whole (a combinable count). Rows whose anchor occurs nowhere else
 are unique. What remains are stretches that share an anchor and differ, the ends of repeats. Their texts are fetched
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from sitegauge.llm.common import stored, texts
+from sitegauge.llm.common import MEMBER_BITS, member_bits, stored, texts
 from sitegauge.llm.grams import _VALUES, _powers, mix
 
 LENGTH, ROLL, ANCHOR, TRIGGER = 400, 16, 96, 32
@@ -58,7 +59,11 @@ class Prints:
 
 
 def parse(pieces: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Rows of texts: ``(piece, s1, s2, key, ctx, m)``, windows s1..s2 of a piece, ``m`` of them equal if there is no anchor."""
+    """Rows of texts: ``(piece, s1, s2, key, ctx, m)`` for windows s1..s2 of a piece, of which there are ``m`` equal ones.
+
+    Equal rows among these texts are known repeats: they come as spans with ``m`` = 0, and one of them as a row that
+    tells other tasks.
+    """
     data = np.concatenate(pieces)
     end = np.cumsum([len(p) for p in pieces])
     begin = end - [len(p) for p in pieces]
@@ -86,15 +91,44 @@ def parse(pieces: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     np.add.at(free, end[whole] - LENGTH + 1, -1)
     np.add.at(free, lo, -1)
     np.add.at(free, hi + 1, 1)
-    bare = np.flatnonzero(np.cumsum(free) > 0)
-    name = prints.of(bare, bare + LENGTH)
-    own = np.searchsorted(end, bare, side="right")
-    head = np.flatnonzero(np.append(True, (bare[1:] != bare[:-1] + 1) | (name[1:] != name[:-1]) | (own[1:] != own[:-1]))) if len(bare) else np.empty(0, "i8")
-    tail = np.append(head[1:], len(bare)) - 1 if len(bare) else head
-    a = np.concatenate([lo, bare[head]])
-    b = np.concatenate([hi, bare[tail]])
-    where = np.concatenate([home, own[head]])
-    return where, a - begin[where], b - begin[where], np.concatenate([f, name[head]]), np.concatenate([ctx, name[head]]), np.concatenate([np.ones(len(lo), "i8"), tail - head + 1])
+    more = _without_anchor(prints, np.flatnonzero(np.cumsum(free) > 0))
+    lo, hi, key, ctx = (np.concatenate([x, y]) for x, y in zip((lo, hi, f, ctx), more))
+    home = np.searchsorted(end, lo, side="right")
+    order = np.argsort(lo, kind="stable")
+    lo, hi, key, ctx, home = lo[order], hi[order], key[order], ctx[order], home[order]
+    _, lead, which, many = np.unique(mix(key) ^ ctx, return_index=True, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(many[which] > 1)
+    follows = (lo[again][1:] == hi[again][:-1] + 1) & (home[again][1:] == home[again][:-1])
+    head = np.flatnonzero(np.append(True, ~follows)) if len(again) else again
+    tail = np.append(head[1:], len(again)) - 1 if len(again) else again
+    head, tail = again[head], again[tail]
+    where, none = np.concatenate([home[lead], home[head]]), np.zeros(len(head), "u8")
+    a, b = np.concatenate([lo[lead], lo[head]]) - begin[where], np.concatenate([hi[lead], hi[tail]]) - begin[where]
+    return where, a, b, np.concatenate([key[lead], none]), np.concatenate([ctx[lead], none]), np.concatenate([many, none.view("i8")])
+
+
+def _without_anchor(prints: Prints, bare: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of windows without a trigger's anchor: every place of theirs is an anchor, and the smallest, leftmost one counts."""
+    if not len(bare):
+        return bare, bare, np.empty(0, "u8"), np.empty(0, "u8")
+    width = LENGTH - ANCHOR + 1
+    head = np.flatnonzero(np.append(True, bare[1:] != bare[:-1] + 1))
+    first, count = bare[head], np.diff(np.append(head, len(bare)))
+    size = count + width - 1
+    base = np.cumsum(size) - size
+    t = np.arange(int(size.sum())) - np.repeat(base - first, size)
+    f = mix(prints.of(t, t + ANCHOR) ^ np.uint64(TRIGGER))
+    best, span = np.arange(len(t)), 1
+    while 2 * span <= width:  # smallest of the ``span`` places from each place on
+        other = best[np.minimum(np.arange(len(t)) + span, len(t) - 1)]
+        best = np.where(f[other] < f[best], other, best)
+        span *= 2
+    at = np.repeat(base, count) + bare - np.repeat(first, count)
+    left, right = best[at], best[at + width - span]
+    chosen = np.where(f[right] < f[left], right, left)
+    start = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]))
+    lo, hi, chosen = bare[start], bare[np.append(start[1:], len(bare)) - 1], chosen[start]
+    return lo, hi, f[chosen], mix(prints.of(lo, hi + LENGTH) ^ mix((t[chosen] - lo).astype("u8")))
 
 
 def _pieces(text: bytes) -> Iterator[tuple[int, np.ndarray]]:
@@ -224,6 +258,11 @@ def _ask(batches: Iterator[pa.RecordBatch], buckets: int):
         yield flush()
 
 
+def _members(batches: Iterator[pa.RecordBatch], bits: np.ndarray):
+    for batch in batches:
+        yield batch.filter(pa.array(bits[batch.column("rid").to_numpy() % MEMBER_BITS]))
+
+
 def _answer(batches: Iterator[pa.RecordBatch]):
     rows = [r for batch in batches for r in batch.to_pylist()]
     if not rows:
@@ -290,15 +329,19 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = stored(docs.mapInArrow(_parse_rows, ROWS), "rows")
+    known, rows = rows.filter("m = 0").select("rid", "s1", "s2"), rows.filter("m > 0")
     classes = rows.groupBy("key", "ctx").agg(F.sum("m").alias("c"), F.min(F.struct("rid", "s1", "s2")).alias("v"))
     classes = stored(classes, "classes")
     shared = classes.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     settled = rows.join(classes.filter("c > 1").select("key", "ctx"), ["key", "ctx"], "left_semi").select("rid", "s1", "s2")
     mixed = classes.join(shared, "key", "left_semi").select("v.*", "c").groupBy("rid").agg(F.collect_list(F.struct("s1", "s2", "c")).alias("spans"))
-    asked = docs.dropDuplicates(["rid"]).join(mixed, "rid").mapInArrow(
+    mixed = stored(mixed, "mixed")
+    bits = spark.sparkContext.broadcast(member_bits(mixed.select("rid"), lambda batch: batch.column("rid").to_numpy() % MEMBER_BITS))
+    possible = docs.mapInArrow(lambda it: _members(it, bits.value), docs.schema)
+    asked = possible.join(mixed, "rid").mapInArrow(
         lambda it: _ask(it, buckets), "slice long, bucket long, names binary, asks binary, rids binary, firsts binary, counts binary, known binary")
     answers = asked.repartition(buckets, "bucket").mapInArrow(_answer, "slice long, hits binary, rids binary, firsts binary, counts binary")
-    return settled.unionByName(answers.repartition(buckets, "slice").mapInArrow(_spans, SPANS))
+    return known.unionByName(settled).unionByName(answers.repartition(buckets, "slice").mapInArrow(_spans, SPANS))
 
 
 def dedup(docs: DataFrame, **columns: str) -> DataFrame:

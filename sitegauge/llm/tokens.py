@@ -19,7 +19,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 END = 2
 #: Chunks kept in each of the two generations of a worker's memo.
-MEMO = 500_000
+MEMO = 300_000
 _WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _PLAIN = re.compile(f" ?[!-~{_LETTERS}]+(?:\n[!-~{_LETTERS}]+)*")
