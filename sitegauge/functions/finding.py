@@ -65,8 +65,8 @@ def scope_categories(scan_type: Column) -> Column:
 
 
 def public_id(created: Column, print_: Column) -> Column:
-    """``MG-yymmdd-XXXXX``; the last part comes from the fingerprint, so a rerun gives the same id."""
-    return F.concat(F.lit("MG-"), F.date_format(created, "yyMMdd"), F.lit("-"), F.upper(F.substring(print_, 1, 5)))
+    """``MG-yymmdd-`` and 16 characters of the fingerprint, so a rerun gives the same id and a day's ids do not collide."""
+    return F.concat(F.lit("MG-"), F.date_format(created, "yyMMdd"), F.lit("-"), F.upper(F.substring(print_, 1, 16)))
 
 
 def label(value: Column) -> Column:
@@ -74,6 +74,11 @@ def label(value: Column) -> Column:
     return F.coalesce(F.try_element_at(tx.lookup(vocab.LABELS), value), value)
 
 
+def display_text(value: Column) -> Column:
+    """Display form of a title, summary or advice; an unknown text is its own display form."""
+    return F.coalesce(F.try_element_at(tx.lookup(vocab.TEXT_LABELS), value), value)
+
+
 def source(rule_key: Column) -> Column:
     return F.when(rule_key.startswith("ai."), "AI").otherwise("Rule")
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sitegauge.functions import vocab
 
 SPACE = r"[\s\p{Z}\x{85}]+"
-WORD = r"[\p{L}\p{N}]+(?:['’_-][\p{L}\p{N}]+)*"
+# possessive, so that a token of any number of joined parts is matched without recursion
+WORD = r"[\p{L}\p{N}]++(?:['’_-][\p{L}\p{N}]++)*+"
 # runs without letters and digits other than one plain space
 OTHER_RUN = r"[^\p{L}\p{N} ][^\p{L}\p{N}]*+| [^\p{L}\p{N}]++"
 

@@ -246,21 +246,30 @@ def essential_type(url: Column, link_text: Column | None = None) -> Column:
 def site_slug(sites: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Unique slug per new site; equal base slugs are numbered -2, -3, … in id order.
 
-    ``sites`` holds (id, domain). ``existing`` holds (slug) already taken; numbering continues after them.
+    ``sites`` holds (id, domain). ``existing`` holds (slug) already taken. A numbered slug may be the base of another
+    site or be taken; such sites, the higher ids, get the next numbers of their base until no slug is given twice.
     """
     from sitegauge.operators.numbering import number_in_group
-
-    base = sites.withColumn("base", tx.slug(F.replace(F.col("domain"), F.lit("."), F.lit("-"))))
-    ranked = number_in_group(base, ["base"], "id", "n")
-    if existing is not None:
-        taken = existing.select(
-            F.regexp_replace("slug", r"-[0-9]+$", "").alias("base"),
-        ).groupBy("base").agg(F.count("*").alias("taken"))
-        ranked = ranked.join(taken, "base", "left").withColumn("n", F.col("n") + F.coalesce("taken", F.lit(0)))
-    return ranked.select(
-        "id", "domain",
-        F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("n").cast("string"))).alias("slug"),
-    )
+    from sitegauge.session import cut
+
+    base = sites.select("id", "domain", tx.slug(F.replace(F.col("domain"), F.lit("."), F.lit("-"))).alias("base"))
+    pending = number_in_group(base, ["base"], "id", "n")
+    named = F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("n").cast("string")))
+    taken = existing.select("slug").distinct() if existing is not None else None
+    given = None
+    while True:
+        tried = pending.withColumn("slug", named)
+        first = tried.groupBy("slug").agg(F.min("id").alias("id"))
+        if taken is not None:
+            first = first.join(taken, "slug", "left_anti")
+        won = cut(tried.join(first, ["slug", "id"], "left_semi").select("id", "domain", "slug", "base", "n"))
+        lost = cut(tried.join(won.select("id"), "id", "left_anti").select("id", "domain", "base"))
+        given = won if given is None else given.unionByName(won)
+        if lost.isEmpty():
+            return given.select("id", "domain", "slug")
+        top = pending.groupBy("base").agg(F.max("n").alias("top"))
+        pending = cut(number_in_group(lost, ["base"], "id", "k").join(top, "base").select("id", "domain", "base", (F.col("k") + F.col("top")).alias("n")))
+        taken = won.select("slug") if taken is None else cut(taken.unionByName(won.select("slug")))
 
 
 def site_register(requests: DataFrame, sites: DataFrame) -> DataFrame:

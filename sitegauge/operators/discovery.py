@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sitegauge.functions import text as tx, url as ux
@@ -84,7 +86,7 @@ def lastmod_epoch(value: Column) -> Column:
     return F.coalesce(*[F.unix_timestamp(t) for t in parsed], F.lit(0)).cast("long")
 
 
-def sitemap_expand(seeds: DataFrame, sitemaps: DataFrame, p: Params = DEFAULT, depth: int = 8) -> tuple[DataFrame, DataFrame]:
+def sitemap_expand(seeds: DataFrame, sitemaps: DataFrame, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Sitemap files reached from the seeds, in reading order, and counters per site.
 
     ``seeds``: site, start_url, url, seq, required. ``sitemaps``: url, status, body. Every round reads the index files
@@ -97,7 +99,7 @@ def sitemap_expand(seeds: DataFrame, sitemaps: DataFrame, p: Params = DEFAULT, d
         "site", "start_url", ux.normalize(C("url")).alias("url"), F.array(C("seq").cast("long")).alias("order"), "required"
     )
     seen = None
-    for _ in range(depth):
+    while True:
         wave = wave.filter(ux.host_key(C("url")) == ux.host_key(C("start_url")))
         wave = first_per_group(wave, ["site", "url"], ["order"])
         if seen is not None:
@@ -105,7 +107,7 @@ def sitemap_expand(seeds: DataFrame, sitemaps: DataFrame, p: Params = DEFAULT, d
         wave = cut(wave.join(known, "url", "left"))
         if wave.isEmpty():
             break
-        seen = wave if seen is None else seen.unionByName(wave)  # a union of finished tables, at most ``depth`` of them
+        seen = wave if seen is None else seen.unionByName(wave)  # a union of finished tables
         children = wave.filter("kind = 'index'").select(
             "site", "start_url", "order", "url",
             F.posexplode(F.array_sort(F.transform("entries", lambda e, i: F.struct((-lastmod_epoch(e["lastmod"])).alias("n"), i.alias("i"), e["loc"].alias("loc"))))).alias("k", "e"),
@@ -114,12 +116,13 @@ def sitemap_expand(seeds: DataFrame, sitemaps: DataFrame, p: Params = DEFAULT, d
             "site", "start_url", ux.resolve(C("url"), C("e.loc")).alias("url"), F.concat("order", F.array(C("k").cast("long"))).alias("order"), F.lit(True).alias("required")
         ).filter("url is not null")
     ordered = seen.withColumn("level", F.size("order"))
-    ranked = top_per_group(ordered, ["site"], [F.asc("level"), F.asc("order")], p.max_sitemaps, "file_order")
+    most = p.max_sitemaps or (1 << 31) - 2  # zero: no limit
+    ranked = top_per_group(ordered, ["site"], [F.asc("level"), F.asc("order")], most, "file_order")
     total = seen.groupBy("site").agg(F.count("*").alias("reached"))
     counters = ranked.groupBy("site").agg(
         F.count_if(C("kind").isin("index", "urlset")).alias("sitemap_files"),
         F.count_if(C("required") & (C("kind").isNull() | (C("kind") == "unknown"))).alias("sitemap_errors"),
-    ).join(total, "site").withColumn("truncated", C("reached") > p.max_sitemaps).drop("reached")
+    ).join(total, "site").withColumn("truncated", C("reached") > most).drop("reached")
     return ranked.select("site", "start_url", "url", "file_order", "kind", "entries"), counters
 
 
@@ -131,7 +134,7 @@ def sitemap_candidates(files: DataFrame) -> DataFrame:
     rows = files.filter("kind = 'urlset'").select("site", "start_url", "url", "file_order", F.posexplode("entries").alias("i", "e"))
     rows = rows.select(
         "site", lastmod_epoch(C("e.lastmod")).alias("lastmod"), ux.post_sitemap(C("url")).alias("post"),
-        (C("file_order").cast("long") * 1_000_000 + C("i")).alias("sequence"),
+        (C("file_order").cast("long") * (1 << 32) + C("i")).alias("sequence"),
         F.explode(internal(C("start_url"), C("url"), C("e.loc"))).alias("candidate"),
     )
     return first_per_group(rows.withColumnRenamed("candidate", "url"), ["site", "url"], ["sequence"])
@@ -147,7 +150,7 @@ def required_pages(home_links: DataFrame, candidates: DataFrame | None = None) -
     rows = home_links.select("site", C("i").cast("long").alias("sequence"), F.explode(internal(C("url"), C("url"), C("href"))).alias("url"), "label")
     rows = rows.select("site", "url", ux.essential_type(C("url"), C("label")).alias("kind"), "sequence").filter("kind <> 'home'")
     if candidates is not None:
-        more = candidates.select("site", "url", ux.essential_type(C("url")).alias("kind"), (C("sequence") + (1 << 40)).alias("sequence"))
+        more = candidates.select("site", "url", ux.essential_type(C("url")).alias("kind"), (C("sequence") + (1 << 62)).alias("sequence"))
         rows = rows.unionByName(more.filter("kind is not null"))
     return first_per_group(rows, ["site", "url"], ["sequence"])
 
@@ -261,18 +264,18 @@ def link_frontier(edges: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(known.select("site", "url_hash"), ["site", "url_hash"], "left_anti")
 
 
-def link_reachable(starts: DataFrame, edges: DataFrame, allowed: DataFrame | None = None, max_depth: int = 64) -> DataFrame:
+def link_reachable(starts: DataFrame, edges: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """Pages reachable from each site's start URL with their depth, breadth first.
 
     ``starts``: site, url; ``edges``: site, from_url, to_url; ``allowed``: site, url of pages robots permit. Each round
-    joins only the last frontier; frontiers are finished tables, and the visited set is merged into one every few rounds.
+    joins only the last frontier, until it is empty; frontiers are finished tables, and the visited set is merged into one every few rounds.
     """
     if allowed is not None:
         edges = edges.join(allowed.select("site", C("url").alias("to_url")), ["site", "to_url"], "left_semi")
     edges = cut(edges.select("site", "from_url", "to_url").distinct())
     frontier = cut(starts.select("site", "url", F.lit(0).alias("depth")))
     visited = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         step = frontier.select("site", C("url").alias("from_url")).join(edges, ["site", "from_url"]).select("site", C("to_url").alias("url")).distinct()
         frontier = cut(step.join(visited.select("site", "url"), ["site", "url"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():

@@ -56,7 +56,10 @@ def lifecycle_upsert(old: DataFrame, new: DataFrame, now: Column, order: str = "
     return mg.upsert(old, latest, keys, {
         "status": F.when(C("o.status").isin("investigating", "remediating"), C("o.status")).otherwise("open"),
         "first_seen_at": F.coalesce("o.first_seen_at", now), "last_seen_at": now,
-        "resolved_at": F.lit(None).cast("timestamp"),
+        "resolved_at": F.lit(None).cast("timestamp"), "public_id": F.coalesce("o.public_id", fd.public_id(now, C("fingerprint"))),
+    } if "public_id" in old.columns else {
+        "status": F.when(C("o.status").isin("investigating", "remediating"), C("o.status")).otherwise("open"),
+        "first_seen_at": F.coalesce("o.first_seen_at", now), "last_seen_at": now, "resolved_at": F.lit(None).cast("timestamp"),
     })
 
 
@@ -93,8 +96,15 @@ def resolve_missing(
 
 
 def finding_transition(findings: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
-    """Manual changes (fingerprint, new_status, new_assignee): the assignee stays when none is given."""
-    rows = findings.join(updates, "fingerprint", "left")
+    """Manual changes (fingerprint, new_status, new_assignee, optionally changed_at): the assignee stays when none is given.
+
+    The last change of a finding counts, by ``changed_at`` and then by status; a status that does not exist is ignored.
+    """
+    if "changed_at" not in updates.columns:
+        updates = updates.withColumn("changed_at", F.lit(0))
+    known = updates.withColumn("new_status", F.when(C("new_status").isin(*vocab.OPEN_STATUSES, "resolved"), C("new_status")))
+    latest = mg.latest_per_key(known, ["fingerprint"], F.struct("changed_at", "new_status", "new_assignee")).drop("changed_at")
+    rows = findings.join(latest, "fingerprint", "left")
     moved = C("new_status").isNotNull()
     return rows.withColumns({
         "resolved_at": F.when(moved, F.when(C("new_status") == "resolved", now)).otherwise(C("resolved_at")),
@@ -197,7 +207,7 @@ def scan_partial(truncated: Column, sitemap_errors: Column, confidence: Column,
 
 
 def scan_complete(scans: DataFrame, progress: DataFrame, scores: DataFrame, scan_findings: DataFrame, page_counts: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(finished scans, refreshed sites).
+    """(finished scans, refreshed sites); a site with several scans takes its values from the one with the highest id.
 
     ``scans``: scan_id, website_id, pages_discovered, discovery_truncated, sitemap_errors, discovery_confidence;
     ``progress``: per-scan target counts; ``scores``: website_id, score, open_findings.
@@ -220,7 +230,8 @@ def scan_complete(scans: DataFrame, progress: DataFrame, scores: DataFrame, scan
         C("discovered").alias("pages_discovered"), C("scanned").alias("pages_scanned"), zero("findings_count").alias("findings_count"),
         "score", coverage.alias("coverage_percent"), now.alias("finished_at"),
     )
-    sites = rows.select(
+    latest = mg.latest_per_key(rows, ["website_id"], "scan_id")
+    sites = latest.select(
         "website_id", sc.status_from_score(C("score")).alias("status"), C("score").alias("overall_score"), zero("pages").alias("pages_count"),
         C("discovered").alias("last_discovered_pages"), C("scanned").alias("last_scanned_pages"), C("partial").alias("last_scan_partial"),
         zero("open_findings").alias("open_findings_count"), now.alias("last_scanned_at"), F.timestamp_add("DAY", F.lit(1), now).alias("next_scan_at"),

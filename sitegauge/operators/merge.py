@@ -44,7 +44,7 @@ def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = No
     return version
 
 
-def latest_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+def latest_per_key(rows: DataFrame, keys: list[str], order: str | Column) -> DataFrame:
     """Last write per key, as a combinable aggregate."""
     rest = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*")
@@ -56,6 +56,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, Col
     Columns of ``new`` replace those of ``old``; ``rules`` gives the value of a column for rows present in ``new``,
     written over ``o`` (old row, null when absent) and ``n`` (new row).
     """
+    added = [c for c in new.columns if c not in old.columns]  # columns the old snapshot does not have yet
+    old = old.withColumns({c: F.lit(None).cast(new.schema[c].dataType) for c in added})
     columns = [c for c in old.columns if c not in keys]
     o = old.select(*keys, F.struct(*columns).alias("o"))
     n = new.select(*keys, F.struct(*[c for c in new.columns if c not in keys]).alias("n"))
@@ -70,8 +72,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, Col
 
 
 def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key is not stored yet, one per key."""
-    return new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")
+    """Rows of ``new`` whose key is not stored yet, one per key: the first by ``position`` if there is one, else by all columns."""
+    rest = [c for c in new.columns if c not in keys]
+    order = F.struct(*(["position"] if "position" in rest else []), *[c for c in rest if c != "position"])
+    first = new.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*") if rest else new.distinct()
+    return first.join(old.select(*keys), keys, "left_anti")
 
 
 def mark(rows: DataFrame, table: DataFrame, keys: list[str], flag: str, spread: str) -> DataFrame:

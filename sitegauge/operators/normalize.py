@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sitegauge.functions import finding as fd, text as tx, url as ux, vocab
 from sitegauge.operators.numbering import first_per_group, top_per_group
+from sitegauge.operators import merge as mg
 from sitegauge.params import DEFAULT, Params
 
 C = F.col
@@ -210,8 +211,9 @@ def evidence_source_urls(findings: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def copyright_review_upsert(reviews: DataFrame, updates: DataFrame, pages: DataFrame) -> DataFrame:
-    """One review per (website, page): an update replaces status, match and notes; the search text is the quoted title."""
+    """One review per (website, page): the last update replaces status, match and notes; the search text is the quoted title."""
     quoted = F.concat(F.lit('"'), F.substring(F.coalesce("title", F.lit("")), 1, 180), F.lit('"'))
+    updates = mg.latest_per_key(updates, ["website_id", "page_id"], F.struct("reviewed_at", "status", "matched_url", "notes"))
     fresh = updates.join(pages.select("page_id", "title"), "page_id", "left").select(
         "website_id", "page_id", C("status").alias("n_status"), quoted.alias("n_query"), C("matched_url").alias("n_url"),
         C("notes").alias("n_notes"), C("reviewed_at").alias("n_at"), F.lit(True).alias("is_new"),

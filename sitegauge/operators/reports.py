@@ -33,10 +33,10 @@ def with_page(rows: DataFrame, pages: DataFrame, *columns: str, by: str = "finge
 # ---------------------------------------------------------------- scan aggregates
 
 def crawl_counters(responses: DataFrame) -> DataFrame:
-    """Blocked, failed and non-HTML counts per scan; robots blocks come as a flag when the table has one."""
+    """Blocked, failed and non-HTML counts per scan; ``allowed`` is the result of ``robots_allowed``."""
     from sitegauge.operators.sources import response_state
 
-    blocked = C("blocked") if "blocked" in responses.columns else (C("page_id") % 23 == 0)
+    blocked = ~C("allowed")
     return response_state(responses).groupBy(C("grp").alias("scan_id")).agg(
         F.count_if(blocked).alias("blocked_by_robots"), F.count_if(C("response_state") == "failed").alias("failed_requests"),
         F.count_if(C("response_state") == "non_html").alias("non_html_responses"),
@@ -110,11 +110,30 @@ def missing_types(pages: DataFrame) -> DataFrame:
     return pages.filter("scanned").groupBy("website_id").agg(F.array_except(every, found).alias("missing"))
 
 
-AREAS = ["privacy", "identity", "original_content", "content_quality", "prohibited", "ad_density", "ad_placement", "technical", "information_pages"]
+def policy_evidence() -> dict[str, Column]:
+    """Value of each kind of evidence over a site's joined counts; lists count their entries."""
+    found = {"privacy_page_found": "privacy", "about_page_found": "about", "contact_page_found": "contact", "editorial_policy_found": "editorial"}
+    by_category = {
+        "privacy_or_consent_findings": "Privacy & consent", "deceptive_practice_findings": "Deceptive practices",
+        "publisher_requirement_findings": "Publisher requirements", "content_quality_findings": "Content quality",
+        "duplicate_content_findings": "Duplicate content", "copyright_findings": "Copyright", "prohibited_content_findings": "Prohibited content",
+        "ad_experience_findings": "Ad experience", "technical_trust_findings": "Technical trust",
+    }
+    plain = {
+        "missing_privacy_link_findings": "missing_privacy_link", "missing_consent_signal_findings": "missing_consent_signal",
+        "thin_content_pages": "thin_pages", "average_words_per_page": "average_words", "ai_analyzed_pages": "ai_pages_analyzed",
+        "pages_with_ads": "pages_with_ads", "average_ads_per_page": "average_ads", "browser_ad_audit_findings": "browser_findings", "http_error_pages": "error_pages",
+    }
+    values = {name: F.array_contains("found", kind) for name, kind in found.items()}
+    values |= {name: C(column) for name, column in (by_category | plain).items()}
+    return values | {"scan_partial": C("scan_status") == "partial", "found_page_types": F.size("found"), "missing_page_types": F.size("missing")}
+
 
+def policy_matrix(sites: DataFrame, findings: DataFrame, pages: DataFrame, scans: DataFrame) -> DataFrame:
+    """Evidence for each area of the policy review per site: area, its requirement and policy, evidence, value, page types.
 
-def policy_matrix(sites: DataFrame, findings: DataFrame, pages: DataFrame) -> DataFrame:
-    """Nine policy areas per site with the counts that bear on each, as (area, evidence, value) rows."""
+    Pages are aggregated once. The scan behind the review is the site's last finished one.
+    """
     cat, rule = C("category"), C("rule_key")
     counts = sc.open_findings(findings).groupBy("website_id").agg(
         *[F.count_if(cat == c).alias(c) for c in vocab.CATEGORIES],
@@ -122,25 +141,25 @@ def policy_matrix(sites: DataFrame, findings: DataFrame, pages: DataFrame) -> Da
         F.count_if(rule == "privacy.consent-signal-missing").alias("missing_consent_signal"),
         F.count_if(rule.startswith("ads.browser-")).alias("browser_findings"),
     )
-    profile = site_page_profile(pages).select("website_id", "thin_pages", "pages_with_ads", "error_pages")
-    found = pages.filter("scanned").groupBy("website_id").agg(
-        *[F.count_if(C("essential_page_type") == t).alias(f"has_{t}") for t in ("privacy", "about", "contact", "editorial")],
-        F.count_distinct(F.when(C("essential_page_type") != "home", C("essential_page_type"))).alias("found_types"),
+    kinds = F.array_sort(F.collect_set(F.when(C("essential_page_type") != "home", C("essential_page_type"))))  # at most seven values
+    profile = pages.filter("scanned").groupBy("website_id").agg(
+        F.round(F.avg("word_count"), 1).alias("average_words"), F.round(F.avg("ad_count"), 1).alias("average_ads"),
+        F.count_if(C("word_count") < DEFAULT.thin_words).alias("thin_pages"), F.count_if(C("ad_count") > 0).alias("pages_with_ads"),
+        F.count_if(C("status_code") >= 400).alias("error_pages"), kinds.alias("found"),
     )
-    row = sites.select("website_id").join(counts, "website_id", "left").join(profile, "website_id", "left").join(found, "website_id", "left").fillna(0)
-    seen = lambda t: F.least(C(f"has_{t}"), F.lit(1))
-    areas = {
-        "privacy": {"privacy_page_found": seen("privacy"), "privacy_findings": C("Privacy & consent"), "missing_privacy_link": C("missing_privacy_link"), "missing_consent_signal": C("missing_consent_signal")},
-        "identity": {"deceptive_findings": C("Deceptive practices"), "publisher_findings": C("Publisher requirements"), "about_found": seen("about"), "contact_found": seen("contact"), "editorial_found": seen("editorial")},
-        "original_content": {"quality_findings": C("Content quality"), "duplicate_findings": C("Duplicate content"), "copyright_findings": C("Copyright"), "thin_pages": C("thin_pages")},
-        "content_quality": {"quality_findings": C("Content quality"), "thin_pages": C("thin_pages")},
-        "prohibited": {"prohibited_findings": C("Prohibited content"), "deceptive_findings": C("Deceptive practices")},
-        "ad_density": {"ad_findings": C("Ad experience"), "pages_with_ads": C("pages_with_ads")},
-        "ad_placement": {"ad_findings": C("Ad experience"), "browser_findings": C("browser_findings")},
-        "technical": {"technical_findings": C("Technical trust"), "error_pages": C("error_pages")},
-        "information_pages": {"found_types": C("found_types"), "missing_types": F.lit(len(vocab.LINKED_TYPES)) - C("found_types")},
-    }
-    cells = [F.struct(F.lit(a).alias("area"), F.lit(e).alias("evidence"), v.cast("long").alias("value")) for a, m in areas.items() for e, v in m.items()]
+    last = scans.filter(C("status").isin("completed", "partial")).groupBy("website_id").agg(
+        F.max_by(F.struct("status", "ai_pages_analyzed"), F.struct("finished_at", "scan_id")).alias("s"),
+    ).select("website_id", C("s.status").alias("scan_status"), "s.ai_pages_analyzed")
+    row = sites.select("website_id").join(counts, "website_id", "left").join(profile, "website_id", "left").join(last, "website_id", "left")
+    row = row.fillna(0).fillna("", ["scan_status"]).withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+    row = row.withColumn("missing", F.array_except(F.array(*[F.lit(t) for t in vocab.LINKED_TYPES]), C("found")))
+    values, lists = policy_evidence(), {"found_page_types": C("found"), "missing_page_types": C("missing")}
+    cells = [
+        F.struct(
+            F.lit(area).alias("area"), F.lit(level).alias("requirement_level"), F.lit(expects).alias("google_expectation"), F.lit(url).alias("policy_url"),
+            F.lit(name).alias("evidence"), values[name].cast("double").alias("value"), lists.get(name, F.lit(None).cast("array<string>")).alias("page_types"))
+        for area, level, expects, url, names in vocab.POLICY_AREAS for name in names
+    ]
     return row.select("website_id", F.inline(F.array(*cells)))
 
 

@@ -54,7 +54,7 @@ def _ratio() -> Column:
 def rule_content_thin(p: Params = DEFAULT) -> Rule:
     return Rule(
         "content.thin-page", C("word_count") < p.thin_words, "Content quality", _high_if(C("word_count") < 150), 92,
-        F.struct("word_count", "paragraph_count"), "Thin or insufficient page content",
+        F.struct("word_count", "paragraph_count"), vocab.RULE_TITLES["content.thin-page"],
         "publisher policies: low-value content", "Add original, useful content or stop monetising the page.",
     )
 
@@ -63,7 +63,7 @@ def rule_content_structure(p: Params = DEFAULT) -> Rule:
     return Rule(
         "content.low-editorial-structure",
         (C("word_count") >= p.thin_words) & (C("word_count") < p.low_value_words) & (C("paragraph_count") < 3),
-        "Content quality", "review", 76, F.struct("word_count", "paragraph_count"), "Limited editorial structure",
+        "Content quality", "review", 76, F.struct("word_count", "paragraph_count"), vocab.RULE_TITLES["content.low-editorial-structure"],
         "publisher policies: valuable inventory", "Structure the article and name sources and authors.",
     )
 
@@ -93,7 +93,7 @@ def rule_copyright_media(p: Params = DEFAULT) -> Rule:
             "external_images", F.slice("external_image_urls", 1, 20).alias("external_image_urls"),
             F.lit(False).alias("visible_attribution"), F.lit("unverified_external_media").alias("source_status"),
         ),
-        "External media provenance is unverified", "publisher policies: intellectual property",
+        vocab.RULE_TITLES["copyright.media-provenance-unverified"], "publisher policies: intellectual property",
         "Verify ownership or licences of all media.",
     )
 
@@ -126,7 +126,7 @@ def rule_ads_density(p: Params = DEFAULT) -> Rule:
         (C("ad_count") > 0) & (C("word_count") >= p.ad_empty_words) & (C("word_count") >= p.ad_thin_words)
         & ((C("ad_count") > p.max_ads) | (_ratio() < p.words_per_ad)),
         "Ad experience", _high_if((C("ad_count") >= p.max_ads + 3) | (_ratio() < 100)), 88, _ad_signals(),
-        "Ad density may overwhelm page content", "publisher policies: more ads than content", "Reduce ad units.",
+        vocab.RULE_TITLES["ads.density-review"], "publisher policies: more ads than content", "Reduce ad units.",
     )
 
 
@@ -134,7 +134,7 @@ def rule_ads_txt_missing(p: Params = DEFAULT) -> Rule:
     return Rule(
         "ads-txt.missing-or-empty", _home() & ~F.coalesce("ads_txt_present", F.lit(False)), "Ad experience", "high", 98,
         F.struct(C("ads_txt_status").alias("http_status"), F.lit(0).alias("authorized_lines")),
-        "ads.txt is missing or empty", "ads.txt authorisation", "Publish a valid ads.txt at the root domain.",
+        vocab.RULE_TITLES["ads-txt.missing-or-empty"], "ads.txt authorisation", "Publish a valid ads.txt at the root domain.",
     )
 
 
@@ -144,14 +144,14 @@ def rule_ads_txt_google(p: Params = DEFAULT) -> Rule:
         _home() & F.coalesce("ads_txt_present", F.lit(False)) & ~F.coalesce("ads_txt_has_google", F.lit(False)),
         "Ad experience", "review", 86,
         F.struct(C("ads_txt_lines").alias("authorized_lines"), F.lit(False).alias("google_entry")),
-        "Google seller entry not detected in ads.txt", "ads.txt authorisation", "Compare ads.txt with the account.",
+        vocab.RULE_TITLES["ads-txt.google-entry-review"], "ads.txt authorisation", "Compare ads.txt with the account.",
     )
 
 
 def rule_privacy_link(p: Params = DEFAULT) -> Rule:
     return Rule(
         "privacy.missing-disclosure-link", _home() & ~C("has_privacy_link"), "Privacy & consent", "high", 94,
-        F.struct(F.lit(False).alias("privacy_link_found")), "Privacy or cookie disclosure link not found",
+        F.struct(F.lit(False).alias("privacy_link_found")), vocab.RULE_TITLES["privacy.missing-disclosure-link"],
         "publisher policies: privacy disclosures", "Publish and link a privacy policy.",
     )
 
@@ -160,7 +160,7 @@ def rule_privacy_consent(p: Params = DEFAULT) -> Rule:
     return Rule(
         "privacy.consent-signal-missing", _home() & (C("ad_count") > 0) & ~C("has_consent_signal"), "Privacy & consent",
         "review", 72, F.struct("ad_count", F.lit(False).alias("cmp_signal_found")),
-        "Consent management signal was not detected", "consent requirements", "Verify the consent banner in a browser.",
+        vocab.RULE_TITLES["privacy.consent-signal-missing"], "consent requirements", "Verify the consent banner in a browser.",
     )
 
 
@@ -209,7 +209,7 @@ def rule_publisher_incomplete(kind: str, p: Params = DEFAULT) -> Rule:
 def rule_no_https(p: Params = DEFAULT) -> Rule:
     return Rule(
         "technical.no-https", ux.scheme(C("url")) != "https", "Technical trust", "high", 100,
-        F.struct(ux.scheme(C("url")).alias("scheme")), "Page is not served over HTTPS",
+        F.struct(ux.scheme(C("url")).alias("scheme")), vocab.RULE_TITLES["technical.no-https"],
         remediation="Serve the whole site over HTTPS.",
     )
 
@@ -218,7 +218,7 @@ def rule_identity_links(p: Params = DEFAULT) -> Rule:
     return Rule(
         "trust.publisher-identity-links", _home() & (~C("has_about_link") | ~C("has_contact_link")), "Content quality",
         "review", 84, F.struct(C("has_about_link").alias("about_link"), C("has_contact_link").alias("contact_link")),
-        "Publisher identity links are incomplete", remediation="Link About and Contact pages from the home page.",
+        vocab.RULE_TITLES["trust.publisher-identity-links"], remediation="Link About and Contact pages from the home page.",
     )
 
 

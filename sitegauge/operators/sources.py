@@ -81,10 +81,11 @@ def ads_txt_lines(ads: DataFrame) -> DataFrame:
 
 
 def page_views(views: DataFrame, now: Column, p: Params = DEFAULT) -> DataFrame:
-    """Views per path over the last full days, highest first, limited to the report's row count."""
+    """Views of every path over the last full days; a report may ask for its highest ``traffic_rows`` rows only."""
     day = F.date_trunc("day", now)
     recent = views.filter((C("ts") >= F.timestamp_add("DAY", F.lit(-p.traffic_days), day)) & (C("ts") < day))
-    return recent.groupBy("path").agg(F.count("*").alias("views")).orderBy(F.desc("views"), "path").limit(p.traffic_rows)
+    counts = recent.groupBy("path").agg(F.count("*").alias("views"))
+    return counts.orderBy(F.desc("views"), "path").limit(p.traffic_rows) if p.traffic_rows else counts
 
 
 MODERATION_SCHEMA = "status string, request struct<id string>, moderation_classes map<string,string>"

@@ -32,12 +32,12 @@ class Params:
     model_min_confidence: int = 70
     model_name: str = "policy-model"
     moderation_threshold: float = 0.55
-    budget_model: int = 100
-    budget_browser: int = 50
-    budget_copy: int = 30
+    budget_model: int = 0            # pages a scan sends to each paid add-on; zero: no limit
+    budget_browser: int = 0
+    budget_copy: int = 0
     # discovery
     max_discovered_urls: int = 100_000
-    max_sitemaps: int = 1_000
+    max_sitemaps: int = 0            # request option; zero: no limit
     max_body_bytes: int = 5_000_000
     requests_per_second: float = 1.5
     bot_name: str = "sitegauge"
@@ -45,7 +45,7 @@ class Params:
     batch_size: int = 10
     page_workers: int = 6
     traffic_days: int = 7
-    traffic_rows: int = 1_000
+    traffic_rows: int = 0            # rows of the displayed traffic report; zero: all paths
     stale_minutes: int = 30
     ruleset: str = "1.4.0"
     scan_type: str = "full"

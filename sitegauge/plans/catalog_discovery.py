@@ -114,21 +114,28 @@ def required(s, d):
     return dc.required_pages(home_links(s, d))
 
 
-add("plan_required_pages", lambda s, d: required(s, d).select("site", "url", "kind"),
-    f"with {HOSTS}, {o.TEXT[len(o.PAGES) + 2:]}, {o.LINKS}, "
+_REQ_FROM = (
+    f"{o.LINKS}, "
     "hl0 as (select site, start_url, i::bigint as i, href, label from ln join ho on ho.first = ln.page_id union all select site, start_url, 1000 + u.i, u.h, u.t from ho, (values (1, '/about', ''), (2, 'contact.html', 'x'), (3, '/legal', 'Chính sách bảo mật'), (5, '/about?x=1', '')) u(i, h, t) where n % 2 = 0), "
     f"hl as ({o.resolved('hl0', 'start_url', 'href', 'site, i, label, start_url')}), hk as (select site, i, resolved as url, {o.essential('resolved', 'label')} as kind from hl where resolved is not null and {o.host_key('resolved')} = site_key(start_url) "
-    f"and not {o.hit('lower(' + o.path('resolved') + ')', o.vocab.ASSET_SUFFIXES)}) select site, url, arg_min(kind, i) as kind from hk where kind is not null and kind <> 'home' group by all".replace("site_key(start_url)", o.host_key("start_url")))
+    f"and not {o.hit('lower(' + o.path('resolved') + ')', o.vocab.ASSET_SUFFIXES)}), rq as (select site, url, arg_min(kind, i) as kind from hk where kind is not null and kind <> 'home' group by all)".replace("site_key(start_url)", o.host_key("start_url")))
+_REQUIRED = f"{HOSTS}, {o.TEXT[len(o.PAGES) + 2:]}, {_REQ_FROM}"
+add("plan_required_pages", lambda s, d: required(s, d).select("site", "url", "kind"), f"with {_REQUIRED} select site, url, kind from rq")
 
 
 def home(s, d):
     return hosts(s, d).select("site", C("start_url").alias("url"))
 
 
-add("plan_all_urls", lambda s, d: dc.plan_all_urls(home(s, d), required(s, d).limit(0), candidates(s, d)).select("site", "url", "source", "phase"),
-    f"with {HOSTS}, {_CAND} select site, start_url as url, 'required_page' as source, 0 as phase from ho union all select site, url, 'sitemap', 2 from cd where url not in (select start_url from ho)")
+_PLAN = ("pa as (select site, start_url as url, 'required_page' as source, 0 as phase, 'home' as kind, 0 as ord from ho union all select site, url, 'required_page', 1, kind, 0 from rq union all select site, url, 'sitemap', 2, '-', 0 from cd), "
+         "pn as (select * from pa qualify row_number() over (partition by site, url order by phase) = 1)")
+add("plan_all_urls", lambda s, d: dc.plan_all_urls(home(s, d), required(s, d), candidates(s, d)).select("site", "url", "source", "phase", F.coalesce("kind", F.lit("-")).alias("kind")),
+    f"with {_REQUIRED}, {_CAND}, {_PLAN} select site, url, source, phase, kind from pn")
 _NEW = "hp as (select site, bool_or(post) as hp from cd group by 1), nr as (select cd.*, row_number() over (partition by site order by lastmod desc, sq) as r from cd join hp using (site) where post or not hp)"
-add("plan_newest_n", lambda s, d: dc.newest_n(candidates(s, d), 3).select("site", "url", "pool_rank"), f"with {o.PAGES}, {_CAND}, {_NEW} select site, url, r::int as pool_rank from nr where r <= 3")
+add("newest_candidates", lambda s, d: dc.newest_n(candidates(s, d), 3).select("site", "url", "pool_rank"), f"with {o.PAGES}, {_CAND}, {_NEW} select site, url, r::int as pool_rank from nr where r <= 3")
+add("plan_newest_n", lambda s, d: dc.plan_newest_n(home(s, d), required(s, d), candidates(s, d), 3).select("site", "url", "source", "phase"),
+    f"with {_REQUIRED}, {_CAND}, {_NEW}, pa as (select site, start_url as url, 'required_page' as source, 0 as phase from ho union all select site, url, 'required_page', 1 from rq union all select site, url, 'sitemap', 2 from nr where r <= 3) "
+    "select * from pa qualify row_number() over (partition by site, url order by phase) = 1")
 
 
 def adds(s, d):
@@ -141,15 +148,16 @@ add("plan_dedupe_cap", lambda s, d: dc.plan_dedupe_cap(adds(s, d), 4)[0].groupBy
 
 
 def metadata(s, d):
-    planned = dc.plan_all_urls(home(s, d), required(s, d).limit(0), candidates(s, d))
+    planned = dc.plan_all_urls(home(s, d), required(s, d), candidates(s, d))
     h = hosts(s, d)
     counters = h.filter("n % 3 = 0").select("site", F.lit(1).alias("sitemap_files"))
     return dc.plan_metadata(planned, counters, h.select("site", F.least("n", F.lit(3)).alias("scanned")), h.select("site", C("n").alias("available_urls")))
 
 
 add("plan_metadata", lambda s, d: metadata(s, d).select("site", "discovered", "required_pages", "discovery_confidence", "coverage_percent", "site_coverage_percent", F.coalesce(F.try_element_at("discovery_sources", F.lit("sitemap")), F.lit(0)).alias("from_sitemap")),
-    f"with {HOSTS}, {_CAND}, k as (select site, count(*) as m from cd where url not in (select start_url from ho) group by 1) select site, 1 + coalesce(m, 0) as discovered, 1::bigint as required_pages, case when n % 3 = 0 then 'high' else 'low' end as discovery_confidence, "
-    "round(least(n, 3) / (1 + coalesce(m, 0)) * 100, 2) as coverage_percent, round(least(least(n, 3), n) / n * 100, 2) as site_coverage_percent, coalesce(m, 0) as from_sitemap from ho left join k using (site)")
+    f"with {_REQUIRED}, {_CAND}, {_PLAN}, k as (select site, count(*) as m, count(*) filter (where source = 'sitemap') as f, count(distinct kind) filter (where kind <> '-') as r from pn group by 1) "
+    "select site, m as discovered, r as required_pages, case when n % 3 = 0 then 'high' else 'low' end as discovery_confidence, "
+    "round(least(n, 3) / m * 100, 2) as coverage_percent, round(least(least(n, 3), n) / n * 100, 2) as site_coverage_percent, f as from_sitemap from ho join k using (site)")
 
 
 def planned_paths(s, d):

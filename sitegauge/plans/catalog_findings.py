@@ -54,7 +54,7 @@ add("finding_scope_filter",
         fd.in_scope(C("scan_type"), C("rule_key"), C("category"), C("severity"))).groupBy("scan_type", "category", "severity").agg(F.count("*").alias("n")),
     f"with {o.FINDINGS}, x as (select *, {o.pick(vocab.SCAN_TYPES, 'l_suppkey % 5')} as scan_type from fb) select scan_type, category, severity, count(*) as n from x where {o.SCOPE % 'scan_type'} group by all")
 add("finding_public_id", lambda s, d: v.findings(s, d).select("fingerprint", fd.public_id(C("first_seen_at"), C("fingerprint")).alias("public_id")),
-    f"with {o.FINDINGS} select fingerprint, 'MG-' || strftime(first_seen_at, '%y%m%d') || '-' || upper(left(fingerprint, 5)) as public_id from fb")
+    f"with {o.FINDINGS} select fingerprint, 'MG-' || strftime(first_seen_at, '%y%m%d') || '-' || upper(left(fingerprint, 16)) as public_id from fb")
 _LABEL = "MAP {" + ", ".join(f"{o.q(k)}: {o.q(x)}" for k, x in vocab.LABELS.items()) + "}"
 add("finding_labels", lambda s, d: v.findings(s, d).groupBy(fd.label(C("category")).alias("category_label"), fd.label(C("status")).alias("status_label"), fd.label(C("rule_key")).alias("rule_label")).agg(F.count("*").alias("n")),
     f"with {o.FINDINGS} select coalesce({_LABEL}[category], category) as category_label, coalesce({_LABEL}[status], status) as status_label, coalesce({_LABEL}[rule_key], rule_key) as rule_label, count(*) as n from fb group by all")
@@ -109,7 +109,6 @@ add("rule_arrow_udf", _arrow,
 
 def _udtf(s, d):
     ru.register_udtf(s)
-    v.model_replies(s, d)
     rows = v.findings(s, d).select("fingerprint", F.to_json(F.array(F.struct("rule_key", "category", "severity", "confidence"))).alias("payload"))
     rows.createOrReplaceTempView("stored_findings")
     return s.sql("select f.severity, f.category, count(*) as n, sum(f.confidence) as total from stored_findings, lateral explode_findings(payload) f group by f.severity, f.category")

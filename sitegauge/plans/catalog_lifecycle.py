@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitegauge.functions import url as ux, vocab
-from sitegauge.operators import lifecycle as lc, merge as mg, reports as rp, retention as rt, scoring as sc
+from sitegauge.operators import discovery as dc, lifecycle as lc, merge as mg, reports as rp, retention as rt, scoring as sc
 from sitegauge.params import DEFAULT
-from sitegauge.plans import oracle as o, views as v
+from sitegauge.plans import catalog_discovery as cd, oracle as o, views as v
 
 C = F.col
 ENTRIES: dict = {}
@@ -202,9 +202,10 @@ _DONE = (f"with {o.SITE_FINDINGS}, {o.SCANS}, {o.SCAN_TARGETS}, {o.SITE_PAGES},
 add("scan_complete", lambda s, d: completed(s, d)[0].select("scan_id", "status", "pages_discovered", "pages_scanned", "findings_count", "score", "coverage_percent"),
     f"{_DONE} select scan_id, case when {_PART} then 'partial' else 'completed' end as status, discovered::int as pages_discovered, scanned::int as pages_scanned, findings_count, score1 as score, round(scanned / discovered * 100, 2) as coverage_percent from x")
 add("scan_complete_sites", lambda s, d: completed(s, d)[1].select("website_id", "status", "overall_score", "pages_count", "last_discovered_pages", "last_scan_partial", "open_findings_count"),
-    f"{_DONE} select website_id, case when score1 < 70 then 'critical' when score1 < 80 then 'high' when score1 < 90 then 'review' else 'healthy' end as status, score1 as overall_score, pages as pages_count, discovered::int as last_discovered_pages, {_PART} as last_scan_partial, open_findings as open_findings_count from x")
-add("crawl_counters", lambda s, d: rp.crawl_counters(v.responses(s, d)),
-    f"with {o.RESPONSES} select grp as scan_id, count(*) filter (where page_id % 23 = 0) as blocked_by_robots, count(*) filter (where status >= 400) as failed_requests, count(*) filter (where status < 400 and ctype <> '' and not contains(ctype, 'html')) as non_html_responses from rs group by 1")
+    f"{_DONE} select website_id, case when score1 < 70 then 'critical' when score1 < 80 then 'high' when score1 < 90 then 'review' else 'healthy' end as status, score1 as overall_score, pages as pages_count, discovered::int as last_discovered_pages, {_PART} as last_scan_partial, open_findings as open_findings_count from x qualify row_number() over (partition by website_id order by scan_id desc) = 1")
+add("crawl_counters", lambda s, d: rp.crawl_counters(dc.robots_allowed(v.responses(s, d).withColumn("url", F.regexp_replace("url", "^http:", "https:")), dc.robots_rules(cd.robots(s, d)))),
+    f"with {o.RESPONSES}, {cd.HOSTS[len(o.PAGES) + 2:]}, {cd._RULES}, bl as (select page_id, coalesce(bool_or(case value when '/en/*3$' then regexp_matches({o.path_or_root('url')}, '^/en/.*3$') else prefix({o.path_or_root('url')}, value) end), false) as blocked "
+    "from pg left join rr on rr.origin = 'https://' || grp and field = 'disallow' group by 1) select grp as scan_id, count(*) filter (where blocked) as blocked_by_robots, count(*) filter (where status >= 400) as failed_requests, count(*) filter (where status < 400 and ctype <> '' and not contains(ctype, 'html')) as non_html_responses from rs join bl using (page_id) group by 1")
 
 # ---------------------------------------------------------------- retention
 def evidence(s, d):

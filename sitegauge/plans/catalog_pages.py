@@ -29,7 +29,7 @@ add("src_dedupe_final_url",
 add("src_response_limit", lambda s, d: so.response_limit(v.responses(s, d), "html", 9000)[1].select("page_id", "bytes"),
     f"with {o.RESPONSES} select page_id, strlen(html)::int as bytes from rs where strlen(html) > 9000")
 add("src_page_views", lambda s, d: so.page_views(v.page_views(s, d), F.expr(v.NOW_EVENTS)),
-    f"with {o.VIEWS} select path, count(*) as views from vw where ts >= timestamp '2024-01-18' and ts < timestamp '2024-01-25' group by path order by views desc, path limit 1000")
+    f"with {o.VIEWS} select path, count(*) as views from vw where ts >= timestamp '2024-01-18' and ts < timestamp '2024-01-25' group by path")
 
 # ---------------------------------------------------------------- URL operators
 add("url_normalize", lambda s, d: v.odd_urls(s, d).select("page_id", ux.normalize(C("odd")).alias("normalized")),

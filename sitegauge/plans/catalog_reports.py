@@ -55,22 +55,23 @@ add("finding_groups", lambda s, d: rp.finding_groups(v.site_findings(s, d)),
 add("missing_types", lambda s, d: rp.missing_types(v.site_pages(s, d)).select("website_id", F.array_join("missing", ",").alias("missing")),
     f"{SP} select website_id, array_to_string(list_filter([{', '.join(o.q(t) for t in vocab.LINKED_TYPES)}], lambda t: not list_contains(coalesce(list(distinct essential_page_type) filter (where essential_page_type is not null), []), t)), ',') as missing from sp where scanned group by 1")
 _CNT = lambda c: f"count(*) filter (where category = {o.q(c)})"
-_MATRIX = [
-    ("privacy", "privacy_page_found", "least(pp, 1)"), ("privacy", "privacy_findings", "c4"), ("privacy", "missing_privacy_link", "ml"), ("privacy", "missing_consent_signal", "mc"),
-    ("identity", "deceptive_findings", "c6"), ("identity", "publisher_findings", "c8"), ("identity", "about_found", "least(pa, 1)"), ("identity", "contact_found", "least(pc, 1)"), ("identity", "editorial_found", "least(pe, 1)"),
-    ("original_content", "quality_findings", "c3"), ("original_content", "duplicate_findings", "c1"), ("original_content", "copyright_findings", "c0"), ("original_content", "thin_pages", "thin"),
-    ("content_quality", "quality_findings", "c3"), ("content_quality", "thin_pages", "thin"), ("prohibited", "prohibited_findings", "c5"), ("prohibited", "deceptive_findings", "c6"),
-    ("ad_density", "ad_findings", "c2"), ("ad_density", "pages_with_ads", "ads"), ("ad_placement", "ad_findings", "c2"), ("ad_placement", "browser_findings", "bf"),
-    ("technical", "technical_findings", "c7"), ("technical", "error_pages", "err"), ("information_pages", "found_types", "ft"), ("information_pages", "missing_types", "7 - ft"),
-]
-add("policy_matrix", lambda s, d: rp.policy_matrix(v.sites(s, d), v.site_findings(s, d), v.site_pages(s, d)),
-    f"with {o.SITE_FINDINGS}, {o.SITES}, {o.SITE_PAGES}, c as (select website_id, {', '.join(f'{_CNT(c)} as c{i}' for i, c in enumerate(vocab.CATEGORIES))}, count(*) filter (where rule_key = 'privacy.missing-disclosure-link') as ml, "
+_SQL_VALUES = {
+    "privacy_page_found": "list_contains(ft, 'privacy')::int", "about_page_found": "list_contains(ft, 'about')::int", "contact_page_found": "list_contains(ft, 'contact')::int", "editorial_policy_found": "list_contains(ft, 'editorial')::int",
+    "privacy_or_consent_findings": "c4", "deceptive_practice_findings": "c6", "publisher_requirement_findings": "c8", "content_quality_findings": "c3", "duplicate_content_findings": "c1", "copyright_findings": "c0",
+    "prohibited_content_findings": "c5", "ad_experience_findings": "c2", "technical_trust_findings": "c7", "missing_privacy_link_findings": "ml", "missing_consent_signal_findings": "mc", "thin_content_pages": "thin",
+    "average_words_per_page": "aw", "ai_analyzed_pages": "ai", "pages_with_ads": "ads", "average_ads_per_page": "aa", "browser_ad_audit_findings": "bf", "http_error_pages": "err", "scan_partial": "(ss = 'partial')::int",
+    "found_page_types": "len(ft)", "missing_page_types": "7 - coalesce(len(ft), 0)",
+}
+add("policy_matrix", lambda s, d: rp.policy_matrix(v.sites(s, d), v.site_findings(s, d), v.site_pages(s, d), v.scans(s, d)).withColumn("page_types", F.coalesce(F.array_join(F.array_sort("page_types"), ","), F.lit("-"))),
+    f"with {o.SITE_FINDINGS}, {o.SITES}, {o.SITE_PAGES}, {o.SCANS}, c as (select website_id, {', '.join(f'{_CNT(c)} as c{i}' for i, c in enumerate(vocab.CATEGORIES))}, count(*) filter (where rule_key = 'privacy.missing-disclosure-link') as ml, "
     f"count(*) filter (where rule_key = 'privacy.consent-signal-missing') as mc, count(*) filter (where prefix(rule_key, 'ads.browser-')) as bf from sf where {OPEN} group by 1), "
-    "p as (select website_id, count(*) filter (where word_count < 300) as thin, count(*) filter (where ad_count > 0) as ads, count(*) filter (where status_code >= 400) as err, count(*) filter (where essential_page_type = 'privacy') as pp, count(*) filter (where essential_page_type = 'about') as pa, "
-    "count(*) filter (where essential_page_type = 'contact') as pc, count(*) filter (where essential_page_type = 'editorial') as pe, count(distinct case when essential_page_type <> 'home' then essential_page_type end) as ft from sp where scanned group by 1), "
-    "x as (select * from ws left join c using (website_id) left join p using (website_id)) " + " union all ".join(
-        f"select website_id, {o.q(a)} as area, {o.q(e)} as evidence, {'7 - coalesce(ft, 0)' if x == '7 - ft' else f'coalesce({x}, 0)'}::bigint as value from x" for a, e, x in _MATRIX).replace("coalesce(least(pp, 1), 0)", "least(coalesce(pp, 0), 1)").replace(
-        "coalesce(least(pa, 1), 0)", "least(coalesce(pa, 0), 1)").replace("coalesce(least(pc, 1), 0)", "least(coalesce(pc, 0), 1)").replace("coalesce(least(pe, 1), 0)", "least(coalesce(pe, 0), 1)"))
+    "p as (select website_id, round(avg(word_count), 1) as aw, round(avg(ad_count), 1) as aa, count(*) filter (where word_count < 300) as thin, count(*) filter (where ad_count > 0) as ads, count(*) filter (where status_code >= 400) as err, "
+    "coalesce(list_sort(list(distinct essential_page_type) filter (where essential_page_type <> 'home')), []) as ft from sp where scanned group by 1), "
+    "l as (select website_id, arg_max(status, (finished_at, scan_id)) as ss, arg_max(ai_pages_analyzed, (finished_at, scan_id)) as ai from sc where status in ('completed', 'partial') group by 1), "
+    f"x as (select * from ws left join c using (website_id) left join p using (website_id) left join l using (website_id)), all_ as (select [{', '.join(o.q(t) for t in vocab.LINKED_TYPES)}] as every) " + " union all ".join(
+        f"select website_id, {o.q(area)} as area, {o.q(level)} as requirement_level, {o.q(expects)} as google_expectation, {o.q(url)} as policy_url, {o.q(name)} as evidence, coalesce({_SQL_VALUES[name]}, 0)::double as value, "
+        + {"found_page_types": "coalesce(array_to_string(ft, ','), '')", "missing_page_types": "array_to_string(list_sort(list_filter(every, lambda t: not coalesce(list_contains(ft, t), false))), ',')"}.get(name, "'-'") + " as page_types from x, all_"
+        for area, level, expects, url, names in vocab.POLICY_AREAS for name in names))
 _LAST = "la as (select website_id, arg_max(pages_scanned, (finished_at, scan_id)) as ls from sc where status in ('completed', 'partial') group by 1)"
 _GRP = " ".join(f"when {o.inside('category', cs)} then {o.q(n)}" for n, cs in vocab.POLICY_GROUPS.items())
 add("site_policy_groups", lambda s, d: rp.site_policy_groups(v.sites(s, d), v.site_findings(s, d), v.scans(s, d)),

@@ -53,7 +53,7 @@ def contexts(s, d):
 
 
 add("stream_context_sanitize", lambda s, d: contexts(s, d).withColumn("clean", lv.sanitize_context(C("context"))).select("doc_id", F.length("clean").alias("chars"), F.coalesce(F.get_json_object("clean", "$.id"), F.lit("-")).alias("kept_id"), F.get_json_object("clean", "$.api_key").isNull().alias("no_secret")),
-    "select doc_id, case when doc_id % 7 = 0 then length('{\"truncated\":true,\"summary\":\"' || replace(left('{\"id\":\"' || doc_id || '\",\"note\":\"' || repeat('x', 25000) || '\"}', 19000), '\"', '##') || '\"}') else length('{\"id\":\"\",\"note\":\"xxxxx\"}' || doc_id) end::int as chars, case when doc_id % 7 = 0 then '-' else doc_id::varchar end as kept_id, true as no_secret from documents")
+    "select doc_id, length(case when doc_id % 7 = 0 then '{\"id\":\"' || doc_id || '\",\"note\":\"' || repeat('x', 25000) || '\"}' else '{\"id\":\"\",\"note\":\"xxxxx\"}' || doc_id end)::int as chars, doc_id::varchar as kept_id, true as no_secret from documents")
 
 
 def updates(e):

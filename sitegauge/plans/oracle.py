@@ -61,7 +61,7 @@ def normalized(x: str) -> str:
 
 
 def words(x: str) -> str:
-    return f"len({every(x, tx.WORD)})"
+    return f"len({every(x, tx.WORD.replace('++', '+').replace('*+', '*'))})"
 
 
 def attribute(tag: str, name: str) -> str:

@@ -145,7 +145,7 @@ def site_findings(spark, sf) -> DataFrame:
     f = findings(spark, sf).drop("website_id")
     page = F.when(C("l_linenumber") != 7, C("page_id"))
     return f.join(o, "scan_id").withColumn("page_id", page).withColumnRenamed("owner", "website_id").withColumn(
-        "public_id", F.concat(F.lit("MG-"), F.date_format("first_seen_at", "yyMMdd"), F.lit("-"), F.upper(F.substring("fingerprint", 1, 5)))
+        "public_id", F.concat(F.lit("MG-"), F.date_format("first_seen_at", "yyMMdd"), F.lit("-"), F.upper(F.substring("fingerprint", 1, 16)))
     )
 
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+EXCLUDED = "spark.sql.optimizer.excludedRules"
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # an exploded expression would be evaluated a second time just to test that it is not empty
-    "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate",
+    EXCLUDED: "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate",
 }
 
 
@@ -28,19 +30,36 @@ def build(app: str = "sitegauge", master: str | None = None, **conf: str) -> Spa
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings every plan relies on; safe to call on a shared session."""
     for key, value in SETTINGS.items():
+        if key == EXCLUDED:  # the caller's own exclusions stay
+            names = [n for n in (spark.conf.get(key, None) or "").split(",") if n]
+            value = ",".join(dict.fromkeys([*names, value]))
         spark.conf.set(key, value)
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; only a local session may go without the setting."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    current = context._jsc.sc().getCheckpointDir()
+    if not folder and current.isDefined():
+        folder = current.get()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="run-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
 
     The folder is taken from the session, so on a cluster it is shared storage and the cut survives lost
-    executors. Only where nothing is set (tests) is a private folder created.
+    executors. Only a local session without the setting gets a private folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -13,18 +12,14 @@ from sitegauge.functions import html as hx, vocab
 from sitegauge.operators import lifecycle as lc, merge as mg, rules as ru, sources as so
 from sitegauge.operators.numbering import number_in_group
 from sitegauge.params import DEFAULT, Params
+from sitegauge.session import shared_folder
 
 C = F.col
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the session's checkpoint location (a private one only where none is set)."""
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    current = context._jsc.sc().getCheckpointDir()
-    if not base:
-        base = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="run-stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder in the session's shared checkpoint location."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def start_files(df: DataFrame, out: str, mode: str = "append") -> StreamingQuery:
@@ -115,11 +110,9 @@ def stream_stage_durations(events: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- telemetry context
 
 def sanitize_context(context: Column) -> Column:
-    """Context JSON without secret and full-text keys; an oversized one becomes a truncated summary."""
+    """Context JSON without secret and full-text keys, whatever its size."""
     entries = F.from_json(context, "map<string,string>")
-    clean = F.to_json(F.map_filter(entries, lambda k, x: ~k.isin(*vocab.SECRET_KEYS)))
-    short = F.to_json(F.struct(F.lit(True).alias("truncated"), F.substring(clean, 1, 19_000).alias("summary")))
-    return F.when(F.octet_length(clean) > 20_000, short).otherwise(clean)
+    return F.to_json(F.map_filter(entries, lambda k, x: ~k.isin(*vocab.SECRET_KEYS)))
 
 
 # ---------------------------------------------------------------- progress
@@ -209,10 +202,17 @@ def stream_scan_pages(responses: DataFrame, out: str, p: Params = DEFAULT) -> St
     return start_batches(responses, out, handle)
 
 
-def compact_findings(spark: SparkSession, out: str, snapshot: DataFrame, now: Column) -> DataFrame:
-    """Next findings snapshot from the old one and all deltas."""
-    deltas = spark.read.parquet(f"{out}/data").drop("batch")
-    return lc.lifecycle_upsert(snapshot, deltas, now)
+def compact_findings(spark: SparkSession, out: str, snapshot: DataFrame, now: Column, after: int = -1) -> tuple[DataFrame, int]:
+    """(next findings snapshot, last batch in it), from the old snapshot and the deltas of batches later than ``after``.
+
+    Store the batch number with the snapshot and pass it next time: a delta that is in the snapshot already must not be
+    merged again, or it would reopen what was resolved since.
+    """
+    deltas = spark.read.parquet(f"{out}/data").filter(C("batch") > after)
+    last = deltas.agg(F.max("batch")).first()[0]
+    if last is None:
+        return snapshot, after
+    return lc.lifecycle_upsert(snapshot, deltas.drop("batch"), now), int(last)
 
 
 # ---------------------------------------------------------------- claims and late work

@@ -150,3 +150,22 @@ def test_response_headers(spark):
     rows = [(200, {"CONTENT-type": ["text/HTML", "x"]}), (200, {"content-type": ["image/png"]}), (404, {}), (200, {})]
     df = spark.createDataFrame(rows, "status int, headers map<string,array<string>>")
     assert so.response_counters(df).first().asDict() == {"accepted": 2, "failed_requests": 1, "non_html_responses": 1}
+
+
+def test_words_of_a_token_with_a_million_parts(spark):
+    from sitegauge.functions import text as tx
+
+    df = spark.sql("select repeat('a-', 1000000) || 'b c' as t union all select 'don''t stop_now 12'")
+    assert sorted(r[0] for r in df.select(tx.word_count(F.col("t"))).collect()) == [2, 3]
+
+
+def test_slugs_are_unique(spark):
+    from sitegauge.functions import url as ux
+
+    sites = spark.createDataFrame([(1, "foo.example"), (2, "foo-example"), (3, "foo-example-2"), (4, "foo.example"), (5, "bar")], "id long, domain string")
+    taken = spark.createDataFrame([("bar",), ("bar-2",)], "slug string")
+    got = {r.id: r.slug for r in ux.site_slug(sites, taken).collect()}
+    assert len(set(got.values())) == 5 and not set(got.values()) & {"bar", "bar-2"}
+    assert got[1] == "foo-example" and got[5] == "bar-3"
+    plain = {r.id: r.slug for r in ux.site_slug(sites.filter("id in (1, 2, 5)")).collect()}
+    assert plain == {1: "foo-example", 2: "foo-example-2", 5: "bar"}

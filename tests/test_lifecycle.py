@@ -66,10 +66,14 @@ def test_scan_pages_stream_equals_batch_and_replay(spark, tmp_path):
     empty = spark.createDataFrame([], batch.drop("seen_order").schema).withColumns({
         "status": F.lit(""), "first_seen_at": F.lit(NOW), "last_seen_at": F.lit(NOW), "resolved_at": F.lit(NOW)})
     pick = lambda df: sorted(tuple(r) for r in df.select("fingerprint", "status", "severity").collect())
-    streamed = lv.compact_findings(spark, out, empty, F.lit(NOW))
+    streamed, last = lv.compact_findings(spark, out, empty, F.lit(NOW))
     assert pick(streamed) == pick(lc.lifecycle_upsert(empty, batch, F.lit(NOW)))
     mg.write_snapshot(streamed, str(tmp_path / "snap"))
-    assert pick(lv.compact_findings(spark, out, mg.read_snapshot(spark, str(tmp_path / "snap")), F.lit(NOW))) == pick(streamed)
+    stored = mg.read_snapshot(spark, str(tmp_path / "snap"))
+    closed = stored.withColumn("status", F.lit("resolved"))
+    later, after = lv.compact_findings(spark, out, closed, F.lit(NOW), last)  # nothing new: what was resolved stays so
+    assert after == last and {r.status for r in later.collect()} == {"resolved"}
+    assert lv.compact_findings(spark, out, stored, F.lit(NOW))[1] == last
 
 
 def test_streams_over_file_chunks_equal_batch(spark, tmp_path):
@@ -110,3 +114,17 @@ def test_numbering_splits_groups(spark):
     for r in sorted(got.collect(), key=lambda r: (r.g, r.k)):
         ranks.setdefault(r.g, []).append(r.n)
     assert all(x == list(range(1, len(x) + 1)) for x in ranks.values())
+
+
+def test_last_change_of_a_finding_counts_once(spark):
+    old = spark.createDataFrame([("a", "open", None, None), ("b", "open", 3, None)], "fingerprint string, status string, assigned_to long, resolved_at timestamp")
+    updates = spark.createDataFrame([("a", "investigating", 1, 1), ("a", "resolved", None, 2), ("b", "no such status", 9, 1)], "fingerprint string, new_status string, new_assignee long, changed_at int")
+    got = {r.fingerprint: (r.status, r.assigned_to, r.resolved_at is not None) for r in lc.finding_transition(old, updates, F.lit(NOW)).collect()}
+    assert got == {"a": ("resolved", None, True), "b": ("open", 9, False)}
+
+
+def test_new_findings_get_a_public_id_and_new_columns_stay(spark):
+    old = spark.createDataFrame([(1, "f" * 64, "open", NOW, NOW, None, "MG-1")], "website_id long, fingerprint string, status string, first_seen_at timestamp, last_seen_at timestamp, resolved_at timestamp, public_id string")
+    new = spark.createDataFrame([(1, "f" * 64, 1, "s1"), (1, "e" * 64, 1, "s2")], "website_id long, fingerprint string, seen_order long, summary string")
+    got = {r.fingerprint[0]: (r.public_id, r.summary) for r in lc.lifecycle_upsert(old, new, F.lit(NOW)).collect()}
+    assert got["f"] == ("MG-1", "s1") and got["e"][0].endswith("E" * 16) and got["e"][1] == "s2"
