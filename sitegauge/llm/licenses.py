@@ -39,7 +39,7 @@ SENTENCES = {
     "apache-short": "Licensed under the Apache License, Version 2.0.",
     "apache-header": "Licensed under the Apache License, Version 2.0 (the \"License\");",
     "apache-comply": "you may not use this file except in compliance with the License.",
-    "apache-copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-copy": "You may obtain a copy of the License at",
     "apache-unless": (
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" "
         "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
@@ -84,7 +84,7 @@ RULES = [
     Rule("MIT", ("mit-grant", "mit-notice", "mit-as-is")),
     Rule("MIT", ("mit-short",)),
     Rule("MIT", ("mit-short-2",)),
-    Rule("Apache-2.0", ("apache-header", "apache-comply", "apache-copy", "apache-unless", "apache-see")),
+    Rule("Apache-2.0", ("apache-header", "apache-comply", "apache-unless", "apache-see")),
     Rule("Apache-2.0", ("apache-header", "apache-comply")),
     Rule("Apache-2.0", ("apache-short",)),
     Rule("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-details")),

@@ -133,10 +133,10 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", inf
 
     def build(lines: Column) -> Column:
         blank = F.filter(F.transform(lines, lambda x, i: F.when(~_visible(x), i)), lambda i: i.isNotNull())
-        kept = F.filter(F.coalesce(F.col("kept"), F.array().cast("array<int>")), lambda i: i < F.size(lines))
+        kept_here = F.filter(F.coalesce(kept["kept"], F.array().cast("array<int>")), lambda i: i < F.size(lines))
 
         def chosen(blank: Column) -> Column:
-            stay = F.sort_array(F.array_union(kept, blank))
+            stay = F.sort_array(F.array_union(kept_here, blank))
             return let(stay, lambda s: F.struct(
                 F.array_join(F.transform(s, lambda i: F.get(lines, i)), "\n").alias("text"), (F.size(lines) - F.size(blank)).cast("long").alias("n_lines"),
                 (F.size(lines) - F.size(s)).cast("long").alias("n_removed")))
@@ -145,10 +145,11 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", inf
 
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     columns = [docs[c] for c in docs.columns if c != text_col]
-    made = joined.select(*columns, let(F.split(text, "\n", -1), build).alias("rewritten_lines"))
-    out = made.withColumn(text_col, F.col("rewritten_lines.text"))
+    name = "_".join(["made", *docs.columns])  # no column of the input has this name
+    made = joined.select(*columns, let(F.split(text, "\n", -1), build).alias(name))
+    out = made.withColumn(text_col, F.col(f"`{name}`.text"))
     if info:
-        out = out.withColumn(info, F.struct("rewritten_lines.n_lines", "rewritten_lines.n_removed"))
+        out = out.withColumn(info, F.struct(F.col(f"`{name}`.n_lines"), F.col(f"`{name}`.n_removed")))
     return out.select(*docs.columns, *([info] if info else []))
 
 

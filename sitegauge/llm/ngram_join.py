@@ -35,7 +35,7 @@ from sitegauge.llm.components import components
 from sitegauge.llm.tokens import slices
 
 #: Characters of one slice of documents whose n-grams are made distinct together.
-SLICE_CHARS = 3_000_000
+SLICE_CHARS = 1_500_000
 #: Documents a pivot or row is multiplied with in one block.
 BLOCK_ROWS = 512
 

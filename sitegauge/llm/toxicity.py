@@ -254,12 +254,13 @@ def weigh(terms: list[str], docs: list[tuple[int, int, list[tuple[str, bool, boo
         sums.append((sum(v for v, q in each if not q) + QUOTED * max((v for v, q in each if q), default=0.0), size))
     x, y = np.array(sums, "f8"), np.array([y for y, _, _ in docs], "f8")
     keep = (x[:, 0] > 0) | (y == 0)  # toxic documents without a mention say nothing about the curve
-    design, y, w = _design(x[keep]), y[keep], np.zeros(3)
-    for _ in range(50):  # Newton steps of a lightly penalised logistic regression
+    # a logistic regression held near naive Bayes, odds of the labels times the likelihood ratios, which decides where labels do not
+    design, y, bayes = _design(x[keep]), y[keep], np.array([math.log(max(1, n[1]) / max(1, n[0])), 1.0, 0.0])
+    w, penalty = bayes.copy(), np.array([1.0, 3.0, 3.0])
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        penalty = np.array([1e-3, 1e-1, 1e-1])
-        h = design.T @ (design * np.maximum(p * (1 - p), 1e-9)[:, None]) + np.diag(penalty)
-        w = w + np.clip(np.linalg.solve(h, design.T @ (y - p) - penalty * w), -3, 3)
+        h = design.T @ (design * (p * (1 - p))[:, None]) + np.diag(penalty)
+        w = w + np.clip(np.linalg.solve(h, design.T @ (y - p) - penalty * (w - bayes)), -1, 1)
     return Model(weights, tuple(w.tolist()))
 
 
