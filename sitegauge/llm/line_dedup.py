@@ -87,13 +87,13 @@ def _within_one(a: Column, b: Column) -> Column:
 
 def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
     """``p`` (place of the first occurrence) of lines that have an earlier neighbour. ``first``: the distinct lines."""
-    halves = first.select("h1", "h2", F.explode("halves").alias("half"))
+    halves = first.select("h1", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    marked = stored(halves.join(shared, "half", "left_semi").select("h1", "h2").distinct(), "marked")
+    marked = stored(halves.join(shared, "half", "left_semi").select("h1").distinct(), "marked")
     passed = lines.filter(F.size("w") >= MIN_WORDS).select(F.struct("doc_id", "line").alias("p"), "w", *_ids(F.col("w")))
     passed = passed.withColumn("bucket", F.bitmap_bucket_number(_place("h1"))).join(F.broadcast(_filter(marked)), "bucket").filter(_has_bit())
     # an inner join with distinct rows: a semi join would be moved below the filter, to all lines
-    lead = passed.join(marked, ["h1", "h2"]).groupBy("h1", "h2").agg(F.min_by("w", "p").alias("w"), F.min("p").alias("p"))
+    lead = passed.join(marked, "h1").groupBy("h1", "h2").agg(F.min_by("w", "p").alias("w"), F.min("p").alias("p"))
     lead = stored(lead, "lines")
 
     words = lead.select("p", F.size("w").alias("n"), F.posexplode("w").alias("i", "x"))
@@ -110,7 +110,7 @@ def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
     last = F.when(i == n - 1, key(n + 1, n, F.col("head").bitwiseXOR(F.col("a")), F.lit(0).cast("long")))
     variants = sides.select("p", F.explode(F.filter(F.array(
         key(n, i, F.col("head"), rest.bitwiseXOR(F.col("b"))), key(n + 1, i, F.col("head"), rest), last), lambda k: k.isNotNull())).alias("key"))
-    earliest = variants.groupBy("key").agg(F.min("p").alias("q"), F.max("p").alias("other")).filter("q < other").select("key", "q")
+    earliest = variants.groupBy("key").agg(F.min("p").alias("q"), F.count("*").alias("n")).filter("n > 1").select("key", "q")
     pairs = variants.join(earliest, "key").filter("q < p").select("p", "q").distinct()
     left, right = lead.select("p", F.col("w").alias("a")), lead.select(F.col("p").alias("q"), F.col("w").alias("b"))
     return pairs.join(left, "p").join(right, "q").filter(_within_one(F.col("a"), F.col("b"))).select("p").distinct()
