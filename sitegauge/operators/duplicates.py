@@ -247,12 +247,12 @@ def with_phrases(matches: DataFrame, pages: DataFrame, p: Params = DEFAULT) -> D
     return rows.withColumn("phrases", F.filter(phrases, lambda x: x != "")).drop("sketch", "m_hs")
 
 
-def dup_findings(pages: DataFrame, p: Params = DEFAULT, exact: bool = True) -> DataFrame:
+def dup_findings(pages: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Finding rows from (grp, id, position, url, sketch)."""
     from sitegauge.functions.finding import finding
 
     pages = cut(pages)
-    matches = best_matches(pages, p) if exact else bounded_matches(pages, p)
+    matches = best_matches(pages, p)
     rows = with_phrases(matches, pages, p)
     percent = F.round(F.col("similarity") * 100).cast("int")
     record = finding(
