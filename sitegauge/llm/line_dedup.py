@@ -1,7 +1,7 @@
 """Line dedup across the corpus: a line goes if an equal line, or one within one word edit of it, comes earlier.
 
 Lines end at ``\\n``; a line is its sequence of words (runs of anything but ASCII white space) and comes earlier by id, then
-place. Lines without a word always stay. Equal lines meet in one combinable minimum. For lines of ``MIN_WORDS`` words or
+row (a hash of its text; equal rows in any order), then place. Lines without a word always stay. Equal lines meet in one combinable minimum. For lines of ``MIN_WORDS`` words or
 more, one word replaced, left out or added (Levenshtein distance 1 over words) counts as well, found by their deletion
 neighbourhood:
 
@@ -15,8 +15,8 @@ neighbourhood:
 A line dropped for its neighbour still counts as the earlier one for others. Only DataFrame functions are used.
 
 Defined results: null and empty texts have no lines and stay empty; a row whose lines all go keeps an empty text; rows
-with a null id come first; rows with the same id share their kept line numbers; an empty table gives no rows; all
-other columns pass through :func:`rewrite` unchanged.
+with a null id come first; rows with the same id are told apart by their texts, and of equal rows one keeps its lines
+while the others lose them; an empty table gives no rows; all other columns pass through :func:`rewrite` unchanged.
 """
 
 from __future__ import annotations
@@ -42,9 +42,9 @@ def _visible(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, line`` and the hashes of its words for every line with a word."""
-    each = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
-    hashed = each.select("doc_id", "line", F.transform(_words(F.col("content")), lambda w: F.xxhash64(w)).alias("w"))
+    """``doc_id, row, line`` and the hashes of its words for every line with a word; ``row`` tells texts of one id apart."""
+    each = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
+    hashed = each.select("doc_id", "row", "line", F.transform(_words(F.col("content")), lambda w: F.xxhash64(w)).alias("w"))
     return hashed.filter(F.size("w") > 0)
 
 
@@ -90,50 +90,58 @@ def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
     halves = first.select("h1", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
     marked = stored(halves.join(shared, "half", "left_semi").select("h1").distinct(), "marked")
-    passed = lines.filter(F.size("w") >= MIN_WORDS).select(F.struct("doc_id", "line").alias("p"), "w", *_ids(F.col("w")))
-    passed = passed.withColumn("bucket", F.bitmap_bucket_number(_place("h1"))).join(F.broadcast(_filter(marked)), "bucket").filter(_has_bit())
-    # an inner join with distinct rows: a semi join would be moved below the filter, to all lines
-    lead = passed.join(marked, "h1").groupBy("h1", "h2").agg(F.min_by("w", "p").alias("w"), F.min("p").alias("p"))
-    lead = stored(lead, "lines")
-
-    words = lead.select("p", F.size("w").alias("n"), F.posexplode("w").alias("i", "x"))
-    line = W.partitionBy("p")
+    # numbers in the order of the places stand for them from here on, so that rows of variants are short
+    order = stored(first.join(marked, "h1").select("p").orderBy("p").select("p", F.monotonically_increasing_id().alias("o")), "order")
+    passed = lines.filter(F.size("w") >= MIN_WORDS).select(F.struct("doc_id", "row", "line").alias("p"), "w", F.xxhash64("w").alias("h1"))
+    passed = passed.withColumn("bucket", F.bitmap_bucket_number(_place("h1"))).join(F.broadcast(_filter(marked)), "bucket").filter(_has_bit()).select("p", "w")
+    # equal rows hold a place more than once
+    lead = stored(passed.join(order, "p").groupBy("p").agg(F.first("o").alias("o"), F.first("w").alias("w")).select("o", "w"), "lines")
+
+    words = lead.repartition("o").select("o", F.size("w").alias("n"), F.posexplode("w").alias("i", "x"))
+    line = W.partitionBy("o")
     before = line.orderBy("i").rowsBetween(W.unboundedPreceding, -1)
     after = line.orderBy("i").rowsBetween(1, W.unboundedFollowing)
     from_start, from_end = F.xxhash64("x", "i"), F.xxhash64("x", F.col("n") - F.col("i"))
-    sides = words.select("p", "n", "i", from_start.alias("a"), from_end.alias("b")).select(
-        "p", "n", "i", "a", "b", F.coalesce(F.bit_xor("a").over(before), F.lit(0)).alias("head"), F.coalesce(F.bit_xor("b").over(line), F.lit(0)).alias("all"),
+    sides = words.select("o", "n", "i", from_start.alias("a"), from_end.alias("b")).select(
+        "o", "n", "i", "a", "b", F.coalesce(F.bit_xor("a").over(before), F.lit(0)).alias("head"), F.coalesce(F.bit_xor("b").over(line), F.lit(0)).alias("all"),
         F.coalesce(F.bit_xor("b").over(before), F.lit(0)).alias("done"))
     rest = F.col("all").bitwiseXOR(F.col("done"))  # from this word on
     key = lambda n, i, head, tail: F.xxhash64(n, i, head, tail)
     n, i = F.col("n").cast("int"), F.col("i").cast("int")
     last = F.when(i == n - 1, key(n + 1, n, F.col("head").bitwiseXOR(F.col("a")), F.lit(0).cast("long")))
-    variants = sides.select("p", F.explode(F.filter(F.array(
+    variants = sides.select("o", F.explode(F.filter(F.array(
         key(n, i, F.col("head"), rest.bitwiseXOR(F.col("b"))), key(n + 1, i, F.col("head"), rest), last), lambda k: k.isNotNull())).alias("key"))
-    earliest = variants.groupBy("key").agg(F.min("p").alias("q"), F.count("*").alias("n")).filter("n > 1").select("key", "q")
-    pairs = variants.join(earliest, "key").filter("q < p").select("p", "q").distinct()
-    left, right = lead.select("p", F.col("w").alias("a")), lead.select(F.col("p").alias("q"), F.col("w").alias("b"))
-    return pairs.join(left, "p").join(right, "q").filter(_within_one(F.col("a"), F.col("b"))).select("p").distinct()
+    earliest = variants.groupBy("key").agg(F.min("o").alias("q"), F.count("*").alias("n")).filter("n > 1").select("key", "q")
+    pairs = variants.join(earliest, "key").filter("q < o").select("o", "q").distinct()
+    left, right = lead.select("o", F.col("w").alias("a")), lead.select(F.col("o").alias("q"), F.col("w").alias("b"))
+    near = pairs.join(left, "o").join(right, "q").filter(_within_one(F.col("a"), F.col("b"))).select("o").distinct()
+    return order.join(near, "o", "left_semi").select("p")
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, kept``: numbers of the lines that stay, for ids with any. ``docs``: ``doc_id, text``."""
+    """``kept_of`` (id and hash of the text), ``kept``: numbers of the lines that stay, for texts with any. ``docs``: ``doc_id, text``."""
     lines = _lines(docs)
-    known = lines.select(F.struct("doc_id", "line").alias("p"), *_ids(F.col("w")), _halves(F.col("w")).alias("halves"))
+    known = lines.select(F.struct("doc_id", "row", "line").alias("p"), *_ids(F.col("w")), _halves(F.col("w")).alias("halves"))
     first = stored(known.groupBy("h1", "h2").agg(F.min("p").alias("p"), F.first("halves").alias("halves")), "first")
     gone = near_lines(lines, first)
     stay = first.select("p").join(gone, "p", "left_anti")
-    return stay.groupBy(F.col("p.doc_id").alias("kept_of")).agg(F.collect_list("p.line").alias("kept"))
+    return stay.groupBy(F.struct("p.doc_id", "p.row").alias("kept_of")).agg(F.collect_list("p.line").alias("kept"))
 
 
 def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", info: str | None = None) -> DataFrame:
     """``docs`` with the lines of ``text_col`` that stay; ``info``: name of a column of counts to add."""
     kept = kept_lines(texts(docs, id_col, text_col))
-    joined = docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["kept_of"]), "left")
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    name, of, mine = ("_".join([x, *docs.columns]) for x in ("made", "of", "mine"))  # no column of the input has these names
+    keyed = docs.select("*", F.struct(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("row")).alias(of))
+    joined = keyed.join(kept, F.col(f"`{of}`") == kept["kept_of"], "left")
+    # the join leaves equal rows side by side, so this window needs no shuffle of its own
+    again = F.count(F.lit(1)).over(W.partitionBy(F.col(f"`{of}`")).rowsBetween(W.unboundedPreceding, W.currentRow)) > 1
+    joined = joined.withColumn(mine, F.when(~again, kept["kept"]))
 
     def build(lines: Column) -> Column:
         blank = F.filter(F.transform(lines, lambda x, i: F.when(~_visible(x), i)), lambda i: i.isNotNull())
-        kept_here = F.filter(F.coalesce(kept["kept"], F.array().cast("array<int>")), lambda i: i < F.size(lines))
+        kept_here = F.filter(F.coalesce(F.col(f"`{mine}`"), F.array().cast("array<int>")), lambda i: i < F.size(lines))
 
         def chosen(blank: Column) -> Column:
             stay = F.sort_array(F.array_union(kept_here, blank))
@@ -143,9 +151,7 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", inf
 
         return let(blank, chosen)
 
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     columns = [docs[c] for c in docs.columns if c != text_col]
-    name = "_".join(["made", *docs.columns])  # no column of the input has this name
     made = joined.select(*columns, let(F.split(text, "\n", -1), build).alias(name))
     out = made.withColumn(text_col, F.col(f"`{name}`.text"))
     if info:

@@ -173,6 +173,19 @@ def test_lines(spark):
     assert kept.columns == frame(spark, rows).columns and kept.count() == len(rows)
 
 
+def test_lines_of_rows_without_an_id_of_their_own(spark):
+    line, other = prose(32, 16).split(), prose(33, 16)
+    near = " ".join(line[:5] + ["x"] + line[6:])
+    rows = [(1, " ".join(line)), (None, f"{near}\n{other}"), (None, "alone here\nand here"), (None, f"alone here\n{other}"), (7, near), (7, "kept for good"), (8, "twice\n\nsame"), (8, "twice\n\nsame")]
+    got = collections.Counter(tuple(r)[::3] for r in line_dedup.dedup(frame(spark, rows)).collect())
+    left = lambda d: sorted(x for (i, t), n in got.items() if i == d for x in t.split("\n") * n)
+    # of neighbours and copies, those without an id come first; whichever of them holds a line first, each is there once
+    assert left(None) == sorted([near, other, "alone here", "and here"] + [""] * (len(left(None)) - 4))
+    assert left(1) == [""] and left(7) == ["", "kept for good"]
+    assert got[8, "twice\n\nsame"] == 1 and got[8, ""] == 1
+    assert sum(got.values()) == len(rows)
+
+
 def test_rule_ledger(spark):
     rows = awkward() + [(400, prose(20, 30) + " " + prose(21, 12) + " and " + prose(21, 12)), (401, "# * $ " * 30), (402, "ABC DEF! " * 20), (403, "x " * 100)]
     got = quality_rules.ledger(frame(spark, rows))
