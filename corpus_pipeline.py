@@ -1,6 +1,6 @@
 """Corpus preparation: five stages, each a function of ``(spark, docs, sf_dir)`` on all that the stage before it kept.
 
-All but the last return the columns of ``documents``. Rows with a null id pass the stages that compare documents by id.
+All but the last return the columns of ``documents``. Documents are rows; a null or repeated id does not exempt a row.
 """
 
 from __future__ import annotations
@@ -24,10 +24,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group linked by a similarity of 0.8 or more over 5-word shingles."""
-    linked = ngram_join.link(docs, n=5, percent=80)
-    others = linked.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    """The first row of each group linked by a similarity of 0.8 or more over 5-word shingles."""
+    return ngram_join.first_rows(docs, n=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

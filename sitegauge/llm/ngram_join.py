@@ -14,9 +14,11 @@ by exact bounds so that unlike documents never meet:
    largest component with the rows of the others. Links inside a component need no product, so a family of copies
    costs one product per member, however large it is.
 
-Overlaps count 64-bit n-gram hashes. Defined results: null and empty texts have no set and no links; fewer than n words
-are one n-gram; rows with a null id get sizes but no links; rows with the same id are one node; an empty table gives no
-rows; all other input columns are ignored.
+Rows of the matrix are named by a 64-bit hash of their set's digest; ids only decide which row of a component is reported
+or kept. Overlaps count 64-bit n-gram hashes. Defined results: null and empty texts have no set and no links; fewer than n
+words are one n-gram; an empty table gives no rows. In :func:`link` rows with a null id get sizes but no links, each row
+of an id has the links of its own text, and all other input columns are ignored. :func:`first_rows` compares all rows,
+those with a null id too, and keeps one of each component: the smallest id, null last, then the smallest hash of the text.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sitegauge.llm import grams
 from sitegauge.llm.common import MEMBER_BITS, member_bits, stored, texts
@@ -53,17 +55,25 @@ def _slices(batches: Iterator[pa.RecordBatch], column: str):
                 yield batch.column(column).slice(k, e - k), strings[k:e]
 
 
+#: A row: ids before null, then the hash of the text.
+KEY = "struct<absent: boolean, doc_id: long, text: long>"
+
+
+def _key(doc_id: Column, text: Column) -> Column:
+    return F.struct(doc_id.isNull().alias("absent"), doc_id.alias("doc_id"), F.xxhash64(text).alias("text"))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], n: int):
-    for ids, strings in _slices(batches, "doc_id"):
+    for ids, strings in _slices(batches, "key"):
         made = grams.gram_sets(strings, n)
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array([len(s) for s in made], pa.int64()), pa.array([_digest(s) for s in made], pa.binary())], ["doc_id", "n", "digest"])
+            [ids, pa.array([len(s) for s in made], pa.int64()), pa.array([_digest(s) for s in made], pa.binary())], ["key", "n", "digest"])
 
 
 def _ask(batches: Iterator[pa.RecordBatch], n: int, buckets: int):
     """Distinct n-grams of each slice, by bucket; an n-gram of one set only names its owner, others name nobody."""
     part, number = TaskContext.get().partitionId(), 0
-    for _, strings in _slices(batches, "doc_id"):
+    for _, strings in _slices(batches, "key"):
         made = {_digest(s): s for s in grams.gram_sets(strings, n) if len(s)}
         if not made:
             continue
@@ -131,9 +141,9 @@ def _rows(batches: Iterator[pa.RecordBatch], n: int, bits: np.ndarray):
             names = [_digest(s) for s in made]
             keep = [i for i, name in enumerate(names) if len(made[i]) and bits[_bit(name)]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a).take(pa.array(keep, pa.int64())), pa.array([names[i] for i in keep], pa.binary()),
+                [batch.column("key").slice(a, b - a).take(pa.array(keep, pa.int64())), pa.array([names[i] for i in keep], pa.binary()),
                  pa.array([len(made[i]) for i in keep], pa.int64()), pa.array([made[i].view("i8") for i in keep], pa.list_(pa.int64()))],
-                ["node", "digest", "n", "grams"])
+                ["least", "digest", "n", "grams"])
 
 
 def _bit(digest: bytes) -> int:
@@ -179,20 +189,21 @@ def _possible(percent: int):
     return (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")) & ((100 + percent) * least >= percent * (F.col("n1") + F.col("n2")))
 
 
-def link(docs: DataFrame, n: int = 3, percent: int = 90, **columns: str) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row; links are pairs with a similarity of ``percent`` % or more."""
+def _components(docs: DataFrame, n: int, percent: int, nulls: bool) -> tuple[DataFrame, DataFrame]:
+    """``key, n, digest`` of every row of ``docs`` (``key, text``), and ``digest, reached``: the least key of a set's component."""
     spark = docs.sparkSession
-    docs = texts(docs, **columns)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = stored(docs.mapInArrow(lambda it: _sets(it, n), "doc_id long, n long, digest binary"), "sets")
+    sets = stored(docs.mapInArrow(lambda it: _sets(it, n), f"key {KEY}, n long, digest binary"), "sets")
     asked = docs.mapInArrow(lambda it: _ask(it, n, buckets), "slice long, bucket long, docs long, keys binary, low binary, names binary")
     answers = asked.repartition(buckets, "bucket").mapInArrow(_answer, "slice long, keys binary, own binary")
     own = answers.repartition(buckets, "slice").mapInArrow(_gather, "digest binary, own long").groupBy("digest").agg(F.min("own").alias("own"))
-    classes = sets.filter("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("node"))
-    some = stored(classes.join(own, "digest").filter(100 * F.col("own") <= (100 - percent) * F.col("n")).select("node", "digest"), "nodes")
+    named = F.lit(True) if nulls else ~F.col("key.absent")
+    classes = sets.filter((F.col("n") > 0) & named).groupBy("digest", "n").agg(F.min("key").alias("least")).withColumn("node", F.xxhash64("digest"))
+    some = stored(classes.join(own, "digest").filter(100 * F.col("own") <= (100 - percent) * F.col("n")).select("least", "node", "digest"), "nodes")
     bits = spark.sparkContext.broadcast(member_bits(some.select("digest"), lambda batch: [_bit(d) for d in batch.column("digest").to_pylist()]))
-    possible = docs.filter("doc_id is not null").mapInArrow(lambda it: _rows(it, n, bits.value), "node long, digest binary, n long, grams array<long>")
-    rows = stored(possible.join(some, ["node", "digest"]).select("node", "n", "grams").dropDuplicates(["node"]), "rows")
+    possible = docs.filter(named).mapInArrow(lambda it: _rows(it, n, bits.value), f"least {KEY}, digest binary, n long, grams array<long>")
+    # only equal rows, whose sets are equal, share both; so it does not matter which of them stays
+    rows = stored(possible.join(some, ["least", "digest"]).select("node", "n", "grams").dropDuplicates(["node"]), "rows")
 
     incidence = rows.select("node", "n", F.explode("grams").alias("gram"))
     shared = incidence.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
@@ -218,7 +229,31 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90, **columns: str) -> Data
     more = _verified(stored(across, "across"), rows, percent)
     final = components(edges.union(more))
 
-    members = classes.join(final.withColumnRenamed("component", "other"), "node", "left").select("digest", F.coalesce("other", "node").alias("reached"))
-    ids = sets.join(members, "digest", "left")
-    found = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("reached", "doc_id"))
-    return ids.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"))
+    joined = final.join(classes.select("node", "least"), "node")
+    best = joined.groupBy("component").agg(F.min("least").alias("other"))
+    members = classes.join(joined.select("node", "component").join(best, "component").select("node", "other"), "node", "left")
+    return sets, members.select("digest", F.coalesce("other", "least").alias("reached"))
+
+
+def link(docs: DataFrame, n: int = 3, percent: int = 90, **columns: str) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row; links are pairs with a similarity of ``percent`` % or more."""
+    docs = texts(docs, **columns)
+    sets, members = _components(docs.select(_key(F.col("doc_id"), F.col("text")).alias("key"), "text"), n, percent, False)
+    doc_id = F.col("key.doc_id")
+    found = F.when(doc_id.isNull(), None).when(F.col("n") == 0, doc_id).otherwise(F.coalesce("reached.doc_id", doc_id))
+    return sets.join(members, "digest", "left").select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), found.alias("component_id"))
+
+
+def first_rows(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, all columns, of which each component has one; of equal ids and texts the least of all columns stays."""
+    key = _key(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    name = "_".join(["key", *docs.columns])  # no column of the input has this name
+    sets, members = _components(texts(docs, id_col, text_col).select(_key(F.col("doc_id"), F.col("text")).alias("key"), "text"), n, percent, True)
+    reached = sets.filter("n > 0").join(members, "digest").groupBy("key").agg(F.first("reached").alias("reached"), F.count("*").alias("m"))
+    judged = stored(reached.select("key", (F.col("key") == F.col("reached")).alias("first"), "m").filter("not first or m > 1"), "judged")
+    keyed = docs.select("*", key.alias(name))
+    matches = lambda some: F.col(f"`{name}`") == some["key"]
+    alone = keyed.join(judged, matches(judged), "left_anti").select(docs.columns)
+    again = judged.filter("first")
+    equal = keyed.join(again, matches(again), "left_semi").groupBy(f"`{name}`").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
+    return alone.union(equal.select("row.*"))

@@ -50,6 +50,19 @@ def test_components_of_similar_documents(spark, n, percent):
     assert len(got) == len(rows) + 2 and all(r.component_id is None for r in got if r.doc_id is None)
 
 
+def test_ids_on_several_rows(spark):
+    """Rows are compared by their texts, so an id on several rows hides no link, and a group keeps one row."""
+    a, b, c, d = (prose(1500 + i, 60) for i in range(4))
+    near = a + " end"
+    rows = [(1, a), (1, b), (2, near), (3, b + " end"), (4, c), (4, c), (4, d), (5, near + " more"), (None, d), (None, "only " + c), (None, prose(1510, 60)), (6, ""), (7, None)]
+    docs = frame(spark, rows)
+    got = collections.Counter(tuple(r) for r in ngram_join.link(docs, 5, 80).select("doc_id", "component_id").collect())
+    assert got == {(1, 1): 2, (2, 1): 1, (3, 1): 1, (4, 4): 3, (5, 1): 1, (None, None): 3, (6, 6): 1, (7, 7): 1}
+    kept = ngram_join.first_rows(docs, 5, 80)
+    assert kept.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter([(1, a), (1, b), (4, c), (4, d), (None, prose(1510, 60)), (6, ""), (7, None)])
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.link(frame(spark, [])).count() == 0
     assert [tuple(r) for r in ngram_join.link(frame(spark, [(3, None)])).collect()] == [(3, 0, 3)]
