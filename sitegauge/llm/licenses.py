@@ -5,6 +5,10 @@ spaces) and looked up in a table of known licence sentences. The identifiers fou
 against ordered rules: a rule holds where all its identifiers occur in order with at most ``gap`` other known sentences
 between two of them. Longer rules are tried first and an occurrence is used by one rule only.
 
+Variable parts are read as placeholders: the organisation in the BSD endorsement sentence. Short notices ("Distributed under
+the MIT license", "licensed under GPL v2 or later") and SPDX tags are found by templates wherever they stand; a place inside
+a sentence or notice already used is not reported again. A notice that names a family without a version gets no number.
+
 Line ends may fall inside a sentence (wrapped licence texts) or end one (headings, lists), so a text is cut in both ways;
 a place that both find counts once. Work is one narrow pass: nothing is shuffled and only the fixed tables are shipped.
 
@@ -69,6 +73,32 @@ SENTENCES = {
     "cc-by-nc-short": "Licensed under CC BY-NC 4.0.",
     "cc-by-short": "Licensed under CC BY 4.0.",
     "cc-by-sa-short": "Licensed under CC BY-SA 4.0.",
+    "gpl2-free": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    "lgpl21-free": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    "lgpl3-free": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "agpl3-free": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "mpl2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "epl2-terms": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is "
+        "available at https://www.eclipse.org/legal/epl-2.0."),
+    "unlicense-free": "This is free and unencumbered software released into the public domain.",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions:"),
+    "bsl-grant": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        "documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the "
+        "Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do "
+        "so, all subject to the following:"),
     "cc-by-long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 
@@ -97,11 +127,51 @@ RULES = [
     Rule("CC-BY-SA-4.0", ("cc-by-sa-short",)),
     Rule("CC-BY-4.0", ("cc-by-short",)),
     Rule("CC-BY-4.0", ("cc-by-long",)),
+    Rule("GPL-2.0-or-later", ("gpl2-free", "gpl-hope", "gpl-details")),
+    Rule("GPL-2.0-or-later", ("gpl2-free",)),
+    Rule("LGPL-2.1-or-later", ("lgpl21-free",)),
+    Rule("LGPL-3.0-or-later", ("lgpl3-free",)),
+    Rule("AGPL-3.0-or-later", ("agpl3-free",)),
+    Rule("MPL-2.0", ("mpl2-form",)),
+    Rule("EPL-2.0", ("epl2-terms",)),
+    Rule("Unlicense", ("unlicense-free",)),
+    Rule("Zlib", ("zlib-as-is", "zlib-grant")),
+    Rule("Zlib", ("zlib-grant",)),
+    Rule("BSL-1.0", ("bsl-grant",)),
+]
+#: Names in short notices: pattern, identifier for a version (``{}``) and for none; GNU names end in -only or -or-later.
+NAMES = [
+    (r"(?:the\s+)?(?:GNU\s+)?(?:AGPL|Affero\s+(?:GPL|General\s+Public\s+Licen[cs]e))|(?:the\s+)?GNU\s+AGPL", "AGPL-{}", "AGPL"),
+    (r"(?:the\s+)?(?:GNU\s+)?(?:LGPL|(?:Lesser|Library)\s+(?:GPL|General\s+Public\s+Licen[cs]e))", "LGPL-{}", "LGPL"),
+    (r"(?:the\s+)?(?:GNU\s+)?(?:GPL|General\s+Public\s+Licen[cs]e)", "GPL-{}", "GPL"),
+    (r"(?:the\s+)?Apache(?:\s+Software)?", "Apache-{}", "Apache"),
+    (r"(?:the\s+)?(?:MPL|Mozilla\s+Public)", "MPL-{}", "MPL"),
+    (r"(?:the\s+)?(?:EPL|Eclipse\s+Public)", "EPL-{}", "EPL"),
+    (r"(?:the\s+)?(?:BSL|Boost\s+Software)", "BSL-{}", "BSL"),
+    (r"(?:an?\s+|the\s+)?(?:Creative\s+Commons|CC)[\s-]+(?:Zero|0)|(?:the\s+)?CC0", "CC0-{}", "CC0"),
+    (r"(?:an?\s+|the\s+)?(?:CC[\s-]+BY|Creative\s+Commons\s+Attribution)(?P<nc>[\s-]+(?:NC|Non-?Commercial))?(?P<sa>[\s-]+(?:SA|Share-?Alike))?(?P<nd>[\s-]+(?:ND|No-?Derivatives|NoDerivs))?", "CC-BY-{}", "CC-BY"),
+    (r"(?:an?\s+|the\s+)?(?P<bsd>[0234])[\s-]*clause[\s-]+BSD|(?:an?\s+|the\s+)?BSD[\s-]*(?P<bsd2>[0234])[\s-]*clause", "BSD", "BSD"),
+    (r"(?:an?\s+|the\s+)?MIT", "MIT", "MIT"),
+    (r"(?:an?\s+|the\s+)?ISC", "ISC", "ISC"),
+    (r"(?:the\s+)?zlib", "Zlib", "Zlib"),
+    (r"(?:the\s+)?Unlicense", "Unlicense", "Unlicense"),
+    (r"(?:an?\s+|the\s+)?BSD", "BSD", "BSD"),
 ]
 SCHEMA = "doc_id long, license string, rule string, start long, end long, n_sentences long"
 
 _WRAPPED = re.compile(r"(?:[^.;:!?\n]|\n(?!\s*\n)|[.;:!?](?![\s\"')\]]|\Z))++(?:[.;:!?]++|\Z|\n)")
 _ONE_LINE = re.compile(r"(?:[^.;:!?\n]|[.;:!?](?![\s\"')\]]|\Z))++(?:[.;:!?]++|\Z|\n)")
+_LEAD = re.compile(r"\b(?:licen[cs]ed|released|distributed|available|published|provided|covered|redistributed)\s+under\s+(?:the\s+terms\s+of\s+)?", re.I)
+_NAME = [(re.compile(f"(?:{name})(?!v(?!\\.?\\s?\\d)|[a-uw-z_])", re.I), with_, without) for name, with_, without in NAMES]
+_VERSION = re.compile(r"(?:[\s,]*\(?(?:public\s+)?licen[cs]e\)?)?(?:[\s,(-]*(?:version|v\.?)\s*|[ -]?)(\d(?:\.\d){0,2})(?![\w%])\)?", re.I)
+#: What follows a name without a version: the word licence, or the end of the phrase.
+_TAIL = re.compile(r"\s+(?:public\s+)?licen[cs]es?\b|(?=\s*(?:[.,;:)\n]|\Z|(?:and|or)\b))", re.I)
+_LATER = re.compile(r"\+|[\s,(]*(?:or|and)\s+(?:\(at\s+your\s+option\)\s+)?(?:any\s+)?(?:later|newer)", re.I)
+_NUMBER = re.compile(r"^\d$")
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]*[A-Za-z0-9.+)])")
+_SPDX_ID = re.compile(r"[A-Za-z0-9.+-]+")
+#: The organisation of this sentence may hold full stops, so it is searched for as a whole.
+_ENDORSE = re.compile(r"\bneither\s+the\s+names?\s+of\b.{1,300}?\bnor\b.{1,40}?\bcontributors\b.{1,20}?\bmay\b.{1,20}?\bbe\b.{1,20}?\bused\b.{1,200}?\bpermission\.", re.I | re.S)
 _OTHER = re.compile(r"[^\w.\-]+|[.\-]+(?!\w)|(?<!\w)[.\-]+|_")
 
 
@@ -109,6 +179,41 @@ def normalise(sentence: str) -> str:
     return " ".join(_OTHER.sub(" ", sentence.lower()).split())
 
 
+def notices(text: str) -> list[tuple[int, int, str, str]]:
+    """Short notices and SPDX tags ``(start, end, licence, kind)`` of a text in order; each licence of a tag is one."""
+    found = []
+    for lead in _LEAD.finditer(text):
+        for pattern, with_, without in _NAME:
+            if not (m := pattern.match(text, lead.end())):
+                continue
+            end, g = m.end(), m.groupdict()
+            kind = [k.upper() for k in ("nc", "sa", "nd") if g.get(k)]
+            number = g.get("bsd") or g.get("bsd2")
+            name = f"BSD-{number}-Clause" if number else "-".join([without, *kind])
+            if "{}" in with_ and (v := _VERSION.match(text, end)):
+                end = v.end()
+                number = v[1] + ".0" if _NUMBER.match(v[1]) else v[1]
+                name = with_.format("-".join([*kind, number]))
+                if "GPL" in name:
+                    later = _LATER.match(text, end)
+                    end, name = (later.end(), name + "-or-later") if later else (end, name + "-only")
+            elif not (tail := _TAIL.match(text, end)):
+                break
+            else:
+                end = tail.end()
+            found.append((lead.start(), end, name, "notice"))
+            break
+    if "SPDX-" in text:
+        for tag in _SPDX.finditer(text):
+            skip = False
+            for m in _SPDX_ID.finditer(text, tag.start(1), tag.end(1)):
+                # the word after WITH names an exception, not a licence
+                if m[0] not in ("AND", "OR", "WITH") and not skip:
+                    found.append((m.start(), m.end(), m[0], "spdx"))
+                skip = m[0] == "WITH"
+    return sorted(found)
+
+
 def _starts(table: dict[str, str]) -> set[str]:
     return {s[:6] for s in table}
 
@@ -122,6 +227,8 @@ def sentences(text: str, table: dict[str, str]) -> list[tuple[int, int, str]]:
             lead = m[0].lstrip(" \t\n\r*#/;-\"'(0123456789.)")
             if lead[:6].lower() in first and (name := table.get(normalise(lead))):
                 found.add((b - len(lead), b - (len(lead) - len(lead.rstrip())), name))
+    if any(name == "bsd-endorse" for name in table.values()):
+        found |= {(*m.span(), "bsd-endorse") for m in _ENDORSE.finditer(text)}
     return sorted(found)
 
 
@@ -148,7 +255,9 @@ def _scan(batches: Iterator[pa.RecordBatch], table: dict[str, str], rules: list[
     for batch in batches:
         rows = []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            rows += [(doc, r.license, "+".join(r.sequence), a, b, len(r.sequence)) for r, a, b in match(sentences(text, table), rules)]
+            held = match(sentences(text, table), rules)
+            rows += [(doc, r.license, "+".join(r.sequence), a, b, len(r.sequence)) for r, a, b in held]
+            rows += [(doc, name, kind, a, b, 1) for a, b, name, kind in notices(text) if not any(x < b and a < y for _, x, y in held)]
         if rows:
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "license", "rule", "start", "end", "n_sentences"])

@@ -129,6 +129,25 @@ def test_licences(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_licences_of_other_wordings(spark):
+    s = licenses.SENTENCES
+    bsd = [s["bsd-grant"], s["bsd-source"], s["bsd-binary"], "Neither the name of the Example Institute, Inc. nor the names of its contributors may be used to endorse or promote "
+           "products derived from this software without specific prior written permission."]
+    rows = [
+        (1, "\n".join(bsd)), (2, "The code is distributed under the MIT license."), (3, "Licensed under GPL v2."), (4, "licensed under the GNU GPL, version 2 or later"),
+        (5, "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */"), (6, "It is released under the Mozilla Public License 2.0, as is."),
+        (7, "Available under the terms of the GNU Lesser General Public License version 2.1"), (8, "released under the AGPLv3+"), (9, "Published under CC0 1.0."),
+        (10, "This is free and unencumbered software released into the public domain."), (11, s["zlib-as-is"] + "\n" + s["zlib-grant"]), (12, "Licensed under the Boost Software License, Version 1.0."),
+        (13, "Licensed under a BSD 3-Clause license; parts are released under the Apache License v2.0"), (14, "distributed under CC-BY-NC-SA 4.0"), (15, "It was released under the title of MIT."),
+        (16, "Licensed under the Eclipse Public License v 2.0"), (17, s["mit-short"])]
+    got = collections.defaultdict(list)
+    for r in sorted(licenses.scan(frame(spark, rows)).collect(), key=lambda r: r.start):
+        got[r.doc_id].append(r.license)
+    assert dict(got) == {
+        1: ["BSD-3-Clause"], 2: ["MIT"], 3: ["GPL-2.0-only"], 4: ["GPL-2.0-or-later"], 5: ["GPL-2.0-only", "BSD-3-Clause"], 6: ["MPL-2.0"], 7: ["LGPL-2.1-only"], 8: ["AGPL-3.0-or-later"],
+        9: ["CC0-1.0"], 10: ["Unlicense"], 11: ["Zlib"], 12: ["BSL-1.0"], 13: ["BSD-3-Clause", "Apache-2.0"], 14: ["CC-BY-NC-SA-4.0"], 16: ["EPL-2.0"], 17: ["MIT"]}
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
