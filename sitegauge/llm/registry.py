@@ -6,7 +6,10 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitegauge.llm import contamination, licenses, line_dedup, mil, ngram_join, packing, quality_rules, rans, suffix_dedup, toxicity
+from sitegauge.llm import (
+    contamination, divergence, licenses, line_dedup, mil, ngram_join, packing, periodic, quality_rules, rans, suffix_dedup, toxicity,
+    virtual_slots,
+)
 from sitegauge.llm.common import table
 
 
@@ -66,9 +69,27 @@ def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of nearly equal bytes, by virtual slots."""
+    placed = virtual_slots.shard(table(spark, sf_dir, "documents"), 8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all pairs of sources of a language, and the terms each source prefers."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, with the planted ones, and the texts without them."""
+    return periodic.digest(periodic.collapse(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
 OPERATORS = (
     op1_lexicon_toxicity, op2_parsed_repeats, op3_attention_quality, op4_benchmark_leaks, op5_line_neighbours, op6_rule_ledger,
-    op7_license_scan, op8_ngram_components, op9_rans_shards, op10_cost_packing,
+    op7_license_scan, op8_ngram_components, op9_rans_shards, op10_cost_packing, op11_virtual_slots, op12_source_divergence,
+    op13_periodic_runs,
 )
 
 
@@ -77,5 +98,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op4_benchmark_leaks": contamination.ORACLE_SQL, "op5_line_neighbours": line_dedup.ORACLE_SQL, "op6_rule_ledger": quality_rules.ORACLE_SQL}
+    found = {"op12_source_divergence": divergence.ORACLE_SQL, "op4_benchmark_leaks": contamination.ORACLE_SQL, "op5_line_neighbours": line_dedup.ORACLE_SQL, "op6_rule_ledger": quality_rules.ORACLE_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
