@@ -33,7 +33,7 @@ from sitegauge.llm.common import stored
 
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 MIN_DOCS, TOP, SCALE = 3, 200, 1000
-TILE, BLOCK_ENTRIES, BLOCK_COUNTS, FLUSH, SALTS = 128, 1 << 13, 1 << 16, 1 << 18, 64
+TILE, BLOCK_ENTRIES, BLOCK_COUNTS, FLUSH, SALTS = 128, 1 << 13, 1 << 16, 1 << 19, 64
 
 
 def groups_of(docs: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def groups_of(docs: DataFrame) -> DataFrame:
 
 
 def count_terms(rows: DataFrame) -> DataFrame:
-    """``lang, source, term, n, docs``: occurrences and documents of every term in every group."""
+    """``lang, source, term, n, docs``: occurrences and documents of every term in every group, added up per task."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         held = 0
@@ -58,19 +58,27 @@ def count_terms(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 n, docs = sums.setdefault((lang, source), (Counter(), Counter()))
-                mine = Counter(TERM.findall(text.lower()))  # bytes: lower() changes A-Z alone
-                before = len(n)
-                for term, k in mine.items():
-                    n[term] += k
-                docs.update(mine.keys())
+                terms, before = TERM.findall(text.lower()), len(n)  # bytes: lower() changes A-Z alone
+                n.update(terms)
+                docs.update(set(terms))
                 held += len(n) - before
                 if held >= FLUSH:
                     yield from flush()
                     held = 0
         yield from flush()
 
-    raw = rows.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(count, "lang string, source string, term binary, n long, docs long")
-    return raw.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return rows.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(count, "lang string, source string, term binary, n long, docs long")
+
+
+def kept_terms(rows: DataFrame, min_docs: int) -> DataFrame:
+    """``lang, term, lang_n, entry``: terms in ``min_docs`` documents or more of their language, with ``(s, n)`` per source, by name.
+
+    The rows come added up per task, so they are dealt by term at once and added up there, for sources and then languages.
+    """
+    dealt = count_terms(rows).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    entry = F.sort_array(F.collect_list(F.struct(F.col("source").alias("s"), "n")))  # one element per source
+    whole = dealt.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"), entry.alias("entry"))
+    return whole.filter(F.col("docs") >= min_docs).select("lang", F.col("term").cast("string").alias("term"), "lang_n", "entry")
 
 
 def shares(counts: np.ndarray, total: np.ndarray | int) -> np.ndarray:
@@ -90,12 +98,12 @@ def share(count: str, total: str) -> str:
 
 
 def encode(vectors: DataFrame) -> DataFrame:
-    """Run-length columns: ``lang, terms, source_no, ends, counts`` per block, from ``lang, entry, terms`` sorted in each task.
+    """Run-length columns: ``lang, terms, sources, ends, counts`` per block, from ``lang, entry, terms`` sorted in each task.
 
-    An entry lists ``(source number, count)`` of the sources that use its terms. For source ``source_no[i]`` of a block, the
-    run that ends before term ``ends[i][j]`` has count ``counts[i][j]``; sources not listed are zero all over.
+    An entry lists ``(source, count)`` of the sources that use its terms. For source ``sources[i]`` of a block, the run that
+    ends before term ``ends[i][j]`` has count ``counts[i][j]``; sources not listed are zero all over.
     """
-    schema = "lang string, terms long, source_no array<int>, ends array<array<long>>, counts array<array<long>>"
+    schema = "lang string, terms long, sources array<string>, ends array<array<long>>, counts array<array<long>>"
 
     def column(at: list[int], n: list[int], start: np.ndarray) -> tuple[list[int], list[int]]:
         values = np.zeros(len(start) - 1, "i8")
@@ -111,9 +119,9 @@ def encode(vectors: DataFrame) -> DataFrame:
                 at.append(i)
                 n.append(x["n"])
         runs = [column(*used[s], start) for s in sorted(used)]
-        return {"lang": lang, "terms": int(start[-1]), "source_no": sorted(used), "ends": [r[0] for r in runs], "counts": [r[1] for r in runs]}
+        return {"lang": lang, "terms": int(start[-1]), "sources": sorted(used), "ends": [r[0] for r in runs], "counts": [r[1] for r in runs]}
 
-    arrow = pa.schema([("lang", pa.string()), ("terms", pa.int64()), ("source_no", pa.list_(pa.int32())),
+    arrow = pa.schema([("lang", pa.string()), ("terms", pa.int64()), ("sources", pa.list_(pa.string())),
                        ("ends", pa.list_(pa.list_(pa.int64()))), ("counts", pa.list_(pa.list_(pa.int64())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,12 +141,15 @@ def encode(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, schema)
 
 
-def block_sums(terms: int, source_no: list[int], ends: list, counts: list, totals: np.ndarray, rows: range) -> np.ndarray:
-    """Sum of f over a block's terms, for each source of ``rows`` against every source; ``totals`` is N + V per source."""
+def block_sums(terms: int, used: list[int], ends: list, counts: list, totals: np.ndarray, rows: range) -> np.ndarray:
+    """Sum of f over a block's terms, for each source of ``rows`` against every source; ``totals`` is N + V per source.
+
+    Sources are numbers here; ``used`` are those with a run-length column.
+    """
     out = np.zeros((len(rows), len(totals)), "i8")
     if not terms:
         return out
-    place = {s: i for i, s in enumerate(source_no)}
+    place = {s: i for i, s in enumerate(used)}
     end_of = [np.array(ends[place[s]] if s in place else [terms], "i8") for s in range(len(totals))]
     share_of = [shares(np.array(counts[place[s]] if s in place else [0], "i8"), int(totals[s])) for s in range(len(totals))]
     # all columns end to end: the run of source s that ends at e ends here at s * terms + e
@@ -158,48 +169,42 @@ def block_sums(terms: int, source_no: list[int], ends: list, counts: list, total
 
 
 def pair_sums(blocks: DataFrame) -> DataFrame:
-    """``lang, source_no, other_no, value`` of the sources ``tile * TILE ...`` of each row; every task adds its blocks up first."""
+    """``lang, source, item, value`` of the sources ``tile * TILE ...`` of each row; every task adds its blocks up first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, total = None, None
+        key, names, totals, total = None, [], None, None
 
         def out() -> Iterator[pa.RecordBatch]:
-            lang, tile = key
-            for k in range(len(total)):
-                n = total.shape[1]
-                keep = np.arange(n) != tile * TILE + k
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * int(keep.sum()), pa.string()), pa.array(np.full(keep.sum(), tile * TILE + k), pa.int32()),
-                    pa.array(np.arange(n)[keep], pa.int32()), pa.array(total[k][keep], pa.int64())], ["lang", "source_no", "other_no", "value"])
+            for s, sums in zip(names[key[1] * TILE:], total):
+                yield pa.RecordBatch.from_pylist([{"lang": key[0], "source": s, "item": o, "value": v} for o, v in zip(names, sums.tolist()) if o != s], schema)
 
         for batch in batches:
             for row in batch.to_pylist():
-                totals = np.array(row["totals"], "i8")
                 if key != (row["lang"], row["tile"]):
                     if key is not None:
                         yield from out()
-                    key, total = (row["lang"], row["tile"]), 0
-                first = row["tile"] * TILE
-                total = total + block_sums(row["terms"] or 0, row["source_no"] or [], row["ends"] or [], row["counts"] or [], totals, range(first, min(first + TILE, len(totals))))
+                    key, names, total = (row["lang"], row["tile"]), [g["source"] for g in row["groups"]], 0
+                    number, totals = {s: i for i, s in enumerate(names)}, np.array([g["total"] for g in row["groups"]], "i8")
+                first = key[1] * TILE
+                used = [number[s] for s in row["sources"] or []]
+                total = total + block_sums(row["terms"] or 0, used, row["ends"], row["counts"], totals, range(first, min(first + TILE, len(names))))
         if key is not None:
             yield from out()
 
-    return blocks.mapInArrow(run, "lang string, source_no int, other_no int, value long").groupBy("lang", "source_no", "other_no").agg(F.sum("value").alias("value"))
+    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64())])
+    return blocks.mapInArrow(run, "lang string, source string, item string, value long").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int | None = TOP) -> DataFrame:
     """``lang, source, part, item, value, rank``: part ``pair`` has every other source of the language, part ``term`` the
     ``top`` terms (None: all) that the source uses beyond its language; ranks by value, then item in UTF-8 order."""
     rows = groups_of(docs)
-    counts = stored(count_terms(rows), "term-counts")
-    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).drop("docs")
-    kept = stored(counts.select("lang", "source", "term", "n").join(whole, ["lang", "term"]), "kept-terms")
-    sizes = whole.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
-    sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("n_kept"))
-    by_source = Window.partitionBy("lang").orderBy("source")
+    kept = stored(kept_terms(rows, min_docs), "kept-terms")
+    sizes = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
+    sums = kept.select("lang", F.inline("entry")).groupBy("lang", F.col("s").alias("source")).agg(F.sum("n").alias("n_kept"))
     groups = stored(
         rows.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(sizes, "lang", "left").select(
-            "lang", "source", (F.row_number().over(by_source) - 1).alias("source_no"),
-            (F.coalesce("n_kept", F.lit(0)) + F.coalesce("v", F.lit(0))).alias("total"), (F.coalesce("lang_total", F.lit(0)) + F.coalesce("v", F.lit(0))).alias("lang_all")),
+            "lang", "source", (F.coalesce("n_kept", F.lit(0)) + F.coalesce("v", F.lit(0))).alias("total"),
+            (F.coalesce("lang_total", F.lit(0)) + F.coalesce("v", F.lit(0))).alias("lang_all")),
         "groups")
     parts = [_pairs(kept, groups), _terms(kept, groups)]
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
@@ -208,23 +213,21 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int | None = TOP) -> D
 
 
 def _pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
-    numbered = kept.join(groups.select("lang", "source", "source_no"), ["lang", "source"])
-    entry = F.sort_array(F.collect_list(F.struct(F.col("source_no").alias("s"), "n"))).alias("entry")  # one element per source at most
-    vectors = numbered.groupBy("lang", "term").agg(entry).groupBy("lang", "entry").agg(F.count("*").alias("terms"))
-    blocks = encode(vectors.repartitionByRange("lang", "entry").sortWithinPartitions("lang", "entry"))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("source_no", "total"))), lambda x: x["total"])
-    langs = groups.groupBy("lang").agg(listed.alias("totals")).withColumn("tile", F.explode(F.expr(f"sequence(0, (size(totals) - 1) div {TILE})")))
+    vectors = kept.groupBy("lang", "entry").agg(F.count("*").alias("terms"))
+    # ranges are drawn from short keys, so that the sample of them stays small whatever the number of sources
+    blocks = encode(vectors.repartitionByRange("lang", F.slice("entry", 1, 2), F.xxhash64("entry")).sortWithinPartitions("lang", "entry"))
+    named = F.sort_array(F.collect_list(F.struct("source", "total"))).alias("groups")
+    langs = groups.groupBy("lang").agg(named).withColumn("tile", F.explode(F.expr(f"sequence(0, (size(groups) - 1) div {TILE})")))
     # a language's blocks are dealt over salts, as one language may hold most of them; without blocks it keeps empty rows
     salted = stored(blocks, "run-length-blocks").withColumn("salt", F.pmod(F.xxhash64("terms", "ends", "counts"), F.lit(SALTS)).cast("int"))
     tiled = langs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).join(salted, ["lang", "salt"], "left")
-    sums = pair_sums(tiled.sortWithinPartitions("lang", "tile").select("lang", "tile", "totals", "terms", "source_no", "ends", "counts"))
-    names = groups.select("lang", "source_no", "source")
-    others = names.select("lang", F.col("source_no").alias("other_no"), F.col("source").alias("item"))
-    return sums.join(names, ["lang", "source_no"]).join(others, ["lang", "other_no"]).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
+    sums = pair_sums(tiled.sortWithinPartitions("lang", "tile").select("lang", "tile", "groups", "terms", "sources", "ends", "counts"))
+    return sums.select("lang", "source", F.lit("pair").alias("part"), "item", "value")
 
 
 def _terms(kept: DataFrame, groups: DataFrame) -> DataFrame:
-    shown = kept.join(groups.select("lang", "source", "total", "lang_all"), ["lang", "source"])
+    used = kept.select("lang", "term", "lang_n", F.inline("entry")).withColumnRenamed("s", "source")
+    shown = used.join(groups, ["lang", "source"])
     both = shown.select("lang", "source", F.col("term").alias("item"), F.expr(share("n", "total")).alias("p"), F.expr(share("lang_n", "lang_all")).alias("q"))
     return both.filter("p > q").select("lang", "source", F.lit("term").alias("part"), "item", F.expr("((p - q) * (p - q)) div q").alias("value"))
 
