@@ -47,6 +47,8 @@ class Params:
     traffic_days: int = 7
     traffic_rows: int = 0            # rows of the displayed traffic report; zero: all paths
     stale_minutes: int = 30
+    open_stage_days: int = 365       # a running stage without a finish for so long is given up
+    late_events: str = "10 minutes"  # how far events may arrive out of order
     ruleset: str = "1.4.0"
     scan_type: str = "full"
     use_model: bool = False
@@ -84,6 +86,10 @@ class Params:
     def copy_high_threshold(self) -> float:
         return max(self.copy_threshold, min(1.0, self.copy_high))
 
+    @property
+    def open_stage_ms(self) -> int:
+        return self.open_stage_days * 86_400_000
+
     def with_(self, **changes) -> "Params":
         return replace(self, **changes)
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from sitegauge.operators import merge as mg
 from sitegauge.plans import oracle as o, views as v
-from sitegauge.streaming import live as lv
+from sitegauge.params import DEFAULT
+from sitegauge.streaming import live as lv, stages as sg
 
 C = F.col
 ENTRIES: dict = {}
@@ -42,7 +43,8 @@ _STAGE = ("ev as (select event_id, user_id as target_id, event_type as stage, ts
           "pr as (select *, lag(event_id) over l as start_id, lag(ts) over l as start_ts from lg window l as (partition by target_id, stage, level order by event_id))")
 _STAGE_SQL = f"with {_STAGE} select target_id, stage, start_id, event_id as finish_id, status, epoch_us(ts) // 1000 - epoch_us(start_ts) // 1000 as duration_ms from pr where d = -1"
 add("stream_stage_durations", lambda s, d: lv.stage_durations(v.stage_events(s, d)), _STAGE_SQL)
-add("stream_stage_durations_live", lambda s, d: finished(s, lv.stream_stage_durations(stages(stream(s, d, "events"))), "stages"), _STAGE_SQL)
+# the table is read in one batch, in which nothing can be late
+add("stream_stage_durations_live", lambda s, d: finished(s, sg.stream_stage_durations(stages(stream(s, d, "events")), DEFAULT.with_(late_events="0 seconds")), "stages"), _STAGE_SQL)
 
 
 def contexts(s, d):

@@ -228,7 +228,7 @@ SITES = """ws as (select c_custkey as website_id, c_nationkey::bigint as user_id
 
 SITE_FINDINGS = FINDINGS + """, sf as (select fb.* exclude (website_id, page_id), o_custkey as website_id,
  case when l_linenumber <> 7 then page_id end as page_id,
- 'MG-' || strftime(first_seen_at, '%y%m%d') || '-' || upper(left(fingerprint, 5)) as public_id from fb join orders on o_orderkey = scan_id)"""
+ 'MG-' || strftime(first_seen_at, '%y%m%d') || '-' || upper(left(fingerprint, 16)) as public_id from fb join orders on o_orderkey = scan_id)"""
 
 _KIND = f"case when p_partkey % 12 < 8 then {pick(vocab.PAGE_TYPES, 'p_partkey % 12')} end"
 SITE_PAGES = f"""sp as (select p_partkey as page_id, (p_partkey % 150) as website_id, p_name as title,

@@ -14,10 +14,16 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # an exploded expression would be evaluated a second time just to test that it is not empty
+    # state larger than memory, and needed by transformWithState
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     EXCLUDED: "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate",
 }
 
 
+#: Private folder of a local session that sets none, by application.
+_LOCAL: dict[str, str | None] = {}
+
+
 def build(app: str = "sitegauge", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -47,8 +53,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="run-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _LOCAL.setdefault(context.applicationId, None) or tempfile.mkdtemp(prefix="run-checkpoint-")
+        _LOCAL[context.applicationId] = folder
     return folder
 
 

@@ -60,8 +60,9 @@ def _depths(events: DataFrame, keys: list[str], p: Params) -> DataFrame:
 def stage_durations(events: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Each finish closes the latest still running start of its (target, stage). Batch form.
 
-    Starts and finishes at one nesting depth alternate, so the n-th finish of a depth belongs to its n-th start.
-    ``events``: event_id, target_id, stage, status, ts.
+    Starts and finishes at one nesting depth alternate, so the n-th finish of a depth belongs to its n-th start. A start
+    open for more than ``open_stage_days`` is forgotten: only then is every start below it as old, so leaving out the
+    pairs that took longer gives the same as taking the start away. ``events``: event_id, target_id, stage, status, ts.
     """
     keys = ["target_id", "stage"]
     rows = _depths(events, keys, p)
@@ -71,40 +72,9 @@ def stage_durations(events: DataFrame, p: Params = DEFAULT) -> DataFrame:
     )
     a = number_in_group(starts, [*keys, "level"], "event_id", "n", p.chunk).withColumnRenamed("event_id", "start_id")
     b = number_in_group(ends, [*keys, "level"], "event_id", "n", p.chunk).withColumnRenamed("event_id", "finish_id")
-    return a.join(b, [*keys, "level", "n"]).select(
-        *keys, "start_id", "finish_id", "status",
-        F.greatest(F.lit(0), F.unix_millis("finished_at") - F.unix_millis("started_at")).alias("duration_ms"),
-    )
-
-
-DURATION_SCHEMA = "target_id long, stage string, start_id long, finish_id long, status string, duration_ms long"
-
-
-def stream_stage_durations(events: DataFrame) -> DataFrame:
-    """Streaming form: the open starts of a (target, stage) are its state."""
-    def pair(key, frames, state):
-        import pandas as pd
-
-        ids, times = state.get if state.exists else ([], [])
-        ids, times = list(ids), list(times)
-        rows = pd.concat(list(frames)).sort_values("event_id")
-        out = []
-        for e in rows.itertuples(index=False):
-            if e.status == "running":
-                ids.append(e.event_id)
-                times.append(e.ms)
-            elif ids:
-                out.append((key[0], key[1], ids.pop(), e.event_id, e.status, max(0, e.ms - times.pop())))
-        if ids:
-            state.update((ids, times))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["target_id", "stage", "start_id", "finish_id", "status", "duration_ms"])
-
-    rows = events.select("target_id", "stage", "event_id", "status", F.unix_millis("ts").alias("ms"))
-    return rows.groupBy("target_id", "stage").applyInPandasWithState(
-        pair, DURATION_SCHEMA, "ids array<long>, times array<long>", "append", "NoTimeout"
-    )
+    took = F.unix_millis("finished_at") - F.unix_millis("started_at")
+    pairs = a.join(b, [*keys, "level", "n"]).filter(took <= p.open_stage_ms)
+    return pairs.select(*keys, "start_id", "finish_id", "status", F.greatest(F.lit(0), took).alias("duration_ms"))
 
 
 # ---------------------------------------------------------------- telemetry context

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitegauge.operators import lifecycle as lc, merge as mg
 from sitegauge.params import DEFAULT
 from sitegauge.plans import views as v
-from sitegauge.streaming import live as lv
+from sitegauge.streaming import live as lv, stages as sg
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = ("website_id long, fingerprint string, page_id long, rule_key string, category string, severity string, confidence int, status string, "
@@ -85,7 +85,7 @@ def test_streams_over_file_chunks_equal_batch(spark, tmp_path):
     read = lambda: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
     from sitegauge.plans import catalog_streams as cs
 
-    stages = lv.stream_stage_durations(cs.stages(read()))
+    stages = sg.stream_stage_durations(cs.stages(read()), DEFAULT.with_(late_events="0 seconds"))
     lv.start_files(stages, str(tmp_path / "stages")).awaitTermination()
     key = lambda df: sorted(tuple(r) for r in df.select("start_id", "finish_id", "duration_ms").collect())
     assert key(spark.read.parquet(str(tmp_path / "stages" / "data"))) == key(lv.stage_durations(cs.stages(events), DEFAULT.with_(chunk=64)))
