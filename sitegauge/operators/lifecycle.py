@@ -42,9 +42,8 @@ def analysis_marker(p: Params, analyzed: Column, browser: Column, copied: Column
 
 
 def sink_pages(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Next page snapshot: titles are cut, a reused page (no new marker) keeps its marker."""
-    fresh = new.withColumn("title", F.substring("title", 1, 255))
-    return mg.upsert(old, fresh, ["website_id", "url_hash"], {"analysis": F.coalesce("n.analysis", "o.analysis")})
+    """Next page snapshot: a reused page (no new marker) keeps its marker. Titles are stored whole; reports cut them."""
+    return mg.upsert(old, new, ["website_id", "url_hash"], {"analysis": F.coalesce("n.analysis", "o.analysis")})
 
 
 # ---------------------------------------------------------------- findings

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitegauge.functions import url as ux, vocab
-from sitegauge.operators import discovery as dc, lifecycle as lc, merge as mg, reports as rp, retention as rt, scoring as sc
+from sitegauge.operators import discovery as dc, lifecycle as lc, reports as rp, retention as rt, scoring as sc, snapshots as sn
 from sitegauge.params import DEFAULT
 from sitegauge.plans import catalog_discovery as cd, oracle as o, views as v
+from sitegauge.streaming.live import scratch
 
 C = F.col
 ENTRIES: dict = {}
@@ -37,15 +38,17 @@ add("analysis_marker", lambda s, d: v.targets(s, d).withColumn("m", lc.analysis_
 
 def page_merge(s, d):
     old = v.previous_pages(s, d).select("website_id", "url_hash", C("page_id").alias("stored_id"), "content_hash", F.lit("old title").alias("title"), F.lit(1).alias("word_count"), "analysis")
-    cur = current_documents(s, d).filter("page_id % 4 <> 0")
+    cur = current_documents(s, d).filter("page_id % 4 <> 0")  # pages the scan did not reach keep their stored state
     marker = F.when(C("page_id") % 2 == 1, lc.analysis_marker(DEFAULT, F.lit(True), F.lit(False), F.lit(False)))
     new = cur.select("website_id", "url_hash", C("page_id").alias("stored_id"), "content_hash", F.repeat("title", 20).alias("title"), "word_count", marker.alias("analysis"))
-    return lc.sink_pages(old, new).select("stored_id", "content_hash", F.length("title").alias("title_length"), "word_count", F.coalesce("analysis.ai_model", F.lit("")).alias("ai_model"))
+    table = sn.pages_at(scratch(s, "pages")).create(old)
+    sn.store_pages(table, new)
+    return table.read(s).select("stored_id", "content_hash", F.length("title").alias("title_length"), "word_count", F.coalesce("analysis.ai_model", F.lit("")).alias("ai_model"))
 
 
 add("sink_pages", page_merge,
     f"with {o.SIGNALS}, {o.PREVIOUS} select sg.page_id as stored_id, case when sg.page_id % 4 <> 0 then sg.content_hash else pv.content_hash end as content_hash, "
-    "case when sg.page_id % 4 <> 0 then least(255, length(repeat(sg.title, 20))) else 9 end::int as title_length, case when sg.page_id % 4 <> 0 then word_count else 1 end::int as word_count, "
+    "case when sg.page_id % 4 <> 0 then length(repeat(sg.title, 20)) else 9 end::int as title_length, case when sg.page_id % 4 <> 0 then word_count else 1 end::int as word_count, "
     "case when sg.page_id % 4 <> 0 and sg.page_id % 2 = 1 then 'policy-model' else '' end as ai_model from sg left join pv on pv.page_id = sg.page_id where sg.page_id % 4 <> 0 or pv.page_id is not null")
 
 
@@ -75,8 +78,15 @@ def fcols(df):
 
 
 add("lifecycle_upsert", lambda s, d: fcols(merged(s, d)), f"with {o.FINDINGS}, {_MERGED} select {_FCOLS} from mg")
-add("sink_findings", lambda s, d: fcols(mg.upsert(v.findings(s, d), mg.latest_per_key(new_findings(s, d), ["website_id", "fingerprint"], "seen_order"), ["website_id", "fingerprint"])).groupBy("severity", "status").agg(F.count("*").alias("n")),
-    f"with {o.FINDINGS}, u as (select case when l_partkey % 3 = 0 and l_suppkey % 2 = 0 then 'info' else severity end as severity, status from fb union all select severity, '' from fb where l_partkey % 3 = 1) select severity, nullif(status, '') as status, count(*) as n from u group by all")
+
+
+def stored_findings(s, d):
+    table = sn.findings_at(scratch(s, "findings")).create(v.findings(s, d))
+    sn.store_findings(table, new_findings(s, d), now())
+    return fcols(table.read(s))
+
+
+add("sink_findings", stored_findings, f"with {o.FINDINGS}, {_MERGED} select {_FCOLS} from mg")
 
 
 def resolved(scope, scan_type="full", keep="l_linenumber % 2 = 0"):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from sitegauge.operators import merge as mg
 from sitegauge.plans import oracle as o, views as v
 from sitegauge.params import DEFAULT
-from sitegauge.streaming import live as lv, stages as sg
+from sitegauge.streaming import live as lv, stages as sg, telemetry as tm
 
 C = F.col
 ENTRIES: dict = {}
@@ -47,6 +49,34 @@ add("stream_stage_durations", lambda s, d: lv.stage_durations(v.stage_events(s,
 add("stream_stage_durations_live", lambda s, d: finished(s, sg.stream_stage_durations(stages(stream(s, d, "events")), DEFAULT.with_(late_events="0 seconds")), "stages"), _STAGE_SQL)
 
 
+def shown_log(df):
+    return df.select("scan_id", "target_id", "event_id", "stage", "status", "service", F.length("message").alias("message_chars"), "context",
+                     F.coalesce("http_status", F.lit(0)).alias("http_status"), "request_id", F.unix_millis("ts").alias("at"), C("day").cast("string").alias("day"))
+
+
+def telemetry(s, d):
+    """Batches of the log, one of them written twice, read with the days before the middle of the month compacted."""
+    out, events = lv.scratch(s, "telemetry"), v.as_telemetry(v.events(s, d))
+    for batch in (0, 1, 0):
+        tm.append(events.filter(C("event_id") % 2 == batch), out, batch)
+    tm.compact(s, out, date(2024, 1, 1), date(2024, 1, 16))
+    return shown_log(tm.read(s, out, date(2024, 1, 16)))
+
+
+def live_telemetry(s, d):
+    out = lv.scratch(s, "telemetry")
+    tm.stream_telemetry(v.as_telemetry(stream(s, d, "events")), out).awaitTermination()
+    return shown_log(tm.read(s, out))
+
+
+_LOG = ("select user_id % 20 as scan_id, user_id as target_id, event_id, event_type as stage, case when event_id % 2 = 0 then 'running' when event_id % 7 = 0 then 'failed' else 'success' end as status, "
+        "case when event_id % 4 = 0 then 'crawler' else 'detector' end as service, (5 + event_id % 9000)::int as message_chars, "
+        "'{' || case when event_id % 3 = 0 then '\"http_status\":\"' || (200 + event_id % 5 * 100) || '\",' else '' end || '\"request_id\":\"r-' || event_id || '\",\"k\":\"' || (props->>'$.k') || '\"}' as context, "
+        "case when event_id % 3 = 0 then 200 + event_id % 5 * 100 else 0 end::int as http_status, 'r-' || event_id as request_id, epoch_us(ts) // 1000 as \"at\", ts::date::varchar as day from events")
+add("sink_telemetry", telemetry, _LOG)
+add("sink_telemetry_live", live_telemetry, _LOG)
+
+
 def contexts(s, d):
     k = C("doc_id")
     return v.table(s, d, "documents").select("doc_id", F.to_json(F.struct(

@@ -191,6 +191,20 @@ def stage_events(spark, sf) -> DataFrame:
     )
 
 
+def as_telemetry(events: DataFrame) -> DataFrame:
+    """Telemetry with context from events; the context carries secrets and a text that must not be stored."""
+    k = C("event_id")
+    context = F.to_json(F.struct(
+        F.lit("secret").alias("api_key"), F.lit("Bearer x").alias("authorization"), F.concat(F.lit("article "), k.cast("string")).alias("text"),
+        F.when(k % 3 == 0, 200 + k % 5 * 100).alias("http_status"), F.concat(F.lit("r-"), k.cast("string")).alias("request_id"),
+        F.get_json_object("props", "$.k").alias("k")))
+    return events.select(
+        (C("user_id") % 20).alias("scan_id"), C("user_id").alias("target_id"), "event_id", C("event_type").alias("stage"),
+        F.when(k % 2 == 0, "running").when(k % 7 == 0, "failed").otherwise("success").alias("status"),
+        F.when(k % 4 == 0, "crawler").otherwise("detector").alias("service"),
+        F.concat(F.lit("step "), F.repeat(F.lit("x"), (k % 9000).cast("int"))).alias("message"), context.alias("context"), "ts")
+
+
 def page_views(spark, sf) -> DataFrame:
     """View events per path."""
     return events(spark, sf).filter("event_type = 'view'").select(

@@ -35,15 +35,15 @@ def key(df):
 def test_stage_durations_out_of_order_and_restarted(spark, tmp_path, open_days):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     p = DEFAULT.with_(late_events="3 days", open_stage_days=open_days)
-    spread = chunked(v.events(spark, SF), 5, 3, 7).cache()
+    spread = chunked(v.events(spark, SF), 8, 3, 7).cache()
     numbers = sorted(r[0] for r in spread.select("_chunk").distinct().collect())
     tick = spark.createDataFrame([(-2, datetime(2030, 1, 1), -1, "tick")], "event_id long, ts timestamp, user_id long, event_type string")
     read = lambda: spark.readStream.schema(v.events(spark, SF).schema).option("maxFilesPerTrigger", 1).parquet(src)
     run = lambda: lv.start_files(sg.stream_stage_durations(cs.stages(read()), p), out).awaitTermination()
-    deliver(spread, src, numbers[:3])
+    deliver(spread, src, numbers[:2])
     run()
     early = spark.read.schema(sg.DURATION_SCHEMA).parquet(f"{out}/data").count()
-    deliver(spread, src, numbers[3:])
+    deliver(spread, src, numbers[2:])
     run()
     late = v.events(spark, SF).limit(0).unionByName(tick, allowMissingColumns=True).withColumn("_chunk", F.lit(0))
     deliver(late, src, [0])  # time goes on: what waits and what is open is due
