@@ -1,4 +1,4 @@
-"""Versioned snapshots and upserts by key. A table format's MERGE could replace this module alone."""
+"""Upserts by key. A table format's MERGE could replace this module and the bucketed snapshots alone."""
 
 from __future__ import annotations
 
@@ -7,41 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 C = F.col
 
 
-def _filesystem(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Finished snapshot versions; one counts only once its success marker is written."""
-    jvm, fs, root = _filesystem(spark, path)
-    if not fs.exists(root):
-        return []
-    found = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append(int(name.split("=")[1]))
-    return sorted(found)
-
-
-def read_snapshot(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
-    done = versions(spark, path)
-    if not done:
-        return spark.createDataFrame([], schema) if schema is not None else None
-    return spark.read.parquet(f"{path}/version={done[-1]}")
-
-
-def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None) -> int:
-    """Writes the next version beside the old ones, so readers and a failed write never disturb each other."""
-    done = versions(df.sparkSession, path)
-    version = (done[-1] if done else 0) + 1
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{path}/version={version}")
-    return version
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a folder of that name, on whatever storage the path names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: str | Column) -> DataFrame:

@@ -41,6 +41,14 @@ class Snapshot:
         rows.limit(0).write.parquet(f"{self.path}/{BUCKET}=-1")  # an empty file that tells the columns of an empty table
         return self
 
+    def ensure(self, empty: DataFrame) -> "Snapshot":
+        """Creates the table with the columns of ``empty`` unless it is there."""
+        return self if mg.exists(empty.sparkSession, f"{self.path}/{BUCKET}=-1") else self.create(empty.limit(0))
+
+    def part(self, spark: SparkSession, buckets: list[int]) -> DataFrame:
+        """Rows of some buckets, with their ``bucket``; only their files are read."""
+        return spark.read.option("mergeSchema", "true").parquet(self.path).filter(F.col(BUCKET).isin(buckets))
+
     def read(self, spark: SparkSession) -> DataFrame:
         """All rows; columns that later batches brought are null in buckets written before."""
         return spark.read.option("mergeSchema", "true").parquet(self.path).drop(BUCKET)
@@ -55,7 +63,7 @@ class Snapshot:
         rows = cut(self._with_bucket(new))  # evaluated once, and apart from the files that are replaced
         touched = sorted(r[0] for r in rows.select(BUCKET).distinct().collect())
         if touched:
-            old = spark.read.option("mergeSchema", "true").parquet(self.path).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
+            old = self.part(spark, touched).drop(BUCKET)
             self._write(self._with_bucket(merge(old, rows.drop(BUCKET))), "overwrite")
         return touched
 
@@ -73,6 +81,20 @@ def store_findings(table: Snapshot, new: DataFrame, now: Column) -> list[int]:
     return table.upsert(new, lambda old, rows: lc.lifecycle_upsert(old, rows, now))
 
 
+def store_batch(table: Snapshot, new: DataFrame, now: Column, number: int) -> list[int]:
+    """Findings of one micro-batch, whose number is kept with each row; a row that saw this batch or a later one stays.
+
+    So a replay cannot reopen what was resolved since, and a batch that comes late does not undo a newer one.
+    """
+    keys = list(table.keys)
+
+    def merge(old: DataFrame, rows: DataFrame) -> DataFrame:
+        seen = old.filter(F.col("batch_number") >= number).select(*keys)
+        return lc.lifecycle_upsert(old, rows.join(seen, keys, "left_anti"), now)
+
+    return table.upsert(new.withColumn("batch_number", F.lit(number).cast("long")), merge)
+
+
 def store_pages(table: Snapshot, new: DataFrame) -> list[int]:
     """Pages of a scan; a page that was reused brings no marker and keeps the stored one."""
     return table.upsert(new, lc.sink_pages)

@@ -48,6 +48,7 @@ class Params:
     traffic_rows: int = 0            # rows of the displayed traffic report; zero: all paths
     stale_minutes: int = 30
     open_stage_days: int = 365       # a running stage without a finish for so long is given up
+    claim_days: int = 7              # how long a stream remembers who works on a target
     late_events: str = "10 minutes"  # how far events may arrive out of order
     ruleset: str = "1.4.0"
     scan_type: str = "full"

@@ -6,7 +6,6 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from sitegauge.operators import merge as mg
 from sitegauge.plans import oracle as o, views as v
 from sitegauge.params import DEFAULT
 from sitegauge.streaming import live as lv, stages as sg, telemetry as tm
@@ -97,7 +96,7 @@ def updates(e):
 def live_progress(s, d):
     out = lv.scratch(s, "progress")
     lv.stream_progress(updates(stream(s, d, "events")), out).awaitTermination()
-    return mg.read_snapshot(s, f"{out}/data")
+    return lv.live_progress(s, out)
 
 
 _PROGRESS = ("with u as (select user_id % 20 as scan_id, user_id, arg_max(event_id * 7 % 5, event_id) as k from events group by all) select scan_id, "
@@ -115,7 +114,7 @@ def live_findings(s, d):
     rows = stream(s, d, "lineitem").select(
         F.sha2(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (C("l_quantity") * 2).cast("int")), 256).alias("fingerprint"), C("l_shipdate").alias("last_seen_at"))
     lv.stream_live_findings(rows, out).awaitTermination()
-    return mg.read_snapshot(s, f"{out}/data").select("fingerprint")
+    return lv.newest_at(out).read(s).select("fingerprint")
 
 
 _NEWEST = f"with {o.FINDINGS} select fingerprint from fb order by last_seen_at desc, fingerprint limit 100"
@@ -131,7 +130,7 @@ def page_stream(s, d):
 def live_pages(s, d):
     out = lv.scratch(s, "pages")
     lv.stream_scan_pages(page_stream(s, d), out).awaitTermination()
-    return s.read.parquet(f"{out}/data").select("page_id", "rule_key", "severity", "fingerprint")
+    return lv.findings_table(out).read(s).select("page_id", "rule_key", "severity", "fingerprint")
 
 
 _PAGES = (f"with {o.RULE_ROWS} select page_id, rule_key, severity, fingerprint from rl where page_id % 17 <> 0 and (page_id % 11 = 0 or page_id % 13 <> 0)")
@@ -158,5 +157,16 @@ add("stream_late_terminal_live", lambda s, d: finished(s, lv.late_terminal(work(
 _STUCK_NOW = "timestamp '2024-01-30 12:00:00'"
 add("stream_stuck_scans", lambda s, d: lv.stuck_scans(v.events(s, d).select(C("user_id").alias("scan_id"), "ts"), F.expr(_STUCK_NOW)),
     f"select user_id as scan_id, 'cancelled' as status from events group by 1 having max(ts) <= {_STUCK_NOW} - interval 30 minute")
-add("stream_page_views_7d", lambda s, d: lv.page_views_windows(v.page_views(s, d)).withColumn("day", C("day").cast("string")),
-    f"with {o.VIEWS} select path, (ts::date + k::int)::varchar as day, count(*) as views from vw, (select unnest(range(1, 8)) as k) group by all")
+add("stream_stuck_scans_live", lambda s, d: finished(s, lv.stream_stuck_scans(stream(s, d, "events").select(C("user_id").alias("scan_id"), "ts"), DEFAULT.with_(late_events="0 seconds")), "stuck"),
+    "select user_id as scan_id, 'cancelled' as status from events group by 1 having max(ts) < (select max(ts) from events) - interval 30 minute")
+
+
+def live_views(s, d):
+    out = lv.scratch(s, "views")
+    lv.stream_page_views(v.as_page_views(stream(s, d, "events")), out).awaitTermination()
+    return lv.live_page_views(s, out, F.lit(date(2024, 1, 1)), F.lit(date(2024, 3, 1)))
+
+
+_VIEWS = f"with {o.VIEWS} select path, (ts::date + k::int)::varchar as day, count(*) as views from vw, (select unnest(range(1, 8)) as k) group by all"
+add("stream_page_views_7d", lambda s, d: lv.page_views_windows(v.page_views(s, d)).withColumn("day", C("day").cast("string")), _VIEWS)
+add("stream_page_views_7d_live", lambda s, d: live_views(s, d).withColumn("day", C("day").cast("string")), _VIEWS)

@@ -207,9 +207,11 @@ def as_telemetry(events: DataFrame) -> DataFrame:
 
 def page_views(spark, sf) -> DataFrame:
     """View events per path."""
-    return events(spark, sf).filter("event_type = 'view'").select(
-        "ts", F.concat(F.lit("/"), F.get_json_object("props", "$.k")).alias("path"), "event_id"
-    )
+    return as_page_views(events(spark, sf))
+
+
+def as_page_views(events: DataFrame) -> DataFrame:
+    return events.filter("event_type = 'view'").select("ts", F.concat(F.lit("/"), F.get_json_object("props", "$.k")).alias("path"), "event_id")
 
 
 def moderation(spark, sf) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from pyspark.sql.streaming import StreamingQuery
 
 from sitegauge.functions import html as hx, vocab
-from sitegauge.operators import lifecycle as lc, merge as mg, rules as ru, sources as so
+from sitegauge.operators import merge as mg, rules as ru, snapshots as sn, sources as so
 from sitegauge.operators.numbering import number_in_group
 from sitegauge.params import DEFAULT, Params
 from sitegauge.session import shared_folder
@@ -90,52 +90,42 @@ def sanitize_context(context: Column) -> Column:
 STATUSES = ["queued", "running", "completed", "reused", "failed"]
 
 
+def _status_counts() -> list[Column]:
+    return [F.count_if(C("status") == s).alias(s) for s in STATUSES]
+
+
 def progress_counts(updates: DataFrame) -> DataFrame:
     """Targets per latest status and scan (batch form). ``updates``: scan_id, url_hash, status, seq."""
     latest = updates.groupBy("scan_id", "url_hash").agg(F.max_by("status", "seq").alias("status"))
-    return latest.groupBy("scan_id").agg(*[F.count_if(C("status") == s).alias(s) for s in STATUSES])
+    return latest.groupBy("scan_id").agg(*_status_counts())
 
 
-def stream_progress(updates: DataFrame, out: str) -> StreamingQuery:
-    """Keeps the latest status per target as state and per-scan counters as a small snapshot per batch.
+def targets_at(out: str, buckets: int = 64) -> sn.Snapshot:
+    return sn.Snapshot(f"{out}/targets", ("scan_id", "url_hash"), buckets)
 
-    A target's update turns into -1/+1 changes, so a batch costs what it brings. A repeated batch id rewrites the
-    same version from the same predecessor, which makes replay harmless.
-    """
-    def change(key, frames, state):
-        import pandas as pd
 
-        old, seq = state.get if state.exists else (None, -1)
-        rows = pd.concat(list(frames))
-        best = rows.loc[rows["seq"].idxmax()]
-        out_rows = []
-        if int(best["seq"]) > seq:
-            if old is not None:
-                out_rows.append((key[0], old, -1))
-            out_rows.append((key[0], best["status"], 1))
-            state.update((best["status"], int(best["seq"])))
-        yield pd.DataFrame(out_rows, columns=["scan_id", "status", "n"])
-
-    key_type = updates.schema["scan_id"].dataType.simpleString()
-    deltas = updates.select("scan_id", "url_hash", "status", "seq").groupBy("scan_id", "url_hash").applyInPandasWithState(
-        change, f"scan_id {key_type}, status string, n long", "status string, seq long", "append", "NoTimeout"
-    )
+def stream_progress(updates: DataFrame, out: str, buckets: int = 64) -> StreamingQuery:
+    """Keeps the latest status per target in a bucketed table and the counters per scan of each bucket beside it.
+
+    A batch rewrites the buckets it touches and then their counters, both from what is stored, so a replay or a late
+    update (a smaller ``seq``) changes nothing, and no state has to expire. A hot scan is spread over all buckets.
+    """
+    targets = targets_at(out, buckets)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.groupBy("scan_id").agg(*[F.sum(F.when(C("status") == s, C("n")).otherwise(0)).alias(s) for s in STATUSES])
-        add_counters(rows, out, batch_id)
+        spark = batch.sparkSession
+        targets.ensure(batch)
+        touched = sn.replace_rows(targets, batch, "seq")
+        if touched:
+            counts = targets.part(spark, touched).groupBy(sn.BUCKET, "scan_id").agg(*_status_counts())
+            counts.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(sn.BUCKET).parquet(f"{out}/counters")
 
-    return start_batches(deltas, out, handle)
+    return start_batches(updates.select("scan_id", "url_hash", "status", "seq"), out, handle)
 
 
-def add_counters(rows: DataFrame, out: str, batch_id: int) -> None:
-    """Adds counters to the version written for the batch before and writes this batch's version."""
-    spark = rows.sparkSession
-    done = [v for v in mg.versions(spark, f"{out}/data") if v <= batch_id]
-    if done:
-        rows = rows.unionByName(spark.read.parquet(f"{out}/data/version={done[-1]}"))
-    keys = [c for c in rows.columns if c not in STATUSES]
-    rows.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in STATUSES]).write.mode("overwrite").parquet(f"{out}/data/version={batch_id + 1}")
+def live_progress(spark: SparkSession, out: str) -> DataFrame:
+    """Targets per status and scan so far: sums of the small counters, at most one row per bucket and scan."""
+    return spark.read.parquet(f"{out}/counters").groupBy("scan_id").agg(*[F.sum(s).alias(s) for s in STATUSES])
 
 
 # ---------------------------------------------------------------- live findings
@@ -145,16 +135,23 @@ def newest(findings: DataFrame, n: int = 100) -> DataFrame:
 
 
 def stream_live_findings(findings: DataFrame, out: str, n: int = 100) -> StreamingQuery:
-    """Newest findings so far: every batch is merged into the last short list."""
+    """Newest findings so far: every batch is merged into the short list, a table of one bucket that is replaced."""
+    table = newest_at(out)
+
+    def merge(old: DataFrame, rows: DataFrame) -> DataFrame:
+        return newest(mg.latest_per_key(old.unionByName(rows), ["fingerprint"], "last_seen_at"), n)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        done = [v for v in mg.versions(spark, f"{out}/data") if v <= batch_id]
-        rows = batch.unionByName(spark.read.parquet(f"{out}/data/version={done[-1]}")) if done else batch
-        newest(mg.latest_per_key(rows, ["fingerprint"], "last_seen_at"), n).write.mode("overwrite").parquet(f"{out}/data/version={batch_id + 1}")
+        table.ensure(batch)
+        table.upsert(newest(batch, n), merge)  # what is not among the newest of its batch is not among all
 
     return start_batches(findings, out, handle)
 
 
+def newest_at(out: str) -> sn.Snapshot:
+    return sn.Snapshot(f"{out}/newest", ("fingerprint",), 1)
+
+
 # ---------------------------------------------------------------- pages
 
 def page_findings(responses: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -163,26 +160,26 @@ def page_findings(responses: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return ru.rules_local(pages, p.scan_type, p)
 
 
-def stream_scan_pages(responses: DataFrame, out: str, p: Params = DEFAULT) -> StreamingQuery:
-    """Every micro-batch writes its findings as one delta named after the batch, so a replay overwrites itself."""
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = page_findings(batch, p).withColumn("seen_order", F.lit(batch_id).cast("long"))
-        rows.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
-
-    return start_batches(responses, out, handle)
+def findings_table(out: str, buckets: int = 64) -> sn.Snapshot:
+    return sn.findings_at(f"{out}/findings", buckets)
 
 
-def compact_findings(spark: SparkSession, out: str, snapshot: DataFrame, now: Column, after: int = -1) -> tuple[DataFrame, int]:
-    """(next findings snapshot, last batch in it), from the old snapshot and the deltas of batches later than ``after``.
+def stream_scan_pages(responses: DataFrame, out: str, p: Params = DEFAULT, epoch: int = 0, buckets: int = 64) -> StreamingQuery:
+    """Merges the findings of every micro-batch into the stored ones, bucket by bucket.
 
-    Store the batch number with the snapshot and pass it next time: a delta that is in the snapshot already must not be
-    merged again, or it would reopen what was resolved since.
+    A stored row remembers the last batch that saw it, so replays and late batches change nothing. Batch numbers belong
+    to the checkpoint in ``out``; a stream that starts over with a new one takes the next ``epoch``.
     """
-    deltas = spark.read.parquet(f"{out}/data").filter(C("batch") > after)
-    last = deltas.agg(F.max("batch")).first()[0]
-    if last is None:
-        return snapshot, after
-    return lc.lifecycle_upsert(snapshot, deltas.drop("batch"), now), int(last)
+    table, now = findings_table(out, buckets), F.lit(p.now).cast("timestamp")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        rows = page_findings(batch, p).withColumn("seen_order", F.lit(0).cast("long"))
+        keyed = rows.withColumn("website_id", F.coalesce("website_id", F.lit("")))
+        state = {"status": F.lit("open"), **{c: now for c in ("first_seen_at", "last_seen_at", "resolved_at")}, "batch_number": F.lit(0).cast("long")}
+        table.ensure(keyed.limit(0).withColumns(state))
+        sn.store_batch(table, keyed, now, (epoch << 32) + batch_id)
+
+    return start_batches(responses, out, handle)
 
 
 # ---------------------------------------------------------------- claims and late work
@@ -193,8 +190,8 @@ def claimed(events: DataFrame) -> DataFrame:
     return events.join(first, ["scan_id", "url_hash"]).filter(C("claimant") == C("owner")).drop("owner")
 
 
-def stream_claim_dedupe(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Streaming form: a target's claimant is kept until the watermark passes; others are dropped, retries pass."""
+def stream_claim_dedupe(events: DataFrame, delay: str = "1 hour", keep_days: int = DEFAULT.claim_days) -> DataFrame:
+    """Streaming form: a target's claimant is kept until ``keep_days`` after its last event; others are dropped, retries pass."""
     def own(key, frames, state):
         import pandas as pd
 
@@ -204,7 +201,7 @@ def stream_claim_dedupe(events: DataFrame, delay: str = "1 hour") -> DataFrame:
         rows = pd.concat(list(frames)).sort_values("event_id")
         owner = state.get[0] if state.exists else rows["claimant"].iloc[0]
         state.update((owner,))
-        state.setTimeoutTimestamp(int(rows["ms"].max()) + 7 * 86_400_000)
+        state.setTimeoutTimestamp(int(rows["ms"].max()) + keep_days * 86_400_000)
         kept = rows[rows["claimant"] == owner]
         yield pd.DataFrame({"scan_id": kept["scan_id"], "url_hash": kept["url_hash"], "claimant": kept["claimant"], "event_id": kept["event_id"]})
 
@@ -231,7 +228,7 @@ def stuck_scans(updates: DataFrame, now: Column, p: Params = DEFAULT) -> DataFra
 
 
 def stream_stuck_scans(updates: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Streaming form: an event-time timer per scan, moved forward by every update."""
+    """Streaming form: an event-time timer per scan, moved forward by every update, also by one that comes late."""
     wait = p.stale_minutes * 60_000
 
     def watch(key, frames, state):
@@ -246,7 +243,7 @@ def stream_stuck_scans(updates: DataFrame, p: Params = DEFAULT) -> DataFrame:
         state.setTimeoutTimestamp(max(int(last) + wait, state.getCurrentWatermarkMs() + 1))
 
     kind = updates.schema["scan_id"].dataType.simpleString()
-    rows = updates.withWatermark("ts", "0 seconds").select("scan_id", F.unix_millis("ts").alias("ms"), "ts")
+    rows = updates.withWatermark("ts", p.late_events).select("scan_id", F.unix_millis("ts").alias("ms"), "ts")
     return rows.groupBy("scan_id").applyInPandasWithState(
         watch, f"scan_id {kind}, status string", "last long", "append", "EventTimeTimeout"
     )
@@ -254,9 +251,31 @@ def stream_stuck_scans(updates: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 # ---------------------------------------------------------------- traffic
 
-def page_views_windows(views: DataFrame, days: int = 7) -> DataFrame:
-    """Views per path over trailing windows of full days, one window per day; the end day itself is excluded."""
-    if views.isStreaming:
-        views = views.withWatermark("ts", "1 day")
-    w = F.window("ts", f"{days} days", "1 day")
-    return views.groupBy("path", w).agg(F.count("*").alias("views")).select("path", F.to_date("window.end").alias("day"), "views")
+def daily_views(views: DataFrame) -> DataFrame:
+    """Views per path and day: the panes that windows are added up from, each view counted once."""
+    return views.groupBy("path", F.to_date("ts").alias("pane")).agg(F.count("*").alias("views"))
+
+
+def slide(panes: DataFrame, days: int = DEFAULT.traffic_days) -> DataFrame:
+    """Sums of the last ``days`` full days, for every day a pane belongs to; the day itself is excluded."""
+    ends = panes.select("path", "views", F.explode(F.transform(F.sequence(F.lit(1), F.lit(days)), lambda k: F.date_add("pane", k))).alias("day"))
+    return ends.groupBy("path", "day").agg(F.sum("views").alias("views"))
+
+
+def page_views_windows(views: DataFrame, days: int = DEFAULT.traffic_days) -> DataFrame:
+    """Views per path over trailing windows of full days, one window per day (batch form)."""
+    return slide(daily_views(views), days)
+
+
+def stream_page_views(views: DataFrame, out: str) -> StreamingQuery:
+    """Writes every batch's panes in a folder of its own. A late view is one more pane of its day, a replay writes the same folder."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        daily_views(batch).write.mode("overwrite").parquet(f"{out}/panes/batch={batch_id}")
+
+    return start_batches(views, out, handle)
+
+
+def live_page_views(spark: SparkSession, out: str, first: Column, last: Column, days: int = DEFAULT.traffic_days) -> DataFrame:
+    """Windows that end between two days, from the panes written so far; other panes are not summed."""
+    panes = spark.read.parquet(f"{out}/panes").filter((C("pane") >= F.date_sub(first, days)) & (C("pane") < last))
+    return slide(panes.groupBy("path", "pane").agg(F.sum("views").alias("views")), days).filter(C("day").between(first, last))

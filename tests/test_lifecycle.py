@@ -5,7 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from sitegauge.operators import lifecycle as lc, merge as mg
+from sitegauge.operators import lifecycle as lc
 from sitegauge.params import DEFAULT
 from sitegauge.plans import views as v
 from sitegauge.streaming import live as lv, stages as sg
@@ -48,34 +48,6 @@ def test_resolve_scopes(spark):
     assert gone("local", "copyright") == {"dup"} and gone("browser", "ads") == {"browser"}
 
 
-def test_snapshot_versions(spark, tmp_path):
-    path = str(tmp_path / "t")
-    df = table(spark, finding("a"))
-    assert mg.read_snapshot(spark, path, df.schema).count() == 0
-    assert [mg.write_snapshot(df, path), mg.write_snapshot(df.union(df), path)] == [1, 2]
-    assert mg.read_snapshot(spark, path).count() == 2 and mg.versions(spark, path) == [1, 2]
-
-
-def test_scan_pages_stream_equals_batch_and_replay(spark, tmp_path):
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    rows = v.responses(spark, SF).withColumn("scan_id", F.lit(1).cast("long"))
-    rows.repartition(3).write.parquet(src)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    lv.stream_scan_pages(stream, out).awaitTermination()
-    batch = lv.page_findings(rows).withColumn("seen_order", F.lit(0).cast("long"))
-    empty = spark.createDataFrame([], batch.drop("seen_order").schema).withColumns({
-        "status": F.lit(""), "first_seen_at": F.lit(NOW), "last_seen_at": F.lit(NOW), "resolved_at": F.lit(NOW)})
-    pick = lambda df: sorted(tuple(r) for r in df.select("fingerprint", "status", "severity").collect())
-    streamed, last = lv.compact_findings(spark, out, empty, F.lit(NOW))
-    assert pick(streamed) == pick(lc.lifecycle_upsert(empty, batch, F.lit(NOW)))
-    mg.write_snapshot(streamed, str(tmp_path / "snap"))
-    stored = mg.read_snapshot(spark, str(tmp_path / "snap"))
-    closed = stored.withColumn("status", F.lit("resolved"))
-    later, after = lv.compact_findings(spark, out, closed, F.lit(NOW), last)  # nothing new: what was resolved stays so
-    assert after == last and {r.status for r in later.collect()} == {"resolved"}
-    assert lv.compact_findings(spark, out, stored, F.lit(NOW))[1] == last
-
-
 def test_streams_over_file_chunks_equal_batch(spark, tmp_path):
     src = str(tmp_path / "in")
     events = v.events(spark, SF)
@@ -92,7 +64,7 @@ def test_streams_over_file_chunks_equal_batch(spark, tmp_path):
     assert key(lv.stage_durations(cs.stages(events), DEFAULT.with_(chunk=64))) == key(lv.stage_durations(cs.stages(events)))
     lv.stream_progress(cs.updates(read()), str(tmp_path / "progress")).awaitTermination()
     rows = lambda df: sorted(tuple(r) for r in df.select("scan_id", *lv.STATUSES).collect())
-    assert rows(mg.read_snapshot(spark, str(tmp_path / "progress" / "data"))) == rows(lv.progress_counts(cs.updates(events)))
+    assert rows(lv.live_progress(spark, str(tmp_path / "progress"))) == rows(lv.progress_counts(cs.updates(events)))
 
 
 def test_stuck_scan_timer(spark, tmp_path):

@@ -2,12 +2,13 @@
 
 import random
 import time
-from datetime import datetime, timedelta
+from datetime import datetime
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sitegauge.operators import snapshots as sn
 from sitegauge.params import DEFAULT
 from sitegauge.plans import catalog_streams as cs, views as v
 from sitegauge.streaming import live as lv, stages as sg
@@ -73,3 +74,54 @@ def test_match_equals_a_stack():
         got, left = sg.match(pd.DataFrame(events, columns=sg.COLUMNS))
         assert sorted(got[["start_id", "finish_id", "took"]].itertuples(index=False, name=None)) == sorted(pairs)
         assert left["event_id"].tolist() == [s for s, _ in stack]
+
+
+def test_scan_pages_stream_equals_batch_and_replay(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = v.responses(spark, SF)
+    rows.repartition(3).write.parquet(src)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    lv.stream_scan_pages(stream, out, buckets=4).awaitTermination()
+    table = lv.findings_table(out, 4)
+    pick = lambda df: sorted(tuple(r) for r in df.select("fingerprint", "page_id", "severity").collect())
+    batch = lv.page_findings(rows)
+    assert pick(table.read(spark)) == pick(batch) and {r[0] for r in table.read(spark).select("status").distinct().collect()} == {"open"}
+    # what was resolved since stays so when a batch is replayed or comes late, and reopens when a later one sees it
+    now = F.lit(DEFAULT.now).cast("timestamp")
+    table.upsert(table.read(spark), lambda old, new: new.withColumn("status", F.lit("resolved")))
+    again = batch.withColumns({"seen_order": F.lit(0).cast("long"), "website_id": F.coalesce("website_id", F.lit(""))})
+    states = lambda: {r[0] for r in table.read(spark).select("status").distinct().collect()}
+    sn.store_batch(table, again, now, 0)
+    assert states() == {"resolved"} and table.read(spark).count() == len(pick(batch))
+    sn.store_batch(table, again, now, 9)
+    assert states() == {"open"}
+
+
+def test_progress_ignores_replayed_and_late_updates(spark, tmp_path):
+    out, updates = str(tmp_path / "out"), cs.updates(v.events(spark, SF))
+    src = str(tmp_path / "in")
+    for k in (2, 0, 1):  # later updates arrive first
+        updates.filter(F.col("seq") % 3 == k).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(0.02)
+    read = lambda: spark.readStream.schema(updates.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    lv.stream_progress(read(), out, 4).awaitTermination()
+    rows = lambda df: sorted(tuple(r) for r in df.select("scan_id", *lv.STATUSES).collect())
+    want = rows(lv.progress_counts(updates))
+    assert rows(lv.live_progress(spark, out)) == want
+    updates.filter("seq < 500").coalesce(1).write.mode("append").parquet(src)
+    lv.stream_progress(read(), out, 4).awaitTermination()
+    assert rows(lv.live_progress(spark, out)) == want
+
+
+def test_page_views_stream_corrects_late_views(spark, tmp_path):
+    out, views = str(tmp_path / "out"), v.page_views(spark, SF)
+    src = str(tmp_path / "in")
+    for k in (1, 0):
+        views.filter(F.col("event_id") % 2 == k).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(0.02)
+    stream = spark.readStream.schema(views.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    lv.stream_page_views(stream, out).awaitTermination()
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    first, last = F.lit(datetime(2024, 1, 10)).cast("date"), F.lit(datetime(2024, 1, 20)).cast("date")
+    want = rows(lv.page_views_windows(views).filter(F.col("day").between(first, last)))
+    assert rows(lv.live_page_views(spark, out, first, last)) == want and len(want) > 50
