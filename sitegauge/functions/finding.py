@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sitegauge.functions import text as tx, vocab
 
 FIELDS = [
-    "rule_key", "category", "severity", "confidence", "title", "policy_reference", "signals", "remediation", "fingerprint",
+    "rule_key", "category", "severity", "confidence", "title", "summary", "policy_reference", "signals", "remediation", "fingerprint",
 ]
 
 
@@ -23,14 +23,14 @@ def clamp_confidence(value: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), value)).cast("int")
 
 
-def finding(*, rule_key, category, severity, confidence, title, url: Column, signals: Column, policy="", salt=None, remediation="") -> Column:
-    """Struct with the fields every rule produces."""
+def finding(*, rule_key, category, severity, confidence, title, url: Column, signals: Column, policy="", salt=None, remediation="", summary="") -> Column:
+    """Struct with the fields every rule produces; without a summary of its own a finding repeats its title."""
     key = _col(rule_key)
     advice = remediation if isinstance(remediation, Column) else F.array(F.lit(remediation)) if remediation else F.array().cast("array<string>")
     return F.struct(
         key.alias("rule_key"), _col(category).alias("category"), _col(severity).alias("severity"),
         clamp_confidence(_col(confidence)).alias("confidence"), _col(title).alias("title"),
-        _col(policy).alias("policy_reference"), signals.alias("signals"), advice.alias("remediation"),
+        _col(summary if isinstance(summary, Column) or summary else title).alias("summary"), _col(policy).alias("policy_reference"), signals.alias("signals"), advice.alias("remediation"),
         fingerprint(key, url, salt).alias("fingerprint"),
     )
 

@@ -100,7 +100,8 @@ def is_valid(url: Column) -> Column:
 
 
 def _origin(u: Column) -> Column:
-    return F.concat(F.when(u["s"] == "", "https").otherwise(u["s"]), F.lit("://"), u["h"], _port_suffix(u))
+    """Null for an address without a host."""
+    return F.when(u["h"] != "", F.concat(F.when(u["s"] == "", "https").otherwise(u["s"]), F.lit("://"), u["h"], _port_suffix(u)))
 
 
 def origin(url: Column) -> Column:

@@ -172,6 +172,7 @@ def copy_findings(best: DataFrame, p: Params = DEFAULT) -> DataFrame:
             F.col("candidate_title").alias("matched_title"), percent.alias("similarity"),
             F.lit("5-word shingle containment").alias("method"), F.col("phrases").alias("matching_phrases"),
         )),
+        summary=F.concat(percent, F.lit(" percent of the text is contained in "), F.col("candidate_url"), F.lit(".")),
         policy="publisher policies: replicated content", salt=F.sha2("candidate_url", 256), url=F.col("url"),
         remediation="Verify which page was published first.",
     )

@@ -192,7 +192,7 @@ def plan_dedupe_cap(adds: DataFrame, limit: int, sampled: bool = False) -> tuple
     it was sampled. The number of refused rows is a count, so no site is collected.
     """
     first = first_per_group(adds.withColumn("url_hash", ux.url_hash(C("url"))), ["site", "url_hash"], ["sequence"])
-    regular = number_in_group(first.filter(~C("required")), ["site"], "sequence", "n")
+    regular = number_in_group(first.filter(~C("required")), ["site"], "sequence", "n", levels=3)
     kept = first.filter("required").unionByName(regular.filter(C("n") <= limit).drop("n"))
     cut_off = first.groupBy("site").agg((F.count_if(~C("required")) > limit).alias("over"))
     return kept, cut_off.select("site", (C("over") & F.lit(not sampled)).alias("truncated"))

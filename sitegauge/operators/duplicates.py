@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitegauge.functions import text as tx
-from sitegauge.operators.numbering import number_in_group, spread_join, top_per_group
+from sitegauge.operators.numbering import lookup, number_in_group, spread_join, top_per_group
 from sitegauge.params import DEFAULT, Params
 from sitegauge.session import cut
 
@@ -266,6 +266,7 @@ def dup_findings(pages: DataFrame, p: Params = DEFAULT) -> DataFrame:
             F.lit("bottom-k sketch of 4-word shingles").alias("method"),
         )),
         policy="publisher policies: replicated content",
+        summary=F.concat(percent, F.lit(" percent of the text is also on "), F.col("matched_url"), F.lit(".")),
         salt=F.sha2("matched_url", 256),
         url=F.col("url"),
     )
@@ -278,8 +279,8 @@ def dup_match_rows(findings: DataFrame, pages: DataFrame, sites: DataFrame) -> D
     """Report rows of duplicate findings: source URL (site start when the page is gone), match, similarity, method."""
     s = F.from_json("signals", "similarity int, matched_url string, method string")
     rows = findings.filter(F.get_json_object("signals", "$.matched_url") != "").withColumn("s", s)
-    rows = rows.join(pages.select("page_id", F.col("url").alias("page_url")), "page_id", "left")
-    rows = spread_join(rows, sites.select("website_id", "start_url"), ["website_id"], "page_id", "left")
+    rows = lookup(rows, pages.select("page_id", F.col("url").alias("page_url")), "page_id", "fingerprint")
+    rows = lookup(rows, sites.select("website_id", "start_url"), "website_id", "fingerprint")
     return rows.select(
         "fingerprint", F.coalesce("page_url", "start_url").alias("source_url"), F.col("s.matched_url").alias("matched_url"),
         F.col("s.similarity").alias("similarity"), F.col("s.method").alias("method"),

@@ -127,11 +127,11 @@ def scan_request_validate(requests: DataFrame, sites: DataFrame) -> DataFrame:
     named = rows.filter(C("site") != "all-sites").join(names, "site", "left").withColumn(
         "reject_reason", F.coalesce("reject_reason", F.when(C("website_id").isNull(), "site"))
     )
-    # every request for all sites is combined with every site: that product is the requested output
-    everything = rows.filter(C("site") == "all-sites").withColumn("one", F.lit(1)).join(
-        sites.select("website_id", F.lit(1).alias("one")), "one"
-    ).drop("one")
-    return named.unionByName(everything)
+    whole = rows.filter(C("site") == "all-sites")
+    refused = whole.filter(C("reject_reason").isNotNull()).withColumn("website_id", F.lit(None).cast(sites.schema["website_id"].dataType))
+    # an accepted request for all sites names every site: that product is the requested output
+    everything = whole.filter(C("reject_reason").isNull()).crossJoin(sites.select("website_id"))
+    return named.unionByName(refused).unionByName(everything)
 
 
 def scan_supersede(requests: DataFrame, scans: DataFrame, sites: DataFrame) -> DataFrame:

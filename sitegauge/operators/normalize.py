@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sitegauge.functions import finding as fd, text as tx, url as ux, vocab
-from sitegauge.operators.numbering import first_per_group, top_per_group
+from sitegauge.operators.numbering import first_per_group, lookup, top_per_group
 from sitegauge.operators import merge as mg
 from sitegauge.params import DEFAULT, Params
 
@@ -35,6 +35,7 @@ def moderation_findings(replies: DataFrame, p: Params = DEFAULT) -> DataFrame:
         rule_key=F.concat(F.lit("sightengine."), "class"), category="Third-party moderation",
         severity=F.when(C("score") >= 0.85, "high").otherwise("review"), confidence=F.round(C("score") * 100).cast("int"),
         title=F.concat(F.lit("Moderation model reported "), name), url=C("url"),
+        summary=F.concat(F.lit("The moderation model scores the text "), F.format_number("score", 2), F.lit(" for "), name, F.lit(".")),
         signals=F.to_json(F.struct("class", "score", "request_id")), policy=F.concat(F.lit("text moderation: "), C("class")),
         remediation="Review the page in context.",
     ))
@@ -46,9 +47,10 @@ REPLY_SCHEMA = (
 )
 
 
-def _cut_list(values: Column, size: int) -> Column:
-    cut = F.transform(F.coalesce(values, F.array().cast(STRINGS)), lambda x: F.substring(tx.trim(F.coalesce(x, F.lit(""))), 1, size))
-    return F.filter(cut, lambda x: ~x.isin("", "0"))
+def _entries(values: Column) -> Column:
+    """Trimmed texts of a list without empty ones; stored whole, cut only where they are shown."""
+    trimmed = F.transform(F.coalesce(values, F.array().cast(STRINGS)), lambda x: tx.trim(F.coalesce(x, F.lit(""))))
+    return F.filter(trimmed, lambda x: ~x.isin("", "0"))
 
 
 def llm_findings(replies: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -63,14 +65,15 @@ def llm_findings(replies: DataFrame, p: Params = DEFAULT) -> DataFrame:
         "confidence": fd.clamp_confidence(F.coalesce(C("r.confidence"), F.lit(0.0)).cast("int")),
         "category": F.try_element_at(codes, C("r.policy_code")),
     }).filter(C("category").isNotNull() & (C("confidence") >= floor))
-    advice = _cut_list(C("r.remediation"), 500)
+    advice = _entries(C("r.remediation"))
+    title = tx.trim(F.coalesce(C("r.title"), F.initcap(F.replace(C("code"), F.lit("_"), F.lit(" ")))))
     return _emit(rows, fd.finding(
         rule_key=F.concat(F.lit("ai."), "code"), category=C("category"),
         severity=F.when(C("r.severity").isin("high", "review", "info"), C("r.severity")).otherwise("review"),
         confidence=C("confidence"), url=C("url"),
-        title=F.substring(tx.trim(F.coalesce(C("r.title"), F.initcap(F.replace(C("code"), F.lit("_"), F.lit(" "))))), 1, 255),
+        title=title, summary=F.coalesce(F.nullif(tx.trim(F.coalesce("r.summary", F.lit(""))), F.lit("")), title),
         signals=F.to_json(F.struct(
-            F.lit(p.model_name).alias("model"), "response_id", C("code").alias("policy_code"), _cut_list(C("r.evidence"), 300).alias("evidence"),
+            F.lit(p.model_name).alias("model"), "response_id", C("code").alias("policy_code"), _entries(C("r.evidence")).alias("evidence"),
         )),
         policy=F.concat(F.lit("publisher policies: "), F.replace(C("code"), F.lit("_"), F.lit(" "))),
         remediation=F.when(F.size(advice) > 0, advice).otherwise(F.array(F.lit("Review the quoted evidence and record a decision."))),
@@ -147,17 +150,18 @@ def section_of_category(category: Column) -> Column:
 
 
 def assessment_references(assessments: DataFrame) -> DataFrame:
-    """Usable policy references of each assessment (scan_id, payload): allow-listed, complete, unique, first eight."""
+    """Usable policy references of each assessment (scan_id, payload): allow-listed, complete, unique, all of them in order."""
     r = F.from_json("payload", ASSESSMENT_SCHEMA)["policy_references"]
     rows = assessments.select("scan_id", F.posexplode(r).alias("i", "r")).filter(C("r.policy_url").isin(*vocab.POLICY_URLS.values()))
     rows = rows.select(
         "scan_id", "i",
         F.when(C("r.section").isin(*SECTIONS), C("r.section")).otherwise(section_of_url(C("r.policy_url"))).alias("section"),
-        F.substring(tx.trim(F.coalesce("r.issue", F.lit(""))), 1, 300).alias("issue"),
-        F.substring(tx.trim(F.coalesce("r.relevance", F.lit(""))), 1, 1000).alias("relevance"), C("r.policy_url").alias("policy_url"),
+        tx.trim(F.coalesce("r.issue", F.lit(""))).alias("issue"),
+        tx.trim(F.coalesce("r.relevance", F.lit(""))).alias("relevance"), C("r.policy_url").alias("policy_url"),
     ).filter((C("issue") != "") & (C("relevance") != ""))
     once = first_per_group(rows, ["scan_id", "section", "policy_url"], ["i"])
-    return top_per_group(once, ["scan_id"], [F.asc("i")], 8, "reference_rank")
+    in_order = F.row_number().over(W.partitionBy("scan_id").orderBy("i"))  # entries of one payload
+    return once.withColumn("reference_rank", in_order)
 
 
 def assessment_references_fallback(assessed: DataFrame, references: DataFrame, open_findings: DataFrame) -> DataFrame:
@@ -171,9 +175,9 @@ def assessment_references_fallback(assessed: DataFrame, references: DataFrame, o
 
 
 def assessment_normalize(assessments: DataFrame) -> DataFrame:
-    """Bounded text fields of each assessment; at most eight priorities and five limitations."""
+    """Text fields and lists of each assessment, whole; :func:`shown_assessment` cuts them for a report."""
     a = assessments.withColumn("a", F.from_json("payload", ASSESSMENT_SCHEMA))
-    cut = lambda c, n, d="": F.substring(tx.trim(F.coalesce(C(c), F.lit(d))), 1, n)
+    text = lambda c, d="": tx.trim(F.coalesce(C(c), F.lit(d)))
     issues = F.array_join(F.filter(F.transform(
         F.coalesce("a.key_issues", F.array().cast("array<struct<title:string,why_it_matters:string>>")),
         lambda i: F.trim(F.concat(F.coalesce(i["title"], F.lit("")), F.lit(". "), F.coalesce(i["why_it_matters"], F.lit(""))))),
@@ -181,33 +185,42 @@ def assessment_normalize(assessments: DataFrame) -> DataFrame:
     lines = lambda c: F.coalesce(c, F.array().cast(STRINGS))
     return a.select(
         "scan_id", F.when(C("a.risk_level").isin("critical", "high", "review", "healthy"), C("a.risk_level")).otherwise("review").alias("risk_level"),
-        cut("a.headline", 300, "Website assessment").alias("headline"),
-        *[cut(f"a.{c}", 5000).alias(c) for c in ("summary", "content_overview", "transparency_overview", "adsense_requirements_overview")],
-        F.substring(tx.trim(F.coalesce("a.policy_overview", issues)), 1, 5000).alias("policy_overview"),
-        F.slice(F.transform(lines(F.coalesce("a.recommendations", "a.priorities")), lambda x: F.substring(tx.trim(x), 1, 1000)), 1, 8).alias("priorities"),
-        F.slice(F.transform(lines(C("a.limitations")), lambda x: F.substring(x, 1, 1000)), 1, 5).alias("limitations"),
+        text("a.headline", "Website assessment").alias("headline"),
+        *[text(f"a.{c}").alias(c) for c in ("summary", "content_overview", "transparency_overview", "adsense_requirements_overview")],
+        tx.trim(F.coalesce("a.policy_overview", issues)).alias("policy_overview"),
+        F.transform(lines(F.coalesce("a.recommendations", "a.priorities")), lambda x: tx.trim(x)).alias("priorities"),
+        lines(C("a.limitations")).alias("limitations"),
     )
 
 
+def shown_assessment(assessments: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Normalised assessments cut for a report: lengths and list sizes are the ``shown_*`` parameters."""
+    texts = [c for c in ("headline", "summary", *SECTIONS) if c in assessments.columns]
+    short = {c: F.substring(c, 1, p.shown_headline if c == "headline" else p.shown_text) for c in texts}
+    lists = {"priorities": p.shown_priorities, "limitations": p.shown_limitations}
+    return assessments.withColumns(short | {
+        c: F.transform(F.slice(c, 1, n), lambda x: F.substring(x, 1, p.shown_line)) for c, n in lists.items()})
+
+
 def evidence_quotes(signals: Column) -> Column:
-    """Distinct non-empty quotes of a finding, first twelve."""
+    """Distinct non-empty quotes of a finding, in order."""
     s = F.from_json(signals, "evidence array<string>, matching_phrases array<string>")
     none = F.array().cast(STRINGS)
     joined = F.concat(F.coalesce(s["evidence"], none), F.coalesce(s["matching_phrases"], none))
     clean = F.filter(F.transform(joined, lambda x: tx.trim(F.coalesce(x, F.lit("")))), lambda x: x != "")
-    return F.slice(F.array_distinct(clean), 1, 12)
+    return F.array_distinct(clean)
 
 
 def evidence_source_urls(findings: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Valid distinct source URLs of each finding, including the address entered by a reviewer; first twenty."""
+    """Valid distinct source URLs of each finding, including the address entered by a reviewer."""
     s = F.from_json("signals", "external_image_urls array<string>, source_urls array<string>, source_url string, matched_url string")
     none = F.array().cast(STRINGS)
-    rows = findings.join(reviews.select("page_id", C("matched_url").alias("reviewed_url")), "page_id", "left").withColumn("s", s)
+    rows = lookup(findings, reviews.select("page_id", C("matched_url").alias("reviewed_url")), "page_id", "fingerprint").withColumn("s", s)
     urls = F.concat(
         F.coalesce("s.external_image_urls", none), F.coalesce("s.source_urls", none), F.array("s.source_url", "s.matched_url", "reviewed_url")
     )
     valid = F.filter(F.array_compact(urls), lambda u: ux.is_valid(u))
-    return rows.select("fingerprint", "page_id", F.slice(F.array_distinct(valid), 1, 20).alias("source_urls"))
+    return rows.select("fingerprint", "page_id", F.array_distinct(valid).alias("source_urls"))
 
 
 def copyright_review_upsert(reviews: DataFrame, updates: DataFrame, pages: DataFrame) -> DataFrame:

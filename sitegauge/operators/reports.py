@@ -1,6 +1,6 @@
 """Aggregates and report queries over sites, scans, pages, findings and targets.
 
-A finding's site is looked up with ``spread_join``: one site may own any share of the findings.
+A finding's site and page are looked up with ``lookup``: one site may own any share of the findings, many have no page.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sitegauge.functions import finding as fd, url as ux, vocab
 from sitegauge.operators import scoring as sc
-from sitegauge.operators.numbering import number_in_group, spread_join, top_per_group
+from sitegauge.operators.numbering import lookup, top_per_group
 from sitegauge.params import DEFAULT, Params
 
 C = F.col
@@ -22,12 +22,12 @@ def _iso(c: str) -> Column:
 
 
 def with_site(rows: DataFrame, sites: DataFrame, *columns: str, by: str = "fingerprint") -> DataFrame:
-    return spread_join(rows, sites.select("website_id", *columns), ["website_id"], by, "left")
+    return lookup(rows, sites.select("website_id", *columns), "website_id", by)
 
 
 def with_page(rows: DataFrame, pages: DataFrame, *columns: str, by: str = "fingerprint") -> DataFrame:
-    """Left lookup by page id; rows without a page skip the join instead of meeting in one task."""
-    return spread_join(rows, pages.select("page_id", *columns), ["page_id"], by, "left")
+    """Left lookup by page id; rows without a page do not meet in one task."""
+    return lookup(rows, pages.select("page_id", *columns), "page_id", by)
 
 
 # ---------------------------------------------------------------- scan aggregates
@@ -58,14 +58,15 @@ def queue_utilization(targets: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 # ---------------------------------------------------------------- site aggregates
 
-def site_page_profile(pages: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Word, ad and error totals of each site's scanned pages, in one aggregation."""
+def site_page_profile(sites: DataFrame, pages: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Word, ad and error totals of each site's scanned pages, in one aggregation; zeros for a site without any."""
     w, a = C("word_count"), C("ad_count")
-    return pages.filter("scanned").groupBy("website_id").agg(
+    totals = pages.filter("scanned").groupBy("website_id").agg(
         F.count("*").alias("pages"), F.sum(w).alias("total_words"), F.round(F.avg(w), 1).alias("average_words"),
         F.min(w).alias("minimum_words"), F.max(w).alias("maximum_words"), F.sum(a).alias("total_ads"), F.round(F.avg(a), 1).alias("average_ads"),
         F.count_if(w < p.thin_words).alias("thin_pages"), F.count_if(a > 0).alias("pages_with_ads"), F.count_if(C("status_code") >= 400).alias("error_pages"),
     )
+    return sites.select("website_id").join(totals, "website_id", "left").fillna(0)
 
 
 def site_distributions(pages: DataFrame) -> DataFrame:
@@ -79,11 +80,14 @@ def site_distributions(pages: DataFrame) -> DataFrame:
     return rows.groupBy("website_id", "d.dimension", "d.value").agg(F.count("*").alias("n"))
 
 
-def site_titles_sample(pages: DataFrame, n: int = 60) -> DataFrame:
-    """First titles of each site by page id, as one list of at most ``n``."""
+def site_titles_sample(sites: DataFrame, pages: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """A report's sample of each site: its first titles by page id, cut; an empty list for a site without any."""
+    n = p.shown_titles
     rows = top_per_group(pages.filter("scanned").filter(C("title").isNotNull()), ["website_id"], [F.asc("page_id")], n)
-    titles = F.array_sort(F.collect_list(F.struct("page_id", F.substring("title", 1, 180).alias("title"))))
-    return rows.groupBy("website_id").agg(F.transform(titles, lambda t: t["title"]).alias("titles"))
+    titles = F.array_sort(F.collect_list(F.struct("page_id", F.substring("title", 1, p.shown_title).alias("title"))))
+    lists = rows.groupBy("website_id").agg(F.transform(titles, lambda t: t["title"]).alias("titles"))
+    listed = sites.select("website_id").join(lists, "website_id", "left")
+    return listed.withColumn("titles", F.coalesce("titles", F.array().cast("array<string>")))
 
 
 def affected_pages(findings: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,11 +107,12 @@ def finding_groups(findings: DataFrame) -> DataFrame:
     ).withColumn("severity_rank", fd.severity_rank(C("severity")))
 
 
-def missing_types(pages: DataFrame) -> DataFrame:
-    """Required page types not found among a site's scanned pages."""
+def missing_types(sites: DataFrame, pages: DataFrame) -> DataFrame:
+    """Required page types not found among a site's scanned pages; all of them for a site without any."""
     every = F.array(*[F.lit(t) for t in vocab.LINKED_TYPES])
     found = F.collect_set("essential_page_type")  # at most eight values
-    return pages.filter("scanned").groupBy("website_id").agg(F.array_except(every, found).alias("missing"))
+    left = pages.filter("scanned").groupBy("website_id").agg(F.array_except(every, found).alias("missing"))
+    return sites.select("website_id").join(left, "website_id", "left").withColumn("missing", F.coalesce("missing", every))
 
 
 def policy_evidence() -> dict[str, Column]:
@@ -296,11 +301,17 @@ def filter_findings(findings: DataFrame, scans: DataFrame | None = None, severit
 
 
 def search_findings(findings: DataFrame, sites: DataFrame, pages: DataFrame, term: str) -> DataFrame:
-    """Literal, case-insensitive search over finding texts, site domain and page URL."""
-    needle = F.lit(term.lower())
-    rows = with_page(with_site(findings, sites, "domain"), pages.withColumnRenamed("url", "page_url"), "page_url")
-    hit = reduce(lambda a, b: a | b, [F.coalesce(F.lower(c).contains(needle), F.lit(False)) for c in ("title", "summary", "public_id", "domain", "page_url")])
-    return rows.filter(hit)
+    """Literal, case-insensitive search over finding texts, site domain and page URL.
+
+    The term is looked for where a text is stored once, on the site and on the page; a finding then only meets the ids
+    of sites and pages that hit, and is read once.
+    """
+    has = lambda c: F.coalesce(F.lower(c).contains(F.lit(term.lower())), F.lit(False))
+    site_hits = sites.filter(has("domain")).select("website_id", F.lit(True).alias("_site"))
+    page_hits = pages.filter(has("url")).select("page_id", F.lit(True).alias("_page"))
+    rows = lookup(lookup(findings, site_hits, "website_id", "fingerprint"), page_hits, "page_id", "fingerprint")
+    own = reduce(lambda a, b: a | b, [has(c) for c in ("title", "summary", "public_id")])
+    return rows.filter(own | C("_site").isNotNull() | C("_page").isNotNull()).drop("_site", "_page")
 
 
 def search_sites(sites: DataFrame, term: str | None = None, status: str | None = None) -> DataFrame:
@@ -350,7 +361,7 @@ def scan_detail(targets: DataFrame, pages: DataFrame, events: DataFrame) -> Data
     """Targets with their page columns and event counts."""
     counts = events.groupBy("page_id").agg(F.count("*").alias("events_count"))
     rows = with_page(targets, pages, "title", "word_count", by="position")
-    return spread_join(rows, counts, ["page_id"], "position", "left").withColumn("events_count", F.coalesce("events_count", F.lit(0)))
+    return lookup(rows, counts, "page_id", "position").withColumn("events_count", F.coalesce("events_count", F.lit(0)))
 
 
 def target_timeline(events: DataFrame, target_id: int) -> DataFrame:

@@ -30,11 +30,12 @@ class Rule:
     title: Column | str = ""
     policy: Column | str = ""
     remediation: str = ""
+    summary: Column | str = ""
 
     def column(self, url: Column) -> Column:
         record = fd.finding(
             rule_key=self.key, category=self.category, severity=self.severity, confidence=self.confidence,
-            title=self.title, url=url, signals=F.to_json(self.signals), policy=self.policy, remediation=self.remediation,
+            title=self.title, url=url, signals=F.to_json(self.signals), policy=self.policy, remediation=self.remediation, summary=self.summary,
         )
         return F.when(self.predicate, record)
 
@@ -56,6 +57,7 @@ def rule_content_thin(p: Params = DEFAULT) -> Rule:
         "content.thin-page", C("word_count") < p.thin_words, "Content quality", _high_if(C("word_count") < 150), 92,
         F.struct("word_count", "paragraph_count"), vocab.RULE_TITLES["content.thin-page"],
         "publisher policies: low-value content", "Add original, useful content or stop monetising the page.",
+        F.concat(F.lit("The page has "), C("word_count"), F.lit(" words in "), C("paragraph_count"), F.lit(" paragraphs.")),
     )
 
 
@@ -65,6 +67,7 @@ def rule_content_structure(p: Params = DEFAULT) -> Rule:
         (C("word_count") >= p.thin_words) & (C("word_count") < p.low_value_words) & (C("paragraph_count") < 3),
         "Content quality", "review", 76, F.struct("word_count", "paragraph_count"), vocab.RULE_TITLES["content.low-editorial-structure"],
         "publisher policies: valuable inventory", "Structure the article and name sources and authors.",
+        F.concat(C("word_count"), F.lit(" words stand in only "), C("paragraph_count"), F.lit(" paragraphs.")),
     )
 
 
@@ -73,6 +76,7 @@ def rule_document_structure(p: Params = DEFAULT) -> Rule:
         "content.document-structure", (C("title") == "") | (C("h1_count") != 1), "Content quality", "info", 98,
         F.struct((C("title") != "").alias("title_present"), "h1_count"), "Page title or heading structure needs review",
         remediation="Add a descriptive title and one main heading.",
+        summary=F.concat(F.when(C("title") == "", "No title and ").otherwise("A title and "), C("h1_count"), F.lit(" main headings were found.")),
     )
 
 
@@ -90,11 +94,12 @@ def rule_copyright_media(p: Params = DEFAULT) -> Rule:
         "copyright.media-provenance-unverified", (C("external_images") > 0) & ~attribution(C("text")), "Copyright",
         _high_if(many), F.when(many, 82).otherwise(68),
         F.struct(
-            "external_images", F.slice("external_image_urls", 1, 20).alias("external_image_urls"),
+            "external_images", "external_image_urls",
             F.lit(False).alias("visible_attribution"), F.lit("unverified_external_media").alias("source_status"),
         ),
         vocab.RULE_TITLES["copyright.media-provenance-unverified"], "publisher policies: intellectual property",
         "Verify ownership or licences of all media.",
+        F.concat(C("external_images"), F.lit(" images come from other sites and the page names no source.")),
     )
 
 
@@ -103,11 +108,15 @@ def _ad_signals(state: str | None = None) -> Column:
     return F.struct("ad_count", "word_count", _ratio().alias("words_per_ad"), *extra)
 
 
+def _ads_beside_words() -> Column:
+    return F.concat(C("ad_count"), F.lit(" ads stand beside "), C("word_count"), F.lit(" words."))
+
+
 def rule_ads_no_content(p: Params = DEFAULT) -> Rule:
     return Rule(
         "ads.on-page-without-content", (C("ad_count") > 0) & (C("word_count") < p.ad_empty_words), "Ad experience", "high",
         96, _ad_signals("empty_or_nearly_empty"), "Ads on a page without content",
-        "publisher policies: inventory without content", "Remove ad code until the page has content.",
+        "publisher policies: inventory without content", "Remove ad code until the page has content.", _ads_beside_words(),
     )
 
 
@@ -116,7 +125,7 @@ def rule_ads_thin(p: Params = DEFAULT) -> Rule:
         "ads.on-thin-content-page",
         (C("ad_count") > 0) & (C("word_count") >= p.ad_empty_words) & (C("word_count") < p.ad_thin_words),
         "Ad experience", _high_if((C("word_count") < 150) | (_ratio() < 100)), 93, _ad_signals("thin"),
-        "Ads on a thin page", "publisher policies: low-value inventory", "Pause ads or extend the content.",
+        "Ads on a thin page", "publisher policies: low-value inventory", "Pause ads or extend the content.", _ads_beside_words(),
     )
 
 
@@ -127,6 +136,7 @@ def rule_ads_density(p: Params = DEFAULT) -> Rule:
         & ((C("ad_count") > p.max_ads) | (_ratio() < p.words_per_ad)),
         "Ad experience", _high_if((C("ad_count") >= p.max_ads + 3) | (_ratio() < 100)), 88, _ad_signals(),
         vocab.RULE_TITLES["ads.density-review"], "publisher policies: more ads than content", "Reduce ad units.",
+        _ads_beside_words(),
     )
 
 
@@ -135,6 +145,7 @@ def rule_ads_txt_missing(p: Params = DEFAULT) -> Rule:
         "ads-txt.missing-or-empty", _home() & ~F.coalesce("ads_txt_present", F.lit(False)), "Ad experience", "high", 98,
         F.struct(C("ads_txt_status").alias("http_status"), F.lit(0).alias("authorized_lines")),
         vocab.RULE_TITLES["ads-txt.missing-or-empty"], "ads.txt authorisation", "Publish a valid ads.txt at the root domain.",
+        "The site has no ads.txt with an authorised seller.",
     )
 
 
@@ -145,6 +156,7 @@ def rule_ads_txt_google(p: Params = DEFAULT) -> Rule:
         "Ad experience", "review", 86,
         F.struct(C("ads_txt_lines").alias("authorized_lines"), F.lit(False).alias("google_entry")),
         vocab.RULE_TITLES["ads-txt.google-entry-review"], "ads.txt authorisation", "Compare ads.txt with the account.",
+        F.concat(F.lit("None of the "), C("ads_txt_lines"), F.lit(" lines of ads.txt names the expected seller.")),
     )
 
 
@@ -153,6 +165,7 @@ def rule_privacy_link(p: Params = DEFAULT) -> Rule:
         "privacy.missing-disclosure-link", _home() & ~C("has_privacy_link"), "Privacy & consent", "high", 94,
         F.struct(F.lit(False).alias("privacy_link_found")), vocab.RULE_TITLES["privacy.missing-disclosure-link"],
         "publisher policies: privacy disclosures", "Publish and link a privacy policy.",
+        "The home page links to no privacy policy.",
     )
 
 
@@ -161,6 +174,7 @@ def rule_privacy_consent(p: Params = DEFAULT) -> Rule:
         "privacy.consent-signal-missing", _home() & (C("ad_count") > 0) & ~C("has_consent_signal"), "Privacy & consent",
         "review", 72, F.struct("ad_count", F.lit(False).alias("cmp_signal_found")),
         vocab.RULE_TITLES["privacy.consent-signal-missing"], "consent requirements", "Verify the consent banner in a browser.",
+        F.concat(F.lit("The home page shows "), C("ad_count"), F.lit(" ads and no sign of a consent banner.")),
     )
 
 
@@ -176,6 +190,7 @@ def rule_publisher_missing(p: Params = DEFAULT) -> Rule:
         "Publisher requirements", "high", 96,
         F.struct(_names(vocab.LINKED_TYPES).alias("required_types"), present.alias("present_types"), missing.alias("missing_types")),
         "Required publisher pages are not linked", "publisher policies: transparency", "Create and link the missing pages.",
+        F.concat(F.lit("Not linked from the home page: "), F.array_join(missing, ", "), F.lit(".")),
     )
 
 
@@ -203,6 +218,7 @@ def rule_publisher_incomplete(kind: str, p: Params = DEFAULT) -> Rule:
         F.struct("essential_page_type", failed.alias("failed_checks"), "word_count"),
         f"Required page is incomplete: {kind}", "publisher policies: " + ("privacy disclosures" if private else "transparency"),
         "Complete the page and link it site-wide.",
+        F.concat(F.lit("The page does not meet: "), F.array_join(failed, ", "), F.lit(".")),
     )
 
 
@@ -210,7 +226,7 @@ def rule_no_https(p: Params = DEFAULT) -> Rule:
     return Rule(
         "technical.no-https", ux.scheme(C("url")) != "https", "Technical trust", "high", 100,
         F.struct(ux.scheme(C("url")).alias("scheme")), vocab.RULE_TITLES["technical.no-https"],
-        remediation="Serve the whole site over HTTPS.",
+        remediation="Serve the whole site over HTTPS.", summary="The page was delivered without encryption.",
     )
 
 
@@ -219,6 +235,7 @@ def rule_identity_links(p: Params = DEFAULT) -> Rule:
         "trust.publisher-identity-links", _home() & (~C("has_about_link") | ~C("has_contact_link")), "Content quality",
         "review", 84, F.struct(C("has_about_link").alias("about_link"), C("has_contact_link").alias("contact_link")),
         vocab.RULE_TITLES["trust.publisher-identity-links"], remediation="Link About and Contact pages from the home page.",
+        summary="The home page does not link to both an About and a Contact page.",
     )
 
 
@@ -258,7 +275,7 @@ def rules_local(pages: DataFrame, scan_type: Column | str = "full", p: Params =
 
 
 FINDING_TYPE = (
-    "array<struct<rule_key:string,category:string,severity:string,confidence:int,title:string,"
+    "array<struct<rule_key:string,category:string,severity:string,confidence:int,title:string,summary:string,"
     "policy_reference:string,signals:string,remediation:array<string>>>"
 )
 

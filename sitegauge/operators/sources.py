@@ -50,10 +50,9 @@ def dedupe_final_url(responses: DataFrame) -> DataFrame:
     return keyed.join(winners, ["url_hash", "position"])
 
 
-def response_limit(responses: DataFrame, body: str = "html", limit: int = DEFAULT.max_body_bytes) -> tuple[DataFrame, DataFrame]:
-    """(kept, quarantined) by body size in bytes."""
-    sized = responses.withColumn("bytes", F.octet_length(body))
-    return sized.filter(C("bytes") <= limit), sized.filter(C("bytes") > limit)
+def response_limit(responses: DataFrame, body: str = "html", limit: int = DEFAULT.max_body_bytes) -> DataFrame:
+    """Adds ``bytes`` and ``oversized``: a body over the limit is marked and stays, so that no page is lost in silence."""
+    return responses.withColumn("bytes", F.octet_length(body)).withColumn("oversized", C("bytes") > limit)
 
 
 def src_robots(sites: DataFrame, robots: DataFrame) -> DataFrame:

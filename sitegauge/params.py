@@ -57,6 +57,14 @@ class Params:
     use_copy: bool = False
     force_rescan: bool = False
     now: datetime = datetime(2024, 2, 1)
+    # what a report shows of stored texts
+    shown_headline: int = 300
+    shown_text: int = 5000
+    shown_line: int = 1000
+    shown_priorities: int = 8
+    shown_limitations: int = 5
+    shown_titles: int = 60
+    shown_title: int = 180
     # physical layout
     salts: int = 16          # ways a hot key is split
     chunk: int = 65_536      # ids per chunk when numbering rows inside a group

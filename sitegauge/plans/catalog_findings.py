@@ -155,9 +155,9 @@ add("dup_findings", lambda s, d: dp.dup_findings(dup_pages(s, d, None)).select("
     "select m.id as page_id, case when j >= 0.95 then 'high' else 'review' end as severity, round(j * 100)::int as confidence, sha256('duplicate.internal-near-match|' || lower(p.url) || '|' || sha256(q.url)) as fingerprint, "
     "q.url as matched_url, phrases from mt m join pages p on p.page_id = m.id join pages q on q.page_id = m.matched_id join ph on ph.id = m.id")
 add("dup_match_rows",
-    lambda s, d: dp.dup_match_rows(v.quoted_findings(s, d), v.site_pages(s, d).filter("page_id % 5 <> 0"), v.sites(s, d)).groupBy("source_url", "matched_url", "similarity", "method").agg(F.count("*").alias("n")),
+    lambda s, d: dp.dup_match_rows(v.quoted_findings(s, d), v.site_pages(s, d), v.sites(s, d)).groupBy("source_url", "matched_url", "similarity", "method").agg(F.count("*").alias("n")),
     f"with {o.FINDINGS}, {o.SITE_PAGES}, {o.SITES}, x as (select coalesce(sp.url, ws.start_url) as source_url, 'https://m.example/' || fb.page_id as matched_url, (fb.page_id % 101)::int as similarity from fb "
-    "left join sp on sp.page_id = fb.page_id and sp.page_id % 5 <> 0 left join ws on ws.website_id = fb.website_id where fb.page_id % 3 = 0) select *, 'sketch' as method, count(*) as n from x group by all")
+    "left join sp on sp.page_id = fb.page_id left join ws on ws.website_id = fb.website_id where fb.page_id % 3 = 0) select *, 'sketch' as method, count(*) as n from x group by all")
 add("dup_site_finalize",
     lambda s, d: dp.site_finalize(v.targets(s, d).withColumn("website_id", F.lit("all")), dup_pages(s, d, None).withColumnRenamed("id", "page_id").select("page_id", "url", "sketch")).select("page_id", "severity", "confidence"),
     f"with {o.SIGNALS}, el as (select 'all' as grp, page_id as id, page_id as position, norm from sg where word_count >= 150 and page_type <> 'listing' and page_id % 10 > 2), {o._sketch_sql('el')}, {o.MATCH} "
@@ -274,9 +274,9 @@ add("assessment_references_fallback",
     f"case category when 'Duplicate content' then {o.q(_PU['duplicate'])} when 'Ad experience' then {o.q(_PU['ads'])} when 'Privacy & consent' then {o.q(_PU['privacy'])} when 'Deceptive practices' then {o.q(_PU['deceptive'])} when 'Technical trust' then {o.q(_PU['technical'])} when 'Content quality' then {o.q(_PU['quality'])} else {o.q(_PU['general'])} end as policy_url, {_LABEL}[category] as issue from b join c using (website_id)")
 add("assessment_normalize", lambda s, d: nz.assessment_normalize(v.assessments(s, d)).select("scan_id", "risk_level", "headline", "policy_overview", F.array_join("priorities", "|").alias("priorities"), F.array_join("limitations", "").alias("limitations")),
     f"with {o.SCANS} select scan_id, {o.pick(['critical', 'high', 'review'], 'scan_id % 3')} as risk_level, 'headline ' || scan_id as headline, case when scan_id % 2 = 0 then 'overview' else 'A. b' end as policy_overview, "
-    "array_to_string(list_transform(range(0, least(scan_id % 12 + 1, 8)), lambda i: 'do ' || i), '|') as priorities, 'abcde' as limitations from sc where ai_assessed")
+    "array_to_string(list_transform(range(0, scan_id % 12 + 1), lambda i: 'do ' || i), '|') as priorities, 'abcdefg' as limitations from sc where ai_assessed")
 add("evidence_quotes", lambda s, d: v.quoted_findings(s, d).select("fingerprint", F.array_join(nz.evidence_quotes(C("signals")), "|").alias("quotes")),
-    f"with {o.FINDINGS} select fingerprint, array_to_string(list_concat(list_transform(range(0, least(page_id % 9 + 1, 4)), lambda i: 'quote ' || i), list_transform(range(0, least(page_id % 14 + 1, 12 - least(page_id % 9 + 1, 4))), lambda i: 'phrase ' || i)), '|') as quotes from fb")
+    f"with {o.FINDINGS} select fingerprint, array_to_string(list_concat(list_transform(range(0, least(page_id % 9 + 1, 4)), lambda i: 'quote ' || i), list_transform(range(0, page_id % 14 + 1), lambda i: 'phrase ' || i)), '|') as quotes from fb")
 
 
 def reviews(s, d):

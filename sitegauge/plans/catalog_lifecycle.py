@@ -135,8 +135,14 @@ add("scan_request_validate", lambda s, d: lc.scan_request_validate(requests(s, d
     f"with {o.SITES}, rq as (select *, {o.pick([*vocab.SCAN_TYPES, 'odd'], 'o_orderkey % 6')} as type, case o_orderkey % 5 when 0 then null when 1 then 0 else o_orderkey end as m from orders), "
     "x as (select o_orderkey as request_id, case when type = 'odd' then 'type' when m is not null and m not between 1 and 100000 then 'max_urls' when o_orderkey % 3 = 2 then 'site' else '' end as reject_reason, "
     "case when o_orderkey = 7 then (select count(*) from ws) when o_orderkey % 3 < 2 then 1 else 0 end as sites from rq) select request_id, reject_reason, sites from x")
-add("scan_supersede", lambda s, d: lc.scan_supersede(requests(s, d).select("request_id", C("wanted").alias("website_id")), v.scans(s, d).filter("scan_id % 50 = 0"), v.sites(s, d)),
-    f"with {o.SITES}, {o.SCANS} select o_custkey as website_id, min(o_orderkey) as request_id from orders where o_custkey not in (select website_id from sc where scan_id % 50 = 0 and status in ('queued', 'running')) "
+def recent_scans(s, d):
+    """All scans; those that still run after months count as cancelled."""
+    old = (C("created_at") < F.lit("1998-05-01").cast("date")) & C("status").isin("queued", "running")
+    return v.scans(s, d).withColumn("status", F.when(old, "cancelled").otherwise(C("status")))
+
+
+add("scan_supersede", lambda s, d: lc.scan_supersede(requests(s, d).select("request_id", C("wanted").alias("website_id")), recent_scans(s, d), v.sites(s, d)),
+    f"with {o.SITES}, {o.SCANS} select o_custkey as website_id, min(o_orderkey) as request_id from orders where o_custkey not in (select website_id from sc where created_at >= date '1998-05-01' and status in ('queued', 'running')) "
     "and o_custkey in (select website_id from ws where status <> 'disabled') group by 1")
 add("scan_due_sites", lambda s, d: lc.scan_due_sites(v.sites(s, d), now()).select("website_id"),
     f"with {o.SITES} select website_id from ws where status not in ('disabled', 'scanning') and (next_scan_at is null or next_scan_at <= {NOW})")
@@ -171,12 +177,12 @@ _STALE_NOW = "timestamp '1998-06-01 00:20:00'"
 
 
 def stale_sites(s, d):
-    scans = v.scans(s, d).filter("created_at < timestamp'1998-06-30'").withColumn("updated_at", C("created_at"))
+    scans = v.scans(s, d).withColumn("updated_at", C("created_at"))
     cancelled, back = lc.scan_stale(scans, v.sites(s, d), F.expr(_STALE_NOW))
     return back.join(cancelled.groupBy("website_id").agg(F.count("*").alias("cancelled")), "website_id")
 
 
-add("scan_stale", stale_sites, f"with {o.SCANS}, {o.SITES}, a as (select * from sc where status in ('queued', 'running') and created_at < timestamp '1998-06-30'), l as (select website_id, count(*) as cancelled from a where created_at <= {_STALE_NOW} - interval 30 minute group by 1) "
+add("scan_stale", stale_sites, f"with {o.SCANS}, {o.SITES}, a as (select * from sc where status in ('queued', 'running')), l as (select website_id, count(*) as cancelled from a where created_at <= {_STALE_NOW} - interval 30 minute group by 1) "
     f"select website_id, {_RELEASED}, cancelled from ws join l using (website_id) where website_id not in (select website_id from a where created_at > {_STALE_NOW} - interval 30 minute)")
 
 

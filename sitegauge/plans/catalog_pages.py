@@ -26,8 +26,8 @@ add("src_dedupe_final_url",
     f"with {o.RESPONSES}, rr as (select *, regexp_replace(url, '\\?.*$', '') as raw from rs), np as ({o.parts('rr', 'raw', 'x')}), "
     f"nn as (select position, page_id, sha256({o.normalize('x', 'raw')}) as url_hash from np) "
     "select arg_min(page_id, position) as page_id, url_hash from nn group by url_hash")
-add("src_response_limit", lambda s, d: so.response_limit(v.responses(s, d), "html", 9000)[1].select("page_id", "bytes"),
-    f"with {o.RESPONSES} select page_id, strlen(html)::int as bytes from rs where strlen(html) > 9000")
+add("src_response_limit", lambda s, d: so.response_limit(v.responses(s, d), "html", 9000).select("page_id", "bytes", "oversized"),
+    f"with {o.RESPONSES} select page_id, strlen(html)::int as bytes, strlen(html) > 9000 as oversized from rs")
 add("src_page_views", lambda s, d: so.page_views(v.page_views(s, d), F.expr(v.NOW_EVENTS)),
     f"with {o.VIEWS} select path, count(*) as views from vw where ts >= timestamp '2024-01-18' and ts < timestamp '2024-01-25' group by path")
 
@@ -38,8 +38,8 @@ add("url_resolve", lambda s, d: v.odd_links(s, d).select("page_id", "i", ux.reso
     f"with {o.ODD_LINKS} {o.resolved('ol', 'url', 'candidate', 'page_id, i')}")
 add("url_host_key", lambda s, d: v.odd_urls(s, d).select("page_id", ux.host_key(tx.trim(C("odd"))).alias("host_key")),
     f"with {o.ODD_URLS} select page_id, {o.host_key('raw')} as host_key from odt")
-add("url_origin", lambda s, d: v.odd_urls(s, d).filter("page_id % 8 <> 6").select("page_id", ux.origin(tx.trim(C("odd"))).alias("origin")),
-    f"with {o.ODD_URLS} select page_id, coalesce(nullif(x_s, ''), 'https') || '://' || x_h || coalesce(':' || nullif(x_port, ''), '') as origin from ({o.parts('odt', 'raw', 'x')}) where page_id % 8 <> 6")
+add("url_origin", lambda s, d: v.odd_urls(s, d).select("page_id", F.coalesce(ux.origin(tx.trim(C("odd"))), F.lit("")).alias("origin")),
+    f"with {o.ODD_URLS} select page_id, case when page_id % 8 = 6 then '' else coalesce(nullif(x_s, ''), 'https') || '://' || x_h || coalesce(':' || nullif(x_port, ''), '') end as origin from ({o.parts('odt', 'raw', 'x')})")
 add("url_hash", lambda s, d: v.pages(s, d).select("page_id", ux.url_hash(C("url")).alias("url_hash")), "select page_id, sha256(url) as url_hash from pages")
 add("url_crawlable",
     lambda s, d: v.odd_links(s, d).withColumn("r", ux.resolve(C("url"), C("candidate"))).filter(C("r").isNotNull()).select("page_id", "i", ux.crawlable(C("url"), C("r")).alias("crawlable")),

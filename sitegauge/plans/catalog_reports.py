@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sitegauge.functions import finding as fd, vocab
 from sitegauge.operators import reports as rp, scoring as sc, sources as so
 from sitegauge.operators.numbering import top_per_group
-from sitegauge.plans import oracle as o, views as v
+from sitegauge.plans import catalog_lifecycle as cl, oracle as o, views as v
 
 C = F.col
 ENTRIES: dict = {}
@@ -42,18 +42,18 @@ add("open_findings", lambda s, d: sc.open_findings(v.findings(s, d)).groupBy("st
 
 # ---------------------------------------------------------------- aggregates
 SP, SF, WS, SC, ST = f"with {o.SITE_PAGES}", f"with {o.SITE_FINDINGS}", f"with {o.SITES}", f"with {o.SCANS}", f"with {o.SCAN_TARGETS}"
-add("site_page_profile", lambda s, d: rp.site_page_profile(v.site_pages(s, d)),
-    f"{SP} select website_id, count(*) as pages, sum(word_count)::bigint as total_words, round(avg(word_count), 1) as average_words, min(word_count) as minimum_words, max(word_count) as maximum_words, sum(ad_count)::bigint as total_ads, round(avg(ad_count), 1) as average_ads, "
-    "count(*) filter (where word_count < 300) as thin_pages, count(*) filter (where ad_count > 0) as pages_with_ads, count(*) filter (where status_code >= 400) as error_pages from sp where scanned group by 1")
+add("site_page_profile", lambda s, d: rp.site_page_profile(v.sites(s, d), v.site_pages(s, d)),
+    f"{SP}, {o.SITES} select ws.website_id, count(page_id) as pages, coalesce(sum(word_count), 0)::bigint as total_words, coalesce(round(avg(word_count), 1), 0) as average_words, coalesce(min(word_count), 0) as minimum_words, coalesce(max(word_count), 0) as maximum_words, coalesce(sum(ad_count), 0)::bigint as total_ads, coalesce(round(avg(ad_count), 1), 0) as average_ads, "
+    "count(*) filter (where word_count < 300) as thin_pages, count(*) filter (where ad_count > 0) as pages_with_ads, count(*) filter (where status_code >= 400) as error_pages from ws left join sp on sp.website_id = ws.website_id and scanned group by 1")
 add("site_distributions", lambda s, d: rp.site_distributions(v.site_pages(s, d)).withColumn("value", F.coalesce("value", F.lit("-"))),
     f"{SP} select website_id, 'status_code' as dimension, status_code::varchar as value, count(*) as n from sp where scanned group by all union all select website_id, 'language', coalesce(language, '-'), count(*) from sp where scanned group by all "
     "union all select website_id, 'essential_page_type', essential_page_type, count(*) from sp where scanned and essential_page_type is not null group by all")
-add("site_titles_sample", lambda s, d: rp.site_titles_sample(v.site_pages(s, d)).select("website_id", F.array_join("titles", "|").alias("titles")),
-    f"{SP}, r as (select *, row_number() over (partition by website_id order by page_id) as n from sp where scanned) select website_id, string_agg(left(title, 180), '|' order by page_id) as titles from r where n <= 60 group by 1")
+add("site_titles_sample", lambda s, d: rp.site_titles_sample(v.sites(s, d), v.site_pages(s, d)).select("website_id", F.array_join("titles", "|").alias("titles")),
+    f"{SP}, {o.SITES}, r as (select *, row_number() over (partition by website_id order by page_id) as n from sp where scanned) select ws.website_id, coalesce(string_agg(left(title, 180), '|' order by page_id), '') as titles from ws left join r on r.website_id = ws.website_id and n <= 60 group by 1")
 add("finding_groups", lambda s, d: rp.finding_groups(v.site_findings(s, d)),
     f"{SF} select website_id, category, severity, rule_key, title, count(*) as findings_count, count(distinct coalesce(page_id, 0)) as affected_urls, round(avg(confidence))::int as average_confidence, {o.severity_rank()} as severity_rank from sf where {OPEN} group by all")
-add("missing_types", lambda s, d: rp.missing_types(v.site_pages(s, d)).select("website_id", F.array_join("missing", ",").alias("missing")),
-    f"{SP} select website_id, array_to_string(list_filter([{', '.join(o.q(t) for t in vocab.LINKED_TYPES)}], lambda t: not list_contains(coalesce(list(distinct essential_page_type) filter (where essential_page_type is not null), []), t)), ',') as missing from sp where scanned group by 1")
+add("missing_types", lambda s, d: rp.missing_types(v.sites(s, d), v.site_pages(s, d)).select("website_id", F.array_join("missing", ",").alias("missing")),
+    f"{SP}, {o.SITES} select ws.website_id, array_to_string(list_filter([{', '.join(o.q(t) for t in vocab.LINKED_TYPES)}], lambda t: not list_contains(coalesce(list(distinct essential_page_type) filter (where essential_page_type is not null), []), t)), ',') as missing from ws left join sp on sp.website_id = ws.website_id and scanned group by 1")
 _CNT = lambda c: f"count(*) filter (where category = {o.q(c)})"
 _SQL_VALUES = {
     "privacy_page_found": "list_contains(ft, 'privacy')::int", "about_page_found": "list_contains(ft, 'about')::int", "contact_page_found": "list_contains(ft, 'contact')::int", "editorial_policy_found": "list_contains(ft, 'editorial')::int",
@@ -157,14 +157,14 @@ add("q_backfill_essential_type", lambda s, d: rp.backfill_essential_type(v.site_
 
 
 def deleted(s, d):
-    out = rp.site_delete(v.sites(s, d), v.scans(s, d).filter("scan_id % 4 <> 0"), v.sites(s, d).filter("website_id % 3 = 0"), {"findings": v.site_findings(s, d), "pages": v.site_pages(s, d)})
+    out = rp.site_delete(v.sites(s, d), cl.recent_scans(s, d), v.sites(s, d).filter("website_id % 3 = 0"), {"findings": v.site_findings(s, d), "pages": v.site_pages(s, d)})
     rows = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in out.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
 
 add("q_site_delete", deleted,
-    f"{SF}, {o.SITE_PAGES}, {o.SITES}, {o.SCANS}, s4 as (select * from sc where scan_id % 4 <> 0), g as (select website_id from ws where website_id % 3 = 0 and website_id not in (select website_id from s4 where status in ('queued', 'running'))) "
-    "select 'sites' as name, count(*) as n from ws where website_id not in (from g) union all select 'scans', count(*) from s4 where website_id not in (from g) union all select 'findings', count(*) from sf where website_id not in (from g) union all select 'pages', count(*) from sp where website_id not in (from g)")
+    f"{SF}, {o.SITE_PAGES}, {o.SITES}, {o.SCANS}, g as (select website_id from ws where website_id % 3 = 0 and website_id not in (select website_id from sc where created_at >= date '1998-05-01' and status in ('queued', 'running'))) "
+    "select 'sites' as name, count(*) as n from ws where website_id not in (from g) union all select 'scans', count(*) from sc where website_id not in (from g) union all select 'findings', count(*) from sf where website_id not in (from g) union all select 'pages', count(*) from sp where website_id not in (from g)")
 
 # ---------------------------------------------------------------- exports
 _ISO = lambda c: f"strftime({c}, '%Y-%m-%dT%H:%M:%S+00:00')"

@@ -397,4 +397,4 @@ rf1 as (select *, case when fixed then 'policy_overview' when contains(policy_ur
  when contains(policy_url, '/11185755') then 'transparency_overview' when contains(policy_url, '/1348695') then 'adsense_requirements_overview' else 'policy_overview' end as section
  from rf where ok and policy_url <> 'https://elsewhere.example/'),
 rf2 as (select scan_id, website_id, section, policy_url, min(i) as i from rf1 group by all),
-rfs as (select * from (select *, row_number() over (partition by scan_id order by i) as r from rf2) where r <= 8)"""
+rfs as (select * from (select *, row_number() over (partition by scan_id order by i) as r from rf2))"""
