@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sitegauge.functions import text as tx, url as ux
-from sitegauge.operators.numbering import first_per_group, number_in_group, spread_join, top_per_group
+from sitegauge.operators.numbering import first_per_group, first_ranked, number_in_group, spread_join
 from sitegauge.params import DEFAULT, Params
 from sitegauge.session import cut
 
@@ -80,10 +80,19 @@ def entry_rows(parsed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def lastmod_epoch(value: Column) -> Column:
-    """Seconds since 1970, zero for a missing or unreadable date."""
-    formats = ["yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"]
-    parsed = [F.try_to_timestamp(value, F.lit(f)) for f in formats]
-    return F.coalesce(*[F.unix_timestamp(t) for t in parsed], F.lit(0)).cast("long")
+    """Seconds since 1970, zero for a missing or unreadable date. Dates without a zone are UTC.
+
+    ISO forms come first; mail dates and month names are read without the weekday and with GMT, UTC or UT as an offset.
+    """
+    formats = [
+        "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss",
+        "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd", "yyyy-MM", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss", "d MMM yyyy", "d MMMM yyyy",
+        "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy",
+    ]
+    plain = F.regexp_replace(tx.trim(value), r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"\s+", " "), r"(?i) (?:GMT|UTC|UT|Z)$", " +0000")
+    read = lambda text: F.coalesce(*[F.unix_timestamp(F.try_to_timestamp(text, F.lit(f))) for f in formats], F.lit(0)).cast("long")
+    return tx.let(plain, read)
 
 
 def sitemap_expand(seeds: DataFrame, sitemaps: DataFrame, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
@@ -117,7 +126,7 @@ def sitemap_expand(seeds: DataFrame, sitemaps: DataFrame, p: Params = DEFAULT) -
         ).filter("url is not null")
     ordered = seen.withColumn("level", F.size("order"))
     most = p.max_sitemaps or (1 << 31) - 2  # zero: no limit
-    ranked = top_per_group(ordered, ["site"], [F.asc("level"), F.asc("order")], most, "file_order")
+    ranked = first_ranked(ordered, ["site"], [F.asc("level"), F.asc("order")], most, "file_order")
     total = seen.groupBy("site").agg(F.count("*").alias("reached"))
     counters = ranked.groupBy("site").agg(
         F.count_if(C("kind").isin("index", "urlset")).alias("sitemap_files"),
@@ -159,7 +168,7 @@ def newest_n(candidates: DataFrame, n: int) -> DataFrame:
     """The N newest candidates per site, from post sitemaps when the site has any, else from all."""
     has_posts = candidates.groupBy("site").agg(F.max("post").alias("has_posts"))
     pool = candidates.join(has_posts, "site").filter(C("post") | ~C("has_posts"))
-    return top_per_group(pool, ["site"], [F.desc("lastmod"), F.asc("sequence")], n, "pool_rank")
+    return first_ranked(pool, ["site"], [F.desc("lastmod"), F.asc("sequence")], n, "pool_rank")
 
 
 def plan(home: DataFrame, required: DataFrame, regular: DataFrame) -> DataFrame:
@@ -265,22 +274,52 @@ def link_frontier(edges: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def link_reachable(starts: DataFrame, edges: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """Pages reachable from each site's start URL with their depth, breadth first.
+    """Pages reachable from each site's start URLs with their depth, breadth first.
+
+    ``starts``: site, url; ``edges``: site, from_url, to_url; ``allowed``: site, url of pages robots permit.
+    """
+    return _relax(starts.select("site", "url", F.lit(0).alias("depth")), _graph(edges, allowed), None)
+
+
+def update_reachable(previous: DataFrame, old: DataFrame, edges: DataFrame, starts: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """:func:`link_reachable` of ``edges``, from its result ``previous`` for the edges ``old`` and only what changed since.
 
-    ``starts``: site, url; ``edges``: site, from_url, to_url; ``allowed``: site, url of pages robots permit. Each round
-    joins only the last frontier, until it is empty; frontiers are finished tables, and the visited set is merged into one every few rounds.
+    A new edge or start can only bring pages nearer: the search goes on from there and stops where nothing gets nearer.
+    A site that lost an edge or a start is searched again. Other sites are compared, not searched.
     """
+    new, before = _graph(edges, allowed), cut(old.select("site", "from_url", "to_url").distinct())
+    keys = ["site", "from_url", "to_url"]
+    first = starts.select("site", "url", F.lit(0).alias("depth"))
+    gone = previous.filter("depth = 0").join(first, ["site", "url"], "left_anti").select("site")
+    lost = cut(before.join(new, keys, "left_anti").select("site").unionByName(gone).distinct())
+    kept = cut(previous.join(lost, "site", "left_anti"))
+    added = new.join(before, keys, "left_anti")
+    nearer = added.join(kept.withColumnRenamed("url", "from_url"), ["site", "from_url"]).select("site", C("to_url").alias("url"), (C("depth") + 1).alias("depth"))
+    return _relax(nearer.unionByName(first.join(kept, ["site", "url", "depth"], "left_anti")), new, kept)
+
+
+def _graph(edges: DataFrame, allowed: DataFrame | None) -> DataFrame:
     if allowed is not None:
         edges = edges.join(allowed.select("site", C("url").alias("to_url")), ["site", "to_url"], "left_semi")
-    edges = cut(edges.select("site", "from_url", "to_url").distinct())
-    frontier = cut(starts.select("site", "url", F.lit(0).alias("depth")))
-    visited = frontier
-    for depth in itertools.count(1):
-        step = frontier.select("site", C("url").alias("from_url")).join(edges, ["site", "from_url"]).select("site", C("to_url").alias("url")).distinct()
-        frontier = cut(step.join(visited.select("site", "url"), ["site", "url"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        visited = visited.unionByName(frontier)  # a union of finished tables
-        if depth % 8 == 0:
-            visited = cut(visited)
-    return visited
+    return cut(edges.select("site", "from_url", "to_url").distinct())
+
+
+def _relax(frontier: DataFrame, edges: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Smallest depth of every page that the frontier (site, url, depth) reaches, over what is known already.
+
+    Each round joins only the pages that just came nearer, until there are none; rounds are finished tables, merged into one
+    every few rounds.
+    """
+    keys = ["site", "url"]
+    for turn in itertools.count(1):
+        best = frontier.groupBy(*keys).agg(F.min("depth").alias("depth"))
+        if known is not None:
+            seen = known.groupBy(*keys).agg(F.min("depth").alias("_old"))
+            best = best.join(seen, keys, "left").filter("_old is null or depth < _old").drop("_old")
+        best = cut(best)
+        if best.isEmpty():
+            return best if known is None else known.groupBy(*keys).agg(F.min("depth").alias("depth"))
+        known = best if known is None else known.unionByName(best)
+        if turn % 8 == 0:
+            known = cut(known.groupBy(*keys).agg(F.min("depth").alias("depth")))
+        frontier = best.withColumnRenamed("url", "from_url").join(edges, ["site", "from_url"]).select("site", C("to_url").alias("url"), (C("depth") + 1).alias("depth"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sitegauge.functions import finding as fd, text as tx, url as ux, vocab
-from sitegauge.operators.numbering import first_per_group, lookup, top_per_group
+from sitegauge.operators.numbering import first_per_group, first_ranked, lookup
 from sitegauge.operators import merge as mg
 from sitegauge.params import DEFAULT, Params
 
@@ -110,7 +110,7 @@ def addon_budget(targets: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """(first ``limit`` targets per scan in position order, scans whose budget is used up). Zero means unlimited."""
     if limit <= 0:
         return targets, targets.select("scan_id").limit(0)
-    taken = top_per_group(targets, ["scan_id"], [F.asc("position")], limit, "budget_rank")
+    taken = first_ranked(targets, ["scan_id"], [F.asc("position")], limit, "budget_rank")
     full = targets.groupBy("scan_id").agg(F.count("*").alias("n")).filter(C("n") >= limit).select("scan_id")
     return taken, full
 

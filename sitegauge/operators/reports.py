@@ -5,9 +5,10 @@ A finding's site and page are looked up with ``lookup``: one site may own any sh
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sitegauge.functions import finding as fd, url as ux, vocab
 from sitegauge.operators import scoring as sc
@@ -357,6 +358,40 @@ def paginate(rows: DataFrame, order: list[Column], page: int, size: int) -> tupl
     return shown, meta
 
 
+@dataclass(frozen=True)
+class Ordered:
+    """A stored copy of a list in its order, cut into ranges, and how many rows lie before each range.
+
+    Any page reads the one or two ranges it lies in, however deep; the driver sees the counts (one row per range) and the
+    rows of the page.
+    """
+
+    path: str
+    order: tuple[str, ...]  # column names, "-" before a descending one; together unique
+
+    def _columns(self) -> list[Column]:
+        return [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in self.order]
+
+    def build(self, rows: DataFrame, ranges: int) -> "Ordered":
+        dealt = rows.repartitionByRange(ranges, *self._columns()).withColumn("part", F.spark_partition_id())
+        dealt.sortWithinPartitions(*self._columns()).write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/rows")
+        spark = rows.sparkSession
+        counts = spark.read.parquet(f"{self.path}/rows").groupBy("part").agg(F.count("*").alias("n"))
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/counts")
+        return self
+
+    def page(self, spark: SparkSession, page: int, size: int) -> DataFrame:
+        """Rows of a page in order; a page beyond the end is empty."""
+        first, parts, before, skip = (max(1, page) - 1) * size, [], 0, 0
+        for r in sorted(spark.read.parquet(f"{self.path}/counts").collect(), key=lambda r: r.part):
+            if before < first + size and before + r.n > first:
+                skip = skip if parts else first - before
+                parts.append(r.part)
+            before += r.n
+        stored = spark.read.parquet(f"{self.path}/rows").filter(C("part").isin(parts)) if parts else spark.read.parquet(f"{self.path}/rows").limit(0)
+        return stored.orderBy(*self._columns()).offset(skip).limit(size).drop("part")
+
+
 def scan_detail(targets: DataFrame, pages: DataFrame, events: DataFrame) -> DataFrame:
     """Targets with their page columns and event counts."""
     counts = events.groupBy("page_id").agg(F.count("*").alias("events_count"))

@@ -61,11 +61,6 @@ def src_robots(sites: DataFrame, robots: DataFrame) -> DataFrame:
     return sites.join(ok, "origin", "left").withColumn("robots_text", F.coalesce("robots_text", F.lit("")))
 
 
-def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
-    """Sitemap bodies, one row per file; ``.gz`` files are decompressed by the reader."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.lit(200).alias("status"), C("value").alias("body"))
-
-
 def src_sitemaps(sitemaps: DataFrame) -> DataFrame:
     """Usable sitemap bodies."""
     return sitemaps.filter((C("status") < 400) & (tx.trim(C("body")) != ""))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from sitegauge.functions import text as tx, url as ux
-from sitegauge.operators import discovery as dc, sources as so
+from sitegauge.operators import discovery as dc, sitemap_files as sf, sources as so
 from sitegauge.params import DEFAULT
 from sitegauge.plans import oracle as o, views as v
+from sitegauge.streaming.live import scratch
 
 C = F.col
 ENTRIES: dict = {}
@@ -75,7 +76,24 @@ def seeds(s, d):
 
 _LOC = "regexp_replace(regexp_replace(url, '#.*$', ''), '^http:', 'https:')"
 _MOD = "case when page_id % 4 <> 0 then epoch(timestamp '2024-01-01' + to_days((page_id % 300)::int))::bigint else 0 end"
-add("src_sitemaps", lambda s, d: so.src_sitemaps(sitemap_bodies(s, d)).select("url", F.length("body").alias("chars")))
+
+
+def stored_sitemaps(s, d):
+    """One gzip file per site and part, written by the tasks that hold its pages, and read back."""
+    out = scratch(s, "sitemaps")
+    item = F.concat(F.lit("<url><loc><![CDATA["), "loc", F.lit("]]></loc><image:image><image:loc>https://i.example/x.png</image:loc></image:image>"), "mod", F.lit("</url>"))
+    mod = F.when(C("page_id") % 4 != 0, F.concat(F.lit("<lastmod>"), F.date_format(F.timestamp_add("DAY", C("page_id") % 300, F.expr("timestamp'2024-01-01'")), "dd MMM yyyy HH:mm:ss 'GMT'"), F.lit("</lastmod>"))).otherwise("")
+    p = v.pages(s, d).select(C("grp").alias("site"), (C("page_id") % 3).alias("part"), "page_id", F.regexp_replace(F.regexp_replace("url", "#.*$", ""), "^http:", "https:").alias("loc"), mod.alias("mod"))
+    ends = p.select("site", "part").distinct().select("site", "part", F.inline(F.array(
+        F.struct(F.lit(-1).cast("long").alias("page_id"), F.lit("<?xml version='1.0'?><urlset>").alias("line")), F.struct(F.lit((1 << 62)).alias("page_id"), F.lit("</urlset>").alias("line")))))
+    lines = p.select("site", "part", "page_id", item.alias("line")).unionByName(ends)
+    lines = lines.repartition("site", "part").sortWithinPartitions("site", "part", "page_id").select("site", "part", "line")
+    lines.write.partitionBy("site", "part").option("compression", "gzip").text(out)
+    rows = sf.read_entries(s, out, "*.gz")
+    return rows.select(F.regexp_extract("file", "site=([^/]+)", 1).alias("site"), F.regexp_extract("file", "part=([0-9]+)", 1).cast("long").alias("part"), "i", "loc", dc.lastmod_epoch(C("lastmod")).alias("lastmod"))
+
+
+add("src_sitemaps", stored_sitemaps, f"with {o.PAGES} select grp as site, page_id % 3 as part, row_number() over (partition by grp, page_id % 3 order by page_id) - 1 as i, {_LOC} as loc, {_MOD} as lastmod from pg")
 add("sitemap_entries", lambda s, d: dc.entry_rows(dc.sitemap_entries(sitemap_bodies(s, d)).filter("kind = 'urlset'"), ["url"]).select("url", "loc", dc.lastmod_epoch(C("lastmod")).alias("lastmod")),
     f"with {o.PAGES}, x as (select 'https://' || grp || case when page_id % 3 = 2 then '/page-sitemap.xml' else '/post-sitemap' || (page_id % 3) || '.xml' end as url, {_LOC} as loc, {_MOD} as lastmod, page_id from pg) "
     "select url, loc, arg_min(lastmod, page_id) as lastmod from x group by all")
@@ -190,14 +208,40 @@ add("link_frontier", lambda s, d: dc.link_frontier(dc.link_edges(links(s, d)), d
     f"{_EDGES} select distinct site, sha256(to_url) as url_hash from ed where (site, to_url) not in (select site, to_url from ed where i % 2 = 0)")
 
 
+def numbered_pages(s, d):
+    return v.pages(s, d).select(C("grp").alias("site"), "page_id", C("url"), (F.row_number().over(W.partitionBy("grp").orderBy("page_id")) - 1).alias("k"))
+
+
 def graph(s, d):
-    """Page graph derived from page ids: page n links to 2n+1 and 2n+2 within blocks of 64 ids."""
-    p = v.pages(s, d).select("page_id")
-    e = p.select(F.floor(C("page_id") / 64).alias("site"), (C("page_id") % 64).alias("k")).withColumn("t", F.explode(F.array(C("k") * 2 + 1, C("k") * 2 + 2, F.floor(C("k") / 2)))).filter("t < 64 and t <> 7")
-    return e.select("site", C("k").cast("string").alias("from_url"), C("t").cast("string").alias("to_url"))
+    """Links of the pages; as they lead out of the table, a link stands for the page of its site that its length points to."""
+    n = hosts(s, d).select("site", "n")
+    e = dc.link_edges(links(s, d)).join(n, "site").select("site", "from_url", "i", F.pmod(F.length("to_url"), C("n")).cast("int").alias("k"))
+    return e.join(numbered_pages(s, d).select("site", "k", C("url").alias("to_url")), ["site", "k"])
+
+
+def permitted(s, d):
+    p = numbered_pages(s, d).select("site", "url", F.regexp_replace("url", "^http:", "https:").alias("asked"))
+    rules = dc.robots_rules(robots(s, d))
+    return dc.robots_allowed(p.withColumn("given", C("url")).withColumn("url", C("asked")), rules).filter("allowed").select("site", C("given").alias("url"))
+
+
+def first_pages(s, d):
+    return numbered_pages(s, d).filter("k = 0").select("site", "url")
+
+
+def refreshed(s, d):
+    """Reachability of the whole graph, from that of a part of it: links were added everywhere and taken from some sites."""
+    whole, allowed = graph(s, d), permitted(s, d)
+    old = whole.filter("i % 2 = 0").select("site", "from_url", "to_url")
+    extra = first_pages(s, d).filter("length(site) % 3 = 0").select("site", C("url").alias("from_url"), F.concat("url", F.lit("#gone")).alias("to_url"))
+    before = old.join(allowed.select("site", C("url").alias("to_url")), ["site", "to_url"], "left_semi").unionByName(extra, allowMissingColumns=True).select("site", "from_url", "to_url")
+    return dc.update_reachable(dc.link_reachable(first_pages(s, d), before), before, whole, first_pages(s, d), allowed)
 
 
-add("link_reachable", lambda s, d: dc.link_reachable(v.pages(s, d).select(F.floor(C("page_id") / 64).alias("site"), F.lit("0").alias("url")).distinct(), graph(s, d)).select("site", "url", "depth"),
-    "with recursive e as (select page_id // 64 as site, page_id % 64 as k, unnest([(page_id % 64) * 2 + 1, (page_id % 64) * 2 + 2, (page_id % 64) // 2]) as t from pages), g as (select * from e where t < 64 and t <> 7), "
-    "r as (select distinct page_id // 64 as site, 0::bigint as k, 0 as depth from pages union select r.site, g.t, r.depth + 1 from r join g on g.site = r.site and g.k = r.k where r.depth < 8) "
-    "select site, k::varchar as url, min(depth) as depth from r group by all")
+_REACH = (f"{_EDGES}, {HOSTS[len(o.PAGES) + 2:]}, {_RULES}, np as (select grp as site, url, page_id, row_number() over (partition by grp order by page_id) - 1 as k from pg), "
+          f"al as (select np.site, np.url, not coalesce(bool_or(case value when '/en/*3$' then regexp_matches({o.path_or_root('url')}, '^/en/.*3$') else prefix({o.path_or_root('url')}, value) end), false) as ok from np left join rr on rr.origin = 'https://' || np.site and field = 'disallow' group by all), "
+          "gr as (select distinct ed.site, ed.from_url, np.url as to_url from ed join ho on ho.site = ed.site join np on np.site = ed.site and np.k = length(ed.to_url) % ho.n join al on al.site = np.site and al.url = np.url and al.ok), "
+          "r as (select site, url, 0 as depth from np where k = 0 union select r.site, gr.to_url, r.depth + 1 from r join gr on gr.site = r.site and gr.from_url = r.url join ho on ho.site = r.site where r.depth < ho.n) "
+          "select site, url, min(depth) as depth from r group by all").replace("with ", "with recursive ", 1)
+add("link_reachable", lambda s, d: dc.link_reachable(first_pages(s, d), graph(s, d), permitted(s, d)), _REACH)
+add("link_reachable_update", refreshed, _REACH)

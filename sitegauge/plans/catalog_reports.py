@@ -8,6 +8,7 @@ from sitegauge.functions import finding as fd, vocab
 from sitegauge.operators import reports as rp, scoring as sc, sources as so
 from sitegauge.operators.numbering import top_per_group
 from sitegauge.plans import catalog_lifecycle as cl, oracle as o, views as v
+from sitegauge.streaming.live import scratch
 
 C = F.col
 ENTRIES: dict = {}
@@ -129,6 +130,15 @@ add("q_parent_counts", lambda s, d: rp.parent_counts(v.sites(s, d).select("websi
 add("q_severity_order", lambda s, d: rp.severity_order(sc.open_findings(v.site_findings(s, d)), F.desc("confidence"), F.asc("fingerprint")).limit(25).select("fingerprint", "severity", "confidence"),
     f"{SF} select fingerprint, severity, confidence from sf where {OPEN} order by {o.severity_rank()}, confidence desc, fingerprint limit 25")
 add("q_paginate", lambda s, d: rp.paginate(v.site_findings(s, d), [F.desc("last_seen_at"), F.asc("fingerprint")], 3, 30)[0].select("fingerprint"), f"{SF} select fingerprint from sf order by last_seen_at desc, fingerprint limit 30 offset 60")
+
+
+def deep_page(s, d):
+    order = ("-last_seen_at", "fingerprint")
+    index = rp.Ordered(scratch(s, "ordered"), order).build(v.site_findings(s, d).select("fingerprint", "last_seen_at", "title"), 32)
+    return index.page(s, 150, 30).select("fingerprint", "title")
+
+
+add("q_paginate_deep", deep_page, f"{SF} select fingerprint, title from sf order by last_seen_at desc, fingerprint limit 30 offset 4470")
 add("q_paginate_meta", lambda s, d: rp.paginate(v.site_findings(s, d), [F.asc("fingerprint")], 3, 30)[1], f"{SF} select 3 as current_page, greatest(1, ceil(count(*) / 30))::int as last_page, count(*) as total, 61 as first, least(90, count(*)) as last from sf")
 add("q_top_k", lambda s, d: v.sites(s, d).orderBy("overall_score", "website_id").limit(8).select("website_id", "overall_score"), f"{WS} select website_id, overall_score from ws order by overall_score, website_id limit 8")
 add("q_latest_per_group", lambda s, d: rp.latest_per_site(v.scans(s, d).filter(C("status").isin("completed", "partial")), "finished_at", "score"),
