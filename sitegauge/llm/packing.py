@@ -32,7 +32,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Tokens of one batch of documents that are held at a time before they are packed.
 SHARD_TOKENS = 4_000_000
 #: Characters that are encoded together.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 16_000_000
 
 
 @dataclass(frozen=True)
@@ -94,10 +94,10 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, length: int, s
     for batch in batches:
         keys, strings = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
         for a, b in tokens.slices(strings, SLICE_CHARS):
-            coded = enc.encode(strings[a:b])
-            ids += [np.append(x, np.uint16(end)) for x in coded]
+            flat, ends = enc.encode_flat(strings[a:b], end)
+            ids += [flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
             names += keys[a:b]
-            held += sum(map(len, coded)) + len(coded)
+            held += len(flat)
             if held >= shard_tokens:
                 yield flush()
                 ids, names, held = [], [], 0

@@ -10,8 +10,8 @@ File layout, little-endian: magic ``RANS0001``; table identity (u64); blocks (la
 packed: JSON of counts and checkpoints, then document ids (i64), null flags (u8) and token counts (i64); index length
 (u64); magic. The table is stored once beside the shards as Parquet.
 
-Defined results: a null or empty text has the end id only; documents with equal ids are adjacent, in the order of their
-texts; rows with a null id come first; an empty table gives no shard and no rows; all other input columns are ignored.
+Defined results: a null or empty text has the end id only; documents with equal ids are adjacent, in the order of a
+hash of their tokens, so that an id, or the null id, that holds many rows is spread over shards; rows with a null id come first; an empty table gives no shard and no rows; all other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ BLOCK_TOKENS = 1 << 18
 #: Packed token bytes of one range partition when the number of shards is chosen.
 SHARD_BYTES = 16 << 20
 #: Characters that are encoded together.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 16_000_000
 
 
 def quantise(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -159,15 +159,16 @@ def _tokenise(batches: Iterator[pa.RecordBatch], path: str, end: int):
     for batch in batches:
         keys, strings = batch.column("doc_id"), batch.column("text").to_pylist()
         for a, b in tokens.slices(strings, SLICE_CHARS):
-            ids = [np.append(x, np.uint16(end)) for x in enc.encode(strings[a:b])]
-            yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), tokens.binary(*enc.encode_flat(strings[a:b], end))], ["doc_id", "ids"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]):
     total = np.zeros(1 << 16, "i8")
     for batch in batches:
-        for x in batch.column("ids"):
-            total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=1 << 16)
+        column = batch.column("ids")
+        if len(column):  # the values lie one after the other
+            first, last = (np.frombuffer(column.buffers()[1], "<i4")[column.offset + k] for k in (0, len(column)))
+            total += np.bincount(np.frombuffer(column.buffers()[2], "<u2", (last - first) // 2, first), minlength=1 << 16)
     used = np.flatnonzero(total)
     if len(used):
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["symbol", "n"])
@@ -192,7 +193,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, packed: bytes):
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(data)]), pa.array([sum(len(x) for _, x in docs)])], ["file", "bytes", "n_tokens"])
 
 
-def write(docs: DataFrame, vocabulary: str, end: int = tokens.END, folder: str | None = None, **columns: str) -> str:
+def write(docs: DataFrame, vocabulary: str, end: int = tokens.END, folder: str | None = None, shard_size: int = SHARD_BYTES, **columns: str) -> str:
     """Writes all documents in ascending order of id; returns the folder, which must be one that executors share."""
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/rans-{uuid.uuid4().hex}"
@@ -207,7 +208,9 @@ def write(docs: DataFrame, vocabulary: str, end: int = tokens.END, folder: str |
     packed = zlib.compress(freq.astype("<u4").tobytes())
     spark.createDataFrame([(int(s), int(freq[s])) for s in np.flatnonzero(freq)], "symbol int, freq int").coalesce(1).write.parquet(f"{folder}/table")
     size = coded.agg(F.sum(F.length("ids"))).first()[0] or 0
-    ordered = coded.repartitionByRange(max(1, -(-size // SHARD_BYTES)), "doc_id").sortWithinPartitions("doc_id", "ids")
+    # rows of one id, or of none, are spread by a hash of their ids and stay in one order
+    mixed = F.xxhash64("ids")
+    ordered = coded.repartitionByRange(max(1, -(-size // shard_size)), "doc_id", mixed).sortWithinPartitions("doc_id", mixed, "ids")
     ordered.mapInArrow(lambda it: _write(it, f"{folder}/shards", packed), "file string, bytes long, n_tokens long").write.parquet(f"{folder}/files")
     return folder
 

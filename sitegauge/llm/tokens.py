@@ -1,15 +1,17 @@
-"""Token ids of whole texts, exactly as the ``tokenizers`` library gives them, through two memos.
+"""Token ids of whole texts, exactly as the ``tokenizers`` library gives them, each distinct word encoded once.
 
 Both vocabularies split a text at the change from a visible character to ASCII white space, whatever stands around
 it, so a text's ids are the joined ids of its chunks: words, for the byte-level vocabulary with the one space before
-them (texts with other runs of white space around spaces go through the library whole). A chunk is worked out once per Python worker and kept as packed
-16-bit ids. A new chunk of plain Latin letters, digits and marks is cut into the vocabulary's own pieces, and new
-pieces go to the library's BPE model together; every other chunk goes through the whole library tokenizer.
+them (texts with other runs of white space around spaces go through the library whole). Distinct chunks of a slice of texts are
+encoded once. Plain ones (Latin letters, digits and marks) are cut, all together, into the vocabulary's own pieces, and distinct
+pieces go to the library's BPE model together; every other chunk goes through the whole library tokenizer. Nothing is kept
+from slice to slice, so memory follows the slice and the longest text; most words of a large corpus are rare.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 
 import numpy as np
@@ -18,15 +20,15 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
 END = 2
-#: Chunks kept in each of the two generations of a worker's memo.
-MEMO = 300_000
 _WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-_PLAIN = re.compile(f" ?[!-~{_LETTERS}]+(?:\n[!-~{_LETTERS}]+)*")
+_PLAIN = f"^ ?[!-~{_LETTERS}]+(?:\n[!-~{_LETTERS}]+)*$"
+#: Stands between strings that are handled together; no plain chunk holds it.
+_SEPARATOR = "\0"
 _SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
 #: Pieces of a plain chunk as the two vocabularies define them.
-_WORD_PIECES = re.compile(f"{_SUFFIXES}|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
-_BYTE_PIECES = re.compile(f"{_SUFFIXES}| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\n")
+_WORD_PIECES = re.compile(f"{_SUFFIXES}|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9\0]+|\0")
+_BYTE_PIECES = re.compile(f"{_SUFFIXES}| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9\0]+|\n|\0")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -36,7 +38,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_BYTE = _byte_letters()
+_WRITTEN = _byte_letters() | {0: "\n"}
+
+
+def gather(pool: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of ``pool`` by number, one after the other, and their sizes; stretch i has ``sizes[i]`` ids and follows i - 1."""
+    starts, each = np.cumsum(sizes) - sizes, sizes[numbers]
+    ends = np.cumsum(each)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = "i4" if total < 1 << 31 and len(pool) < 1 << 31 else "i8"
+    at = np.repeat((starts[numbers] - ends + each).astype(kind), each)
+    at += np.arange(total, dtype=kind)
+    return pool[at], each
 
 
 class ChunkEncoder:
@@ -49,72 +62,87 @@ class ChunkEncoder:
         self.spaces = self.library.normalizer is None
         self.model = Tokenizer(self.library.model)
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
-        self.pieces: dict[str, bytes] = {}
 
     def _ids(self, strings: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def _learn_pieces(self, new: list[str]) -> None:
-        for a in range(0, len(new), 4096):
-            part = new[a:a + 4096]
-            written = [p.replace(" ", _BYTE[32]).replace("\n", _BYTE[10]) if p.isascii() else "".join([_BYTE[b] for b in p.encode()]) for p in part]
-            done = self.model.encode_batch([chr(10).join(written)], add_special_tokens=False)[0]
-            ids = np.array(done.ids, "<u2")
-            ends = np.searchsorted(np.array(done.word_ids), np.arange(len(part) + 1))
-            for p, b, e in zip(part, ends[:-1].tolist(), ends[1:].tolist()):
-                self.pieces[p] = ids[b:e].tobytes()
-
-    def _learn(self, chunks: list[str]) -> None:
-        old, young, plain, other = self.old, self.young, [], []
-        find = (_BYTE_PIECES if self.spaces else _WORD_PIECES).findall
-        for c in chunks:
-            if c in old:
-                young[c] = old[c]
-                continue
-            s = c
-            if self.spaces:
-                s = s[1:] if s[:1] == " " else " " + s  # the key of a text's first chunk has a space, the others have none
-            if _PLAIN.fullmatch(s) and "<|" not in s:
-                plain.append((c, find(s if self.spaces else s.lower())))
-            elif self.spaces and c != " " and (_WIDE_SPACE.search(s) or s.lstrip(" ") != s.strip() or not s.strip()):
-                young[c] = None  # its white space may belong to a run that goes on in the next chunk
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the vocabulary's pieces and how many each has."""
+        ids, sizes = [np.empty(0, "<u2")], [np.empty(0, "i8")]
+        for a in range(0, len(pieces), 1 << 14):
+            part = pieces[a:a + (1 << 14)]
+            written = _SEPARATOR.join(part).encode().decode("latin-1").translate(_WRITTEN)
+            done = self.model.encode_batch([written], add_special_tokens=False)[0]
+            ids.append(np.array(done.ids, "<u2"))
+            sizes.append(np.bincount(np.array(done.word_ids, "i8"), minlength=len(part)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, how many each has, and which chunks cannot be told from their text alone."""
+        plain = pc.and_(pc.match_substring_regex(texts, _PLAIN), pc.invert(pc.match_substring(texts, "<|"))).to_numpy(zero_copy_only=False)
+        sizes, numbers, open_ = np.zeros(len(texts), "i8"), np.empty(len(texts), "i8"), np.zeros(len(texts), bool)
+        known = np.flatnonzero(plain)
+        some = texts.take(pa.array(known))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), _SEPARATOR)[0].as_py() + _SEPARATOR * (len(some) > 0)
+        find = _BYTE_PIECES.findall if self.spaces else _WORD_PIECES.findall
+        found = pa.array(find(joined if self.spaces else joined.lower()), pa.string()).dictionary_encode()
+        names, codes = found.dictionary.to_pylist(), found.indices.to_numpy()
+        apart = names.index(_SEPARATOR) if names else -1
+        names = ["a" if x == _SEPARATOR else x for x in names]  # its ids are not used
+        ends = codes == apart
+        ids, each = gather(*self._pieces(names), codes[~ends])
+        sizes[known] = np.bincount(np.cumsum(ends)[~ends], each, len(known)).astype("i8")
+        others = []
+        for i in np.flatnonzero(~plain).tolist():
+            s = texts[i].as_py()
+            # white space at an end may belong to a run that goes on in the next chunk
+            if self.spaces and s != "" and (_WIDE_SPACE.search(s) or s.lstrip(" ") != s.strip() or not s.strip()):
+                open_[i] = True
             else:
-                other.append((c, s))
-        for (c, _), ids in zip(other, self._ids([s for _, s in other])):
-            young[c] = np.array(ids, "<u2").tobytes()
-        if len(self.pieces) > MEMO:
-            self.pieces = {}
-        known = self.pieces
-        self._learn_pieces(list({p for _, ps in plain for p in ps if p not in known}))
-        for c, ps in plain:
-            young[c] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text as unsigned 16-bit integers."""
+                others.append((i, s))
+        done = self._ids([s for _, s in others])
+        rest = [i for i, _ in others]
+        sizes[rest] = [len(x) for x in done]
+        # plain chunks in their order, then the others: back into the order of the chunks
+        order = np.concatenate([known, np.array(rest, "i8"), np.flatnonzero(open_)])
+        numbers[order] = np.arange(len(order))
+        pool = np.concatenate([ids, np.array([i for x in done for i in x], "<u2")])
+        return *gather(pool, sizes[order], numbers), open_
+
+    def encode_flat(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, as unsigned 16-bit integers, and where each text's ids begin (one more
+        place than texts); ``end``: an id to put after each text."""
         if not texts:
-            return []
+            return np.empty(0, "<u2"), np.zeros(1, "i8")
         column = pa.array(texts, pa.string())
         lists = pc.split_pattern(column, " ") if self.spaces else pc.ascii_split_whitespace(column)
-        coded = lists.flatten().dictionary_encode()
-        chunks, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype("i8")
-        bounds = np.asarray(lists.offsets, "i8")
-        if self.spaces:
-            codes[bounds[:-1]] = np.arange(len(texts)) + len(chunks)
-            chunks += [" " + t.partition(" ")[0] for t in texts]
-        if len(self.young) + len(chunks) > MEMO:
-            self.old, self.young = self.young, {}
-        self._learn([c for c in chunks if c not in self.young])
-        packed = list(map(self.young.__getitem__, chunks))
-        unknown = np.array([p is None for p in packed])
-        size = np.array([0 if p is None else len(p) // 2 for p in packed])
-        pool, first = np.frombuffer(b"".join(filter(None, packed)), "<u2"), np.cumsum(size) - size
-        each = size[codes]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        ids = pool[np.arange(ends[-1]) + np.repeat(first[codes] - ends[:-1], each)]
-        whole = np.concatenate([[0], np.cumsum(unknown[codes])])
-        return [ids[ends[a]:ends[b]] if whole[a] == whole[b] else np.array(self._ids([t])[0], "<u2") for t, a, b in zip(texts, bounds[:-1], bounds[1:])]
+        bounds, flat = np.asarray(lists.offsets, "i8"), lists.flatten()
+        if self.spaces:  # all but a text's first chunk begin with the space before them
+            first = np.zeros(len(flat), bool)
+            first[bounds[:-1]] = True
+            flat = pc.binary_join_element_wise(pc.if_else(pa.array(first), "", " "), flat, "")
+        coded = flat.dictionary_encode()
+        ids, each, open_ = self._chunks(coded.dictionary)
+        codes = coded.indices.to_numpy()
+        ids, sizes = gather(ids, each, codes)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[bounds]
+        if open_.any():
+            whole = np.diff(np.concatenate([[0], np.cumsum(open_[codes])])[bounds]) > 0
+            parts = [np.array(self._ids([t])[0], "<u2") if w else ids[a:b] for t, w, a, b in zip(texts, whole.tolist(), ends[:-1].tolist(), ends[1:].tolist())]
+            ids, ends = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        if end is not None:
+            out = np.empty(len(ids) + len(texts), "<u2")
+            ends = ends + np.arange(len(ends))
+            last = np.zeros(len(out), bool)
+            last[ends[1:] - 1] = True
+            out[last], out[~last] = end, ids
+            ids = out
+        return ids, ends
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text as unsigned 16-bit integers."""
+        ids, ends = self.encode_flat(texts)
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 @functools.lru_cache(maxsize=4)
@@ -123,6 +151,11 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+def binary(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Ids of several texts as one binary value per text, without a copy of each."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((2 * ends).astype("<i8")), pa.py_buffer(ids)]).cast(pa.binary())
+
+
 def slices(texts: list[str], chars: int = 1_000_000) -> list[tuple[int, int]]:
     """Consecutive index ranges of about ``chars`` characters, so that memory follows that and the longest text."""
     out, start, size = [], 0, 0

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -24,7 +25,7 @@ def coded(path, texts, end):
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
-def test_chunk_memo_equals_library(path):
+def test_chunks_equal_library(path):
     texts = ODD + [t or "" for _, t in awkward()]
     expected = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
     enc = tokens.ChunkEncoder(path)
@@ -62,11 +63,34 @@ def test_shards_in_order(spark):
     got = sorted([tuple(r) for r in rans.read(spark, rans.write(frame(spark, rows), WORD)).drop("shard").collect()], key=lambda r: r[1])
     ids = coded(WORD, [t or "" for _, t in rows], 2)
     at, want = 0, []
-    for (doc, _), x in sorted(zip(rows, ids), key=lambda r: (r[0][0] is not None, r[0][0], r[1].astype("<u2").tobytes())):
+    hashed = spark.createDataFrame([(x.astype("<u2").tobytes(),) for x in ids], "ids binary").selectExpr("ids", "xxhash64(ids) h")
+    order = {bytes(r.ids): r.h for r in hashed.collect()}
+    place = lambda r: (r[0][0] is not None, r[0][0], order[r[1].astype("<u2").tobytes()])
+    for (doc, _), x in sorted(zip(rows, ids), key=place):
         want.append((doc, at, len(x), zlib.crc32(x.tobytes())))
         at += len(x)
     assert got == want
     assert rans.read(spark, rans.write(frame(spark, [(1, None)]), WORD)).count() == 1
+    assert rans.read(spark, rans.write(frame(spark, []), WORD)).count() == 0
+
+
+def test_rows_without_an_id_are_spread_over_shards(spark):
+    rows = [(None, prose(k, 60)) for k in range(600)] + [(7, prose(k, 60)) for k in range(300)]
+    read = rans.read(spark, rans.write(frame(spark, rows), WORD, shard_size=16_000))
+    sizes = [r["sum(n_tokens)"] for r in read.groupBy("shard").sum("n_tokens").collect()]
+    assert len(sizes) > 5 and 2 * max(sizes) < 3 * 16_000
+    got = sorted((r.start, r.doc_id is not None, r.n_tokens) for r in read.collect())
+    assert [g[1] for g in got] == [False] * 600 + [True] * 300 and all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:]))
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_random_strings_equal_library(path):
+    rng = random.Random(5)
+    parts = list("abAB '\n\t.,0é ßÀ×İσΣ\x00\x1c\xa0\u2003\u200b中") + ["'s", "'LL", " the", "  ", "\r\n", "don't", "<|endoftext|>", "<|"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    expected = Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)
+    ids, ends = tokens.ChunkEncoder(path).encode_flat(texts, 3)
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [[*e.ids, 3] for e in expected]
 
 
 def test_packing_places_every_id_once(spark):
