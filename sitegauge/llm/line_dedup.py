@@ -41,11 +41,13 @@ def _visible(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, row, line`` and the hashes of its words for every line with a word; ``row`` tells texts of one id apart."""
-    each = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
-    hashed = each.select("doc_id", "row", "line", F.transform(_words(F.col("content")), lambda w: F.xxhash64(w)).alias("w"))
-    return hashed.filter(F.size("w") > 0)
+def _contents(docs: DataFrame) -> DataFrame:
+    """``doc_id, row, line, content`` of every line; ``row`` tells texts of one id apart."""
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
+
+
+def _hashes(content: str) -> Column:
+    return F.transform(_words(F.col(content)), lambda w: F.xxhash64(w))
 
 
 def _ids(w: Column) -> list[Column]:
@@ -85,15 +87,20 @@ def _within_one(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= longer - 1)
 
 
-def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
-    """``p`` (place of the first occurrence) of lines that have an earlier neighbour. ``first``: the distinct lines."""
+def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """``p`` (place of the first occurrence) of lines that have an earlier neighbour. ``first``: the distinct lines.
+
+    The words of marked lines are read again from the texts: a filter of their places spares all other lines the work.
+    """
     halves = first.select("h1", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
     marked = stored(halves.join(shared, "half", "left_semi").select("h1").distinct(), "marked")
     # numbers in the order of the places stand for them from here on, so that rows of variants are short
     order = stored(first.join(marked, "h1").select("p").orderBy("p").select("p", F.monotonically_increasing_id().alias("o")), "order")
-    passed = lines.filter(F.size("w") >= MIN_WORDS).select(F.struct("doc_id", "row", "line").alias("p"), "w", F.xxhash64("w").alias("h1"))
-    passed = passed.withColumn("bucket", F.bitmap_bucket_number(_place("h1"))).join(F.broadcast(_filter(marked)), "bucket").filter(_has_bit()).select("p", "w")
+    places = _contents(docs).withColumn("h1", F.xxhash64("doc_id", "row", "line"))
+    wanted = _filter(order.select(F.xxhash64("p.doc_id", "p.row", "p.line").alias("h1")))
+    passed = places.withColumn("bucket", F.bitmap_bucket_number(_place("h1"))).join(F.broadcast(wanted), "bucket").filter(_has_bit())
+    passed = passed.select(F.struct("doc_id", "row", "line").alias("p"), _hashes("content").alias("w"))
     # equal rows hold a place more than once
     lead = stored(passed.join(order, "p").groupBy("p").agg(F.first("o").alias("o"), F.first("w").alias("w")).select("o", "w"), "lines")
 
@@ -109,8 +116,8 @@ def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
     key = lambda n, i, head, tail: F.xxhash64(n, i, head, tail)
     n, i = F.col("n").cast("int"), F.col("i").cast("int")
     last = F.when(i == n - 1, key(n + 1, n, F.col("head").bitwiseXOR(F.col("a")), F.lit(0).cast("long")))
-    variants = sides.select("o", F.explode(F.filter(F.array(
-        key(n, i, F.col("head"), rest.bitwiseXOR(F.col("b"))), key(n + 1, i, F.col("head"), rest), last), lambda k: k.isNotNull())).alias("key"))
+    variants = stored(sides.select("o", F.explode(F.filter(F.array(
+        key(n, i, F.col("head"), rest.bitwiseXOR(F.col("b"))), key(n + 1, i, F.col("head"), rest), last), lambda k: k.isNotNull())).alias("key")), "variants")
     earliest = variants.groupBy("key").agg(F.min("o").alias("q"), F.count("*").alias("n")).filter("n > 1").select("key", "q")
     pairs = variants.join(earliest, "key").filter("q < o").select("o", "q").distinct()
     left, right = lead.select("o", F.col("w").alias("a")), lead.select(F.col("o").alias("q"), F.col("w").alias("b"))
@@ -120,10 +127,10 @@ def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """``kept_of`` (id and hash of the text), ``kept``: numbers of the lines that stay, for texts with any. ``docs``: ``doc_id, text``."""
-    lines = _lines(docs)
+    lines = _contents(docs).select("doc_id", "row", "line", _hashes("content").alias("w")).filter(F.size("w") > 0)
     known = lines.select(F.struct("doc_id", "row", "line").alias("p"), *_ids(F.col("w")), _halves(F.col("w")).alias("halves"))
     first = stored(known.groupBy("h1", "h2").agg(F.min("p").alias("p"), F.first("halves").alias("halves")), "first")
-    gone = near_lines(lines, first)
+    gone = near_lines(docs, first)
     stay = first.select("p").join(gone, "p", "left_anti")
     return stay.groupBy(F.struct("p.doc_id", "p.row").alias("kept_of")).agg(F.collect_list("p.line").alias("kept"))
 
@@ -133,11 +140,14 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", inf
     kept = kept_lines(texts(docs, id_col, text_col))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     name, of, mine = ("_".join([x, *docs.columns]) for x in ("made", "of", "mine"))  # no column of the input has these names
-    keyed = docs.select("*", F.struct(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("row")).alias(of))
-    joined = keyed.join(kept, F.col(f"`{of}`") == kept["kept_of"], "left")
+    # a plain column as the key, by which the joined rows then lie together
+    key = lambda doc_id, row: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), row.cast("string"))
+    keyed = docs.select("*", key(docs[id_col].cast("long"), F.xxhash64(text)).alias(of))
+    lists = kept.select(key(F.col("kept_of.doc_id"), F.col("kept_of.row")).alias(name), F.col("kept").alias(mine))
+    joined = keyed.join(lists, F.col(f"`{of}`") == lists[name], "left").drop(lists[name])
     # the join leaves equal rows side by side, so this window needs no shuffle of its own
     again = F.count(F.lit(1)).over(W.partitionBy(F.col(f"`{of}`")).rowsBetween(W.unboundedPreceding, W.currentRow)) > 1
-    joined = joined.withColumn(mine, F.when(~again, kept["kept"]))
+    joined = joined.withColumn(mine, F.when(~again, F.col(f"`{mine}`")))
 
     def build(lines: Column) -> Column:
         blank = F.filter(F.transform(lines, lambda x, i: F.when(~_visible(x), i)), lambda i: i.isNotNull())
