@@ -1,7 +1,7 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences, each is normalised (lower case; letters, digits and inner points or hyphens only; single
-spaces) and looked up in a table of known licence sentences. The identifiers found, in order of their place, are matched
+A text is cut into stretches at full stops, colons and semicolons; each is normalised (lower case; letters, digits and inner
+points or hyphens only; single spaces) and looked up in a table of known licence sentences, which are cut alike. The identifiers found, in order of their place, are matched
 against ordered rules: a rule holds where all its identifiers occur in order with at most ``gap`` other known sentences
 between two of them. Longer rules are tried first and an occurrence is used by one rule only.
 
@@ -161,7 +161,7 @@ SCHEMA = "doc_id long, license string, rule string, start long, end long, n_sent
 
 _WRAPPED = re.compile(r"(?:[^.;:!?\n]|\n(?!\s*\n)|[.;:!?](?![\s\"')\]]|\Z))++(?:[.;:!?]++|\Z|\n)")
 _ONE_LINE = re.compile(r"(?:[^.;:!?\n]|[.;:!?](?![\s\"')\]]|\Z))++(?:[.;:!?]++|\Z|\n)")
-_LEAD = re.compile(r"\b(?:licen[cs]ed|released|distributed|available|published|provided|covered|redistributed)\s+under\s+(?:the\s+terms\s+of\s+)?", re.I)
+_LEAD = re.compile(r"\b(?:licen[cs]ed|released|distributed|available|published|provided|covered|redistributed)\s+under\s+(?:the\s+terms\s+of\s+)?|\blicen[cs]e\s*:\s*", re.I)
 _NAME = [(re.compile(f"(?:{name})(?!v(?!\\.?\\s?\\d)|[a-uw-z_])", re.I), with_, without) for name, with_, without in NAMES]
 _VERSION = re.compile(r"(?:[\s,]*\(?(?:public\s+)?licen[cs]e\)?)?(?:[\s,(-]*(?:version|v\.?)\s*|[ -]?)(\d(?:\.\d){0,2})(?![\w%])\)?", re.I)
 #: What follows a name without a version: the word licence, or the end of the phrase.
@@ -214,20 +214,42 @@ def notices(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(found)
 
 
-def _starts(table: dict[str, str]) -> set[str]:
-    return {s[:6] for s in table}
+def _spans(text: str, pattern: re.Pattern):
+    """``(start, end, text)`` of the stretches that a pattern cuts, without bullets and white space before them."""
+    for m in pattern.finditer(text):
+        lead = m[0].lstrip(" \t\n\r*#/;-\"'(0123456789.)")
+        if lead and not lead.isspace():
+            yield m.end() - len(lead), m.end() - (len(lead) - len(lead.rstrip())), lead
 
 
-def sentences(text: str, table: dict[str, str]) -> list[tuple[int, int, str]]:
-    """Known sentences ``(start, end, identifier)`` of a text in order; ``table``: normalised sentence -> identifier."""
-    found, first = set(), _starts(table)
+def _first_word(sentence: str) -> str:
+    return sentence.split(" ", 1)[0]
+
+
+def sentence_table(known: dict[str, str]) -> dict[str, list[tuple[tuple[str, ...], str]]]:
+    """Known sentences by their first stretch: all stretches, as colons and semicolons cut a sentence, and the identifier."""
+    table: dict[str, list[tuple[tuple[str, ...], str]]] = {}
+    for name, sentence in known.items():
+        parts = tuple(normalise(x) for _, _, x in _spans(sentence, _WRAPPED))
+        table.setdefault(parts[0], []).append((parts, name))
+    return table
+
+
+def first_words(table: dict[str, list[tuple[tuple[str, ...], str]]]) -> set[str]:
+    return {_first_word(part) for known in table.values() for parts, _ in known for part in parts}
+
+
+def sentences(text: str, table: dict[str, list[tuple[tuple[str, ...], str]]], words: set[str]) -> list[tuple[int, int, str]]:
+    """Known sentences ``(start, end, identifier)`` of a text in order; ``words``: :func:`first_words` of the table."""
+    found = set()
     for pattern in (_ONE_LINE, _WRAPPED):
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            lead = m[0].lstrip(" \t\n\r*#/;-\"'(0123456789.)")
-            if lead[:6].lower() in first and (name := table.get(normalise(lead))):
-                found.add((b - len(lead), b - (len(lead) - len(lead.rstrip())), name))
-    if any(name == "bsd-endorse" for name in table.values()):
+        # the first normalised word spares most stretches the rest; no known one is 60 characters long
+        each = [(a, b, normalise(x) if _first_word(normalise(x[:64])) in words else None) for a, b, x in _spans(text, pattern)]
+        for i, (start, _, part) in enumerate(each):
+            for parts, name in table.get(part, ()) if part else ():
+                if [x[2] for x in each[i:i + len(parts)]] == list(parts):
+                    found.add((start, each[i + len(parts) - 1][1], name))
+    if any(name == "bsd-endorse" for known in table.values() for _, name in known):
         found |= {(*m.span(), "bsd-endorse") for m in _ENDORSE.finditer(text)}
     return sorted(found)
 
@@ -251,11 +273,12 @@ def match(found: list[tuple[int, int, str]], rules: list[Rule]) -> list[tuple[Ru
     return sorted(out, key=lambda x: (x[1], x[2]))
 
 
-def _scan(batches: Iterator[pa.RecordBatch], table: dict[str, str], rules: list[Rule]):
+def _scan(batches: Iterator[pa.RecordBatch], table: dict, rules: list[Rule]):
+    words = first_words(table)
     for batch in batches:
         rows = []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            held = match(sentences(text, table), rules)
+            held = match(sentences(text, table, words), rules)
             rows += [(doc, r.license, "+".join(r.sequence), a, b, len(r.sequence)) for r, a, b in held]
             rows += [(doc, name, kind, a, b, 1) for a, b, name, kind in notices(text) if not any(x < b and a < y for _, x, y in held)]
         if rows:
@@ -266,5 +289,5 @@ def _scan(batches: Iterator[pa.RecordBatch], table: dict[str, str], rules: list[
 def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[Rule] | None = None, **columns: str) -> DataFrame:
     """One row per licence occurrence: licence, rule, character span and number of sentences."""
     known, rules = known or SENTENCES, rules or RULES
-    table = {normalise(s): name for name, s in known.items()}
+    table = sentence_table(known)
     return texts(docs, **columns).mapInArrow(lambda it: _scan(it, table, rules), SCHEMA)

@@ -272,7 +272,8 @@ def test_pipeline(spark):
         if name == "quality_classifier":
             assert all(labels.get(d, 0) == 0 for d in set(before) - set(after)) and all(labels.get(d, 1) == 1 for d in after)
         elif name == "line_dedup":
-            assert sorted((d, t) for d, t in after.items()) == sorted((d, t) for d, _, _, t in brute_lines_of(before))
+            assert sorted((d, t) for d, t in after.items()) == sorted((d, t) for d, n, gone, t in brute_lines_of(before) if n == 0 or gone < n)
+            assert any(n and gone == n for _, n, gone, _ in brute_lines_of(before))  # documents with nothing left go
         elif name == "ngram_jaccard_join":
             assert set(after) == {d for d, (_, component) in brute_links(list(before.items()), 5, 80).items() if component == d}
         else:
@@ -289,3 +290,42 @@ def brute_lines_of(before):
     from llm.test_llm_texts import brute_lines
 
     return brute_lines(list(before.items()))
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    """Null and repeated ids, nulls, blank and very long texts, extra columns with clashing names, empty tables."""
+    import corpus_pipeline as c
+
+    rows = [(d, t, "en", None, len(t or "")) for d, t in awkward()] + [(None, prose(31, 40), None, "s", 1)] * 2
+    docs = frame(spark, rows, "doc_id long, text string, lang string, source string, n_chars int")
+    for name, stage in c.STAGES[1:4]:
+        made = stage(spark, docs, SF)
+        assert made.columns == docs.columns and stage(spark, docs.limit(0), SF).count() == 0
+        docs = c.stored(made, name)
+        kept = docs.collect()
+        assert kept and all(r.n_chars == len(r.text or "") for r in kept)
+        assert sum(r.doc_id is None and r.text == prose(31, 40) for r in kept) == 1  # equal rows: one stays
+        assert sum(r.text in (None, "") for r in kept) == 3  # blank before, not by line dedup
+    packed = c.STAGES[-1][1](spark, docs, SF).collect()
+    assert sum(r.start == 0 for r in packed) == len(kept)
+
+
+def test_wrapped_licences_at_every_width(spark):
+    import textwrap
+
+    s = licenses.SENTENCES
+    whole = {"MIT": ["mit-grant", "mit-notice", "mit-as-is"], "GPL-3.0-or-later": ["gpl-free", "gpl-hope", "gpl-details"]}
+    rows, want = [], {}
+    for width in range(18, 110, 3):
+        for lead in ("", "# ", " * "):
+            for name, keys in whole.items():
+                text = "\n".join(lead + line for key in keys for line in [*textwrap.wrap(s[key], width), ""])
+                want[len(rows)] = [name]
+                rows.append((len(rows), text))
+    for text, name in (("License: Apache-2.0", "Apache-2.0"), ("licence : MIT", "MIT"), (s["gpl-free"].replace("This program", "This  program", 1), "GPL-3.0-or-later")):
+        want[len(rows)] = [name]
+        rows.append((len(rows), text))
+    got = collections.defaultdict(list)
+    for r in licenses.scan(frame(spark, rows)).collect():
+        got[r.doc_id].append(r.license)
+    assert {k: got[k] for k in want if got[k] != want[k]} == {}
