@@ -1,6 +1,8 @@
 """Corpus preparation: five stages, each a function of ``(spark, docs, sf_dir)`` on all that the stage before it kept.
 
-All but the last return the columns of ``documents``. Documents are rows; a null or repeated id does not exempt a row.
+All but the last return the columns of ``documents``, and any further ones. Documents are rows; a null or repeated id does not
+exempt a row. Null and blank texts are scored like others and, where kept, have no lines, links or benchmark items and are packed as a
+lone end id; texts of any length are used whole; of equal rows one is left by line dedup; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,8 +21,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that equal or neighbour an earlier line; ``n_chars`` follows the text."""
-    return line_dedup.rewrite(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Documents without lines that equal or neighbour an earlier line; ``n_chars`` follows the text.
+
+    A document all of whose lines were found earlier has nothing left and goes; one that was blank before stays blank.
+    """
+    counts = "_".join(["counts", *docs.columns])  # no column of the input has this name
+    made = line_dedup.rewrite(docs, info=counts)
+    emptied = (F.col(f"`{counts}`.n_lines") > 0) & (F.col(f"`{counts}`.n_lines") == F.col(f"`{counts}`.n_removed"))
+    return made.filter(~emptied).drop(counts).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
