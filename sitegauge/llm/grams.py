@@ -16,7 +16,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _VALUES = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8).digest(), "little") | 1 for b in range(256)], "u8")
 _BASE = 0x9E3779B97F4A7C13  # 3 modulo 8, so that differences of its powers keep many odd factors
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 
 @functools.lru_cache(maxsize=2)

@@ -37,7 +37,7 @@ from sitegauge.llm.components import components
 from sitegauge.llm.tokens import slices
 
 #: Characters of one slice of documents whose n-grams are made distinct together.
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 1_000_000
 #: Documents a pivot or row is multiplied with in one block.
 BLOCK_ROWS = 512
 
@@ -192,7 +192,7 @@ def _possible(percent: int):
 def _components(docs: DataFrame, n: int, percent: int, nulls: bool) -> tuple[DataFrame, DataFrame]:
     """``key, n, digest`` of every row of ``docs`` (``key, text``), and ``digest, reached``: the least key of a set's component."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a bucket is held whole by a task, in a few arrays
     sets = stored(docs.mapInArrow(lambda it: _sets(it, n), f"key {KEY}, n long, digest binary"), "sets")
     asked = docs.mapInArrow(lambda it: _ask(it, n, buckets), "slice long, bucket long, docs long, keys binary, low binary, names binary")
     answers = asked.repartition(buckets, "bucket").mapInArrow(_answer, "slice long, keys binary, own binary")

@@ -32,7 +32,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Tokens of one batch of documents that are held at a time before they are packed.
 SHARD_TOKENS = 4_000_000
 #: Characters that are encoded together.
-SLICE_CHARS = 16_000_000
+SLICE_CHARS = 8_000_000
 
 
 @dataclass(frozen=True)
