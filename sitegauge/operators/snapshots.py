@@ -64,7 +64,12 @@ class Snapshot:
         touched = sorted(r[0] for r in rows.select(BUCKET).distinct().collect())
         if touched:
             old = self.part(spark, touched).drop(BUCKET)
-            self._write(self._with_bucket(merge(old, rows.drop(BUCKET))), "overwrite")
+            merged = merge(old, rows.drop(BUCKET))
+            kinds = {f.name: f.dataType for f in old.schema}
+            # a stored column keeps its type, or buckets could not be read together
+            other = {c for c in merged.columns if c in kinds and merged.schema[c].dataType.simpleString() != kinds[c].simpleString()}
+            merged = merged.select(*[F.col(c).cast(kinds[c]).alias(c) if c in other else F.col(c) for c in merged.columns])
+            self._write(self._with_bucket(merged), "overwrite")
         return touched
 
 

@@ -7,7 +7,8 @@ import pytest
 import __spark_entry__ as entry
 from oracle_compare import ROOT, compare, oracle_connection
 
-QUICK = ["site_overview", "url_normalize", "page_text", "rules_local", "site_score", "lifecycle_upsert", "scan_progress", "site_policy_groups", "plan_batches", "stream_progress"]
+QUICK = ["site_overview", "url_normalize", "page_text", "rules_local", "site_score", "lifecycle_upsert", "scan_progress", "site_policy_groups", "plan_batches", "stream_progress",
+         "export_findings_csv", "q_live_findings", "sink_findings", "sink_telemetry", "src_sitemaps", "scan_supersede", "q_paginate_deep", "assessment_normalize"]
 NAMES = list(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else QUICK
 
 

@@ -65,6 +65,15 @@ def test_empty_batches_and_new_columns(spark, tmp_path):
         sn.findings_at(table.path).create(old)
 
 
+def test_stored_columns_keep_their_types(spark, tmp_path):
+    old = findings(spark, 40).withColumn("last_seen_at", F.expr("timestamp_ntz'2026-01-01 00:00:00'"))
+    table = sn.findings_at(str(tmp_path / "t"), 16).create(old)
+    sn.store_findings(table, fresh(old).limit(2), F.lit(NOW))
+    got = table.read(spark)
+    assert got.schema["last_seen_at"].dataType.simpleString() == "timestamp_ntz"
+    assert got.count() == 40 and got.filter(F.col("last_seen_at") == F.lit(NOW)).count() == 2
+
+
 def test_pages_keep_whole_titles_and_markers(spark, tmp_path):
     schema = "website_id long, url_hash string, title string, analysis struct<ai_model: string>"
     table = sn.pages_at(str(tmp_path / "t"), 8).create(spark.createDataFrame([(1, "a", "old", ("m",)), (1, "b", "old", ("m",))], schema))
