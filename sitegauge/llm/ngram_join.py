@@ -9,10 +9,12 @@ by exact bounds so that unlike documents never meet:
    n-grams has no partner and leaves. (Values that collide only keep more rows.)
 3. ``keys``: the remaining n-grams are ordered from rare to frequent. Two rows of the wanted similarity share one of
    their first ``n - ceil(similarity * n) + 1``; sizes and places bound the overlap that is still possible.
-4. Blocks: rows that share a key are first multiplied with one pivot of the key only. Components of these links are
-   formed, and rows of a key that are still apart are then multiplied across components: all rows outside the key's
-   largest component with the rows of the others. Links inside a component need no product, so a family of copies
-   costs one product per member, however large it is.
+4. Blocks: the rows of a key that the bounds admit are multiplied block by block: counts of shared n-grams are added up per
+   pair, and pairs that fall below the overlap their sizes demand are discarded. First each key's rows meet one pivot
+   only, the row with the fewest rarer n-grams, which is the most central of a family. Components of the links are
+   formed, and the step is repeated with a pivot of what is still apart until nothing more links. Then rows of a key that
+   are still apart are multiplied across components: all rows outside the key's largest component with the rows of the
+   others. Links inside a component need no product, so a family around one text costs about one product per member.
 
 Rows of the matrix are named by a 64-bit hash of their set's digest; ids only decide which row of a component is reported
 or kept. Overlaps count 64-bit n-gram hashes. Defined results: null and empty texts have no set and no links; fewer than n
@@ -38,8 +40,8 @@ from sitegauge.llm.tokens import slices
 
 #: Characters of one slice of documents whose n-grams are made distinct together.
 SLICE_CHARS = 1_000_000
-#: Documents a pivot or row is multiplied with in one block.
-BLOCK_ROWS = 512
+#: N-grams of one side of a block of the product, and steps in which a row's n-grams are counted.
+BLOCK_GRAMS, PARTS = 250_000, 4
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -150,37 +152,76 @@ def _bit(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little") % MEMBER_BITS
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """One block of the product: for each row of ``left`` the places in ``right`` that reach the similarity.
+
+    ``right`` is read by n-gram. A row adds one to the count of all holders of each of its n-grams, rare ones first; a
+    count that can no longer reach the overlap that the two sizes demand is discarded, and a row without others ends.
+    """
+    sizes = np.array([len(r) for r in right], "i8")
+    holders = np.repeat(np.arange(len(right)), sizes)
+    values = np.concatenate(right) if right else np.empty(0, "i8")
+    order = np.argsort(values, kind="stable")
+    values, holders = values[order], holders[order]
+    for i, row in enumerate(left):
+        need = -(-percent * (len(row) + sizes) // (100 + percent))
+        start = np.searchsorted(values, row, "left")
+        many = np.searchsorted(values, row, "right") - start
+        rare = np.argsort(many, kind="stable")
+        total = np.zeros(len(right), "i8")
+        alive = np.minimum(len(row), sizes) >= need
+        step = -(-len(row) // PARTS)
+        for at in range(0, len(row), max(1, step)):
+            if not alive.any():
+                break
+            some = rare[at:at + step]
+            m = many[some]
+            total += np.bincount(holders[np.repeat(start[some] - np.cumsum(m) + m, m) + np.arange(m.sum())], minlength=len(right))
+            alive &= total + np.minimum(max(0, len(row) - at - step), sizes - total) >= need
+        yield i, np.flatnonzero(alive & (total >= need))
+
+
 def _products(batches: Iterator[pa.RecordBatch], percent: int):
-    """Overlap of each row with its block's pivot, which comes first; keeps pairs that reach the similarity."""
-    pivot, name = np.empty(0, "i8"), None
+    """Links of each block, whose rows come together, those of its left side first."""
+    def finish():
+        out = [(names[0][i], names[1][j]) for i, found in overlaps(*sides, percent) for j in found.tolist() if names[0][i] != names[1][j]]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    block, names, sides = None, ([], []), ([], [])
     for batch in batches:
-        left, right, sizes, lists = batch.column("a"), batch.column("b").to_pylist(), [], batch.column("grams")
-        out = []
-        for i, (a, b) in enumerate(zip(left.to_pylist(), right)):
-            row = lists[i].values.to_numpy()
-            if b is None:
-                pivot, name = np.sort(row), a
-                continue
-            if a != name:
-                raise AssertionError("a block without its pivot")
-            at = np.searchsorted(pivot, row)
-            overlap = int((pivot[np.minimum(at, len(pivot) - 1)] == row).sum())
-            if 100 * overlap >= percent * (len(pivot) + len(row) - overlap):
-                out.append((a, b))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose sets reach the similarity: blocks of one ``a`` and at most about BLOCK_ROWS ``b``."""
-    counts = pairs.groupBy("a").agg(F.count("*").alias("m"))
-    blocks = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / BLOCK_ROWS)).alias("block"))
-    grams_of = rows.select(F.col("node").alias("b"), "grams")
-    left = blocks.select("a", "block").distinct().join(rows.select(F.col("node").alias("a"), "grams"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "grams")
-    both = left.unionByName(blocks.join(grams_of, "b").select("a", "block", "b", "grams"))
+        places = zip(*(batch.column(c).to_pylist() for c in ("gram", "i", "j", "side", "node")))
+        for k, (gram, i, j, side, node) in enumerate(places):
+            if block != (gram, i, j):
+                if block is not None:
+                    yield finish()
+                block, names, sides = (gram, i, j), ([], []), ([], [])
+            names[side].append(node)
+            sides[side].append(batch.column("grams")[k].values.to_numpy().copy())
+    if block is not None:
+        yield finish()
+
+
+def _linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` among candidate pairs ``a, n1, b, n2, gram``, by blocks of the product.
+
+    A pair belongs to the smallest n-gram that proposed it; the rows of such an n-gram are cut into parts of about
+    BLOCK_GRAMS n-grams, and a block is two parts. So a row's n-grams are sent once a block, not once a pair.
+    """
+    met = stored(pairs.groupBy("a", "n1", "b", "n2").agg(F.min("gram").alias("gram")), "pairs")
+    ends = met.select("gram", F.col("a").alias("node"), F.col("n1").alias("n")).union(met.select("gram", "b", "n2")).distinct()
+    parts = ends.groupBy("gram").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).alias("parts"))
+    part = lambda c: F.pmod(F.xxhash64(c), "parts")
+    blocks = met.join(parts, "gram").select("gram", part("a").alias("i"), part("b").alias("j"), "a", "b")
+    side = lambda c, k: blocks.select("gram", "i", "j", F.lit(k).alias("side"), F.col(c).alias("node"))
+    members = side("a", 0).union(side("b", 1)).distinct().join(rows.select("node", "grams"), "node")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = both.repartition(n, "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return dealt.select("a", "b", "grams").mapInArrow(lambda it: _products(it, percent), "a long, b long")
+    dealt = members.repartition(n, "gram", "i", "j").sortWithinPartitions("gram", "i", "j", "side", "node")
+    return dealt.select("gram", "i", "j", "side", "node", "grams").mapInArrow(lambda it: _products(it, percent), "a long, b long").distinct()
+
+
+def _end(name: str, k: int) -> list[Column]:
+    """A row of the matrix as one end of a pair: its name, size and the place of the key among its n-grams."""
+    return [F.col("node").alias(name), F.col("n").alias(f"n{k}"), F.col("p").alias(f"p{k}")]
 
 
 def _possible(percent: int):
@@ -213,23 +254,28 @@ def _components(docs: DataFrame, n: int, percent: int, nulls: bool) -> tuple[Dat
     keys = stored(ordered.filter(length > 0).select("node", "n", first.alias("first"), F.posexplode(F.slice("o", F.lit(1), length.cast("int"))).alias("i", "x"))
                   .select(F.col("x.gram").alias("gram"), "node", "n", (F.col("first") + F.col("i")).cast("long").alias("p")), "keys")
 
-    pivots = keys.groupBy("gram").agg(F.min(F.struct("node", "n", "p")).alias("v")).select("gram", F.col("v.node").alias("a"), F.col("v.n").alias("n1"), F.col("v.p").alias("p1"))
-    near = keys.select("gram", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("p").alias("p2"))
-    pairs = pivots.join(near, "gram").filter((F.col("a") != F.col("b")) & _possible(percent)).select("a", "b").distinct()
-    edges = stored(_verified(stored(pairs, "pairs"), rows, percent), "links")
-    labels = components(edges)
-
-    placed = keys.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    groups = placed.groupBy("gram", "c").agg(F.count("*").alias("m"))
-    largest = groups.groupBy("gram").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("gram", F.col("top.c").alias("top"))
-    apart = stored(placed.join(largest, "gram"), "apart")
-    few = apart.filter("c <> top").select("gram", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("p").alias("p1"), F.col("c").alias("c1"))
-    all_ = apart.select("gram", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("c").alias("c2"), (F.col("c") != F.col("top")).alias("also"))
-    across = few.join(all_, "gram").filter((F.col("c1") != F.col("c2")) & (~F.col("also") | (F.col("a") < F.col("b"))) & _possible(percent)).select("a", "b").distinct()
-    more = _verified(stored(across, "across"), rows, percent)
-    final = components(edges.union(more))
-
-    joined = final.join(classes.select("node", "least"), "node")
+    first_met = keys.select("gram", *_end("a", 1)).groupBy("gram").agg(F.min(F.struct("p1", "a", "n1")).alias("v")).select("gram", "v.*")
+    pairs = first_met.join(keys.select("gram", *_end("b", 2)), "gram").filter((F.col("a") != F.col("b")) & _possible(percent))
+    edges = stored(_linked(pairs, rows, percent), "links")
+    while True:
+        labels = components(edges)
+        placed = keys.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        groups = placed.groupBy("gram", "c").agg(F.count("*").alias("m"))
+        largest = groups.groupBy("gram").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("gram", F.col("top.c").alias("top"))
+        apart = stored(placed.join(largest, "gram"), "apart")
+        few = apart.filter("c <> top").select("gram", *_end("a", 1), F.col("c").alias("c1"))
+        others = apart.select("gram", *_end("b", 2), F.col("c").alias("c2"), (F.col("c") != F.col("top")).alias("also"))
+        pivots = few.groupBy("gram").agg(F.min(F.struct("p1", "a", "n1", "c1")).alias("v")).select("gram", "v.*")
+        more = stored(_linked(pivots.join(others, "gram").filter((F.col("c1") != F.col("c2")) & _possible(percent)), rows, percent), "links")
+        if more.isEmpty():
+            break
+        edges = edges.union(more)
+    once = ~F.col("also") | (F.col("a") < F.col("b"))
+    last = stored(_linked(few.join(others, "gram").filter((F.col("c1") != F.col("c2")) & once & _possible(percent)), rows, percent), "links")
+    if not last.isEmpty():
+        labels = components(edges.union(last))
+
+    joined = labels.join(classes.select("node", "least"), "node")
     best = joined.groupBy("component").agg(F.min("least").alias("other"))
     members = classes.join(joined.select("node", "component").join(best, "component").select("node", "other"), "node", "left")
     return sets, members.select("digest", F.coalesce("other", "least").alias("reached"))
@@ -245,7 +291,7 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90, **columns: str) -> Data
 
 
 def first_rows(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, all columns, of which each component has one; of equal ids and texts the least of all columns stays."""
+    """Rows of ``docs``, all columns, of which each component has one; of equal ids and texts the one whose columns come first as JSON stays."""
     key = _key(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
     name = "_".join(["key", *docs.columns])  # no column of the input has this name
     sets, members = _components(texts(docs, id_col, text_col).select(_key(F.col("doc_id"), F.col("text")).alias("key"), "text"), n, percent, True)
@@ -254,6 +300,6 @@ def first_rows(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", te
     keyed = docs.select("*", key.alias(name))
     matches = lambda some: F.col(f"`{name}`") == some["key"]
     alone = keyed.join(judged, matches(judged), "left_anti").select(docs.columns)
-    again = judged.filter("first")
-    equal = keyed.join(again, matches(again), "left_semi").groupBy(f"`{name}`").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
+    again, row = judged.filter("first"), F.struct(*[docs[c] for c in docs.columns])
+    equal = keyed.join(again, matches(again), "left_semi").groupBy(f"`{name}`").agg(F.min_by(row, F.to_json(row)).alias("row"))
     return alone.union(equal.select("row.*"))

@@ -4,7 +4,9 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm.shared import awkward, frame, prose
 from sitegauge.llm import contamination, licenses, mil, ngram_join, registry, toxicity
@@ -63,6 +65,58 @@ def test_ids_on_several_rows(spark):
     assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter([(1, a), (1, b), (4, c), (4, d), (None, prose(1510, 60)), (6, ""), (7, None)])
 
 
+def test_overlaps_of_a_block():
+    rng = np.random.default_rng(5)
+    base = rng.permutation(3000)[:120]
+    some = [np.unique(np.concatenate([rng.permutation(base)[:k], rng.integers(0, 3000, 130 - k)])).astype("i8") for k in (0, 40, 90, 100, 110, 115, 120) for _ in range(4)]
+    some += [np.array([7], "i8"), some[-1].copy()]
+    for percent in (50, 80, 90, 100):
+        want = {(i, j) for i, x in enumerate(some) for j, y in enumerate(some) if 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y))}
+        assert {(i, j) for i, found in ngram_join.overlaps(some, some, percent) for j in found.tolist()} == want
+    assert list(ngram_join.overlaps([some[0]], [], 80))[0][1].tolist() == []
+
+
+def test_blocks_of_few_rows(spark, monkeypatch):
+    """Families whose members differ by shared edits, in blocks of a few rows each, have the components of brute force."""
+    rng, rows = random.Random(3), []
+    for family in range(3):
+        base, other = prose(60 + family, 130).split(), prose(80, 130).split()
+        for _ in range(25):
+            words = base.copy()
+            for at in rng.sample(range(10, 120, 10), rng.randrange(6)):
+                words[at] = other[at + rng.randrange(2)]
+            rows.append((len(rows), " ".join(words)))
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 700)
+    got = {r.doc_id: r.component_id for r in ngram_join.link(frame(spark, rows), 3, 90).collect()}
+    assert got == {k: v[1] for k, v in brute_links(rows, 3, 90).items()} and len(set(got.values())) > 6
+
+
+def test_products_of_a_family_grow_with_its_members(spark, monkeypatch):
+    """Members that differ from one text in a word each: candidate pairs grow like the members, not like their square."""
+    counts, keep = {}, ngram_join.stored
+
+    def counting(df, name):
+        made = keep(df, name)
+        if name == "pairs":
+            counts[members] = counts.get(members, 0) + made.count()
+        return made
+
+    monkeypatch.setattr(ngram_join, "stored", counting)
+    base = prose(90, 200).split()
+    for members in (100, 400):
+        rows = [(0, " ".join(base))] + [(k, " ".join(base[:k % 200] + [f"edit{k}"] + base[k % 200 + 1:])) for k in range(1, members)]
+        got = ngram_join.link(frame(spark, rows), 3, 90).select("component_id").distinct().collect()
+        assert [r[0] for r in got] == [0]
+    assert counts[400] < 6 * counts[100] and counts[400] < 400 * 20
+
+
+def test_first_rows_keep_any_column(spark):
+    docs = frame(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, None)])
+    docs = docs.withColumn("tags", F.create_map(F.lit("k"), F.col("doc_id")))
+    kept = ngram_join.first_rows(docs, 5, 80)
+    assert kept.columns == docs.columns and sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (True, 0)]
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.link(frame(spark, [])).count() == 0
     assert [tuple(r) for r in ngram_join.link(frame(spark, [(3, None)])).collect()] == [(3, 0, 3)]
