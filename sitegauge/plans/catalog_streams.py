@@ -19,9 +19,9 @@ def add(name, fn, sql=None):
 
 
 def stream(s, d, name):
-    """A table as a file stream."""
+    """A table as a file stream, whether it is one file or a folder; a pattern may name either, a plain path only a folder."""
     schema = v.table(s, d, name).schema
-    rows = s.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    rows = s.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
     return rows.withColumn("ts", C("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
