@@ -25,7 +25,7 @@ def twin_pages(spark, tmp_path_factory):
     return d, con
 
 
-@pytest.mark.parametrize("name", ["stream_scan_pages_live", "reuse_decision", "sink_pages"])
+@pytest.mark.parametrize("name", ["stream_scan_pages_live", "reuse_decision", "sink_pages", "target_missing_failed", "target_document_match"])
 def test_folder_of_twin_pages(spark, twin_pages, name):
     d, con = twin_pages
     result, rows = compare(spark, con, d, entry.queries()[name], entry.oracle_sql()[name])
