@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from sitegauge.operators import copies as cp
+from sitegauge.operators import copies as cp, duplicates as dp
 from sitegauge.session import shared_folder
 
 
@@ -24,3 +24,23 @@ def test_texts_without_a_common_shingle_are_not_stored(spark):
     assert [tuple(r)[:2] for r in cp.copy_corpus_scan(item, corpus).collect()] == [(900, 7)]
     assert cp.copy_corpus_scan(corpus, item).count() == 0
     assert stored_bytes(spark) - before < 200_000  # the sets of the corpus alone take 1.6 MB each time
+
+
+def shuffled_bytes(spark):
+    rows = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(rows.apply(i).totalShuffleWrite() for i in range(rows.size()))
+
+
+def test_candidates_move_few_hashes(spark):
+    text = F.concat_ws(" ", words(F.lit(7), 60), words(F.col("id") + 10, 300))
+    pages = dp.dup_sketch(spark.range(600).select(F.lit("all").alias("grp"), "id", F.col("id").alias("position"), text.alias("text"))).drop("text")
+    sets = {r["id"]: {e[:16] for e in r["sketch"]} for r in pages.collect()}
+    before = shuffled_bytes(spark)
+    got = {(r["id"], r["candidate_id"], r["shared_seen"], r["min_hash"], r["candidate_rank"]) for r in dp.candidates(pages).collect()}
+    moved = shuffled_bytes(spark) - before
+    want = set()
+    for a in sets:
+        ranked = sorted((-len(sets[a] & sets[b]), min(sets[a] & sets[b]), b) for b in range(max(0, a - 200), a) if sets[a] & sets[b])
+        want |= {(a, b, -n, h, k + 1) for k, (n, h, b) in enumerate(ranked[:30])}
+    assert {g for g in got if g[0] <= 200} == {w for w in want if w[0] <= 200}
+    assert moved < 6_000_000
