@@ -35,9 +35,26 @@ def telemetry_rows(events: DataFrame) -> DataFrame:
         F.coalesce(F.to_date("ts"), F.lit(date(1970, 1, 1))).alias("day"))
 
 
+#: Text bytes that one writing task gets, about; it sorts them by day.
+PIECE = 128 << 20
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt by day, large days in pieces. Pieces go by the bytes of the texts: compressed, as the sizes that Spark
+    sees of a shuffle, repetitive messages take a hundredth of what a task has to hold."""
+    size = F.coalesce(F.octet_length("message"), F.lit(0)) + F.coalesce(F.octet_length("context"), F.lit(0)) + 200
+    days = rows.groupBy("day").agg(F.ceil(F.sum(size.cast("long")) / PIECE).alias("_pieces")).collect()  # one row per day
+    if not days:
+        return rows
+    pieces = rows.sparkSession.createDataFrame(days, "day date, _pieces long")
+    piece = F.pmod(F.xxhash64("scan_id", "target_id", "event_id", "ts"), C("_pieces"))
+    dealt = rows.join(F.broadcast(pieces), "day").withColumn("_piece", piece)
+    return dealt.repartition(sum(d["_pieces"] for d in days), "day", "_piece").drop("_pieces", "_piece")
+
+
 def append(events: DataFrame, path: str, batch_id: int) -> None:
     """Writes one batch; the same batch id replaces what it wrote before."""
-    rows = telemetry_rows(events).hint("rebalance", "day")
+    rows = _dealt(telemetry_rows(events)).select(*[c.split()[0] for c in COLUMNS.split(", ")])
     rows.write.mode("overwrite").partitionBy("day").parquet(f"{path}/log/batch={batch_id}")
 
 
@@ -52,7 +69,7 @@ def _log(spark: SparkSession, path: str) -> DataFrame:
 def compact(spark: SparkSession, path: str, first: date, end: date) -> None:
     """Rewrites the days from ``first`` up to, not including, ``end`` in files of the advised size, by scan and event."""
     rows = _log(spark, path).filter((C("day") >= F.lit(first)) & (C("day") < F.lit(end)))
-    even = rows.hint("rebalance", "day").sortWithinPartitions("day", "scan_id", "target_id", "event_id")
+    even = _dealt(rows).sortWithinPartitions("day", "scan_id", "target_id", "event_id")
     even.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/days")
 
 

@@ -9,6 +9,7 @@ from sitegauge.functions import finding as fd
 from sitegauge.operators import copies as cp, duplicates as dp, lifecycle as lc
 from sitegauge.plans import catalog, views as v
 from sitegauge.session import shared_folder
+from sitegauge.streaming import telemetry as tm
 
 
 def stored_bytes(spark):
@@ -96,3 +97,22 @@ def test_upsert_moves_digests_as_bytes(spark):
     prints = ["", "ab", "abc", "AB", "0" * 64, "é", "a|b", None]
     back = spark.createDataFrame([(i, x) for i, x in enumerate(prints)], "i int, p string").select("i", fd.unpacked(fd.packed(F.col("p"))).alias("p"))
     assert [r.p for r in back.orderBy("i").collect()] == prints
+
+
+def test_a_large_day_is_written_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tm, "PIECE", 200_000, raising=False)
+    k = F.col("id")
+    events = spark.range(1000).select(
+        k.alias("scan_id"), k.alias("target_id"), k.alias("event_id"), F.lit("s").alias("stage"), F.lit("running").alias("status"), F.lit("crawler").alias("service"),
+        F.repeat(F.lit("x"), 9000).alias("message"), F.lit(None).cast("string").alias("context"), F.lit(datetime(2024, 1, 1)).alias("ts"))
+    tm.append(events, str(tmp_path), 0)
+    files = [f for _, _, names in os.walk(tmp_path) for f in names if f.endswith(".parquet")]
+    assert len(files) > 20 and tm.read(spark, str(tmp_path)).count() == 1000
+    tm.append(events.limit(0), str(tmp_path), 1)
+    assert tm.read(spark, str(tmp_path)).count() == 1000
+
+
+def test_equal_payloads_are_exploded_once(spark):
+    catalog.queries()["udtf_explode_findings"](spark, "/root/testdata/sf0.001")
+    payloads = spark.table("stored_findings")
+    assert payloads.count() == payloads.select("payload").distinct().count()
