@@ -76,6 +76,35 @@ def test_match_equals_a_stack():
         assert left["event_id"].tolist() == [s for s, _ in stack]
 
 
+def test_match_by_group_equals_a_match_of_each():
+    rng = random.Random(4)
+    events = [(rng.randint(0, 3), rng.choice(["a", "b", None]), k, rng.choice(["running", "success"]), 10 * k, 10 * k) for k in range(300)]
+    rows = pd.DataFrame(events, columns=[*sg.BY, *sg.COLUMNS])
+    got, left = sg.match(rows, sg.BY)
+    parts = [sg.match(g[sg.COLUMNS]) for _, g in rows.groupby(sg.BY, dropna=False)]
+    columns = ["start_id", "finish_id", "status", "took"]
+    assert sorted(got[columns].itertuples(index=False, name=None)) == sorted(x for a, _ in parts for x in a[columns].itertuples(index=False, name=None))
+    assert left["event_id"].tolist() == sorted(x for _, b in parts for x in b["event_id"])
+    assert [tuple(x) for x in rows.set_index("event_id").loc[got["start_id"], "distance"].to_frame().to_numpy()] == [(x,) for x in got["distance"]]
+
+
+def test_stage_state_is_shared_by_neighbouring_targets(spark, tmp_path):
+    """Far fewer keys than (target, stage) pairs, and the batch form's rows, for negative, null and distant targets too."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    target = F.when(F.col("user_id") % 5 == 0, F.col("user_id") - 40).when(F.col("user_id") % 5 == 1, F.col("user_id") + (1 << 40)).otherwise(F.col("user_id"))
+    events = v.events(spark, SF).withColumn("user_id", target)
+    nulls = events.withColumn("event_type", F.when(F.col("event_id") % 3 > 0, F.col("event_type")))
+    nulls.coalesce(1).write.parquet(src)
+    read = spark.readStream.schema(nulls.schema).parquet(src)
+    lv.start_files(sg.stream_stage_durations(cs.stages(read), DEFAULT.with_(late_events="0 seconds")), out).awaitTermination()
+    named = lambda df: key(df.filter("stage is not null"))
+    got = spark.read.schema(sg.DURATION_SCHEMA).parquet(f"{out}/data")
+    assert named(got) == named(lv.stage_durations(cs.stages(nulls)))
+    assert got.filter("stage is null").count() > 0
+    timers = spark.read.format("statestore").option("readRegisteredTimers", True).load(f"{out}/_checkpoint")
+    assert timers.select("key").distinct().count() * 5 < nulls.select("user_id", "event_type").distinct().count()
+
+
 def test_scan_pages_stream_equals_batch_and_replay(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = v.responses(spark, SF)
