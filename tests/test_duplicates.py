@@ -150,3 +150,10 @@ def test_corpus_pairs_equal_brute_force(spark):
     df = spark.createDataFrame(texts, "id long, text string")
     got = {(r.source_id, r.candidate_id) for r in cp.copy_pairs(df, df, 0.35, Params(block=4, salts=2)).collect()}
     assert got == expected
+
+
+def test_hashes_as_numbers_keep_the_order_of_their_digits(spark):
+    digits = ["0" * 16, "00000000000000ff", "7" + "f" * 15, "8" + "0" * 15, "f" * 16]
+    entries = spark.createDataFrame([([d + "some words" for d in digits],)], "sketch array<string>")
+    numbers = entries.select(dp.numbers_of(F.col("sketch"))).first()[0]
+    assert numbers == sorted(set(numbers)) and len(numbers) == 5
