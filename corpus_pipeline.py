@@ -42,8 +42,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of 1,024 tokens."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Pieces of the remaining documents in sequences of 1,024 tokens; in small slices, as the executors hold the earlier stages' memory."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), slice_chars=2_000_000)
 
 
 STAGES = [

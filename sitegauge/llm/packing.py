@@ -31,8 +31,8 @@ from sitegauge.llm.common import texts
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 #: Tokens of one batch of documents that are held at a time before they are packed.
 SHARD_TOKENS = 4_000_000
-#: Characters that are encoded together.
-SLICE_CHARS = 8_000_000
+#: Characters that are encoded together: more take fewer seconds, as distinct words are encoded once, and more memory.
+SLICE_CHARS = 16_000_000
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,8 @@ def assign(sizes: list[int], length: int = 1024, cost: Cost = Cost()) -> list[tu
     return pieces
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, length: int, shard_tokens: int, cost: Cost):
+def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, length: int, shard_tokens: int, cost: Cost, slice_chars: int):
+    pa.default_memory_pool().release_unused()  # a worker comes with what the stages before have left
     enc = tokens.encoder(path)
     number = TaskContext.get().partitionId() << 40
     ids, names, held = [], [], 0
@@ -93,7 +94,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, length: int, s
 
     for batch in batches:
         keys, strings = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-        for a, b in tokens.slices(strings, SLICE_CHARS):
+        for a, b in tokens.slices(strings, slice_chars):
             flat, ends = enc.encode_flat(strings[a:b], end)
             ids += [flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
             names += keys[a:b]
@@ -105,6 +106,6 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, length: int, s
         yield flush()
 
 
-def pack(docs: DataFrame, path: str, end: int = 0, length: int = 1024, shard_tokens: int = SHARD_TOKENS, cost: Cost = Cost(), **columns: str) -> DataFrame:
+def pack(docs: DataFrame, path: str, end: int = 0, length: int = 1024, shard_tokens: int = SHARD_TOKENS, cost: Cost = Cost(), slice_chars: int = SLICE_CHARS, **columns: str) -> DataFrame:
     """One row per piece (see :data:`SCHEMA`) of every document, ``end`` being its last id; ``path``: vocabulary file."""
-    return texts(docs, **columns).mapInArrow(lambda it: _pack(it, path, end, length, shard_tokens, cost), SCHEMA)
+    return texts(docs, **columns).mapInArrow(lambda it: _pack(it, path, end, length, shard_tokens, cost, slice_chars), SCHEMA)

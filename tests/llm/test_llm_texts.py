@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from llm.shared import awkward, frame, prose
@@ -112,6 +113,13 @@ def test_packing_places_every_id_once(spark):
     assert packing.pack(frame(spark, []), BYTE).count() == 0
 
 
+def test_packing_in_small_slices_covers_the_same_ids(spark):
+    docs = frame(spark, [r for r in awkward() if r[0] is not None])
+    covered = lambda df: df.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t"), F.max(F.col("start") + F.col("length")).alias("e")).collect()
+    made = {chars: sorted(map(tuple, covered(packing.pack(docs, BYTE, slice_chars=chars)))) for chars in (500, 16_000_000)}
+    assert made[500] == made[16_000_000] and len(made[500]) == len({r[0] for r in awkward()} - {None})
+
+
 def test_packing_balances_cost():
     sizes = [1000, 30, 20, 10, 500, 524, 900, 124, 1024, 3000, 1] * 40
     pieces = packing.assign(sizes)
