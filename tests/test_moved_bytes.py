@@ -3,6 +3,7 @@
 import os
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from sitegauge.functions import finding as fd
@@ -79,6 +80,13 @@ def test_only_what_a_scope_may_resolve_is_moved(spark):
     assert moved_without_broadcast(spark, rows) < 120 * v.findings(spark, sf).count()
 
 
+@pytest.mark.parametrize("scope", ["browser"])
+def test_resolving_moves_as_little_in_every_scope(spark, scope):
+    sf = "/root/testdata/sf0.01"
+    rows = catalog.queries()[f"lifecycle_resolve_{scope}"](spark, sf)
+    assert moved_without_broadcast(spark, rows) < 80 * v.findings(spark, sf).count()
+
+
 def test_findings_without_a_page_are_kept_unresolved(spark):
     day = datetime(2026, 1, 1)
     kind = "website_id long, page_id long, fingerprint string, rule_key string, category string, status string, last_seen_at timestamp, resolved_at timestamp"
