@@ -80,7 +80,7 @@ def test_only_what_a_scope_may_resolve_is_moved(spark):
     assert moved_without_broadcast(spark, rows) < 120 * v.findings(spark, sf).count()
 
 
-@pytest.mark.parametrize("scope", ["browser", "copy"])
+@pytest.mark.parametrize("scope", ["browser", "copy", "duplicates"])
 def test_resolving_moves_as_little_in_every_scope(spark, scope):
     sf = "/root/testdata/sf0.01"
     rows = catalog.queries()[f"lifecycle_resolve_{scope}"](spark, sf)
