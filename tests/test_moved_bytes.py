@@ -6,8 +6,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from sitegauge.functions import finding as fd
-from sitegauge.operators import copies as cp, duplicates as dp, lifecycle as lc
+from sitegauge.functions import finding as fd, text as tx
+from sitegauge.operators import copies as cp, duplicates as dp, lifecycle as lc, snapshots as sn
 from sitegauge.plans import catalog, views as v
 from sitegauge.session import shared_folder
 from sitegauge.streaming import telemetry as tm
@@ -107,6 +107,39 @@ def test_upsert_moves_digests_as_bytes(spark):
     assert [r.p for r in back.orderBy("i").collect()] == prints
 
 
+def test_stored_findings_move_once(spark):
+    sf = "/root/testdata/sf0.01"
+    n, before, kept = v.findings(spark, sf).count(), shuffled_bytes(spark), stored_bytes(spark)
+    rows = catalog.queries()["sink_findings"](spark, sf)
+    assert shuffled_bytes(spark) - before < 350 * n
+    assert stored_bytes(spark) - kept < 160 * n
+    assert rows.count() == 79_884
+
+
+def test_packed_texts_come_back(spark):
+    texts = ["", "a", "\x01", "\x02", "\x02n", "\x02m\x01b", "é\n|", None]
+    rows = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in texts for b in texts)]
+    df = spark.createDataFrame(rows, "i int, a string, b string").select("i", tx.packed([F.col("a"), F.col("b")]).alias("p"))
+    a, b = tx.unpacked(F.col("p"), 2)
+    assert [tuple(r) for r in df.select("i", a, b).orderBy("i").collect()] == rows
+
+
+def test_merging_where_rows_are_dealt_keeps_odd_keys(spark, tmp_path):
+    """Null and repeated keys of the old rows stay as a join leaves them, also when only some buckets are touched."""
+    day = datetime(2026, 1, 1)
+    kind = "website_id long, fingerprint string, severity string, note string, tags array<string>, status string, first_seen_at timestamp, last_seen_at timestamp, resolved_at timestamp"
+    old = spark.createDataFrame([(w, f"{k:064x}" if k % 3 else f"odd {k}", "high", None if k % 2 else "\x01", ["x", None], "open", day, day, None) for k in range(200) for w in (1, None)] + [(1, f"{1:064x}", "low", "", None, "resolved", day, day, day)], kind)
+    keys = [F.col("website_id").isNull(), F.col("fingerprint").endswith("1")]
+    new = old.filter(keys[1] | (F.col("fingerprint") == "odd 3")).drop("status", "first_seen_at", "last_seen_at", "resolved_at").withColumn("seen_order", F.lit(1)).dropDuplicates(["website_id", "fingerprint"])
+    now = F.lit(datetime(2026, 3, 1))
+    show = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    want = show(lc.lifecycle_upsert(old, new, now))
+    table = sn.findings_at(str(tmp_path / "t"), 16).create(old)
+    new = spark.createDataFrame(new.collect(), new.schema)
+    assert 0 < len(sn.store_findings(table, new, now)) <= 16
+    assert show(table.read(spark)) == want
+
+
 def test_a_large_day_is_written_in_pieces(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tm, "PIECE", 200_000, raising=False)
     k = F.col("id")
