@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitegauge.functions import finding as fd, text as tx
-from sitegauge.operators import copies as cp, duplicates as dp, lifecycle as lc, snapshots as sn
+from sitegauge.operators import copies as cp, duplicates as dp, lifecycle as lc, reports as rp, snapshots as sn
 from sitegauge.plans import catalog, views as v
 from sitegauge.session import shared_folder
 from sitegauge.streaming import telemetry as tm
@@ -87,6 +87,28 @@ def test_resolving_moves_as_little_in_every_scope(spark, scope):
     assert moved_without_broadcast(spark, rows) < 80 * v.findings(spark, sf).count()
 
 
+def test_wide_export_moves_keys_and_one_text(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = catalog.queries()["export_findings_wide"](spark, sf)
+    assert moved_without_broadcast(spark, rows) < 300 * v.findings(spark, sf).count()
+
+
+def test_wide_export_keeps_odd_texts_and_keys(spark):
+    day = datetime(2026, 1, 2)
+    kind = "website_id long, page_id long, fingerprint string, public_id string, scan_id long, rule_key string, category string, severity string, confidence int, status string, title string, summary string, policy_reference string, first_seen_at timestamp, last_seen_at timestamp, remediation array<string>"
+    rows = [(w, g, "f", f"{w} {g}", 7, "ai.x", "odd", None, None, "open", "\x01\x02n", "", None, day, None, ["a", None, "b\n"]) for w in (1, 2, None) for g in (1, 2, None)]
+    sites = spark.createDataFrame([(1, "s.example", "https://s.example/"), (None, "none", "none")], "website_id long, domain string, start_url string")
+    pages = spark.createDataFrame([(1, "https://s.example/1"), (1, "https://s.example/1b"), (None, "none")], "page_id long, url string")
+    got = {tuple(r) for r in rp.export_findings_wide(spark.createDataFrame(rows, kind), sites, pages).collect()}
+    rest = ("AI", "ai.x", "odd", None, None, [r.x for r in spark.range(1).select(fd.label(F.lit("open")).alias("x")).collect()][0], "\x01\x02n", "", None, "2026-01-02T00:00:00+00:00", None, "a\nb\n")
+    want = set()
+    for w in (1, 2, None):
+        site = ("s.example", "https://s.example/") if w == 1 else (None, None)
+        for g in (1, 2, None):
+            want |= {(f"{w} {g}", "7", site[0], url or site[1], *rest) for url in (("https://s.example/1", "https://s.example/1b") if g == 1 else (None,))}
+    assert got == want
+
+
 def test_findings_without_a_page_are_kept_unresolved(spark):
     day = datetime(2026, 1, 1)
     kind = "website_id long, page_id long, fingerprint string, rule_key string, category string, status string, last_seen_at timestamp, resolved_at timestamp"
