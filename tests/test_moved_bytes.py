@@ -51,6 +51,33 @@ def test_candidates_move_few_hashes(spark):
     assert moved < 6_000_000
 
 
+def test_candidates_move_windows_not_pairs(spark):
+    """40 hashes with 600 holders each and every page in eight of them: 4.8 million pairs in the windows."""
+    k, page = F.col("k"), F.col("id")
+    held = spark.range(-1500, 1500).crossJoin(spark.range(40).select(F.col("id").alias("k"))).filter(F.pmod(F.xxhash64(page, k), F.lit(5)) == 0)
+    sketch = F.sort_array(F.collect_list(F.concat(F.lpad(F.hex(F.when(k % 2 == 1, F.lit(-(1 << 63)) + k * 7).otherwise(k * 7)), 16, "0"), F.lit("some words"))))
+    pages = held.groupBy("id").agg(sketch.alias("sketch")).select(F.lit("all").alias("grp"), page.cast("int").alias("id"), (page * 7 + 3).alias("position"), F.transform("sketch", F.lower).alias("sketch"))
+    pages = spark.createDataFrame(pages.collect(), pages.schema)
+    before = shuffled_bytes(spark)
+    found = dp.candidates(pages)
+    rows = found.collect()
+    assert shuffled_bytes(spark) - before < 6_000_000
+    assert found.schema["id"].dataType.simpleString() == found.schema["candidate_id"].dataType.simpleString() == "int"
+    sets, got = {r.id: [e[:16] for e in r.sketch] for r in pages.collect()}, {}
+    for r in sorted(rows, key=lambda r: r.candidate_rank):
+        assert (r.position, r.candidate_position) == (r.id * 7 + 3, r.candidate_id * 7 + 3)
+        got.setdefault(r.id, []).append((r.candidate_id, r.shared_seen, r.min_hash))
+    holders = {}
+    for i in sorted(sets):
+        seen = {}
+        for h in sets[i]:
+            for c in holders.setdefault(h, [])[-200:]:
+                seen.setdefault(c, []).append(h)
+            holders[h].append(i)
+        ranked = sorted((-len(hs), min(hs), c) for c, hs in seen.items())[:30]
+        assert got.get(i, []) == [(c, -n, h) for n, h, c in ranked], i
+
+
 def test_lines_meet_orders_before_they_grow(spark):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
